@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, sharding
+from . import decontaminate, html_extract, license_scan, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_source_mix": mixing.op2_source_mix,
+    "op3_near_duplicates": simhash.op3_near_duplicates,
+    "op4_main_text": html_extract.op4_main_text,
+    "op5_benchmark_hits": decontaminate.op5_benchmark_hits,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op7_lm_scores": lm_scoring.op7_lm_scores,
+    "op8_repeated_passages": substring_dedup.op8_repeated_passages,
+    "op9_licence_scan": license_scan.op9_licence_scan,
     "op10_quality_verdicts": quality_rules.op10_quality_verdicts,
 }
 ORACLES = {
