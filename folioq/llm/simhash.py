@@ -75,6 +75,10 @@ def _value(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _around(s: int, value: Column):
+    return lambda mask: F.struct(F.lit(s).alias("s"), value.bitwiseXOR(mask).alias("v"))
+
+
 def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """fps: distinct fp. Rows (a, b), a < b, of fingerprints within max_distance bits."""
     radius = max_distance // segments
@@ -83,7 +87,7 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
         value = _value(F.col("fp"), low, width)
         entries.append(F.struct(F.lit(s).alias("s"), value.alias("v")))
         masks = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(width), r)]
-        probes.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m, v=value, s=s: F.struct(F.lit(s).alias("s"), v.bitwiseXOR(m).alias("v"))))
+        probes.append(F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), _around(s, value)))
     held = fps.select(F.col("fp").alias("b"), F.explode(F.array(*entries)).alias("e")).select("b", "e.*")
     asked = fps.select(F.col("fp").alias("a"), F.explode(F.flatten(F.array(*probes))).alias("e")).select("a", "e.*")
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_distance)
