@@ -39,8 +39,10 @@ SALTS = 32
 #: Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select"}
 CLUTTER = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "embed", "input", "label", "fieldset", "datalist", "progress", "meter"}
-CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "blockquote", "address", "center", "span"} | CLUTTER - {"input", "embed"}
-BLOCKS = (CONTAINERS - {"span", "label", "button"}) | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "td", "th", "caption", "figcaption", "summary", "legend", "option"}
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "blockquote", "address", "center"} | CLUTTER - {"input", "embed", "button", "label", "progress", "meter"}
+#: Dropped without ending the block around them.
+INLINE = {"button", "label", "progress", "meter"}
+BLOCKS = (CONTAINERS - RAW) | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "td", "th", "caption", "figcaption", "summary", "legend", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "embed", "source", "track", "wbr", "area", "param"}
 #: Words of class, id or role that mark what is not the article.
 MARKS = {
@@ -84,11 +86,12 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
     page = page or ""
     root = Element("", False, False, ())
     stack, every, blocks, text = [root], [], [], []
+    mute, depth, dropped_block = "", 0, False
 
     def flush():
         words = " ".join(entities.unescape("".join(text)).split())
         text.clear()
-        if words:
+        if words and not dropped_block:
             blocks.append((words, stack[-1]))
             stack[-1].content.append(words)
 
@@ -99,13 +102,23 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
 
     at = 0
     while match := _TAG.search(page, at):
-        text.append(page[at : match.start()])
+        if not mute:
+            text.append(page[at : match.start()])
         at = match.end()
         if match[2] is None:
             continue
         tag, closing = match[2].lower(), match[1] == "/"
-        if tag in BLOCKS or tag == "br":
-            flush() if tag != "br" else text.append(" ")
+        if mute and tag not in BLOCKS:
+            depth += (not closing) - closing if tag == mute else 0
+            mute = mute if depth else ""
+            continue
+        if tag in BLOCKS:
+            flush()
+            mute, dropped_block = "", tag not in CONTAINERS and not closing and _marked(tag, match[3])
+        elif tag == "br":
+            text.append(" ")
+        elif not closing and tag not in VOID and tag not in RAW and (tag in INLINE or _marked(tag, match[3])):
+            mute, depth = tag, 1
         if tag not in CONTAINERS:
             continue
         if closing:
@@ -117,16 +130,15 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
         elif tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif not match[3].endswith("/") or tag in BLOCKS:
-            if text:
-                flush()
+        else:
             up = stack[-1]
             inner = up.main or any(e.main for e in stack)
             dropped = up.dropped or tag in CLUTTER or tag == "header" and not inner or _marked(tag, match[3])
             element = Element(tag, dropped, not dropped and tag in ("article", "main"), (*up.inside, up))
             stack.append(element)
             every.append(element)
-    text.append(page[at:])
+    if not mute:
+        text.append(page[at:])
     flush()
     while len(stack) > 1:
         close()
@@ -136,7 +148,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
 def subtrees(every: list[Element]) -> set[int]:
     """Hashes of elements that can be template: none that is, holds or is all of the main content."""
     around = {id(x) for e in every if e.main for x in (*e.inside, e)}
-    return {e.hash for e in every if id(e) not in around and e.tag not in ("html", "body", "span", "blockquote") and len(e.content) > 1}
+    return {e.hash for e in every if id(e) not in around and e.tag not in ("html", "body", "blockquote") and len(e.content) > 1}
 
 
 def main_text(page: str | None, templates: set[int]) -> str:

@@ -102,7 +102,7 @@ class Chunk:
 
 
 def _sent(ranges: int, window: int):
-    def send(key, rows: pa.Table) -> pa.Table:
+    def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         chunk, out = Chunk(rows, window), defaultdict(list)
         ids = np.array([d[0] for d in chunk.docs], np.int64).tobytes()
         keys = np.array([int(d[1][:15], 16) for d in chunk.docs], np.int64).tobytes()

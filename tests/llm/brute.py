@@ -26,8 +26,8 @@ def fingerprint(text, k=4):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
 
 
-def components(docs):
-    """docs: (id, text). Rows (id, hex, component)."""
+def roots(docs):
+    """docs: (id, text). For each the number of its component."""
     fps = [fingerprint(t) for _, t in docs]
     up = list(range(len(docs)))
 
@@ -40,11 +40,16 @@ def components(docs):
         for j in range(i):
             if (fps[i] ^ fps[j]).bit_count() <= 4:
                 up[top(i)] = top(j)
-    least = {}
+    return [top(i) for i in range(len(docs))]
+
+
+def components(docs):
+    """docs: (id, text). Rows (id, hex, component)."""
+    fps, root, least = [fingerprint(t) for _, t in docs], roots(docs), {}
     for i, (d, _) in enumerate(docs):
         if d is not None:
-            least[top(i)] = min(d, least.get(top(i), d))
-    return [(d, f"{fps[i]:016x}", least.get(top(i))) for i, (d, _) in enumerate(docs)]
+            least[root[i]] = min(d, least.get(root[i], d))
+    return [(d, f"{fps[i]:016x}", least.get(root[i])) for i, (d, _) in enumerate(docs)]
 
 
 def hits(docs, items, window=10):
