@@ -2,19 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from folioq.plans import graph_queries, page_queries, retrieval_queries, upkeep_queries
 
-TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-K1, B = 1.2, 0.75
-
-
-def bm25_documents(spark, sf_dir):
-    """Top documents for a fixed three-term query by BM25."""
-    from folioq.operators.fulltext import bm25
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
-    return bm25(docs, {"text": 1.0}, ["the", "tion", "with"]).orderBy(F.desc("score"), "id").limit(50).select(F.col("id").alias("doc_id"), "score")
-
-
-QUERIES = {"bm25_documents": bm25_documents}
-ORACLES = {}
+QUERIES, ORACLES = {}, {}
+for _module in (retrieval_queries, page_queries, graph_queries, upkeep_queries):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
