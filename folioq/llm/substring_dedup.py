@@ -105,7 +105,7 @@ def _sent(ranges: int, window: int):
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         chunk, out = Chunk(rows, window), defaultdict(list)
         ids = np.array([d[0] for d in chunk.docs], np.int64).tobytes()
-        keys = np.array([int(d[1][:15], 16) for d in chunk.docs], np.int64).tobytes()
+        keys = np.array([int(d[1][:7], 16) for d in chunk.docs], np.int32).tobytes()
         for r, hashes, first, again in chunk.entries(ranges):
             low = (hashes & np.uint64(63)).astype(np.uint32)
             planes = np.ascontiguousarray((hashes >> np.uint64(6)).view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
@@ -121,25 +121,27 @@ def _sent(ranges: int, window: int):
 
 def _met(rows: pa.Table) -> pa.Table:
     """Of one hash range: for each chunk with first occurrences, which of its windows which chunk holds too."""
-    hashes, chunk, entry, ids, keys, again = [], [], [], [], [], []
-    for row in rows.to_pylist():
-        planes = np.frombuffer(row["planes"], np.uint8).reshape(6, -1)
-        n = planes.shape[1]
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = planes.T
-        beside = np.frombuffer(row["beside"], np.uint16 if len(row["beside"]) == 2 * n else np.uint32).astype(np.int64)
-        hashes.append((wide.view(np.uint64)[:, 0] << np.uint64(6)) | (beside & 63).astype(np.uint64))
-        chunk.append(np.full(n, row["g"], np.int64))
-        entry.append(np.arange(n, dtype=np.int64))
-        ids.append(np.frombuffer(row["ids"], np.int64)[beside >> 6])
-        keys.append(np.frombuffer(row["keys"], np.int64)[beside >> 6])
-        again.append(np.unpackbits(np.frombuffer(row["again"], np.uint8), count=n).astype(bool))
-    hashes, chunk, entry, ids, keys, again = map(np.concatenate, (hashes, chunk, entry, ids, keys, again))
+    sent = rows.select(["g", "planes", "beside", "again", "ids", "keys"]).to_pylist()
+    begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // 6 for r in sent], dtype=np.int64)))
+    docs = np.concatenate(([0], np.cumsum([len(r["ids"]) // 8 for r in sent], dtype=np.int64)))
+    hashes, doc, again = np.zeros(begins[-1], np.uint64), np.empty(begins[-1], np.int32), np.empty(begins[-1], bool)
+    for row, a, b in zip(sent, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        hashes[a:b].view(np.uint8).reshape(-1, 8)[:, :6] = np.frombuffer(row["planes"], np.uint8).reshape(6, -1).T
+        beside = np.frombuffer(row["beside"], np.uint16 if len(row["beside"]) == 2 * (b - a) else np.uint32)
+        hashes[a:b] = (hashes[a:b] << np.uint64(6)) | (beside & 63).astype(np.uint64)
+        doc[a:b] = beside >> 6
+        again[a:b] = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=b - a)
     order = np.argsort(hashes, kind="stable")
-    same = np.concatenate(([False], hashes[order][1:] == hashes[order][:-1], [False]))
-    order = order[same[1:] | same[:-1] | again[order]]
-    order = order[np.lexsort((keys[order], ids[order], hashes[order]))]
-    hashes, chunk, entry, again = hashes[order], chunk[order], entry[order], again[order]
+    hashes = hashes[order]
+    same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
+    some = same[1:] | same[:-1] | again[order]
+    order, hashes = order[some], hashes[some]
+    line = np.searchsorted(begins, order, side="right") - 1
+    first_doc = docs[line] + doc[order]
+    ids, keys = np.frombuffer(b"".join(r["ids"] for r in sent), np.int64)[first_doc], np.frombuffer(b"".join(r["keys"] for r in sent), np.int32)[first_doc]
+    by = np.lexsort((keys, ids, hashes))
+    order, hashes, line = order[by], hashes[by], line[by]
+    chunk, entry, again = np.array([r["g"] for r in sent], np.int64)[line], order - begins[line], again[order]
     out_g, out_entries, out_to = [], [], []
     if len(order):
         leads = np.concatenate(([True], hashes[1:] != hashes[:-1]))
