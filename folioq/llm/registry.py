@@ -18,5 +18,8 @@ QUERIES = {
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
+    "op5_benchmark_hits": decontaminate.SQL,
     "op6_byte_shards": sharding.SQL,
+    "op8_repeated_passages": substring_dedup.SQL,
+    "op10_quality_verdicts": quality_rules.SQL,
 }

@@ -274,3 +274,16 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def op8_repeated_passages(spark, sf_dir):
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 18)) AS s FROM d)),
+later AS (SELECT doc_id, s FROM windows QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS word FROM later),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS word FROM d),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY word) AS kept FROM words ANTI JOIN gone USING (doc_id, word) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
