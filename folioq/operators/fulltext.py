@@ -71,3 +71,32 @@ def best_window(words: Column, terms: list[str], size: int = 24) -> Column:
     start = -F.array_max(hits)["back"]
     marked = F.transform(F.slice(words, start + 1, size), lambda w: F.when(F.array_contains(wanted, w), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
     return F.array_join(marked, " ")
+
+
+MARKED = 3
+
+
+def limited_markers(snippet: Column, most: int = MARKED) -> Column:
+    """Keeps the first « » of each different token regardless of case, for most tokens; the others and open ones go."""
+    parts = F.split(F.coalesce(snippet, F.lit("")), "«")
+    start = F.struct(F.get(parts, F.lit(0)).alias("out"), F.array().cast("array<string>").alias("seen"))
+
+    def add(state: Column, part: Column) -> Column:
+        end = F.locate("»", part)
+        token, rest = F.substring(part, F.lit(1), end - 1), F.substring(part, end + 1, F.length(part))
+        keep = (end > 0) & ~F.array_contains(state["seen"], F.lower(token)) & (F.size(state["seen"]) < most)
+        text = F.when(keep, F.concat(F.lit("«"), part)).when(end > 0, F.concat(token, rest)).otherwise(part)
+        seen = F.when(keep, F.array_append(state["seen"], F.lower(token))).otherwise(state["seen"])
+        return F.struct(F.concat(state["out"], text).alias("out"), seen.alias("seen"))
+
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.lit(0), F.size(parts) - 1)), start, add, lambda s: s["out"])
+
+
+CONCISE_BYTES = 2000
+
+
+def concise(hits: DataFrame, most: int = CONCISE_BYTES) -> DataFrame:
+    """A short list of hits with scores to four places, and without them where the list as JSON is longer than most bytes."""
+    rounded = hits.withColumn("score", F.round("score", 4))
+    size = rounded.agg(F.sum(F.octet_length(F.to_json(F.struct(*rounded.columns))) + 1)).first()[0] or 0
+    return rounded if size <= most else rounded.drop("score")

@@ -82,3 +82,33 @@ def patched_section(body: Column, heading: str, text: str) -> Column:
     escaped = new.replace("\\", r"\\").replace("$", r"\$")
     b = F.coalesce(body, F.lit(""))
     return F.when(b.rlike(section), F.regexp_replace(b, section, escaped)).otherwise(F.concat(F.regexp_replace(b, r"\s+$", ""), F.lit("\n\n"), F.lit(new.rstrip() + "\n")))
+
+
+def wiki_links(body: Column) -> Column:
+    """Markdown links to pages become wiki links with their label, but not in code or table rows; doing it again changes nothing."""
+    from folioq.functions.text import PAGE_TYPES
+
+    target = rf"((?:{'|'.join(PAGE_TYPES)})/[^()\s?#]*?)(?:\.md)?(#[^()\s]*)?"
+    link = rf"(?<!!)\[([^\[\]]*)\]\({target}\)"
+    lines = F.split(F.coalesce(body, F.lit("")), "\n")
+
+    def plain(line: Column) -> Column:
+        pieces = F.split(line, "`")  # every second piece is code
+        new = F.transform(pieces, lambda p, i: F.when(i % 2 == 0, F.regexp_replace(p, link, r"[[$2$3|$1]]")).otherwise(p))
+        return F.array_join(new, "`")
+
+    def add(state: Column, line: Column) -> Column:
+        fence = line.rlike(r"^ {0,3}(```|~~~)")
+        inside = state["code"] != fence
+        kept = F.when(state["code"] | fence | F.ltrim(line).startswith("|"), line).otherwise(plain(line))
+        return F.struct(F.array_append(state["out"], kept).alias("out"), inside.alias("code"))
+
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code"))
+    return F.aggregate(lines, start, add, lambda s: F.array_join(s["out"], "\n"))
+
+
+def excerpt(body: Column, most: int = 140) -> Column:
+    """The first line of prose, links as their text."""
+    lines = F.filter(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: (F.trim(x) != "") & ~x.rlike(r"^\s*(#|```|~~~|---|\|)"))
+    first = F.regexp_replace(F.regexp_replace(F.coalesce(F.get(lines, F.lit(0)), F.lit("")), r"\[\[([^\[\]|]*\|)?([^\[\]]*)\]\]", "$2"), r"\[([^\[\]]*)\]\([^()]*\)", "$1")
+    return F.substring(F.trim(first), 1, most)

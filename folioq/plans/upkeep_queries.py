@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioq.operators import upkeep
+from folioq.operators import chunks, refactor, upkeep, versions
 from folioq.plans.register import registry
 from folioq.plans.tables import ACCESS, NOW, PAGES, WORK_LOG, access_events, pages, table, work_log
 
@@ -123,3 +123,56 @@ SELECT sha, ts FROM recent WHERE sha IN (SELECT md5(conv_id || ':' || turn) FROM
 def page_history(spark, sf_dir):
     versions = _versions(spark, sf_dir)
     return upkeep.page_history(versions, versions.select("sha", "ts").distinct(), "p3", 20)
+
+
+@query("""SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 4 = 1 THEN md5(text || 't') WHEN doc_id % 3 = 1 THEN md5(text || 'o') ELSE md5(text) END AS hash,
+CASE WHEN doc_id % 12 = 1 THEN 'conflict' WHEN doc_id % 4 = 1 THEN 'theirs' WHEN doc_id % 3 = 1 THEN 'ours' ELSE 'same' END AS state FROM documents WHERE doc_id % 12 <> 1
+UNION ALL SELECT doc_id::VARCHAR, NULL, 'conflict' FROM documents WHERE doc_id % 12 = 1""")
+def merged_trees(spark, sf_dir):
+    """Three trees of documents: every third changed on one side, every fourth on the other."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("doc_id").cast("string").alias("path"), "text")
+    tree = lambda n, mark: d.select("path", F.md5(F.when(F.col("d") % n == 1, F.concat("text", F.lit(mark))).otherwise(F.col("text"))).alias("hash"))
+    return versions.merged_trees(d.select("path", F.md5("text").alias("hash")), tree(3, "o"), tree(4, "t"))
+
+
+@query("""WITH v AS (SELECT (conv_id % 50)::VARCHAR AS path, md5(conv_id || ':' || turn) AS sha, turn AS ts, text FROM conversations WHERE turn <= 3)
+SELECT path, sha, ts, text FROM v QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, sha DESC) = 1""")
+def versions_as_of(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    every = t.select(F.pmod("conv_id", F.lit(50)).cast("string").alias("path"), F.md5(F.concat_ws(":", "conv_id", "turn")).alias("sha"), F.col("turn").alias("ts"), "text")
+    return versions.as_of(every, 3)
+
+
+@query("""SELECT CASE user_id % 3 WHEN 0 THEN 'orphan' WHEN 1 THEN 'decay' ELSE 'merge' END AS kind, 'documents/' || user_id AS pages,
+CASE event_type WHEN 'error' THEN 'done' WHEN 'view' THEN 'skipped' ELSE 'deferred' END AS outcome, props AS note, event_id AS seq FROM events WHERE event_type IN ('error', 'view', 'click')""")
+def log_items(spark, sf_dir):
+    """Outcomes written as lines of a log and read back."""
+    notes = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("props").alias("note"))
+    rows = work_log(spark, sf_dir).join(notes, "seq")
+    lines = rows.select("seq", versions.log_line(F.col("outcome"), F.col("kind"), F.array("pages"), F.col("note")).alias("line"))
+    return versions.log_items(lines)
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '| [a](entities/' || doc_id || '.md) |' ELSE '[[entities/' || doc_id || '|a]] `[b](topics/x)` ' || source END AS body FROM documents""")
+def links_normalised(spark, sf_dir):
+    d = F.col("doc_id").cast("string")
+    table_row = F.concat(F.lit("| [a](entities/"), d, F.lit(".md) |"))
+    prose = F.concat(F.lit("[a](entities/"), d, F.lit(".md) `[b](topics/x)` "), F.col("source"))
+    body = F.when(F.col("doc_id") % 2 == 0, table_row).otherwise(prose)
+    return table(spark, sf_dir, "documents").select("doc_id", refactor.wiki_links(body).alias("body"))
+
+
+@query()
+def section_chunks(spark, sf_dir):
+    """Texts under a heading each, cut into sections and windows; rows only."""
+    body = F.concat(F.lit("# "), F.col("source"), F.lit("\n"), F.col("text"))
+    return chunks.section_chunks(table(spark, sf_dir, "documents").withColumn("body", body), "doc_id")
+
+
+@query("""WITH last AS (SELECT o_custkey AS id, max(o_orderkey) AS k FROM orders GROUP BY 1)
+SELECT c_custkey AS id, c_name AS path FROM customer WHERE c_custkey NOT IN (SELECT id FROM last)""")
+def integrity_missing(spark, sf_dir):
+    """Indexed rows (customers) without a file (an order)."""
+    index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("path"), "c_name")
+    lost = versions.not_on_disk(index, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path")))
+    return lost.join(index.select("id", "c_name"), "id").select("id", F.col("c_name").alias("path"))
