@@ -6,8 +6,8 @@ segments. Two fingerprints within max_distance bits differ in at most
 max_distance // segments bits in at least one segment. Each fingerprint therefore
 enumerates the Hamming ball of that radius around each of its segments, fetches the
 table's fingerprints with such a segment value by an equi-join, and verifies the
-complete distance inside the join. Connected components follow by hooking and pointer
-jumping over the verified links; each round is written to the shared folder.
+complete distance inside the join. Connected components follow by contraction of the
+verified links; each round is written to the shared folder.
 
 Defined results: null and blank texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle hash their whole word sequence; repeated rows link
@@ -96,18 +96,28 @@ def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGM
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b). Rows (node, root) with the smallest node of each connected component."""
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    roots = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "roots")
-    while True:
-        ends = both.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
-        offers = ends.select(F.col("a").alias("node"), F.col("root_b").alias("root")).unionByName(ends.select(F.col("root_a").alias("node"), F.col("root_b").alias("root")))
-        hooked = roots.unionByName(offers).groupBy("node").agg(F.min("root").alias("root"))
-        jumped = hooked.join(hooked.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left")
-        new = stored(jumped.select("node", F.least("root", F.coalesce("next", "root")).alias("root")), "roots")
-        if new.join(roots.withColumnRenamed("root", "old"), "node").where("root <> old").isEmpty():
-            return new
-        roots = new
+    """edges: (a, b). Rows (node, root) with the smallest node of each connected component.
+
+    Every round each node points to its smallest neighbour if that is smaller than itself,
+    pointers are followed to their ends, and the links are carried over to those ends.
+    Links inside a group are gone then, so each link is joined in few rounds.
+    """
+    edges = stored(edges.select("a", "b"), "edges")
+    found = None
+    while not edges.isEmpty():
+        ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ups = stored(ends.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("root")), "ups")
+        while True:
+            further = ups.join(ups.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.col("next").alias("root"), (F.col("next") < F.col("root")).alias("moved"))
+            further = stored(further, "ups")
+            ups = further.select("node", "root")
+            if further.where("moved").isEmpty():
+                break
+        later = ups.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        found = ups if found is None else stored(found.join(later, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
+        met = edges.join(ups.select(F.col("node").alias("a"), F.col("root").alias("x")), "a").join(ups.select(F.col("node").alias("b"), F.col("root").alias("y")), "b")
+        edges = stored(met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
 
 
 def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
