@@ -25,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, row_key, table
 
 THRESHOLD = 0.75
 WORD = r"[^a-z0-9.+-]+"
@@ -112,15 +112,16 @@ def inherit(files: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, path: str = "path", text: str = "text", file: str = "file", is_licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files: a unique file column, path and text. Rows (file, path, own, cosine, licence, from_directory): licence is the own one or else the inherited one.
+    """files: file, path and text. Rows (file, path, own, cosine, licence, from_directory): licence is the own one or else the inherited one.
 
     is_licence_file tells the files whose licence holds for their directory; unset, it goes by the usual names.
     """
     named = F.lower(F.regexp_extract(F.col(path), r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice|unlicense)([.-].*)?$") if is_licence_file is None else is_licence_file
     rows = files.select(F.col(file).alias("file"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"), F.coalesce(named, F.lit(False)).alias("is_licence_file"))
-    own = own_licences(rows.select("file", "text"), templates, threshold)
+    rows = rows.withColumn("key", row_key(F.col("file"), F.col("text")))  # null and repeated files stay apart by their texts
+    own = own_licences(rows.select(F.col("key").alias("file"), "text"), templates, threshold).withColumnRenamed("file", "key")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    placed = rows.drop("text").join(own, "file", "left").withColumn("directory", directory)
+    placed = rows.drop("text").join(own, "key", "left").withColumn("directory", directory)
     out = inherit(placed)
     return out.select("file", "path", F.col("licence").alias("own"), "cosine", F.coalesce("licence", "inherited").alias("licence"), F.when(F.col("licence").isNull(), F.col("from_directory")).alias("from_directory"))
 

@@ -308,6 +308,9 @@ def test_licences(spark):
         (7, "other/COPYING.txt", "This work is licensed under the GNU General Public License, version 3!", "GPL-3.0", "GPL-3.0"),
         (8, None, "", None, "GPL-3.0"),
         (9, "liba/e.c", "licensed UNDER cc by-nc 4.0", "CC-BY-NC-4.0", "CC-BY-NC-4.0"),
+        (None, "liba/f.c", "Released under the MIT License.", "MIT", "MIT"),
+        (9, "liba/g.c", "same number, other text", None, "GPL-3.0"),
+        (9, "liba/g.c", "same number, other text", None, "GPL-3.0"),
     ]
     frame = spark.createDataFrame([f[:3] for f in files], "file long, path string, text string")
     same(scan(frame).select("file", "own", "licence"), [(f[0], f[3], f[4]) for f in files])
