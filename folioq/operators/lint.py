@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioq.functions.text import is_iso
@@ -71,9 +71,11 @@ def expired_but_linked(pages: DataFrame, edges: DataFrame, today: str) -> DataFr
     alive = pages.where(current).select(F.col("id").alias("src"))
     both = edges.select("src", F.explode(F.array_distinct(F.array("raw", "dst"))).alias("id")).where("src <> id").distinct()
     met = both.join(old, "id", "left_semi").join(alive, "src", "left_semi")
-    from_ = met.groupBy("id").agg(F.sort_array(F.collect_set("src")).alias("s"))
-    more = F.when(F.size("s") > LINKED_FROM_SHOWN, F.concat(F.lit(" and "), (F.size("s") - LINKED_FROM_SHOWN).cast("string"), F.lit(" more"))).otherwise("")
-    return _found(from_, "warning", "expired-but-linked", F.concat(F.array_join(F.slice("s", 1, LINKED_FROM_SHOWN), ", "), more))
+    counts = met.groupBy("id").agg(F.count("*").alias("n"))
+    first = met.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("src"))).where(F.col("place") <= LINKED_FROM_SHOWN)
+    shown = first.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("src")), ", ").alias("s"))
+    more = F.when(F.col("n") > LINKED_FROM_SHOWN, F.concat(F.lit(" and "), (F.col("n") - LINKED_FROM_SHOWN).cast("string"), F.lit(" more"))).otherwise("")
+    return _found(shown.join(counts, "id"), "warning", "expired-but-linked", F.concat("s", more))
 
 
 def orphans(pages: DataFrame, edges: DataFrame, now: int) -> DataFrame:

@@ -10,7 +10,7 @@ from folioq.operators import filters, names
 from folioq.operators.upkeep import access_counts
 from folioq.plans.register import registry
 from folioq.plans.tables import ACCESS, PAGES, TODAY, VALID_NOW, access_events, pages, table
-from folioq.sources import sinks
+from folioq.sources import sinks, vault
 
 QUERIES, ORACLES, query = registry()
 
@@ -79,16 +79,14 @@ def validity_labels(spark, sf_dir):
     return pages(spark, sf_dir).groupBy(filters.validity(TODAY).alias("validity")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_brand AS directory, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1")
+@query("SELECT p_brand AS directory, p_brand || '/' || p_partkey AS id FROM part")
 def tree_listing(spark, sf_dir):
-    out = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("directory")).agg(F.sort_array(F.collect_list("p_partkey")).alias("ids"))
-    return out.select("directory", F.array_join("ids", ",").alias("ids"))
+    return vault.tree(table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("id")))
 
 
-@query(f"""WITH {PAGES} SELECT type, count(*) AS n, max(nullif(updated_at, '')) AS last_updated, string_agg(id || '=' || coalesce(title, id), ';' ORDER BY id) AS entries FROM pages GROUP BY type""")
+@query(f"""WITH {PAGES} SELECT type, count(*) OVER (PARTITION BY type) AS n, max(nullif(updated_at, '')) OVER (PARTITION BY type) AS last_updated, id, coalesce(title, id) AS title, updated_at FROM pages""")
 def catalogue(spark, sf_dir):
-    out = sinks.catalogue(pages(spark, sf_dir))
-    return out.select("type", "n", "last_updated", F.array_join(F.transform("entries", lambda e: F.concat(e["id"], F.lit("="), e["title"])), ";").alias("entries"))
+    return sinks.catalogue(pages(spark, sf_dir))
 
 
 @query("""SELECT doc_id::VARCHAR AS id, CASE WHEN regexp_matches(text, '^[=+\\-@\t\r]') THEN '''' || text ELSE text END AS text, source FROM documents""".replace("\\\\", "\\"))

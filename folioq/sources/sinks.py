@@ -13,9 +13,10 @@ REPORT_DAYS = 30
 
 
 def catalogue(pages: DataFrame) -> DataFrame:
-    """Rows (type, n, last_updated, entries) with the pages of each type in order of id."""
-    entry = F.struct("id", F.coalesce("title", "id").alias("title"), "updated_at")
-    return pages.groupBy("type").agg(F.count("*").alias("n"), F.max(F.nullif("updated_at", F.lit(""))).alias("last_updated"), F.sort_array(F.collect_list(entry)).alias("entries"))
+    """Rows (type, n, last_updated, id, title, updated_at), one for each page in order of type and id, with the totals of its type."""
+    totals = pages.groupBy("type").agg(F.count("*").alias("n"), F.max(F.nullif("updated_at", F.lit(""))).alias("last_updated"))
+    entries = pages.select("type", "id", F.coalesce("title", "id").alias("title"), "updated_at")
+    return entries.join(totals, "type").select("type", "n", "last_updated", "id", "title", "updated_at").orderBy("type", "id")
 
 
 def rotated(log: DataFrame, most: int = LOG_LINES) -> DataFrame:
@@ -32,10 +33,11 @@ def rotated(log: DataFrame, most: int = LOG_LINES) -> DataFrame:
 
 
 def audit_groups(findings: DataFrame) -> DataFrame:
-    """Rows (severity, kind, n, items), errors first."""
+    """Rows (severity, kind, n, item), errors first, with the number of findings of each kind."""
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    items = F.sort_array(F.collect_list(F.concat_ws(": ", "id", F.nullif("detail", F.lit("")))))
-    return findings.groupBy("severity", "kind").agg(F.count("*").alias("n"), items.alias("items")).orderBy(order, "kind")
+    items = findings.select("severity", "kind", F.concat_ws(": ", "id", F.nullif("detail", F.lit(""))).alias("item"))
+    totals = findings.groupBy("severity", "kind").agg(F.count("*").alias("n"))
+    return items.join(totals, ["severity", "kind"]).select("severity", "kind", "n", "item").orderBy(order, "kind", "item")
 
 
 def kept_reports(reports: DataFrame, today: str) -> DataFrame:

@@ -88,8 +88,8 @@ def read_pages(spark: SparkSession, root: str) -> DataFrame:
 
 
 def tree(pages: DataFrame) -> DataFrame:
-    """Rows (directory, ids in order)."""
-    return pages.groupBy(F.substring_index("id", "/", 1).alias("directory")).agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    """Rows (directory, id) in order."""
+    return pages.select(F.substring_index("id", "/", 1).alias("directory"), "id").orderBy("directory", "id")
 
 
 def many(pages: DataFrame, ids: list[str]) -> DataFrame:

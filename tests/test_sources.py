@@ -45,7 +45,7 @@ def test_vault(spark, vault_dir):
     assert vault.read_all(spark, str(vault_dir)).where("error is not null").count() == 2
     got = vault.many(vault.read_pages(spark, str(vault_dir)), ["entities/none", "entities/acme"]).collect()
     assert [(r["asked"], r["found"]) for r in got] == [("entities/none", False), ("entities/acme", True)]
-    assert [tuple(r) for r in vault.tree(vault.read_pages(spark, str(vault_dir))).collect()] == [("entities", ["entities/acme"])]
+    assert [tuple(r) for r in vault.tree(vault.read_pages(spark, str(vault_dir))).collect()] == [("entities", "entities/acme")]
 
 
 def test_sinks(spark, tmp_path):
