@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 MIN_PAGES = 20
 MIN_SHARE = 0.3
@@ -193,7 +193,7 @@ def _extracted(batches):
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """pages: (host, html). Rows (host, keys): hashes of the subtrees on many pages of the host."""
-    seen = pages.select("host", "html").mapInArrow(_seen, "host string, subtree long, pages long").groupBy("host", "subtree").agg(F.sum("pages").alias("pages"))
+    seen = stored(pages.select("host", "html").mapInArrow(_seen, "host string, subtree long, pages long").groupBy("host", "subtree").agg(F.sum("pages").alias("pages")), "subtrees")
     sizes = seen.where("subtree = -1").select("host", F.col("pages").alias("of"))
     many = seen.where(f"subtree <> -1 and pages >= {min_pages}").join(sizes, "host").where(F.col("pages") >= min_share * F.col("of"))
     return many.groupBy("host").agg(F.collect_set("subtree").alias("keys"))
@@ -203,7 +203,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """Rows (page_id, url, text), one for each row of pages."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(f"`{url}`"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"), host.alias("host"))
-    found = templates(rows, min_pages, min_share).persist()
+    found = stored(templates(rows, min_pages, min_share), "templates")
     if (found.agg(F.sum(F.size("keys"))).first()[0] or 0) + found.count() <= broadcast_rows:
         met = rows.join(F.broadcast(found), "host", "left")
     else:

@@ -9,6 +9,9 @@ table's fingerprints with such a segment value by an equi-join, and verifies the
 complete distance inside the join. Connected components follow by contraction of the
 verified links; each round is written to the shared folder.
 
+A fingerprint has at most 679121 others within four bits, however many rows its group has,
+so links grow with the number of different fingerprints.
+
 Defined results: null and blank texts have fingerprint zero and link like any other;
 texts of fewer words than a shingle hash their whole word sequence; repeated rows link
 to each other; rows with a null id join their component, whose id is the smallest id
