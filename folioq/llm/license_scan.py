@@ -43,7 +43,7 @@ TEMPLATES = {
 
 
 def _words(line: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(line), WORD), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
+    return F.filter(F.transform(F.split(F.lower(line), WORD), lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
 
 
 def _plain(line: str) -> list[str]:
@@ -91,7 +91,7 @@ def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
         return F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table_, w), F.lit(0.0)))
 
     near = near.where(F.size(F.array_intersect("words", known)) > 0).withColumn("length", F.sqrt(squared(F.col("words"))))
-    scored = F.array(*[F.struct((F.round(dot(F.col("words"), v) / F.col("length"), 9)).alias("cosine"), F.lit(name).alias("licence")) for name, v in vectors])
+    scored = F.array(*[F.struct((F.round(dot(F.col("words"), v) / F.col("length"), 6)).alias("cosine"), F.lit(name).alias("licence")) for name, v in vectors])
     best = F.array_max(F.filter(scored, lambda s: s["cosine"] >= threshold))
     found = near.withColumn("best", best).where("best is not null")
     order = F.struct(F.col("best.cosine"), F.col("best.licence"))
@@ -101,7 +101,7 @@ def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
 def inherit(files: DataFrame) -> DataFrame:
     """files: (file, directory, licence, is_licence_file). Adds inherited and from_directory: the nearest ancestor directory's licence."""
     votes = files.where("is_licence_file and licence is not null").groupBy("directory", "licence").agg(F.count("*").alias("votes"))
-    best = F.max_by("licence", F.struct("votes", F.transform(F.split("licence", ""), lambda c: -F.ascii(c))))
+    best = F.min(F.struct((-F.col("votes")).alias("v"), F.col("licence").alias("l")))["l"]
     by_directory = votes.groupBy("directory").agg(best.alias("inherited")).withColumnRenamed("directory", "above")
     directories = files.select("directory").distinct()
     parts = F.split("directory", "/")
@@ -133,3 +133,34 @@ def op9_licence_scan(spark, sf_dir):
     few = F.size(F.split(F.coalesce(F.col("text"), F.lit("")), SPACE)) <= 50
     out = scan(docs.withColumn("path", path).withColumn("few", few), file="doc_id", is_licence_file=F.col("few"))
     return out.select(F.col("file").alias("doc_id"), "path", "own", "cosine", "licence", "from_directory")
+
+
+def _notice_rows() -> str:
+    notices = [(name, _counted(_plain(x))) for name, lines in TEMPLATES.items() for x in lines]
+    return ", ".join(f"({i}, '{name}', '{w}', {n})" for i, (name, counts) in enumerate(notices) for w, n in counts.items())
+
+
+SQL = rf"""
+WITH notices(nid, licence, word, n) AS (VALUES {_notice_rows()}),
+files AS (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 100)::BIGINT::VARCHAR, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
+lines AS (SELECT doc_id, row_number() OVER () AS line_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+words AS (
+  SELECT line_id, doc_id, word, count(*) AS n FROM (
+    SELECT line_id, doc_id, regexp_replace(unnest(regexp_split_to_array(lower(line), '[^a-z0-9.+-]+')), '^[.+-]+|[.+-]+$', '', 'g') AS word FROM lines) WHERE word <> '' GROUP BY ALL),
+total AS (SELECT count(*) AS lines FROM lines),
+vocabulary AS (SELECT v.word, ln((1 + lines) / (1 + count(w.word))) + 1 AS idf FROM (SELECT DISTINCT word FROM notices) v CROSS JOIN total LEFT JOIN words w USING (word) GROUP BY v.word, lines),
+lengths AS (SELECT line_id, sqrt(sum((n * coalesce(idf, ln(1 + lines) + 1)) ** 2)) AS length FROM words CROSS JOIN total LEFT JOIN vocabulary USING (word) GROUP BY line_id),
+weights AS (SELECT nid, licence, word, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY nid)) AS weight FROM notices JOIN vocabulary USING (word)),
+cosines AS (
+  SELECT w.doc_id, w.line_id, t.nid, t.licence, round(sum(w.n * v.idf * t.weight) / any_value(l.length), 6) AS cosine
+  FROM words w JOIN weights t USING (word) JOIN vocabulary v USING (word) JOIN lengths l USING (line_id) GROUP BY ALL),
+own AS (SELECT doc_id, licence AS own, cosine FROM cosines WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence DESC) = 1),
+placed AS (SELECT f.doc_id, path, own, cosine, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, len(regexp_split_to_array(text, '[ 	-
+]+')) <= 50 AS few FROM files f LEFT JOIN own USING (doc_id)),
+votes AS (SELECT directory AS above, own AS inherited, count(*) AS votes FROM placed WHERE few AND own IS NOT NULL GROUP BY ALL),
+by_directory AS (SELECT above, inherited FROM votes QUALIFY row_number() OVER (PARTITION BY above ORDER BY votes DESC, inherited) = 1),
+ancestors AS (SELECT DISTINCT directory, unnest(list_transform(range(0, len(string_split(directory, '/')) + 1), lambda i: array_to_string(string_split(directory, '/')[1:i], '/'))) AS above FROM placed),
+nearest AS (SELECT directory, inherited, above AS from_directory FROM ancestors JOIN by_directory USING (above) QUALIFY row_number() OVER (PARTITION BY directory ORDER BY length(above) DESC) = 1)
+SELECT doc_id, path, own, cosine, coalesce(own, inherited) AS licence, CASE WHEN own IS NULL THEN from_directory END AS from_directory
+FROM placed LEFT JOIN nearest USING (directory)
+"""

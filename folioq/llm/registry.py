@@ -21,5 +21,6 @@ ORACLES = {
     "op5_benchmark_hits": decontaminate.SQL,
     "op6_byte_shards": sharding.SQL,
     "op8_repeated_passages": substring_dedup.SQL,
+    "op9_licence_scan": license_scan.SQL,
     "op10_quality_verdicts": quality_rules.SQL,
 }
