@@ -44,6 +44,7 @@ CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "hg
 INLINE = {"button", "label", "progress", "meter"}
 BLOCKS = (CONTAINERS - RAW) | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "td", "th", "caption", "figcaption", "summary", "legend", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "embed", "source", "track", "wbr", "area", "param"}
+COMMENTS = {"comment", "comments", "reply", "replies", "disqus"}
 #: Words of class, id or role that mark what is not the article.
 MARKS = {
     "ad", "ads", "adv", "advert", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
@@ -65,7 +66,7 @@ def _marked(tag: str, attributes: str) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id", "role"):
             words = {w.lower() for w in _PART.findall(value)}
-            if words & MARKS or "header" in words and tag != "h1" and name == "role":
+            if words & (COMMENTS if tag == "article" else MARKS) or name == "role" and value == "banner":
                 return True
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -73,18 +74,35 @@ def _marked(tag: str, attributes: str) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "dropped", "main", "hash", "content", "inside")
+    __slots__ = ("tag", "inside", "marked", "head", "size", "dropped", "main", "hash", "content")
 
-    def __init__(self, tag: str, dropped: bool, main: bool, inside: tuple):
-        self.tag, self.dropped, self.main, self.inside = tag, dropped, main, inside
+    def __init__(self, tag: str, inside: tuple, marked: bool):
+        self.tag, self.inside, self.marked = tag, inside, marked
+        self.head = self.dropped = self.main = False
+        self.size = self.hash = 0
         self.content: list[str] = [tag]
-        self.hash = 0
+
+
+def _decide(blocks: list[tuple[str, Element]], every: list[Element]) -> None:
+    """Which elements are clutter and which the main content; every is in order of opening.
+
+    A marked element that holds a heading or article and half of the page's text is layout, not clutter.
+    """
+    for words, element in blocks:
+        for e in (*element.inside, element):
+            e.size += len(words)
+    whole = sum(len(w) for w, _ in blocks)
+    for e in every:
+        up = e.inside[-1]
+        clutter = e.tag in CLUTTER or e.tag == "header" and not any(x.main for x in e.inside)
+        e.dropped = up.dropped or clutter or e.marked and not (e.head and 2 * e.size >= whole)
+        e.main = not e.dropped and e.tag in ("article", "main")
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
     """The text blocks of a page in order, each with its innermost element, and all container elements."""
     page = page or ""
-    root = Element("", False, False, ())
+    root = Element("", (), False)
     stack, every, blocks, text = [root], [], [], []
     mute, depth, dropped_block = "", 0, False
 
@@ -112,6 +130,9 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
             depth += (not closing) - closing if tag == mute else 0
             mute = mute if depth else ""
             continue
+        if tag == "h1" and not closing:
+            for e in stack:
+                e.head = True
         if tag in BLOCKS:
             flush()
             mute, dropped_block = "", tag not in CONTAINERS and not closing and _marked(tag, match[3])
@@ -131,17 +152,18 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            up = stack[-1]
-            inner = up.main or any(e.main for e in stack)
-            dropped = up.dropped or tag in CLUTTER or tag == "header" and not inner or _marked(tag, match[3])
-            element = Element(tag, dropped, not dropped and tag in ("article", "main"), (*up.inside, up))
+            element = Element(tag, (*stack[-1].inside, stack[-1]), tag not in ("html", "body", "main") and _marked(tag, match[3]))
             stack.append(element)
             every.append(element)
+            if tag in ("article", "main"):
+                for e in element.inside:
+                    e.head = True
     if not mute:
         text.append(page[at:])
     flush()
     while len(stack) > 1:
         close()
+    _decide(blocks, every)
     return blocks, every
 
 

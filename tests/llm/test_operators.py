@@ -257,6 +257,8 @@ PAGES = [
     (4, "bad", None, ""),
     (5, "http://h.example/c", "", ""),
     (7, "http://h.example/e", "<p>a <span>b</span> <em class='x share-it'>no<em>no</em></em>c</p><p class='ad'>no</p><ul><li>d<button>no</button> e<li class=menu>no<li>f</ul>", "a b c\n\nd e\n\nf"),
+    (8, "http://h.example/f", "<body class='has-sidebar'><div id=page class='with-footer'><header>site</header><h1>Head</h1><p>Long text of the page</p><div class=sidebar>s</div><article class='comment'>no</article></div></body>", "Head\n\nLong text of the page"),
+    (9, "http://h.example/g", "<main><article><header><h1>In</h1></header><p>x</p></article><section class='user-comments'><h2>c</h2><p>a very long comment indeed</p></section></main>", "In\n\nx"),
     (6, "http://h.example/d", "<body><div>1 < 2 &eacute;&#233;</div><p>cut <b", "1 < 2 éé\n\ncut <b"),
 ]
 
