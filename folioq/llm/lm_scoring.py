@@ -40,7 +40,7 @@ FOLDS, HELD_FOLD = 7, 2
 DISCOUNT = 0.8
 STEP = 1 / 3000  # of the quantised logarithms: 16 bits reach down to -21.8
 BLOCK_TOKENS = 1_000_000
-FLUSH_WORDS = 1_500_000
+FLUSH_WORDS = 600_000
 FILE_BYTES = 12 << 20
 #: Neither can be a word: words hold no white space.
 END, START = b"\n", b"\t"
