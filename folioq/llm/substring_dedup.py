@@ -23,6 +23,7 @@ several times, with equal results; an empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 
 import ahocorasick
@@ -35,13 +36,20 @@ from pyspark.sql import functions as F
 from .common import row_key, table
 
 WINDOW = 20
-CHUNK_BYTES = 2 << 20
-CHUNK_ROWS = 500
-RANGE_WINDOWS = 4_000_000
+CHUNK_BYTES = 3 << 19
+CHUNK_ROWS = 400
+RANGE_WINDOWS = 3_000_000
 _HASH_BITS = 54  # 48 in six byte planes, which compress where they repeat, and 6 beside the document's number
 _NO_ID = np.iinfo(np.int64).max
 
 
+def _release() -> None:
+    """Gives what earlier groups have freed back to the system: workers live on through many groups of all steps."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         return self.setdefault(word, xxhash.xxh64_intdigest(word))
@@ -103,6 +111,7 @@ class Chunk:
 
 def _sent(ranges: int, window: int):
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        _release()
         chunk, out = Chunk(rows, window), defaultdict(list)
         ids = np.array([d[0] for d in chunk.docs], np.int64).tobytes()
         keys = np.array([int(d[1][:7], 16) for d in chunk.docs], np.int32).tobytes()
@@ -121,6 +130,7 @@ def _sent(ranges: int, window: int):
 
 def _met(rows: pa.Table) -> pa.Table:
     """Of one hash range: for each chunk with first occurrences, which of its windows which chunk holds too."""
+    _release()
     sent = rows.select(["g", "planes", "beside", "again", "ids", "keys"]).to_pylist()
     begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // 6 for r in sent], dtype=np.int64)))
     docs = np.concatenate(([0], np.cumsum([len(r["ids"]) // 8 for r in sent], dtype=np.int64)))
@@ -161,6 +171,7 @@ def _met(rows: pa.Table) -> pa.Table:
 
 def _told(ranges: int, window: int):
     def tell(docs: pa.Table, asked: pa.Table) -> pa.Table:
+        _release()
         out: dict = {"g": [], "doc_id": [], "key": [], "start": [], "passage": []}
         if docs.num_rows and asked.num_rows:
             chunk = Chunk(docs, window)
@@ -235,6 +246,7 @@ class Passages:
 
 def _kept(window: int):
     def keep(docs: pa.Table, told: pa.Table) -> pa.Table:
+        _release()
         out: dict = {"doc_id": [], "n_words": [], "n_removed": [], "spans": [], "kept": []}
         if docs.num_rows:
             chunk = Chunk(docs, window)
