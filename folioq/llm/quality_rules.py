@@ -10,10 +10,9 @@ so that with probability 1 - error every chosen cutoff keeps its promise at once
 rule without a safe cutoff, or a stratum without enough labels, rejects nothing.
 Two hard rules stand before: too few words, and too many words in repeated windows.
 
-The holdout is, of each stratum, the labelled rows whose hash is under a bound that about
-holdout_rows of them pass; larger holdouts would only make the bounds tighter. Everything else covers
+The holdout is all labelled rows of the stratum, counted where they are. Everything covers
 all rows: the statistics of each text are columns of its own row, so hot sources and
-copies cost no more than other rows, and nothing but a few counts is shuffled.
+copies cost no more than other rows, and nothing but scores and a few counts is shuffled.
 
 Defined results: a null or blank text has no words and fails; a null language is a
 stratum of its own; labels that are null or without document are ignored; repeated
@@ -33,7 +32,6 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MAX_RISK = 0.01
 ERROR = 0.05
-HOLDOUT_ROWS = 20_000
 #: Rules: share of symbols among the characters of words, share of lines that repeat, and mean length of words.
 LADDERS = {
     "symbols": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5],
@@ -105,15 +103,13 @@ def tail(n: Column, k: Column, risk: float) -> Column:
     return F.when(k > n * risk, F.lit(1.0)).when(k == 0, F.exp(n * F.log(F.lit(1 - risk)))).otherwise(F.exp(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), first, add)["sum"]))
 
 
-def cutoffs(good: DataFrame, max_risk: float = MAX_RISK, error: float = ERROR, holdout_rows: int = HOLDOUT_ROWS) -> DataFrame:
-    """good: (stratum, scores, key) of good documents. Rows (stratum, cuts): a cutoff or null for each rule."""
-    fine = 1 << 20
-    sizes = good.groupBy("stratum").agg(F.count("*").alias("of"))
-    held = good.join(sizes, "stratum").where(F.pmod(F.xxhash64("key"), F.lit(fine)) * F.col("of") < F.lit(fine).cast("long") * holdout_rows)
-    ladder = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut")) for r, ladder in enumerate(LADDERS.values()) for c in ladder])
-    steps = held.select("stratum", "scores", F.explode(ladder).alias("step"))
-    over = F.get(F.col("scores"), F.col("step.rule")) > F.col("step.cut")
-    counts = steps.groupBy("stratum", "step.rule", "step.cut").agg(F.count("*").alias("n"), F.count_if(over).alias("k"))
+def cutoffs(good: DataFrame, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
+    """good: (stratum, scores) of good documents. Rows (stratum, cuts): a cutoff or null for each rule."""
+    ladder = [(r, c) for r, ladder in enumerate(LADDERS.values()) for c in ladder]
+    over = [F.count_if(F.get(F.col("scores"), F.lit(r)) > c).alias(f"k{i}") for i, (r, c) in enumerate(ladder)]
+    sums = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *over), "holdout")
+    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(ladder)])
+    counts = sums.select("stratum", "n", F.explode(steps).alias("step")).select("stratum", "n", "step.*")
     tests = F.count("*").over(Window.partitionBy())  # one row for each stratum, rule and cutoff
     safe = counts.withColumn("tests", tests).where(tail(F.col("n"), F.col("k"), max_risk) <= F.lit(error) / F.col("tests"))
     per_rule = safe.groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
@@ -131,8 +127,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     # Measured before they meet the labels: only scores are shuffled, never texts.
     held = light.where(F.col("stats.n_words") >= MIN_WORDS).select("doc_id", "stratum", "scores").join(good, "doc_id", "left_semi")
-    held = held.select("stratum", "scores", F.md5(F.col("doc_id").cast("string")).alias("key"))
-    cuts = cutoffs(stored(held, "holdout"), **options)
+    cuts = cutoffs(held.select("stratum", "scores"), **options)
     # A row for each stratum with a safe cutoff; each of those has hundreds of labels at least, so the list stays small.
     out = rows.join(F.broadcast(cuts), "stratum", "left")
     over = F.coalesce(F.array_max(F.transform(F.arrays_zip("scores", "cuts"), lambda x: F.coalesce(x["scores"] > x["cuts"], F.lit(False)))), F.lit(False))
@@ -148,7 +143,6 @@ def op10_quality_verdicts(spark, sf_dir):
 
 
 _LADDER_ROWS = ", ".join(f"({rule}, {cut})" for rule, ladder in enumerate(LADDERS.values()) for cut in ladder)
-#: Exact where no stratum has more labelled rows than the holdout takes.
 SQL = rf"""
 WITH d AS (
   SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
