@@ -1,17 +1,22 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
-Documents are dealt by hash into chunks of a few hundred. Four steps follow, each a
-shuffle on chunks or on hash ranges, so no frequent passage meets in one task:
+Documents are dealt by the hash of their id into chunks of a few hundred. Four steps
+follow, each a shuffle on chunks or on hash ranges:
 
-1. Every chunk sends the hashes of its distinct windows, with the first document of
-   each, to hash ranges.
+1. Every chunk sends the hashes of its distinct windows, each with the id of the first
+   document that holds it, to hash ranges. A window costs the same bytes however many
+   chunks and ranges there are.
 2. A hash range finds windows that occur in several chunks (or twice in one) and tells
-   the chunk of the first occurrence which other chunks hold them.
-3. That chunk joins neighbouring windows into passages and sends the words of each to
-   the chunks that hold them.
+   chunks that hold them which others they shall send them to.
+3. Those chunks join neighbouring windows into passages and send the words of each.
 4. Each chunk compiles an automaton of the passages it got, streams its documents
    through it, confirms every occurrence word by word, and marks all but the first.
 
+A window that many chunks hold spreads as a tree: the chunk of the first occurrence
+serves FAN others, each of those, which hold the same words, serves FAN more, and so on
+in the order of first occurrences. So no chunk sends a window more than FAN times, and
+none gets it twice.
+
 The automaton's keys are blocks of words, spaced so that any window inside a passage
 holds a whole block; a match is then extended as far as the words agree. Only
 agreement of at least a window counts, so hash collisions remove nothing.
@@ -39,7 +44,9 @@ WINDOW = 20
 CHUNK_BYTES = 3 << 19
 CHUNK_ROWS = 400
 RANGE_WINDOWS = 3_000_000
-_HASH_BITS = 54  # 48 in six byte planes, which compress where they repeat, and 6 beside the document's number
+FAN = 16
+_PLANES = 5  # bytes of a hash that are sent; its leading bits are in the range's number
+_LOW = np.uint64((1 << 8 * _PLANES) - 1)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -55,6 +62,17 @@ class _Hashes(dict):
         return self.setdefault(word, xxhash.xxh64_intdigest(word))
 
 
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The n low bytes of each value, byte by byte: they compress where neighbours agree."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
+
+
+def _unplaned(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros(len(data) // n if n else 0, "<u8")
+    out.view(np.uint8).reshape(-1, 8)[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return out
+
+
 class Chunk:
     """The documents of one chunk in order, fully equal rows once."""
 
@@ -89,7 +107,7 @@ class Chunk:
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.flatnonzero(doc[:n] == doc[self.window - 1 :])
         hashes = total[first]
-        return hashes >> np.uint64(64 - _HASH_BITS), first, ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+        return hashes & _LOW, first, ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
     def entries(self, ranges: int):
         """For each hash range: its number, distinct hashes in order, their first windows, and whether they occur again."""
@@ -109,64 +127,75 @@ class Chunk:
         return np.searchsorted(self.starts, word, side="right") - 1
 
 
-def _sent(ranges: int, window: int):
+def _sent(ranges: int, window: int, least: int, id_bytes: int):
+    """least: the smallest id. Ids are sent as what they are above it, in id_bytes; a null id as the greatest such number, with the text's key beside it."""
+
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         _release()
         chunk, out = Chunk(rows, window), defaultdict(list)
-        ids = np.array([d[0] for d in chunk.docs], np.int64).tobytes()
-        keys = np.array([int(d[1][:7], 16) for d in chunk.docs], np.int32).tobytes()
+        none = np.array([d[0] == _NO_ID for d in chunk.docs], bool)
+        ids = np.array([(1 << 8 * id_bytes) - 1 if n else d[0] - least for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
+        keys = np.array([int(d[1][:7], 16) if n else 0 for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
         for r, hashes, first, again in chunk.entries(ranges):
-            low = (hashes & np.uint64(63)).astype(np.uint32)
-            planes = np.ascontiguousarray((hashes >> np.uint64(6)).view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
-            beside = (chunk.doc_of(first).astype(np.uint32) << np.uint32(6)) | low
-            narrow = len(chunk.docs) <= 1024
-            for name, value in zip(("range", "g", "planes", "beside", "again", "ids", "keys"), (r, key[0].as_py(), planes, beside.astype(np.uint16 if narrow else np.uint32).tobytes(), np.packbits(again).tobytes(), ids, keys), strict=True):
+            doc = chunk.doc_of(first)
+            beside = _planes(keys[doc], 4) if none.any() else b""
+            for name, value in zip(("range", "g", "planes", "ids", "keys", "again"), (r, key[0].as_py(), _planes(hashes, _PLANES), _planes(ids[doc], id_bytes), beside, np.packbits(again).tobytes()), strict=True):
                 out[name].append(value)
-        types = {"range": pa.int64(), "g": pa.int64()} | dict.fromkeys(("planes", "beside", "again", "ids", "keys"), pa.binary())
+        types = {"range": pa.int64(), "g": pa.int64()} | dict.fromkeys(("planes", "ids", "keys", "again"), pa.binary())
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
     return send
 
 
-def _met(rows: pa.Table) -> pa.Table:
-    """Of one hash range: for each chunk with first occurrences, which of its windows which chunk holds too."""
-    _release()
-    sent = rows.select(["g", "planes", "beside", "again", "ids", "keys"]).to_pylist()
-    begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // 6 for r in sent], dtype=np.int64)))
-    docs = np.concatenate(([0], np.cumsum([len(r["ids"]) // 8 for r in sent], dtype=np.int64)))
-    hashes, doc, again = np.zeros(begins[-1], np.uint64), np.empty(begins[-1], np.int32), np.empty(begins[-1], bool)
-    for row, a, b in zip(sent, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-        hashes[a:b].view(np.uint8).reshape(-1, 8)[:, :6] = np.frombuffer(row["planes"], np.uint8).reshape(6, -1).T
-        beside = np.frombuffer(row["beside"], np.uint16 if len(row["beside"]) == 2 * (b - a) else np.uint32)
-        hashes[a:b] = (hashes[a:b] << np.uint64(6)) | (beside & 63).astype(np.uint64)
-        doc[a:b] = beside >> 6
-        again[a:b] = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=b - a)
-    order = np.argsort(hashes, kind="stable")
-    hashes = hashes[order]
-    same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
-    some = same[1:] | same[:-1] | again[order]
-    order, hashes = order[some], hashes[some]
-    line = np.searchsorted(begins, order, side="right") - 1
-    first_doc = docs[line] + doc[order]
-    ids, keys = np.frombuffer(b"".join(r["ids"] for r in sent), np.int64)[first_doc], np.frombuffer(b"".join(r["keys"] for r in sent), np.int32)[first_doc]
-    by = np.lexsort((keys, ids, hashes))
-    order, hashes, line = order[by], hashes[by], line[by]
-    chunk, entry, again = np.array([r["g"] for r in sent], np.int64)[line], order - begins[line], again[order]
-    out_g, out_entries, out_to = [], [], []
-    if len(order):
-        leads = np.concatenate(([True], hashes[1:] != hashes[:-1]))
-        lead = np.maximum.accumulate(np.where(leads, np.arange(len(order)), 0))
-        wanted = ~leads | again
-        source, entries, to = chunk[lead[wanted]], entry[lead[wanted]], chunk[wanted]
-        by = np.argsort(source, kind="stable")
-        cuts = np.flatnonzero(np.diff(source[by])) + 1
-        for part in np.split(by, cuts):
-            if len(part):
-                out_g.append(int(source[part[0]]))
-                out_entries.append(entries[part].astype(np.uint32).tobytes())
-                out_to.append(to[part].astype(np.int32).tobytes())
-    number = [rows.column("range")[0].as_py()] * len(out_g)
-    return pa.table({"g": pa.array(out_g, pa.int64()), "range": pa.array(number, pa.int64()), "entries": pa.array(out_entries, pa.binary()), "chunks": pa.array(out_to, pa.binary())})
+def _met(id_bytes: int, fan: int):
+    """Of one hash range: for each chunk, which of its windows it shall send to which chunk."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        _release()
+        sent = rows.select(["g", "planes", "ids", "keys", "again"]).to_pylist()
+        begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // _PLANES for r in sent], dtype=np.int64)))
+        hashes, again = np.empty(begins[-1], np.uint64), np.empty(begins[-1], bool)
+        for row, a, b in zip(sent, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+            hashes[a:b] = _unplaned(row["planes"], _PLANES)
+            again[a:b] = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=b - a)
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
+        some = same[1:] | same[:-1] | again[order]
+        order, hashes = order[some], hashes[some]
+        line = np.searchsorted(begins, order, side="right") - 1
+        entry, again = order - begins[line], again[order]
+        ids, keys = np.zeros(len(order), np.uint64), np.zeros(len(order), np.uint64)
+        by = np.argsort(line, kind="stable")
+        cuts = np.searchsorted(line[by], np.arange(len(sent) + 1))
+        for row, a, b in zip(sent, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if a < b:
+                part = by[a:b]
+                ids[part] = _unplaned(row["ids"], id_bytes)[entry[part]]
+                if row["keys"]:
+                    keys[part] = _unplaned(row["keys"], 4)[entry[part]]
+        by = np.lexsort((keys, ids, hashes))
+        hashes, entry, again = hashes[by], entry[by], again[by]
+        chunk = np.array([r["g"] for r in sent], np.int64)[line[by]]
+        out_g, out_entries, out_to = [], [], []
+        if len(hashes):
+            at = np.arange(len(hashes))
+            leads = np.concatenate(([True], hashes[1:] != hashes[:-1]))
+            lead = np.maximum.accumulate(np.where(leads, at, 0))
+            wanted = np.flatnonzero(~leads | again)
+            place = (at - lead)[wanted]  # in the order of first occurrences; the chunk of the first serves itself, too
+            server = lead[wanted] + np.maximum(0, (place - 1) // fan)
+            source, entries, to = chunk[server], entry[server], chunk[wanted]
+            by = np.argsort(source, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(source[by])) + 1):
+                if len(part):
+                    out_g.append(int(source[part[0]]))
+                    out_entries.append(entries[part].astype(np.uint32).tobytes())
+                    out_to.append(to[part].astype(np.int32).tobytes())
+        number = [rows.column("range")[0].as_py()] * len(out_g)
+        return pa.table({"g": pa.array(out_g, pa.int64()), "range": pa.array(number, pa.int64()), "entries": pa.array(out_entries, pa.binary()), "chunks": pa.array(out_to, pa.binary())})
+
+    return meet
 
 
 def _told(ranges: int, window: int):
@@ -269,16 +298,20 @@ def _kept(window: int):
     return keep
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_windows: int = RANGE_WINDOWS) -> DataFrame:
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_windows: int = RANGE_WINDOWS, fan: int = FAN) -> DataFrame:
     """Rows (doc_id, n_words, n_removed, spans, kept): kept is the text left, words joined by one space."""
-    size = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{text}`")))).first()
-    chunks = max(1, -(-(size[1] or 0) // chunk_bytes), -(-size[0] // CHUNK_ROWS))
-    ranges = max(1, -(-(size[1] or 0) // (6 * range_windows)))
+    number = F.col(f"`{doc_id}`").cast("long")
+    rows_n, size, least, most = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{text}`"))), F.min(number), F.max(number)).first()
+    chunks = max(1, -(-(size or 0) // chunk_bytes), -(-rows_n // CHUNK_ROWS))
+    ranges = max(1, -(-(size or 0) // (6 * range_windows)))
+    least, id_bytes = least or 0, min(8, ((most or 0) - (least or 0) + 2).bit_length() // 8 + 1)
     key = row_key(F.lit(None), F.col(f"`{text}`"))
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), key.alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = rows.select(F.pmod(F.xxhash64("doc_id", "key"), F.lit(chunks)).cast("long").alias("g"), "doc_id", "key", "text")
-    sent = rows.groupBy("g").applyInArrow(_sent(ranges, window), "range long, g long, planes binary, beside binary, again binary, ids binary, keys binary")
-    met = sent.groupBy("range").applyInArrow(_met, "g long, range long, entries binary, chunks binary")
+    rows = docs.select(number.alias("doc_id"), key.alias("key"), F.col(f"`{text}`").alias("text"))
+    # Rows of one id lie in one chunk, so ids alone order the first occurrences of different chunks.
+    dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.select(F.pmod(dealt, F.lit(chunks)).cast("long").alias("g"), "doc_id", "key", "text")
+    sent = rows.groupBy("g").applyInArrow(_sent(ranges, window, least, id_bytes), "range long, g long, planes binary, ids binary, keys binary, again binary")
+    met = sent.groupBy("range").applyInArrow(_met(id_bytes, fan), "g long, range long, entries binary, chunks binary")
     told = rows.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_told(ranges, window), "g long, doc_id long, key string, start long, passage binary")
     return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_kept(window), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string")
 
