@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -15,15 +16,26 @@ def _at(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
-def save_bytes(uri: str, parts: list[bytes]) -> None:
-    """A second attempt of a task writes the same file again; readers see a complete file only."""
+def make_folder(uri: str) -> None:
+    fs, path = _at(uri)
+    fs.create_dir(path, recursive=True)
+
+
+@contextmanager
+def writing(uri: str):
+    """A stream to a new file. A second attempt of a task writes the same file again; readers see a complete file only."""
     fs, path = _at(uri)
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(part, compression=None) as out:
+        yield out
+    fs.move(part, path)
+
+
+def save_bytes(uri: str, parts: list[bytes]) -> None:
+    with writing(uri) as out:
         for x in parts:
             out.write(x)
-    fs.move(part, path)
 
 
 def save(uri: str, arrays: dict[str, np.ndarray]) -> None:
