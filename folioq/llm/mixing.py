@@ -4,10 +4,10 @@ Every document gets a hash-random key. Within each source the documents stand in
 key order; a prefix sum of their sizes is cut at the source's exact budget, and
 budgets above a source's size repeat it in whole epochs first.
 
-The prefix sum is distributed: keys are uniform, so fixed ranges of the key space
-hold even shares of even the largest source. Sizes are summed for each (source,
-range), the short list of ranges is summed up in order, and each range then sorts
-and sums its own documents only.
+The prefix sum is distributed: keys are uniform, so equal ranges of the key space, their
+number chosen by the number of rows, hold even shares of even the largest source. Sizes
+are summed for each (source, range), the list of ranges is summed up in order, and each
+range then sorts and sums its own documents only.
 
 Defined results: a null or blank text has size 0 and takes nothing; a null source
 is a source of its own, last in order; repeated rows share a key and count as
@@ -17,14 +17,17 @@ untouched, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, row_key, table, top_bits
+from .common import n_words, row_key, stored, table, top_bits
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGE_BITS = 10
+RANGE_ROWS = 20_000
+MOST_BITS = 32
 
 
 def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -59,8 +62,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     return left.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, range_bits: int = RANGE_BITS, keep: list[str] | None = None) -> DataFrame:
-    """One row for each row of docs: doc (a struct of its columns, or of those in keep), size, source_size, target, taken."""
+def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, range_bits: int | None = None, keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: doc (a struct of its columns, or of those in keep), size, source_size, target, taken.
+
+    range_bits: the bits of a key that make its range; unset, a range of the largest possible source has some RANGE_ROWS rows.
+    """
+    if range_bits is None:
+        range_bits = min(MOST_BITS, max(0, math.ceil(math.log2(max(1, docs.count() / RANGE_ROWS)))))
     sized = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"),
         F.col(f"`{source}`").alias("source"),
@@ -68,7 +76,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")).alias("key"),
     )
     keyed = sized.withColumn("range", top_bits(F.col("key"), range_bits)).withColumn("held_by", F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), F.col("source"))))
-    ranges = keyed.groupBy("held_by", "source", "range").agg(F.sum("size").alias("range_size"))
+    if keep and text not in keep:  # without texts the rows are small: words are counted once
+        keyed = stored(keyed, "keyed")
+    ranges = stored(keyed.groupBy("held_by", "source", "range").agg(F.sum("size").alias("range_size")), "ranges")
     sums = Window.partitionBy("held_by").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(sums), F.lit(0))).select("held_by", "range", "range_start")
     goals = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
