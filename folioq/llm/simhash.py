@@ -33,7 +33,8 @@ from .common import row_key, stored, table
 SHINGLE = 4
 SEED = 42
 MAX_DISTANCE = 4
-SEGMENTS = 3
+#: Above so many different fingerprints, balls of two bits in two segments fetch fewer candidates than those of one bit in three.
+MANY = 1 << 25
 BITS = 64
 BLOCK = 1 << 16
 
@@ -82,8 +83,9 @@ def _around(s: int, value: Column):
     return lambda mask: F.struct(F.lit(s).alias("s"), value.bitwiseXOR(mask).alias("v"))
 
 
-def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
-    """fps: distinct fp. Rows (a, b), a < b, of fingerprints within max_distance bits."""
+def links(fps: DataFrame, max_distance: int = MAX_DISTANCE, segments: int | None = None) -> DataFrame:
+    """fps: distinct fp. Rows (a, b), a < b, of fingerprints within max_distance bits; the number of segments, unset, goes by that of fingerprints."""
+    segments = segments or (3 if fps.count() <= MANY else 2)
     radius = max_distance // segments
     entries, probes = [], []
     for s, (low, width) in enumerate(_segments(segments)):
@@ -123,10 +125,10 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")) if found is None else found
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_distance: int = MAX_DISTANCE, segments: int | None = None) -> DataFrame:
     """Rows (doc_id, key, fp, root, component_id) for each row of docs."""
     rows = stored(fingerprints(docs, doc_id, text), "fingerprints")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(links(classes.select("fp"), max_distance, segments))
     named = classes.join(linked.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = stored(named, "classes")
