@@ -1,28 +1,34 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule scores a document (the higher, the worse). Its cutoff is chosen on a
-labelled holdout: of a fixed ladder of cutoffs the strictest for which the exact
-binomial test shows, for the documents of one stratum (language) that the labels
-call good, that at most max_risk of them would be rejected. For n good documents of
-which k are rejected, the cutoff is safe if P(Binomial(n, max_risk) <= k) is at most
-the error level. The error level is shared among all tests of all strata (Bonferroni),
-so that with probability 1 - error every chosen cutoff keeps its promise at once. A
-rule without a safe cutoff, or a stratum without enough labels, rejects nothing.
-Two hard rules stand before: too few words, and too many words in repeated windows.
+Each rule scores a document (the higher, the worse) and has a fixed ladder of cutoffs.
+A document is rejected if a score is over the cutoff of its rule. The cutoffs of all rules
+of one stratum (language) are chosen together on a labelled holdout: of all combinations,
+a rule left out among them, those are safe for which the exact binomial test shows, for
+the documents that the labels call good, that at most max_risk of them would be rejected
+by any of the rules. For n good documents of which k are rejected, a combination is safe
+if P(Binomial(n, max_risk) <= k) is at most the error level. The error level is shared
+among the tests of all combinations in all strata (Bonferroni), so that with probability
+1 - error the verdicts of every stratum keep their promise at once, whichever of the safe
+combinations is chosen. It is the one that rejects most documents that the labels call
+bad, then the strictest by the order of the rules. A stratum without a safe combination
+rejects nothing. Two hard rules stand before and have no part in that promise: too few
+words, and too many words in repeated windows.
 
 The holdout is all labelled rows of the stratum, counted where they are. Everything covers
 all rows: the statistics of each text are columns of its own row, so hot sources and
 copies cost no more than other rows, and nothing but scores and a few counts is shuffled.
 
 Defined results: a null or blank text has no words and fails; a null language is a
-stratum of its own; labels that are null or without document are ignored; repeated
+stratum of its own, apart from the empty name; labels that are null or without document are ignored; repeated
 rows are judged alike, and repeated labels count once, as good if any says so; an
 empty table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE, stored, table, words
@@ -32,6 +38,7 @@ MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 MAX_RISK = 0.01
 ERROR = 0.05
+LOOSE_RISK = 0.2
 #: Rules: share of symbols among the characters of words, share of lines that repeat, and mean length of words.
 LADDERS = {
     "symbols": [0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5],
@@ -90,44 +97,60 @@ def scores(stats: Column) -> Column:
     return F.array(share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("word_chars", "n_words"))
 
 
-def tail(n: Column, k: Column, risk: float) -> Column:
-    """P(Binomial(n, risk) <= k), summed in logarithms from the first term on."""
-    odds = F.lit(risk / (1 - risk))
-    first = F.struct((n * F.log(F.lit(1 - risk))).alias("term"), (n * F.log(F.lit(1 - risk))).alias("sum"))
+def _log_factorial(n: Column) -> Column:
+    """Stirling's series at n + 9, brought back by the factors between; exact to 1e-12 or so."""
+    x = n.cast("double") + 9
+    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return series - sum((F.log(n + i) for i in range(1, 9)), F.lit(0.0))
 
-    def add(state: Column, i: Column) -> Column:
-        term = state["term"] + F.log((n - i + 1) / i * odds)
-        high, low = F.greatest(state["sum"], term), F.least(state["sum"], term)
-        return F.struct(term.alias("term"), (high + F.log1p(F.exp(low - high))).alias("sum"))
-
-    return F.when(k > n * risk, F.lit(1.0)).when(k == 0, F.exp(n * F.log(F.lit(1 - risk)))).otherwise(F.exp(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), first, add)["sum"]))
 
+def tail(n: Column, k: Column, risk: float) -> Column:
+    """P(Binomial(n, risk) <= k) for k below the mean, else 1: the terms from k downwards, as far as they count in a double."""
+    top = _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) + k * math.log(risk) + (n - k) * math.log1p(-risk)
+    steps = F.least(k, (12 * F.sqrt(n * F.lit(risk)) + 60).cast("long"))
+    odds = (1 - risk) / risk
 
-def cutoffs(good: DataFrame, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
-    """good: (stratum, scores) of good documents. Rows (stratum, cuts): a cutoff or null for each rule."""
-    ladder = [(r, c) for r, ladder in enumerate(LADDERS.values()) for c in ladder]
-    over = [F.count_if(F.get(F.col("scores"), F.lit(r)) > c).alias(f"k{i}") for i, (r, c) in enumerate(ladder)]
-    sums = stored(good.groupBy("stratum").agg(F.count("*").alias("n"), *over), "holdout")
-    steps = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cut"), F.col(f"k{i}").alias("k")) for i, (r, c) in enumerate(ladder)])
-    counts = sums.select("stratum", "n", F.explode(steps).alias("step")).select("stratum", "n", "step.*")
-    tests = F.count("*").over(Window.partitionBy())  # one row for each stratum, rule and cutoff
-    safe = counts.withColumn("tests", tests).where(tail(F.col("n"), F.col("k"), max_risk) <= F.lit(error) / F.col("tests"))
-    per_rule = safe.groupBy("stratum", "rule").agg(F.min("cut").alias("cut"))
-    chosen = [F.min(F.when(F.col("rule") == r, F.col("cut"))) for r in range(len(LADDERS))]
-    return per_rule.groupBy("stratum").agg(F.array(*chosen).alias("cuts"))
+    def add(state: Column, i: Column) -> Column:
+        term = state["term"] * (k - i + 1) / (n - k + i) * odds
+        return F.struct(term.alias("term"), (state["sum"] + term).alias("sum"))
+
+    one = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+    lower = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(steps, F.lit(1).cast("long"))), one, add)["sum"]).otherwise(F.lit(1.0))
+    return F.when(k > n * risk, F.lit(1.0)).otherwise(F.exp(top) * lower)
+
+
+def cutoffs(labelled: DataFrame, max_risk: float = MAX_RISK, error: float = ERROR) -> DataFrame:
+    """labelled: (stratum, scores) and, unless all are good, good. Rows (stratum, cuts): a cutoff or null for each rule.
+
+    Each row counts once, by the number of cutoffs that it is over in each ladder; a combination accepts the cells at or below it.
+    """
+    good = F.col("good") if "good" in labelled.columns else F.lit(True)
+    names = [f"l{r}" for r in range(len(LADDERS))]
+    levels = [sum((F.get(F.col("scores"), F.lit(r)) > c).cast("int") for c in ladder).alias(f"l{r}") for r, ladder in enumerate(LADDERS.values())]
+    cells = stored(labelled.select("stratum", good.alias("good"), *levels).groupBy("stratum", *names).agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "holdout")
+    accepted = cells
+    for name, ladder in zip(names, LADDERS.values(), strict=True):
+        accepted = accepted.withColumn(name, F.explode(F.sequence(F.col(name), F.lit(len(ladder)))))
+    accepted = accepted.groupBy("stratum", *names).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    totals = cells.groupBy("stratum").agg(F.sum("good").alias("n"), F.sum("bad").alias("of_bad"))  # a row for each stratum
+    tests = math.prod(len(ladder) + 1 for ladder in LADDERS.values()) * totals.count()
+    safe = accepted.join(F.broadcast(totals), "stratum").where(tail(F.col("n"), F.col("n") - F.col("good"), max_risk) <= error / max(1, tests))
+    best = F.min(F.struct((F.col("bad") - F.col("of_bad")).alias("rejected"), *names)).alias("best")
+    cuts = [F.get(F.array(*map(F.lit, ladder)), F.col(f"best.l{r}")) for r, ladder in enumerate(LADDERS.values())]
+    return safe.groupBy("stratum").agg(best).select("stratum", F.array(*cuts).alias("cuts"))
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", stratum: str = "lang", **options) -> DataFrame:
     """One row for each row of docs: doc (the whole row), stats, base_failed, kept."""
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{stratum}`").cast("string"), F.lit("")).alias("stratum"), F.col(f"`{text}`").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.concat(F.lit("s"), F.col(f"`{stratum}`").cast("string")), F.lit("n")).alias("stratum"), F.col(f"`{text}`").alias("text"))
     light = measured(rows.select("doc_id", "stratum", "text"), repeats=False).drop("text").withColumn("scores", scores(F.col("stats")))
     rows = measured(rows).drop("text").withColumn("scores", scores(F.col("stats")))
     base_failed = (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("stats.n_words"))
     rows = rows.withColumn("base_failed", base_failed)
-    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
+    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
     # Measured before they meet the labels: only scores are shuffled, never texts.
-    held = light.where(F.col("stats.n_words") >= MIN_WORDS).select("doc_id", "stratum", "scores").join(good, "doc_id", "left_semi")
-    cuts = cutoffs(held.select("stratum", "scores"), **options)
+    held = light.where(F.col("stats.n_words") >= MIN_WORDS).select("doc_id", "stratum", "scores").join(known, "doc_id")
+    cuts = cutoffs(held.select("stratum", "scores", "good"), **options)
     # A row for each stratum with a safe cutoff; each of those has hundreds of labels at least, so the list stays small.
     out = rows.join(F.broadcast(cuts), "stratum", "left")
     over = F.coalesce(F.array_max(F.transform(F.arrays_zip("scores", "cuts"), lambda x: F.coalesce(x["scores"] > x["cuts"], F.lit(False)))), F.lit(False))
@@ -142,10 +165,19 @@ def op10_quality_verdicts(spark, sf_dir):
     return out.select("doc.doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words", "base_failed", "kept")
 
 
-_LADDER_ROWS = ", ".join(f"({rule}, {cut})" for rule, ladder in enumerate(LADDERS.values()) for cut in ladder)
-SQL = rf"""
+def quality_at_loose_risk(spark, sf_dir):
+    """The verdicts at a risk of a fifth, for which the labels of small tables are enough to choose cutoffs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return judged(docs, table(spark, sf_dir, "labels"), max_risk=LOOSE_RISK).select("doc.doc_id", "base_failed", "kept")
+
+
+_LEVELS = ", ".join(f"len(list_filter({ladder}, lambda c: scores[{r + 1}] > c)) AS l{r}" for r, ladder in enumerate(LADDERS.values()))
+_GRID = ", ".join(f"unnest(range(l{r}, {len(ladder) + 1})) t{r}(c{r})" for r, ladder in enumerate(LADDERS.values()))
+_OVER = " OR ".join(f"coalesce(s.scores[{r + 1}] > {ladder}[c.c{r} + 1], false)" for r, ladder in enumerate(LADDERS.values()))
+_TESTS = math.prod(len(ladder) + 1 for ladder in LADDERS.values())
+_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+  SELECT doc_id, coalesce('s' || lang, 'n') AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
 grams AS (SELECT doc_id, s, array_to_string(ws[s:s + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS s FROM d)),
 again AS (SELECT doc_id, s FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
@@ -158,16 +190,20 @@ stats AS (
 scored AS (
   SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
          [coalesce(n_symbols / nullif(word_chars, 0), 0), coalesce(n_dup_lines / nullif(n_lines, 0), 0), coalesce(word_chars / nullif(n_words, 0), 0)] AS scores FROM stats),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
-ladder(rule, cut) AS (VALUES {_LADDER_ROWS}),
-counts AS (
-  SELECT stratum, rule, cut, count(*) AS n, count(*) FILTER (scores[rule + 1] > cut) AS k
-  FROM scored SEMI JOIN good USING (doc_id), ladder WHERE n_words >= {MIN_WORDS} GROUP BY ALL),
+known AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
+cells AS (
+  SELECT stratum, l0, l1, l2, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad
+  FROM (SELECT stratum, good, {_LEVELS} FROM scored JOIN known USING (doc_id) WHERE n_words >= {MIN_WORDS}) GROUP BY ALL),
+totals AS (SELECT stratum, sum(good)::BIGINT AS n, sum(bad)::BIGINT AS of_bad, count(*) OVER () * {_TESTS} AS tests FROM cells GROUP BY stratum),
+accepted AS (SELECT stratum, c0, c1, c2, sum(good)::BIGINT AS good, sum(bad)::BIGINT AS bad FROM cells, {_GRID} GROUP BY ALL),
 tested AS (
-  SELECT *, count(*) OVER () AS tests, CASE WHEN k > n * {MAX_RISK} THEN 1 ELSE list_sum(list_transform(range(0, k + 1),
-    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({MAX_RISK}::DOUBLE) + (n - i) * ln(1 - {MAX_RISK}::DOUBLE)))) END AS p FROM counts),
-cuts AS (SELECT stratum, rule, min(cut) AS cut FROM tested WHERE p <= {ERROR} / tests GROUP BY ALL),
-rejected AS (SELECT DISTINCT s.doc_id FROM scored s JOIN cuts c ON c.stratum = s.stratum AND s.scores[c.rule + 1] > c.cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  SELECT *, n - good AS k, CASE WHEN n - good > n * SHARE THEN 1 ELSE list_sum(list_transform(range(0, n - good + 1),
+    lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(SHARE::DOUBLE) + (n - i) * ln(1 - SHARE::DOUBLE)))) END AS p
+  FROM accepted JOIN totals USING (stratum)),
+cuts AS (SELECT * FROM tested WHERE p <= {ERROR} / tests QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY bad - of_bad, c0, c1, c2) = 1),
+rejected AS (SELECT DISTINCT s.doc_id FROM scored s JOIN cuts c ON c.stratum = s.stratum AND ({_OVER}))
+SELECT COLUMNS_ base_failed,
        NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept FROM scored
 """
+SQL = _SQL.replace("SHARE", f"({MAX_RISK})").replace("COLUMNS_", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,")
+SQL_LOOSE = _SQL.replace("SHARE", f"({LOOSE_RISK})").replace("COLUMNS_", "doc_id,")

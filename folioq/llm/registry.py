@@ -15,6 +15,8 @@ QUERIES = {
     "op8_repeated_passages": substring_dedup.op8_repeated_passages,
     "op9_licence_scan": license_scan.op9_licence_scan,
     "op10_quality_verdicts": quality_rules.op10_quality_verdicts,
+    "shards_of_64_kib": sharding.shards_of_64_kib,
+    "quality_at_loose_risk": quality_rules.quality_at_loose_risk,
 }
 ORACLES = {
     "op2_source_mix": mixing.SQL,
@@ -23,4 +25,6 @@ ORACLES = {
     "op8_repeated_passages": substring_dedup.SQL,
     "op9_licence_scan": license_scan.SQL,
     "op10_quality_verdicts": quality_rules.SQL,
+    "shards_of_64_kib": sharding.SQL_SMALL,
+    "quality_at_loose_risk": quality_rules.SQL_LOOSE,
 }

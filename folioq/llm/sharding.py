@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import row_key, stored, table, top_bits
 
 SHARD_BYTES = 64 << 20
+SMALL_BYTES = 64 << 10
 SPARE_BITS = 5
 ALL_BITS = 48
 
@@ -101,7 +102,13 @@ def op6_byte_shards(spark, sf_dir):
     return shard(docs, keep=["doc_id"]).select("doc.doc_id", "n_bytes", "shard", "shard_bytes", "oversize")
 
 
-SQL = r"""
+def shards_of_64_kib(spark, sf_dir):
+    """Shards of a limit at which small tables split, too."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard(docs, SMALL_BYTES, keep=["doc_id"]).select("doc.doc_id", "n_bytes", "shard", "shard_bytes", "oversize")
+
+
+_SQL = r"""
 WITH rows AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 12))::BIGINT AS key
@@ -110,9 +117,11 @@ levels AS (SELECT *, key >> (48 - depth) AS prefix FROM rows, range(0, 25) t(dep
 sums AS (SELECT depth, prefix, sum(n_bytes)::BIGINT AS shard_bytes, count(*) AS n FROM levels GROUP BY ALL),
 best AS (
   SELECT l.doc_id, l.key, min(l.depth) AS depth FROM levels l JOIN sums s USING (depth, prefix)
-  WHERE s.shard_bytes <= 67108864 OR s.n = 1 GROUP BY ALL)
+  WHERE s.shard_bytes <= LIMIT OR s.n = 1 GROUP BY ALL)
 SELECT r.doc_id, r.n_bytes, CASE WHEN b.depth = 0 THEN '' ELSE lpad(bin(r.key >> (48 - b.depth)), b.depth::INTEGER, '0') END AS shard,
-       s.shard_bytes, s.shard_bytes > 67108864 AS oversize
+       s.shard_bytes, s.shard_bytes > LIMIT AS oversize
 FROM rows r JOIN best b ON r.doc_id IS NOT DISTINCT FROM b.doc_id AND r.key = b.key
 JOIN sums s ON s.depth = b.depth AND s.prefix = r.key >> (48 - b.depth)
 """
+SQL = _SQL.replace("LIMIT", str(SHARD_BYTES))
+SQL_SMALL = _SQL.replace("LIMIT", str(SMALL_BYTES))
