@@ -8,12 +8,18 @@ template. Second pass: pages meet their host's templates and keep the blocks of
 main content that lie in neither a template nor an element whose tag, role or class
 says that it is not the article.
 
+Inside article and main, a class, id or role counts only if it says nothing else: of
+"ad-slot" every part does, of "notice-period" one does not. An aside there that is a quote,
+a note or an example is text. A header that holds the page's h1 is text where no article
+or main element is. Such elements stand for the page only if they hold MAIN_SHARE of its
+text outside clutter at least: a teaser in an article element displaces no text.
+
 A host has few templates: each is on at least min_share of its pages. They are
 broadcast while all together are under broadcast_rows, and else joined over salted
 hosts.
 
 Defined results: null and blank html give an empty text; a null or odd url is the host
-""; broken markup is closed at the end of the page; a page without article or main
+""; broken markup is closed at the end of the page; a page without such an article or main
 element uses its whole body; repeated rows count as pages of their own and give equal
 rows; an empty table gives no rows.
 """
@@ -37,11 +43,11 @@ BROADCAST_ROWS = 50_000
 SALTS = 32
 
 #: Elements by their part in a page.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "select"}
-CLUTTER = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "embed", "input", "label", "fieldset", "datalist", "progress", "meter"}
-CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "blockquote", "address", "center"} | CLUTTER - {"input", "embed", "button", "label", "progress", "meter"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "object", "audio", "video", "select"}
+CLUTTER = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "embed", "input", "fieldset", "datalist", "progress", "meter"}
+CONTAINERS = {"html", "body", "main", "article", "section", "div", "header", "hgroup", "ul", "ol", "dl", "table", "thead", "tbody", "tfoot", "tr", "figure", "details", "blockquote", "address", "center"} | CLUTTER - {"input", "embed", "button", "progress", "meter"}
 #: Dropped without ending the block around them.
-INLINE = {"button", "label", "progress", "meter"}
+INLINE = {"button", "progress", "meter"}
 BLOCKS = (CONTAINERS - RAW) | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "pre", "hr", "td", "th", "caption", "figcaption", "summary", "legend", "option"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "base", "col", "embed", "source", "track", "wbr", "area", "param"}
 COMMENTS = {"comment", "comments", "reply", "replies", "disqus"}
@@ -54,30 +60,46 @@ MARKS = {
     "breadcrumb", "breadcrumbs", "pagination", "pager", "menu", "navbar", "nav", "navigation", "topbar", "masthead", "footer", "copyright", "login", "signup", "search", "skip", "toolbar",
     "contentinfo", "complementary", "dialog",
 }
+#: Words that add nothing to a mark beside them.
+PLAIN = {
+    "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "column", "container", "content", "feed", "form", "frame", "group", "header",
+    "holder", "icon", "icons", "image", "inline", "inner", "item", "items", "left", "letter", "link", "links", "list", "main", "media", "module", "news", "outer", "page", "panel", "post",
+    "posts", "reader", "right", "row", "section", "site", "slot", "small", "story", "stories", "text", "thread", "title", "top", "unit", "up", "user", "view", "wrap", "wrapper",
+}
+#: Words of asides that are text of the article.
+QUOTES = {"quote", "pullquote", "pull", "callout", "example", "definition", "note", "tip", "highlight"}
+MAIN_SHARE = 0.25
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-def _marked(tag: str, attributes: str) -> bool:
+def _tokens(attributes: str):
+    """The words of each part of class, id and role."""
+    for name, value in _ATTRIBUTE.findall(attributes or ""):
+        if name.lower() in ("class", "id", "role"):
+            for token in value.strip("\"'").split():
+                yield {w.lower() for w in _PART.findall(token) if not w.isdigit()}
+
+
+def _marked(tag: str, attributes: str, in_main: bool = False) -> bool:
     if not attributes or attributes.isspace():
         return False
+    marks = COMMENTS if tag == "article" else MARKS
+    if any(w & marks and (not in_main or w <= marks | PLAIN) for w in _tokens(attributes)):
+        return True
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id", "role"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & (COMMENTS if tag == "article" else MARKS) or name == "role" and value == "banner":
-                return True
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "hidden" or name == "role" and value == "banner" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
     return False
 
 
 class Element:
-    __slots__ = ("tag", "inside", "marked", "head", "size", "dropped", "main", "hash", "content")
+    __slots__ = ("tag", "inside", "marked", "quote", "head", "size", "dropped", "main", "hash", "content")
 
-    def __init__(self, tag: str, inside: tuple, marked: bool):
-        self.tag, self.inside, self.marked = tag, inside, marked
+    def __init__(self, tag: str, inside: tuple, marked: bool, quote: bool = False):
+        self.tag, self.inside, self.marked, self.quote = tag, inside, marked, quote
         self.head = self.dropped = self.main = False
         self.size = self.hash = 0
         self.content: list[str] = [tag]
@@ -92,11 +114,17 @@ def _decide(blocks: list[tuple[str, Element]], every: list[Element]) -> None:
         for e in (*element.inside, element):
             e.size += len(words)
     whole = sum(len(w) for w, _ in blocks)
-    for e in every:
-        up = e.inside[-1]
-        clutter = e.tag in CLUTTER or e.tag == "header" and not any(x.main for x in e.inside)
-        e.dropped = up.dropped or clutter or e.marked and not (e.head and 2 * e.size >= whole)
-        e.main = not e.dropped and e.tag in ("article", "main")
+    for with_main in (True, False):
+        for e in every:
+            up = e.inside[-1]
+            in_main = any(x.main for x in e.inside)
+            clutter = e.tag in CLUTTER and not (e.tag == "aside" and e.quote and in_main) or e.tag == "header" and not in_main and (with_main or not e.head)
+            e.dropped = up.dropped or clutter or e.marked and not (e.head and 2 * e.size >= whole)
+            e.main = with_main and not e.dropped and e.tag in ("article", "main")
+        left = [(len(w), any(x.main for x in (*e.inside, e))) for w, e in blocks if not e.dropped]
+        inside = sum(n for n, m in left if m)
+        if inside and inside >= MAIN_SHARE * sum(n for n, _ in left):
+            return
 
 
 def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
@@ -113,6 +141,9 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
             blocks.append((words, stack[-1]))
             stack[-1].content.append(words)
 
+    def in_main():
+        return any(e.tag in ("article", "main") for e in stack)
+
     def close():
         element = stack.pop()
         element.hash = xxhash.xxh64_intdigest("\x00".join(element.content)) >> 1
@@ -135,10 +166,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
                 e.head = True
         if tag in BLOCKS:
             flush()
-            mute, dropped_block = "", tag not in CONTAINERS and not closing and _marked(tag, match[3])
+            mute, dropped_block = "", tag not in CONTAINERS and not closing and _marked(tag, match[3], in_main())
         elif tag == "br":
             text.append(" ")
-        elif not closing and tag not in VOID and tag not in RAW and (tag in INLINE or _marked(tag, match[3])):
+        elif not closing and tag not in VOID and tag not in RAW and (tag in INLINE or _marked(tag, match[3], in_main())):
             mute, depth = tag, 1
         if tag not in CONTAINERS:
             continue
@@ -152,7 +183,8 @@ def parse(page: str | None) -> tuple[list[tuple[str, Element]], list[Element]]:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         else:
-            element = Element(tag, (*stack[-1].inside, stack[-1]), tag not in ("html", "body", "main") and _marked(tag, match[3]))
+            quote = tag == "aside" and any(w & QUOTES for w in _tokens(match[3]))
+            element = Element(tag, (*stack[-1].inside, stack[-1]), tag not in ("html", "body", "main") and _marked(tag, match[3], in_main()), quote)
             stack.append(element)
             every.append(element)
             if tag in ("article", "main"):

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import xxhash
 
@@ -130,3 +131,76 @@ def language_model(docs, discount=0.8):
         t = tokens[i]
         out.append((d, held[i], len(t), sum(uni[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), sum(math.log10(p2(a, w)) for a, w in zip(["\t", *t], t, strict=False))))
     return out
+
+
+class Tree(HTMLParser):
+    """A page as nested lists [tag, class, *children], a child being a list or a block's text. For pages of few kinds of elements."""
+
+    holders = {"html", "body", "div", "section", "article", "main", "nav", "header", "footer", "aside", "form", "ul"}
+
+    def __init__(self, page):
+        super().__init__()
+        self.root = ["", ""]
+        self.stack, self.parts, self.skip = [self.root], [], ""
+        self.feed(page or "")
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join("".join(self.parts).split()):
+            self.stack[-1].append(text)
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style", "title"):
+            self.skip = tag
+        elif tag in self.holders:
+            self.flush()
+            self.stack[-1].append([tag, dict(attrs).get("class") or ""])
+            self.stack.append(self.stack[-1][-1])
+        elif tag == "br":
+            self.parts.append(" ")
+        elif tag in ("p", "h1", "h2", "li"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag == self.skip:
+            self.skip = ""
+        elif tag in self.holders and tag in [x[0] for x in self.stack]:
+            self.flush()
+            while self.stack.pop()[0] != tag:
+                pass
+        elif tag in ("p", "h1", "h2", "li"):
+            self.flush()
+
+    def handle_data(self, data):
+        if not self.skip:
+            self.parts.append(data)
+
+
+def below(tree):
+    return [tree, *(y for x in tree[2:] if isinstance(x, list) for y in below(x))]
+
+
+def main_texts(pages, min_pages=20, min_share=0.3):
+    """pages: (id, url, html). Rows (id, text): article elements, or else the body, without clutter and without what recurs on the host's pages."""
+    trees = [Tree(h).root for _, _, h in pages]
+    hosts = [(re.findall("://([^/?#:]+)", u or "") or [""])[0] for _, u, _ in pages]
+    on = Counter((h, x) for h, t in zip(hosts, trees, strict=True) for x in {repr(x) for x in below(t)})
+    size = Counter(hosts)
+    out = []
+    for (page, _, _), host, tree in zip(pages, hosts, trees, strict=True):
+        holds = lambda x: any(y[0] in ("article", "main") for y in below(x))
+        has_main = holds(tree)
+
+        def texts(x, inside, host=host, holds=holds, has_main=has_main):
+            inside = inside or x[0] in ("article", "main")
+            often = on[host, repr(x)]
+            template = often >= min_pages and often >= min_share * size[host] and not holds(x) and x[0] not in ("", "html", "body") and len(x) > 2
+            if template or x[0] in ("nav", "footer", "aside", "form", "header") or {"ad", "sidebar", "notice"} & set(x[1].split()):
+                return []
+            found = [texts(y, inside) if isinstance(y, list) else [y] * (inside or not has_main) for y in x[2:]]
+            return [z for y in found for z in y]
+
+        out.append((page, "\n\n".join(texts(tree, False))))
+    return out

@@ -336,6 +336,51 @@ def test_html(spark):
     assert extract(frame.limit(0)).count() == 0
 
 
+KEPT = [
+    ("<main><p>x</p><div class='notice-period'>one</div><aside class='pull-quote'>two</aside><section id='search-results-explained'>three</section><div class='ad-slot'>no</div><p>a <math><mi>y</mi></math> <label>z</label></p></main>", "x\n\none\n\ntwo\n\nthree\n\na y z"),
+    ("<body><header><h1>Title</h1></header><p>text</p><footer>no</footer></body>", "Title\n\ntext"),
+    ("<body><header><h1>Site</h1></header><article><h1>A</h1><p>text</p></article></body>", "A\n\ntext"),
+    ("<body><div class='article-body'><p>The whole long text of the story that goes on</p></div><article>Teaser</article></body>", "The whole long text of the story that goes on\n\nTeaser"),
+]
+
+
+def test_html_keeps_text_of_the_article():
+    from folioq.llm.html_extract import main_text
+
+    for page, wanted in KEPT:
+        assert main_text(page, set()) == wanted
+
+
+def test_html_against_plain_version(spark):
+    """Sites whose menus, notices and adverts no tag or class tells: only their recurrence does."""
+    from folioq.llm.html_extract import extract
+
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcdefg", k=r.randint(2, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shared = {h: [f"<div class='x{i}'><p>{line(5)}</p><ul><li>{line(1)}<li>{line(2)}</ul></div>" for i in range(4)] for h in ("a", "b", "c")}
+    pages = []
+    for i in range(150):
+        h = r.choice(["a", "a", "a", "b", "c"]) if i > 30 else "b"
+        top, notice, advert, low = (x if r.random() < 0.8 else f"<div><p>{line(4)}</p></div>" for x in shared[h])
+        own = "".join(f"<p>{line(r.randint(5, 60))}</p>" + (notice if j == 1 else "") for j in range(3))
+        tag = r.choice(["article", "section"])
+        pages.append((i, f"https://{h}.example/{i}", f"<html><head><title>t</title><script>x='<p>'</script></head><body><nav>{line(3)}</nav>{top}<{tag}><h1>{line(4)}</h1>{advert}{own}</{tag}>{low}<footer>{line(3)}</footer></body></html>"))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)
+    wanted = brute.main_texts(pages)
+    same(extract(frame).select("page_id", "text"), wanted)
+    off = brute.main_texts(pages, min_pages=10**9)
+    same(extract(frame, min_pages=10**9).select("page_id", "text"), off)
+    assert sum(a != b for a, b in zip(wanted, off, strict=True)) > 60
+
+
+def test_html_of_the_tables_against_plain_version(spark):
+    from folioq.llm.html_extract import op4_main_text
+
+    pages = [tuple(x) for x in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html").collect()]
+    same(op4_main_text(spark, "/root/testdata/sf0.01").select("page_id", "text"), brute.main_texts(pages))
+
+
 def test_token_files(spark, docs, empty, tmp_path):
     import public_tokenizers
 
