@@ -1,101 +1,180 @@
-"""Licence scan: TF-IDF cosine of lines to licence templates, and licences inherited along paths.
+"""Licence scan: TF-IDF cosine of headers, notices and licence files to licence templates, and licences inherited along paths.
 
-A file's licence is the template nearest to any of its lines, by the cosine of sparse
-TF-IDF vectors over words. Only lines that hold a strong word can reach the threshold:
-the words that are not strong have, for every template, less than the threshold's share
-of its length (Cauchy-Schwarz), so the others are passed over without loss. Document
-frequencies are counted over all lines. The list of template words and weights is fixed
-in size by the templates.
+The texts that are compared are a file's header (its leading block of comments), a licence
+file as a whole, and notices: lines, and sentences over line ends, wherever they stand.
+Only those with a MARKERS word are; every template has one. Headers and licence files are
+compared with the full licence texts and with the usual notices, the others with notices.
+Document frequencies count all compared texts. Equal texts are scored once, so a notice
+that stands in many files costs a row there and no more.
+
+Vectors are rows (text, word, weight): texts meet the templates' words in an equi-join and
+sums of products give the cosines. The templates' words are fixed in number by the
+templates and are broadcast. A file's licence is that of its header or, for licence
+files, its whole text if that reaches the threshold, else of its notices.
 
 A directory's licence is that of its licence files. A file without licence of its own
 takes that of the nearest directory above it which has one: the distinct directories
 are joined to their ancestors' licences, and files to their directory.
 
 Defined results: null and blank texts have no licence of their own; a null path lies in
-the root; of several templates the higher cosine counts, then the name; of several
+the root; of several templates the higher cosine counts, then the greater name; of several
 licences in a directory the one most of its licence files name, then the name; repeated
 rows count each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-import re
+import json
+from functools import cache
+from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, row_key, table
+from .common import SPACE, row_key, stored, table
 
 THRESHOLD = 0.75
 WORD = r"[^a-z0-9.+-]+"
+SENTENCE_END = r"[.!?:;]+[\x20\x09-\x0D]"
+COMMENT = r"^[ \t]*(//|#|\*|--|;|%)|^[ \t\r\x0B\x0C]*$"
+#: Block comments that a header can be: how they begin and end.
+COMMENT_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'))
+#: Parts of words; a text without any of them is no notice.
+MARKERS = ("licen", "copyright", "redistribut", "permission", "rights reserved", "proprietary", "public domain", "warrant")
+FOLDER = Path(__file__).resolve().parent / "licence_texts"
 #: Usual notices by SPDX name.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"],
+NOTICES = {
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT License", "This project is licensed under the terms of the MIT license.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions",
+    ],
+    "ISC": ["Licensed under the ISC License", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
+    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "Released into the public domain under CC0 1.0"],
+    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
+#: The notices of the GNU licences differ in these names and versions.
+GNU = {
+    "GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "AGPL-3.0": ("program", "Affero General Public License", "3"),
+    "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3"),
+}
+SPDX_ONLY = ("BSD-4-Clause", "Zlib", "EPL-2.0", "BSL-1.0", "CC-BY-NC-SA-4.0", "Artistic-2.0")
+
+
+def notices() -> dict[str, list[str]]:
+    out = {name: list(texts) for name, texts in NOTICES.items()}
+    for name, (work, licence, version) in GNU.items():
+        free = f"This {work} is free software: you can redistribute it and/or modify it under the terms of the GNU {licence}"
+        terms = f"{free} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+        kind = licence.replace("General Public License", "").lower()
+        rest = f"This {work} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {licence} for more details. You should have received a copy of the GNU {licence} along with this {work}."
+        out[name] = [f"This work is licensed under the GNU {licence}, version {version}.", f"Licensed under the {kind} {name[:-4]} version {version}", free, terms, f"{terms} {rest}"]
+    for name in [*out, *SPDX_ONLY]:
+        if name != "proprietary":
+            spdx = [f"{name}-only", f"{name}-or-later"] if name in GNU else []
+            out.setdefault(name, []).extend(f"SPDX-License-Identifier: {x}" for x in [name, *spdx])
+    return out
+
+
+@cache
+def templates() -> tuple[tuple[str, bool, str], ...]:
+    """(licence, whether it is a full text, text)."""
+    full = {p.stem: p.read_text(encoding="utf-8") for p in sorted(FOLDER.glob("*.txt"))}
+    # The Affero licence is the general one but for its name and a section on use over a network.
+    full["AGPL-3.0"] = full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    short = [(name, False, x) for name, texts in notices().items() for x in texts]
+    return (*short, *((name, True, text) for name, text in full.items()))
 
 
 def _words(line: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(line), WORD), lambda w: F.btrim(w, F.lit(".+-"))), lambda w: w != "")
 
 
-def _plain(line: str) -> list[str]:
-    return [w for w in (x.strip(".+-") for x in re.split(WORD, line.lower())) if w]
-
-
-def _counted(words: list[str]) -> dict[str, int]:
-    return {w: words.count(w) for w in words}
-
-
-def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files: (file, text), file unique. Rows (file, licence, cosine, is_whole) of files with a line near a template; is_whole: it is the file's last line."""
-    notices = [(name, _counted(_plain(x))) for name, lines in templates.items() for x in lines]
-    vocabulary = sorted({w for _, n in notices for w in n})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = files.select("file", F.explode(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")) != "")).alias("line"))
-    held = F.array_intersect(_words(F.col("line")), F.array(*map(F.lit, vocabulary)))
-    met = lines.select(F.explode(held).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    total = lines.count()
-    df = {r["word"]: r["df"] for r in met.collect()}  # a row for each word of the templates at most
-    idf = {w: math.log((1 + total) / (1 + df.get(w, 0))) + 1 for w in vocabulary}
-    other = math.log(1 + total) + 1  # of a word that no template has
-    vectors = []
-    for name, counts in notices:
-        weights = {w: n * idf[w] for w, n in counts.items()}
-        length = math.sqrt(sum(x * x for x in weights.values()))
-        vectors.append((name, {w: x / length for w, x in weights.items()}))
-    # The most frequent words, as long as they don't reach the threshold in any template.
-    weak: set[str] = set()
-    for word in sorted(vocabulary, key=idf.get):
-        if all(math.sqrt(sum(x * x for w, x in v.items() if w in weak or w == word)) < threshold - 1e-9 for _, v in vectors):
-            weak.add(word)
-    strong = [w for w in vocabulary if w not in weak]
-    near = lines.where(F.lower("line").rlike("|".join(re.escape(w) for w in strong))).withColumn("words", _words(F.col("line"))).where(F.arrays_overlap("words", F.array(*map(F.lit, strong))))
-    weight = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    known = F.array(*map(F.lit, vocabulary))
-
-    def squared(ws: Column) -> Column:
-        """Squared length of a line's vector: each word once, by its count."""
-        one = lambda w: F.size(F.filter(ws, lambda x: x == w)) * F.coalesce(F.try_element_at(weight, w), F.lit(other))
-        return F.aggregate(F.array_distinct(ws), F.lit(0.0), lambda s, w: s + one(w) * one(w))
-
-    def dot(ws: Column, vector: dict[str, float]) -> Column:
-        table_ = F.create_map(*[x for w, v in vector.items() for x in (F.lit(w), F.lit(idf[w] * v))])
-        return F.aggregate(ws, F.lit(0.0), lambda s, w: s + F.coalesce(F.try_element_at(table_, w), F.lit(0.0)))
-
-    near = near.where(F.size(F.array_intersect("words", known)) > 0).withColumn("length", F.sqrt(squared(F.col("words"))))
-    scored = F.array(*[F.struct((F.round(dot(F.col("words"), v) / F.col("length"), 6)).alias("cosine"), F.lit(name).alias("licence")) for name, v in vectors])
-    best = F.array_max(F.filter(scored, lambda s: s["cosine"] >= threshold))
-    found = near.withColumn("best", best).where("best is not null")
-    order = F.struct(F.col("best.cosine"), F.col("best.licence"))
-    return found.groupBy("file").agg(F.max(order).alias("best")).select("file", "best.licence", "best.cosine")
+def _bound(value: Column, use) -> Column:
+    return F.transform(F.array(value), use)[0]
+
+
+def _has_marker(text: Column) -> Column:
+    def any_of(t: Column) -> Column:
+        out = F.lit(False)
+        for m in MARKERS:
+            out = out | F.contains(t, F.lit(m))
+        return out
+
+    return _bound(F.lower(text), any_of)
+
+
+def header(text: Column) -> Column:
+    """The leading block comment, or the leading lines that are comments or blank."""
+    begin = F.ltrim(F.translate(text, "\r\n\t", "   "))
+    lines = F.split(text, "\n")
+    first = lambda xs: F.array_position(F.transform(xs, lambda x: x.rlike(COMMENT)), False).cast("int")
+    leading = _bound(lines, lambda xs: _bound(first(xs), lambda n: F.array_join(F.when(n == 0, xs).otherwise(F.slice(xs, 1, F.greatest(n - 1, F.lit(0)))), " ")))
+    out = F.when(F.startswith(begin, F.lit(COMMENT_BLOCKS[0][0])), F.split_part(text, F.lit(COMMENT_BLOCKS[0][1]), F.lit(1)))
+    out = out.when(F.startswith(begin, F.lit(COMMENT_BLOCKS[1][0])), F.split_part(text, F.lit(COMMENT_BLOCKS[1][1]), F.lit(1)))
+    return out.when(F.startswith(begin, F.lit(COMMENT_BLOCKS[2][0])), F.split_part(text, F.lit(COMMENT_BLOCKS[2][1]), F.lit(2))).otherwise(leading)
+
+
+def compared(text: Column, is_licence_file: Column) -> Column:
+    """The texts of a file that are compared, as structs (whole, words): whole is true of headers and licence files."""
+
+    def found(t: Column) -> Column:
+        parts = F.concat(
+            F.transform(F.split(t, "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text"))),
+            F.transform(F.split(t, SENTENCE_END), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("text"))),
+            F.array(F.struct(F.lit(True).alias("whole"), header(t).alias("text"))),
+            F.array(F.struct(F.lit(True).alias("whole"), F.when(is_licence_file, t).otherwise(F.lit("")).alias("text"))),
+        )
+        some = F.filter(parts, lambda p: _has_marker(p["text"]))
+        return F.array_distinct(F.transform(some, lambda p: F.struct(p["whole"].alias("whole"), F.array_join(_words(p["text"]), " ").alias("words"))))
+
+    none = F.array().cast("array<struct<whole:boolean,words:string>>")
+    return _bound(F.coalesce(text, F.lit("")), lambda t: F.when(_has_marker(t), found(t)).otherwise(none))
+
+
+def template_words(spark: SparkSession) -> DataFrame:
+    """Rows (nid, licence, full, word, n)."""
+    listed = json.dumps([{"nid": i, "licence": name, "full": full, "text": text} for i, (name, full, text) in enumerate(templates())])
+    rows = spark.range(1).select(F.explode(F.from_json(F.lit(listed), "array<struct<nid: int, licence: string, full: boolean, text: string>>")).alias("t")).select("t.*")
+    return stored(rows.select("nid", "licence", "full", F.explode(_words(F.col("text"))).alias("word")).groupBy("nid", "licence", "full", "word").agg(F.count("*").alias("n")), "templates")
+
+
+def own_licences(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """texts: (file, whole, words), file unique to a file. Rows (file, licence, cosine) of files with a text near a template."""
+    spark = texts.sparkSession
+    texts = texts.withColumn("text_id", F.md5("words"))
+    distinct = texts.groupBy("text_id").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.max("whole").alias("any_whole"))
+    vectors = distinct.select("text_id", "n", "any_whole", F.explode(F.split("words", " ")).alias("word")).groupBy("text_id", "n", "any_whole", "word").agg(F.count("*").alias("tf"))
+    vectors = stored(vectors, "vectors")
+    total = texts.count()
+    idf = stored(vectors.groupBy("word").agg((F.log((1 + F.lit(total)) / (1 + F.sum("n"))) + 1).alias("idf")), "idf")
+    weighed = vectors.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    known = template_words(spark)
+    other = F.lit(total + 1.0)
+    t = known.join(F.broadcast(idf.join(F.broadcast(known.select("word").distinct()), "word")), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.log(other) + 1))
+    lengths = t.groupBy("nid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    # The templates' words: their number is fixed by the templates.
+    t = stored(t.join(F.broadcast(lengths), "nid").select("nid", "licence", "full", "word", (F.col("w") / F.col("length")).alias("t")), "weights")
+    long = weighed.groupBy("text_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    met = weighed.join(F.broadcast(t), "word").where(~F.col("full") | F.col("any_whole"))
+    sums = met.groupBy("text_id", "nid", "licence", "full").agg(F.sum(F.col("w") * F.col("t")).alias("dot")).join(long, "text_id")
+    near = sums.withColumn("cosine", F.round(F.col("dot") / F.col("length"), 6)).where(F.col("cosine") >= threshold)
+    pick = lambda c: F.max(F.when(c, F.struct("cosine", "licence")))
+    best = near.groupBy("text_id").agg(pick(F.lit(True)).alias("as_whole"), pick(~F.col("full")).alias("as_part"))
+    found = texts.select("file", "whole", "text_id").join(best, "text_id").select("file", "whole", F.when(F.col("whole"), F.col("as_whole")).otherwise(F.col("as_part")).alias("b"))
+    first = F.max(F.struct("whole", "b.cosine", "b.licence")).alias("best")
+    return found.where("b is not null").groupBy("file").agg(first).select("file", "best.licence", "best.cosine")
 
 
 def inherit(files: DataFrame) -> DataFrame:
@@ -111,17 +190,20 @@ def inherit(files: DataFrame) -> DataFrame:
     return files.join(nearest.select("directory", "near.*"), "directory", "left")
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", file: str = "file", is_licence_file: Column | None = None, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", file: str = "file", is_licence_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """files: file, path and text. Rows (file, path, own, cosine, licence, from_directory): licence is the own one or else the inherited one.
 
     is_licence_file tells the files whose licence holds for their directory; unset, it goes by the usual names.
     """
     named = F.lower(F.regexp_extract(F.col(path), r"([^/]*)$", 1)).rlike(r"^(licen[cs]e|copying|notice|unlicense)([.-].*)?$") if is_licence_file is None else is_licence_file
     rows = files.select(F.col(file).alias("file"), F.coalesce(F.col(path), F.lit("")).alias("path"), F.col(text).alias("text"), F.coalesce(named, F.lit(False)).alias("is_licence_file"))
-    rows = rows.withColumn("key", row_key(F.col("file"), F.col("text")))  # null and repeated files stay apart by their texts
-    own = own_licences(rows.select(F.col("key").alias("file"), "text"), templates, threshold).withColumnRenamed("file", "key")
+    # Null and repeated files stay apart by their texts. Texts are read once: what is compared of them is little.
+    rows = rows.select("file", "path", "is_licence_file", row_key(F.col("file"), F.col("text")).alias("key"), compared(F.col("text"), F.col("is_licence_file")).alias("texts"))
+    rows = stored(rows, "files")
+    texts = rows.where(F.size("texts") > 0).groupBy("key").agg(F.first("texts").alias("texts")).select(F.col("key").alias("file"), F.explode("texts").alias("t")).select("file", "t.*")
+    own = own_licences(texts, threshold).withColumnRenamed("file", "key")
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    placed = rows.drop("text").join(own, "key", "left").withColumn("directory", directory)
+    placed = rows.drop("texts").join(own, "key", "left").withColumn("directory", directory)
     out = inherit(placed)
     return out.select("file", "path", F.col("licence").alias("own"), "cosine", F.coalesce("licence", "inherited").alias("licence"), F.when(F.col("licence").isNull(), F.col("from_directory")).alias("from_directory"))
 
@@ -135,28 +217,49 @@ def op9_licence_scan(spark, sf_dir):
     return out.select(F.col("file").alias("doc_id"), "path", "own", "cosine", "licence", "from_directory")
 
 
-def _notice_rows() -> str:
-    notices = [(name, _counted(_plain(x))) for name, lines in TEMPLATES.items() for x in lines]
-    return ", ".join(f"({i}, '{name}', '{w}', {n})" for i, (name, counts) in enumerate(notices) for w, n in counts.items())
+def _template_rows() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({i}, '{name}', {full}, {quoted(text)})" for i, (name, full, text) in enumerate(templates()))
+
+
+def _any(text: str) -> str:
+    return "(" + " OR ".join(f"contains(lower({text}), '{m}')" for m in MARKERS) + ")"
 
 
+_WORDS = "list_filter(list_transform(regexp_split_to_array(lower(%s), '[^a-z0-9.+-]+'), lambda w: trim(w, '.+-')), lambda w: w <> '')"
+_BEGIN = "ltrim(translate(text, chr(13) || chr(10) || chr(9), '   '), ' ')"
+_LEAD = f"list_position(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '{COMMENT}')), false)"
 SQL = rf"""
-WITH notices(nid, licence, word, n) AS (VALUES {_notice_rows()}),
-files AS (SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 100)::BIGINT::VARCHAR, doc_id::VARCHAR) AS path, coalesce(text, '') AS text FROM documents),
-lines AS (SELECT doc_id, row_number() OVER () AS line_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files) WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
-words AS (
-  SELECT line_id, doc_id, word, count(*) AS n FROM (
-    SELECT line_id, doc_id, regexp_replace(unnest(regexp_split_to_array(lower(line), '[^a-z0-9.+-]+')), '^[.+-]+|[.+-]+$', '', 'g') AS word FROM lines) WHERE word <> '' GROUP BY ALL),
-total AS (SELECT count(*) AS lines FROM lines),
-vocabulary AS (SELECT v.word, ln((1 + lines) / (1 + count(w.word))) + 1 AS idf FROM (SELECT DISTINCT word FROM notices) v CROSS JOIN total LEFT JOIN words w USING (word) GROUP BY v.word, lines),
-lengths AS (SELECT line_id, sqrt(sum((n * coalesce(idf, ln(1 + lines) + 1)) ** 2)) AS length FROM words CROSS JOIN total LEFT JOIN vocabulary USING (word) GROUP BY line_id),
-weights AS (SELECT nid, licence, word, n * idf / sqrt(sum((n * idf) ** 2) OVER (PARTITION BY nid)) AS weight FROM notices JOIN vocabulary USING (word)),
+WITH template_texts(nid, licence, is_full, text) AS (VALUES {_template_rows()}),
+notices AS (SELECT nid, licence, is_full, word, count(*) AS n FROM (SELECT nid, licence, is_full, unnest({_WORDS % "text"}) AS word FROM template_texts) GROUP BY ALL),
+files AS (
+  SELECT doc_id, concat_ws('/', source, lang, floor(doc_id / 100)::BIGINT::VARCHAR, doc_id::VARCHAR) AS path, coalesce(text, '') AS text,
+         len(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+')) <= 50 AS few FROM documents),
+gated AS (SELECT * FROM files WHERE {_any("text")}),
+headers AS (
+  SELECT doc_id, CASE WHEN starts_with({_BEGIN}, '/*') THEN split_part(text, '*/', 1) WHEN starts_with({_BEGIN}, '<!--') THEN split_part(text, '-->', 1)
+    WHEN starts_with({_BEGIN}, repeat(chr(34), 3)) THEN split_part(text, repeat(chr(34), 3), 2)
+    ELSE array_to_string(CASE WHEN coalesce({_LEAD}, 0) = 0 THEN string_split(text, chr(10)) ELSE string_split(text, chr(10))[1:{_LEAD} - 1] END, ' ') END AS part FROM gated),
+parts AS (
+  SELECT doc_id, false AS whole, unnest(string_split(text, chr(10))) AS part FROM gated
+  UNION ALL SELECT doc_id, false, unnest(regexp_split_to_array(text, '{SENTENCE_END}')) FROM gated
+  UNION ALL SELECT doc_id, true, part FROM headers
+  UNION ALL SELECT doc_id, true, text FROM gated WHERE few),
+texts AS (SELECT DISTINCT doc_id, whole, array_to_string({_WORDS % "part"}, ' ') AS words FROM parts WHERE {_any("part")}),
+vectors AS (SELECT words, word, count(*) AS tf FROM (SELECT words, unnest(string_split(words, ' ')) AS word FROM (SELECT DISTINCT words FROM texts)) GROUP BY ALL),
+total AS (SELECT count(*) AS total FROM texts),
+counts AS (SELECT words, count(*) AS n FROM texts GROUP BY words),
+idf AS (SELECT word, ln((1 + any_value(total)) / (1 + sum(n))) + 1 AS idf FROM vectors JOIN counts USING (words) CROSS JOIN total GROUP BY word),
+lengths AS (SELECT words, sqrt(sum((tf * idf) ** 2)) AS length FROM vectors JOIN idf USING (word) GROUP BY words),
+weighed AS (SELECT nid, licence, is_full, word, n * coalesce(idf, ln(total + 1) + 1) AS w FROM notices LEFT JOIN idf USING (word) CROSS JOIN total),
+weights AS (SELECT nid, licence, is_full, word, w / sqrt(sum(w ** 2) OVER (PARTITION BY nid)) AS t FROM weighed),
 cosines AS (
-  SELECT w.doc_id, w.line_id, t.nid, t.licence, round(sum(w.n * v.idf * t.weight) / any_value(l.length), 6) AS cosine
-  FROM words w JOIN weights t USING (word) JOIN vocabulary v USING (word) JOIN lengths l USING (line_id) GROUP BY ALL),
-own AS (SELECT doc_id, licence AS own, cosine FROM cosines WHERE cosine >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence DESC) = 1),
-placed AS (SELECT f.doc_id, path, own, cosine, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, len(regexp_split_to_array(text, '[ 	-
-]+')) <= 50 AS few FROM files f LEFT JOIN own USING (doc_id)),
+  SELECT v.words, w.nid, w.licence, w.is_full, round(sum(v.tf * i.idf * w.t) / any_value(l.length), 6) AS cosine
+  FROM vectors v JOIN idf i USING (word) JOIN weights w USING (word) JOIN lengths l ON l.words = v.words GROUP BY ALL),
+own AS (
+  SELECT doc_id, licence AS own, cosine FROM texts t JOIN cosines c ON c.words = t.words AND (t.whole OR NOT c.is_full) WHERE cosine >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, cosine DESC, licence DESC) = 1),
+placed AS (SELECT f.doc_id, path, own, cosine, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, few FROM files f LEFT JOIN own USING (doc_id)),
 votes AS (SELECT directory AS above, own AS inherited, count(*) AS votes FROM placed WHERE few AND own IS NOT NULL GROUP BY ALL),
 by_directory AS (SELECT above, inherited FROM votes QUALIFY row_number() OVER (PARTITION BY above ORDER BY votes DESC, inherited) = 1),
 ancestors AS (SELECT DISTINCT directory, unnest(list_transform(range(0, len(string_split(directory, '/')) + 1), lambda i: array_to_string(string_split(directory, '/')[1:i], '/'))) AS above FROM placed),

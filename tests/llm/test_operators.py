@@ -425,6 +425,69 @@ def test_licences(spark):
     assert scan(frame.limit(0)).count() == 0
 
 
+LGPL = """/*
+ * This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+ * Lesser General Public License for more details.
+ */
+int main() { return 0; }
+"""
+AGPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU Affero General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+
+import os
+"""
+APACHE = """// Copyright 2020 The Authors. All rights reserved.
+//
+// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.
+// You may obtain a copy of the License at
+//
+//     http://www.apache.org/licenses/LICENSE-2.0
+//
+// Unless required by applicable law or agreed to in writing, software
+// distributed under the License is distributed on an "AS IS" BASIS,
+// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+// See the License for the specific language governing permissions and
+// limitations under the License.
+
+package main
+"""
+BSD = "Some tool\n\nRedistribution and use in source and binary forms, with or\nwithout modification, are permitted provided that the following\nconditions are met:\n\nmore prose of the tool follows here without end"
+COMMENTED_MIT = "/*\nCopyright (c) 2021 Somebody\n\n{}\n*/\nvar x = 1;\n"
+
+
+def test_licences_of_real_texts(spark):
+    from folioq.llm.license_scan import FOLDER, scan
+
+    text = {p.stem: p.read_text() for p in FOLDER.glob("*.txt")}
+    holder = "Copyright (c) 2019, Some Holder\nAll rights reserved.\n\n"
+    files = [(f"l{i}", f"{name}/LICENSE", (holder if "BSD" in name or name in ("MIT", "ISC") else "") + body, name) for i, (name, body) in enumerate(text.items())]
+    files += [
+        ("a", "a.c", LGPL, "LGPL-2.1"),
+        ("b", "b.py", AGPL, "AGPL-3.0"),
+        ("c", "c.go", APACHE, "Apache-2.0"),
+        ("d", "d.txt", BSD, "BSD-3-Clause"),
+        ("e", "e.js", COMMENTED_MIT.format(text["MIT"].partition("\n\n")[2]), "MIT"),
+        ("f", "f.h", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;", "GPL-2.0"),
+        ("g", "g.rs", "// SPDX-License-Identifier: Zlib\nfn main() {}", "Zlib"),
+        ("h", "h.txt", "code of the license server and its copyright notices in general", None),
+        ("i", "i.md", "# Tool\n\nA tool. Copyright 2020. Licensed under the\nApache License, Version 2.0. See the file for more.", "Apache-2.0"),
+        ("j", "j.c", "\n".join(["// x"] * 20000) + "\n// Licensed under the MIT License\n", "MIT"),
+    ]
+    frame = spark.createDataFrame([f[:3] for f in files], "file string, path string, text string")
+    got = {r["file"]: r["own"] for r in scan(frame).collect()}
+    assert {f[0]: got[f[0]] for f in files} == {f[0]: f[3] for f in files}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
     from test_near_duplicates import kept
