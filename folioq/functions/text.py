@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Latin letters with marks and the letters they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _folds() -> tuple[str, str]:
+    """Lower-case letters whose decomposition is another letter and marks, that letter for each, and after them the marks, which go."""
+    found = {}
+    for code in (*range(0xC0, 0x590), *range(0x1E00, 0x2000)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and parts[0].isalpha() and chr(code) == chr(code).lower() and all(unicodedata.combining(x) for x in parts[1:]):
+            found[chr(code)] = parts[0]
+    return "".join(found) + "".join(map(chr, range(0x300, 0x370))), "".join(found.values())
+
+
+ACCENTED, PLAIN = _folds()
 PAGE_TYPES = ("entities", "concepts", "sources", "topics")
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
@@ -22,6 +34,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def plain_tokens(text: str) -> list[str]:
+    """The same of a query's text."""
+    folded = text.lower().translate({ord(a): (PLAIN[i] if i < len(PLAIN) else None) for i, a in enumerate(ACCENTED)})
+    return [w for w in re.split(r"[\W_]+", folded) if w]
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """How often needle stands in text, without overlaps."""
     t = F.coalesce(text, F.lit(""))

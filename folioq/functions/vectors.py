@@ -13,13 +13,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(both, F.lit(0.0), lambda s, x: s + x)
 
 
-def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding") -> DataFrame:
+def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding", order: str | None = None) -> DataFrame:
     """Rows (by, embedding): the unit vector of the element-wise sum; groups without length have none.
 
-    The size of most rows of a group fixes its dimension (ties: the larger); others are passed over.
+    The first row of a group with a vector, by order, fixes its dimension (without order, or for ties, the smallest); others are passed over.
     """
-    sized = vectors.select(by, vector, F.size(vector).alias("dim")).where("dim > 0")
-    dims = sized.groupBy(by, "dim").agg(F.count("*").alias("n")).groupBy(by).agg(F.max_by("dim", F.struct("n", "dim")).alias("dim"))
+    place = F.col(order) if order else F.lit(0)
+    sized = vectors.select(by, vector, F.size(vector).alias("dim"), place.alias("place")).where("dim > 0")
+    dims = sized.groupBy(by).agg(F.min(F.struct("place", "dim"))["dim"].alias("dim"))
     parts = sized.join(dims, [by, "dim"]).select(by, F.posexplode(vector).alias("at", "x"))
     sums = parts.groupBy(by, "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
     whole = sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v"))
@@ -27,6 +28,12 @@ def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding") -> Data
     return whole.withColumn("length", length).where("length > 1e-7").select(by, F.transform("v", lambda x: x / F.col("length")).alias("embedding"))
 
 
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Null for vectors of different sizes or without length."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.when(F.size(a) == F.size(b), dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)))
+
+
 def hashed_embeddings(rows: DataFrame, by: str, tokens: str, dim: int = 1024) -> DataFrame:
     """Sparse unit vectors by feature hashing, as rows (by, at, x): each token of two bytes or more adds +1 or -1 to one of dim places."""
     each = rows.select(by, F.explode(tokens).alias("t")).where(F.octet_length("t") >= 2)

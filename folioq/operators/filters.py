@@ -217,8 +217,24 @@ def run_query(pages: DataFrame, access: DataFrame, query: str, today: str, prefi
     return hits.withColumn("tags", F.sort_array("tags")).withColumn("validity", validity(today)).withColumn("summary", F.nullif(F.trim("summary"), F.lit(""))).orderBy(*by)
 
 
-def paged(rows: DataFrame, offset: int = 0, limit: int = 100) -> DataFrame:
-    return rows.offset(max(0, offset)).limit(min(500, max(1, limit)))
+PAGE, MOST, SHOWN = 100, 500, 200
+
+
+def paged(rows: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    return rows.offset(max(0, offset)).limit(min(MOST, max(1, PAGE if limit is None else limit)))
+
+
+def page_with_total(rows: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
+    """A page of rows, each with total and next_offset (null on the last page)."""
+    page, size = paged(rows, offset, limit), min(MOST, max(1, PAGE if limit is None else limit))
+    total = rows.agg(F.count("*").alias("total"))  # one row
+    after = max(0, offset) + size
+    return page.join(F.broadcast(total)).withColumn("next_offset", F.when(F.col("total") > after, F.lit(after)))
+
+
+def first_with_total(rows: DataFrame, most: int = SHOWN) -> DataFrame:
+    """The first rows of a list with its true total."""
+    return rows.limit(most).join(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
 def tag_facet(pages: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
-"""Full-text retrieval: BM25 over weighted fields, phrases, substring counts."""
+"""Full-text retrieval: BM25 over weighted fields from stored postings, phrases, substring counts."""
 
 from __future__ import annotations
 
-import re
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioq.functions.text import occurrences, tokens
+from folioq.functions.text import occurrences, plain_tokens, tokens
+from folioq.store import stored
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
@@ -20,33 +22,83 @@ def query_terms(raw: str) -> list[str]:
     return [w.lower() for w in cleaned if w]
 
 
-def bm25(docs: DataFrame, fields: dict[str, float], terms: list[str], id_col: str = "id") -> DataFrame:
-    """Rows (id, score) of documents with any of the terms.
+@dataclass(frozen=True)
+class Index:
+    """Postings (term, id, field, tf, places, lengths) in order of term and id, and a row of totals (n_docs, n_words: of each field)."""
 
-    Term counts and lengths are computed in each row; only the totals (a row) are shuffled.
+    postings: DataFrame
+    totals: DataFrame
+    fields: tuple[str, ...]
+
+
+def build_index(docs: DataFrame, fields: list[str], id_col: str = "id") -> Index:
+    """Tokenises each text once. A row for each term, document and field, with the document's lengths beside it.
+
+    Postings are range-partitioned by term and id: a query's few terms are found by the files'
+    least and greatest terms, and a term that most documents hold is spread over many files.
     """
-    counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(fields)])
-    tf = [sum((F.size(F.filter(f"words_{i}", _is(t))) * F.lit(float(w)) for i, w in enumerate(fields.values())), F.lit(0.0)).alias(f"tf_{k}") for k, t in enumerate(terms)]
-    held = [sum((F.size(F.filter(f"words_{i}", _is(t))) for i in range(len(fields))), F.lit(0)).alias(f"n_{k}") for k, t in enumerate(terms)]
-    length = sum((F.size(f"words_{i}") for i in range(len(fields))), F.lit(0)).cast("double").alias("length")
-    rows = counted.select("id", length, *tf, *held)
-    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"), *[F.count_if(F.col(f"n_{k}") > 0).alias(f"df_{k}") for k in range(len(terms))])
+    names = [f"words_{i}" for i in range(len(fields))]
+    counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
+    lengths = F.array(*[F.size(n) for n in names])
+    placed = F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))
+    rows = counted.select("id", lengths.alias("lengths"), F.explode(placed).alias("p")).select("id", "lengths", "p.*")
+    found = rows.groupBy("id", "field", "term").agg(F.first("lengths").alias("lengths"), F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("places"))
+    postings = stored(found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
+    # Documents without any word have no postings: they count among the documents only.
+    each = postings.groupBy("id").agg(F.first("lengths").alias("lengths"))
+    sums = each.agg(*[F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0).cast("long")).alias(f"n_words_{i}") for i in range(len(fields))])
+    totals = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(sums))
+    return Index(postings, stored(totals, "totals"), tuple(fields))
+
+
+def bm25(index: Index, weights: dict[str, float], terms: list[str]) -> DataFrame:
+    """Rows (id, score) of documents with any of the terms; a term of several words is a phrase.
+
+    Lengths are those of the fields that have a weight. Only postings of the terms' words are read.
+    """
+    phrases = [p for p in map(plain_tokens, terms) if p]
+    if not phrases:
+        return index.postings.where("false").select("id", F.lit(0.0).alias("score"))
+    fields = [index.fields.index(f) for f in weights]
+    words = sorted({w for p in phrases for w in p})
+    met = index.postings.where(F.col("term").isin(words) & F.col("field").isin(fields))
+    length = sum((F.get("lengths", F.lit(i)) for i in fields), F.lit(0)).cast("double")
+    weight = F.coalesce(*[F.when(F.col("field") == i, F.lit(float(w))) for i, w in zip(fields, weights.values(), strict=True)])
+    if all(len(p) == 1 for p in phrases):
+        tf = [F.when(F.col("term") == p[0], F.col("tf")) for p in phrases]
+        rows = met.select("id", length.alias("length"), weight.alias("w"), *[t.alias(f"n_{k}") for k, t in enumerate(tf)])
+    else:
+        at = {w: f"at_{i}" for i, w in enumerate(words)}
+        one = [F.first(F.when(F.col("term") == w, F.col("places")), ignorenulls=True).alias(c) for w, c in at.items()]
+        sides = met.groupBy("id", "field").agg(F.first("lengths").alias("lengths"), *one)
+        tf = [F.nullif(F.size(reduce(F.array_intersect, [F.transform(F.coalesce(at[w], F.array().cast("array<int>")), _back(j)) for j, w in enumerate(p)])), F.lit(0)) for p in phrases]
+        rows = sides.select("id", length.alias("length"), weight.alias("w"), *[t.alias(f"n_{k}") for k, t in enumerate(tf)])
+    sums = [f(k) for k in range(len(phrases)) for f in (lambda k: F.sum(F.col("w") * F.col(f"n_{k}")).alias(f"tf_{k}"), lambda k: F.sum(f"n_{k}").alias(f"n_{k}"))]
+    rows = rows.groupBy("id").agg(F.first("length").alias("length"), *sums)
+    counts = rows.agg(*[F.count_if(F.col(f"n_{k}") > 0).alias(f"df_{k}") for k in range(len(phrases))])
+    mean = sum((F.col(f"n_words_{i}") for i in fields), F.lit(0)).cast("double") / F.col("n_docs")
+    totals = index.totals.select("n_docs", mean.alias("mean_length"))
     score = F.lit(0.0)
-    for k in range(len(terms)):
+    for k in range(len(phrases)):
         idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("n_docs") - F.col(f"df_{k}") + 0.5) / (F.col(f"df_{k}") + 0.5)))
-        t = F.col(f"tf_{k}")
+        t = F.coalesce(f"tf_{k}", F.lit(0.0))
         score = score + idf * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    some = rows.where(sum((F.col(f"n_{k}") for k in range(len(terms))), F.lit(0)) > 0)
-    return some.join(F.broadcast(totals)).select("id", F.round(score, 6).alias("score"))  # totals is one row
+    some = rows.where(F.coalesce(*[F.col(f"n_{k}") for k in range(len(phrases))]).isNotNull())
+    facts = totals.join(counts)  # a row each
+    return some.join(F.broadcast(facts)).select("id", F.round(score, 6).alias("score"))
+
+
+def _back(j: int):
+    return lambda x: x - j
 
 
-def _is(term: str):
-    return lambda w: w == term
+def _placed(words: str, field: int):
+    return F.transform(F.col(words), lambda w, at: F.struct(w.alias("term"), F.lit(field).alias("field"), at.alias("at")))
 
 
 def has_phrase(text: Column, phrase: str) -> Column:
     """Whether the phrase's tokens stand side by side."""
-    wanted = [w for w in re.split(r"[\W_]+", phrase.lower()) if w]
+    wanted = plain_tokens(phrase)
     return F.contains(F.concat(F.lit(" "), F.array_join(tokens(text), " "), F.lit(" ")), F.lit(f" {' '.join(wanted)} "))
 
 

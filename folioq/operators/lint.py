@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioq.functions.text import is_iso
-from folioq.operators import graph
+from folioq.operators import graph, names
 
 TYPES = ("entity", "concept", "source", "topic")
 DAY = 24 * 60 * 60
@@ -84,12 +84,68 @@ def orphans(pages: DataFrame, edges: DataFrame, now: int) -> DataFrame:
     return _found(old.join(graph.inbound(edges).select("id"), "id", "left_anti"), "warning", "orphan")
 
 
-def report(pages: DataFrame, today: str, now: int) -> DataFrame:
+def frontmatter(files: DataFrame) -> DataFrame:
+    """files: (path, error). A finding for each file that is no page."""
+    return _found(files.where("error is not null").withColumnRenamed("path", "id"), "error", "frontmatter", F.col("error"))
+
+
+def both_sides(pairs: DataFrame, kind: str, detail: Column | None = None) -> DataFrame:
+    """pairs: (a, b). A finding for either page, naming the other."""
+    said = F.lit("") if detail is None else F.concat(F.lit(" ("), detail, F.lit(")"))
+    turned = [pairs.select(F.col(x).alias("id"), F.concat(F.col(y), said).alias("detail")) for x, y in (("a", "b"), ("b", "a"))]
+    rows = turned[0].unionByName(turned[1])
+    return _found(rows, "warning", kind, F.col("detail"))
+
+
+def alias_collisions(pages: DataFrame) -> DataFrame:
+    return both_sides(names.collisions(pages), "alias-collision")
+
+
+def duplicate_candidates(pairs: DataFrame) -> DataFrame:
+    """pairs: (a, b, similarity or null, by_title)."""
+    title = F.when(F.col("by_title"), F.lit("same title"))
+    return both_sides(pairs, "duplicate-candidate", F.concat_ws(", ", title, F.concat(F.lit("similarity "), F.format_number("similarity", 2))))
+
+
+def notes(title_notes: DataFrame, content_notes: DataFrame, index_embedder: str | None, wanted_embedder: str) -> DataFrame:
+    """title_notes: (type, key, pages), content_notes: (type, pages). Notes on what was not compared in full, and on an index of another embedder."""
+    skipped = "duplicate-detection-skipped"
+    shared = title_notes.select(F.lit("note").alias("severity"), F.lit(skipped).alias("kind"), F.lit("").alias("id"), F.format_string("%d pages of type %s share the title %s", "pages", "type", "key").alias("detail"))
+    large = content_notes.select(F.lit("note").alias("severity"), F.lit(skipped).alias("kind"), F.lit("").alias("id"), F.format_string("type %s has %d pages: not all pairs compared", "type", "pages").alias("detail"))
+    out = shared.unionByName(large)
+    if index_embedder != wanted_embedder:
+        one = title_notes.sparkSession.range(1).select(F.lit("note").alias("severity"), F.lit("hygiene-skipped").alias("kind"), F.lit("").alias("id"), F.lit(f"the index holds vectors of {index_embedder}, not of {wanted_embedder}").alias("detail"))
+        out = out.unionByName(one)
+    return out
+
+
+def report(pages: DataFrame, today: str, now: int, files: DataFrame | None = None, vectors: DataFrame | None = None, index_embedder: str | None = None, wanted_embedder: str | None = None) -> DataFrame:
+    """All findings. files: (path, error) of the vault; vectors: (id, type, embedding), compared only if both embedders are the same."""
     edges = graph.raw_edges(pages)
-    parts = [duplicate_ids(pages), broken_links(pages, edges), page_rules(pages), reference_rules(pages), expired_but_linked(pages, edges, today), orphans(pages, edges, now)]
+    parts = [duplicate_ids(pages), broken_links(pages, edges), page_rules(pages), reference_rules(pages), expired_but_linked(pages, edges, today), orphans(pages, edges, now), alias_collisions(pages)]
+    if files is not None:
+        parts.append(frontmatter(files))
+    titles, title_notes = names.title_pairs(pages)
+    none = pages.sparkSession.createDataFrame([], "id string, type string, embedding array<double>")
+    used = vectors if vectors is not None and index_embedder == wanted_embedder else none
+    contents, content_notes = names.content_pairs(used)
+    apart = pages.select("id", F.coalesce("distinct_from", F.array().cast("array<string>")).alias("apart"))
+    ranked = names.ranked_pairs(names._without_apart(titles, apart), names._without_apart(contents, apart), used)
+    parts += [duplicate_candidates(ranked), notes(title_notes, content_notes, index_embedder, wanted_embedder)]
     return reduce(DataFrame.unionByName, parts)
 
 
+def shown(findings: DataFrame, detailed: bool = False, kind: str | None = None) -> DataFrame:
+    """Counts for each kind, or the findings themselves; kind keeps one kind only."""
+    kept = findings if kind is None else findings.where(F.col("kind") == kind)
+    return kept if detailed else kind_counts(kept)
+
+
+def of_paths(findings: DataFrame, ids: DataFrame) -> DataFrame:
+    """Findings of the written pages only."""
+    return findings.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 def kind_counts(findings: DataFrame) -> DataFrame:
     order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     return findings.groupBy("severity", "kind").agg(F.count("*").alias("n")).orderBy(order, "kind")

@@ -7,12 +7,21 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Forms of page ids.
-ID_FORM = r"^(entities|concepts|sources|topics)/[a-z0-9äöüß][a-z0-9äöüß_-]*$"
+_TYPE = "(entities|concepts|sources|topics)"
+#: Forms of ids of pages that exist, and of those that are to be made.
+ID_FORM = rf"^{_TYPE}(/[^/\\:\x00-\x1F\x7F-\x9F]+)+$"
+NEW_ID_FORM = rf"^{_TYPE}(/[A-Za-z0-9]([A-Za-z0-9._-]*[A-Za-z0-9_-])?)+$"
 
 
 def valid_id(page_id: Column) -> Column:
-    return F.coalesce(page_id.rlike(ID_FORM), F.lit(False))
+    """Relative paths under a page type, without empty or dotted segments, drive letters or control characters."""
+    odd = F.contains(page_id, F.lit("..")) | page_id.rlike(r"(^|/)\.(/|$)")
+    return F.coalesce(page_id.rlike(ID_FORM) & ~odd, F.lit(False))
+
+
+def valid_new_id(page_id: Column) -> Column:
+    """Of letters, digits, dots, underscores and hyphens only; no segment ends in a dot, the id not in .md."""
+    return F.coalesce(page_id.rlike(NEW_ID_FORM) & valid_id(page_id) & ~F.endswith(page_id, F.lit(".md")), F.lit(False))
 
 
 def retargeted(body: Column, old: str, new: str) -> Column:

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioq.store import stored
+
 QUEUE_CAP = 50
 REPEATEDLY = 3
 HUB_LINKS = 5
 MOST_SKIPPED = 10
 SCANNED_COMMITS = 2000
 DAY = 24 * 60 * 60
-#: Kinds of work in their order, with their priorities.
-KINDS = {"fix-link": 1, "merge": 1, "check-or-distinct": 2, "write-summary": 2, "refresh-summary": 2, "orphan": 3, "decay": 3}
+#: Kinds of work in their order, with their priorities and actions (pairs of pages that a merge does not suit get PAIR_CHECK).
+KINDS = {
+    "duplicate-candidate": (1, "merge"),
+    "broken-link": (1, "fix-link"),
+    "broken-source": (1, "fix-link"),
+    "summary-stale": (2, "update-summary"),
+    "missing-summary": (2, "write-summary"),
+    "decay-candidate": (3, "archive-or-supersede"),
+    "orphan": (3, "review-or-archive"),
+}
+PAIR_CHECK = "check-or-distinct"
+QUEUE_HOURS = 1
 
 
 def skip_counts(log: DataFrame) -> DataFrame:
@@ -32,33 +45,88 @@ def most_skipped(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("skipped"), "kind", "pages").limit(MOST_SKIPPED)
 
 
+def _chosen_pairs(pairs: DataFrame) -> DataFrame:
+    """pairs: (a, b, seq, ...). Those that are taken one after another in order of seq, a, b, each only if neither of its pages has been.
+
+    All pairs that are the first of both their pages are taken at once, pairs that meet them go, and so on: the same choice, in rounds.
+    """
+    left, taken = stored(pairs, "pairs"), None
+    while not left.isEmpty():
+        order = F.struct("seq", "a", "b")
+        ends = left.select(F.explode(F.array("a", "b")).alias("page"), order.alias("o")).groupBy("page").agg(F.min("o").alias("o"))
+        first = lambda c: ends.select(F.col("page").alias(c), F.col("o").alias(f"o_{c}"))
+        met = left.join(first("a"), "a").join(first("b"), "b")
+        now = stored(met.where((F.col("o_a") == order) & (F.col("o_b") == order)).select(*pairs.columns), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        gone = now.select(F.explode(F.array("a", "b")).alias("page"))
+        left = stored(left.join(gone.withColumnRenamed("page", "a"), "a", "left_anti").join(gone.withColumnRenamed("page", "b"), "b", "left_anti").select(*pairs.columns), "pairs")
+    return left if taken is None else taken
+
+
 def work_queue(candidates: DataFrame, skips: DataFrame, cap: int = QUEUE_CAP) -> DataFrame:
-    """candidates: (kind, page, seq). The queue with a place for each item, at most one for each page.
+    """candidates: (kind, pages: array of one or, for pairs, two in order, action or null, reason, seq). The queue with a place for each item.
 
-    Items that were skipped often go last within priority 3. omitted tells how many items the cap left out.
+    A page is in one item at most, that of the highest rank; only pairs and links to fix never hide each other.
+    Items that were skipped often go last within priority 3 and say so. omitted tells how many items the cap left out.
     """
-    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    priority = F.create_map(*[x for k, p in KINDS.items() for x in (F.lit(k), F.lit(p))])
-    known = candidates.where(F.col("kind").isin(*KINDS)).withColumn("priority", priority[F.col("kind")]).withColumn("kind_order", order[F.col("kind")])
-    seen = known.join(skips.select("kind", F.col("pages").alias("page"), "skipped"), ["kind", "page"], "left").withColumn("skipped", F.coalesce("skipped", F.lit(0)))
-    rank = [F.col("priority"), F.col("kind_order"), F.col("seq"), F.col("page")]
-    first = seen.withColumn("n", F.row_number().over(Window.partitionBy("page").orderBy(*rank))).where("n = 1").drop("n")
-    late = ((F.col("priority") == 3) & (F.col("skipped") >= REPEATEDLY)).cast("int").alias("late")
-    out = first.withColumn("late", late)
-    top = out.orderBy("priority", "late", "kind_order", "seq", "page").limit(cap)
+    names = list(KINDS)
+    at = lambda v: F.create_map(*[x for k in names for x in (F.lit(k), F.lit(v(k)))])[F.col("kind")]
+    known = candidates.where(F.col("kind").isin(*names)).withColumns({"priority": at(lambda k: KINDS[k][0]), "kind_order": at(names.index), "action": F.coalesce("action", at(lambda k: KINDS[k][1]))})
+    known = known.withColumn("key", F.array_join("pages", ","))
+    skipped = skips.select("kind", F.col("pages").alias("key"), "skipped")
+    seen = known.join(skipped, ["kind", "key"], "left").withColumn("skipped", F.coalesce("skipped", F.lit(0)))
+    advice = F.when(F.col("kind").isin("orphan", "decay-candidate"), "decide or mark keep").otherwise("decide it")
+    again = F.concat(F.col("reason"), F.lit(" (skipped "), F.col("skipped").cast("string"), F.lit("× before — "), advice, F.lit(")"))
+    seen = stored(seen.withColumn("reason", F.when(F.col("skipped") >= REPEATEDLY, again).otherwise(F.col("reason"))), "candidates")
+    columns = ["priority", "kind_order", "seq", "kind", "pages", "action", "reason", "skipped"]
+    pairs = seen.where("size(pages) = 2").withColumns({"a": F.get("pages", F.lit(0)), "b": F.get("pages", F.lit(1))})
+    pairs = _chosen_pairs(pairs.select("a", "b", *columns))
+    single = seen.where("size(pages) = 1").withColumn("page", F.get("pages", F.lit(0)))
+    first = Window.partitionBy("page").orderBy("kind_order", "seq")
+    of = lambda rows: rows.withColumn("n", F.row_number().over(first)).where("n = 1")
+    fixes = of(single.where("action = 'fix-link'"))
+    covered = pairs.select(F.explode("pages").alias("page")).unionByName(fixes.select("page"))
+    others = of(single.where("action <> 'fix-link'").join(covered, "page", "left_anti"))
+    out = pairs.select(*columns).unionByName(fixes.select(*columns)).unionByName(others.select(*columns))
+    out = stored(out.withColumn("late", ((F.col("priority") == 3) & (F.col("skipped") >= REPEATEDLY)).cast("int")), "queue")
+    order = ["priority", "late", "kind_order", "seq", "pages"]
+    top = out.orderBy(*order).limit(cap)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most cap rows
     total = out.agg(F.count("*").alias("total"))
-    placed = top.withColumn("place", F.row_number().over(Window.orderBy("priority", "late", "kind_order", "seq", "page")))  # at most cap rows
-    return placed.join(F.broadcast(total)).select("place", "priority", "kind", "page", "skipped", F.greatest(F.lit(0), F.col("total") - cap).alias("omitted"))
+    return placed.join(F.broadcast(total)).select("place", "priority", "kind", "pages", "action", "reason", "skipped", F.greatest(F.lit(0), F.col("total") - cap).alias("omitted"))
+
+
+def queue_is_fresh(generated_at: str, now: str, hours: int = QUEUE_HOURS) -> bool:
+    """Whether a stored queue may still be shown; times as ISO text."""
+    from datetime import datetime, timedelta
+
+    age = datetime.fromisoformat(now) - datetime.fromisoformat(generated_at)
+    return timedelta(0) <= age < timedelta(hours=hours)
+
+
+def cached_queue(spark, folder: str, now: str, build) -> DataFrame:
+    """The queue stored in folder while it is fresh, else build(), stored with its time."""
+    try:
+        found = spark.read.parquet(folder)
+        made = found.agg(F.max("generated_at")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        made = None
+    if made is None or not queue_is_fresh(made, now):
+        build().withColumn("generated_at", F.lit(now)).write.mode("overwrite").parquet(folder)
+        found = spark.read.parquet(folder)
+    return found
 
 
-def summary_work(pages: DataFrame, inbound: DataFrame) -> DataFrame:
-    """Rows (kind, page): summaries that lag behind their body, and much-linked pages without one."""
+def summary_work(pages: DataFrame, inbound: DataFrame, hub_links: int = HUB_LINKS) -> DataFrame:
+    """Rows (kind, page, inbound): summaries that lag behind their body, and much-linked pages without one. Only for an index that has recorded summaries."""
     rows = pages.join(inbound, "id", "left")
     blank = F.coalesce(F.trim("summary"), F.lit("")) == ""
     stale = ~blank & (F.coalesce("summary_body_hash", F.lit("")) != F.col("body_hash"))
-    hub = blank & (F.coalesce("inbound", F.lit(0)) >= HUB_LINKS)
-    kind = F.when(stale, "refresh-summary").when(hub, "write-summary")
-    return rows.select(kind.alias("kind"), F.col("id").alias("page")).where("kind is not null")
+    hub = blank & (F.coalesce("inbound", F.lit(0)) >= hub_links)
+    kind = F.when(stale, "summary-stale").when(hub, "missing-summary")
+    return rows.select(kind.alias("kind"), F.col("id").alias("page"), F.coalesce("inbound", F.lit(0)).cast("long").alias("inbound")).where("kind is not null")
 
 
 def decayed(pages: DataFrame, access: DataFrame, inbound: DataFrame, now: int) -> DataFrame:
@@ -92,6 +160,37 @@ def changed(pages: DataFrame, index: DataFrame) -> DataFrame:
     return both.select("id", F.coalesce("new_hash", "file_hash").alias("file_hash"), state.alias("state"))
 
 
+def unchanged(pages: DataFrame, index: DataFrame, chunks: DataFrame) -> DataFrame:
+    """pages: (id, file_hash, summary); index: the same with summary_indexed_hash; chunks: (page_id). Rows (id, unchanged).
+
+    A page is unchanged if its file's hash is the indexed one, its summary was indexed from that file and is the same, and it has a chunk.
+    """
+    n = chunks.groupBy(F.col("page_id").alias("id")).agg(F.count("*").alias("n_chunks"))
+    old = index.select("id", F.col("file_hash").alias("old_hash"), "summary_indexed_hash", F.col("summary").alias("old_summary"))
+    met = pages.join(old, "id", "left").join(n, "id", "left")
+    same = (F.col("old_hash") == F.col("file_hash")) & (F.col("summary_indexed_hash") == F.col("file_hash")) & (F.col("n_chunks") > 0)
+    return met.select("id", (F.coalesce(same, F.lit(False)) & F.col("old_summary").eqNullSafe(F.col("summary"))).alias("unchanged"))
+
+
+def index_counts(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row (pages, chunks)."""
+    return pages.agg(F.count("*").alias("pages")).join(chunks.agg(F.count("*").alias("chunks")))
+
+
+def without_gone(access: DataFrame, pages: DataFrame, now: int, days: int = 30) -> DataFrame:
+    """Counters without those of pages that are gone and were not read for days."""
+    here = pages.select(F.col("id").alias("page_id"), F.lit(True).alias("here")).distinct()
+    kept = F.col("here").isNotNull() | (F.coalesce(F.unix_timestamp("last_read_at"), F.lit(0)) >= now - days * DAY)
+    return access.join(here, "page_id", "left").where(kept).drop("here")
+
+
+def counter_events(hits: DataFrame, read_ids: DataFrame, ts) -> DataFrame:
+    """What a use of pages counts: a hit for each of the first ten of a search, a read for each page found, once. Rows (page_id, kind, ts)."""
+    first = hits.where("place <= 10").select(F.col("id").alias("page_id"), F.lit("hit").alias("kind"))
+    read = read_ids.select(F.col("id").alias("page_id")).distinct().withColumn("kind", F.lit("read"))
+    return first.unionByName(read).withColumn("ts", ts)
+
+
 def page_history(deltas: DataFrame, commits: DataFrame, path: str, limit: int) -> DataFrame:
     """The newest commits that touch a path, of the newest that are looked through."""
     recent = commits.orderBy(F.desc("ts"), "sha").limit(SCANNED_COMMITS)
@@ -99,6 +198,6 @@ def page_history(deltas: DataFrame, commits: DataFrame, path: str, limit: int) -
 
 
 def commit_changes(deltas: DataFrame) -> DataFrame:
-    """deltas: (sha, path, status, added, removed). Rows of one commit each."""
+    """deltas: (sha, path, status A, M, D, R or C, added, removed). Rows of one commit each."""
     status = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s.lower()}")
-    return deltas.groupBy("sha").agg(F.count("*").alias("files_changed"), *map(status, "AMDR"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))
+    return deltas.groupBy("sha").agg(F.count("*").alias("files_changed"), *map(status, "AMDRC"), F.sum("added").alias("added"), F.sum("removed").alias("removed"))

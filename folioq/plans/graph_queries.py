@@ -4,47 +4,66 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioq.operators import graph, lint, refactor
+from folioq.operators import graph, lint, names, refactor
 from folioq.plans.register import registry
 from folioq.plans.tables import NOW, ORDER_LINKS, PAGES, PART_EDGES, TODAY, order_links, pages, part_edges, table
 from folioq.sources import sinks
+from folioq.store import checkpoints
 
 QUERIES, ORACLES, query = registry()
 _HREF = r'href="(/[^"]*)"'
 
 
-def _html_links(spark, sf_dir):
-    """Links in pages' markup, one row each."""
-    found = F.regexp_extract_all("html", F.lit(_HREF))
-    return table(spark, sf_dir, "pages").select("page_id", "url", F.explode(found).alias("target"))
+def _linked_pages(spark, sf_dir):
+    """Web pages as pages of the vault: the path of the url is the id, and the links of the markup stand in the body as markdown and, every other page, wiki links."""
+    hrefs = F.regexp_extract_all("html", F.lit(_HREF))
+    marked = F.transform(hrefs, lambda h: F.concat(F.lit("[x](topics"), h, F.lit(".md?a#top)")))
+    wiki = F.transform(hrefs, lambda h: F.concat(F.lit("[[topics"), h, F.lit("#top|x]]")))
+    body = F.array_join(F.when(F.col("page_id") % 2 == 0, marked).otherwise(wiki), " text ")
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/"), F.col("page_id").cast("string")).alias("id"), F.concat(F.lit("topics"), F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1)).alias("known"), body.alias("body"))
 
 
-_LINKS = f"html_links AS (SELECT page_id, url, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS target FROM pages)"
+_LINKS = rf"""hrefs AS (SELECT 'pages/' || page_id AS src, page_id, unnest(regexp_extract_all(html, '{_HREF}', 1)) AS h FROM pages),
+links AS (SELECT src, CASE WHEN page_id % 2 = 0 THEN regexp_replace(regexp_replace('topics' || h || '.md', '[?#].*$', ''), '\.md$', '') ELSE trim('topics' || h || '#top', ' ') END AS raw
+  FROM hrefs WHERE CASE WHEN page_id % 2 = 0 THEN regexp_full_match('topics' || h, '[^()\s]+') AND regexp_matches('topics' || h, '^topics/.') AND regexp_matches(regexp_replace(regexp_replace('topics' || h || '.md', '[?#].*$', ''), '\.md$', ''), '^topics/.') ELSE regexp_full_match(h, '[^\[\]|]*') END),
+edges AS (SELECT src, raw, trim(split_part(raw, '#', 1), ' ') AS dst FROM links)"""
 
 
-@query(f"WITH {_LINKS} SELECT page_id, target, count(*) AS n FROM html_links GROUP BY ALL")
+def _edges(spark, sf_dir):
+    return graph.raw_edges(_linked_pages(spark, sf_dir))
+
+
+@query(f"WITH {_LINKS} SELECT src, raw, dst, count(*) AS n FROM edges GROUP BY ALL")
 def link_extract(spark, sf_dir):
-    return _html_links(spark, sf_dir).groupBy("page_id", "target").agg(F.count("*").alias("n"))
+    return _edges(spark, sf_dir).groupBy("src", "raw", "dst").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_LINKS} SELECT target, count(DISTINCT page_id) AS pages FROM html_links GROUP BY target")
+@query(f"WITH {_LINKS} SELECT dst, count(DISTINCT src) AS pages FROM edges WHERE dst <> '' GROUP BY dst")
 def backlink_counts(spark, sf_dir):
-    return _html_links(spark, sf_dir).select("page_id", "target").distinct().groupBy("target").agg(F.count("*").alias("pages"))
+    return _edges(spark, sf_dir).where("dst <> ''").select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("pages"))
 
 
-@query(f"""WITH {_LINKS}, known AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
-SELECT page_id AS src, string_agg(DISTINCT target, ', ' ORDER BY target) AS targets FROM html_links WHERE target NOT IN (SELECT path FROM known) GROUP BY page_id""")
+@query(rf"""WITH {_LINKS}, known AS (SELECT DISTINCT 'topics' || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
+SELECT src, string_agg(DISTINCT dst, ', ' ORDER BY dst) AS targets FROM edges WHERE dst <> '' AND dst NOT IN (SELECT path FROM known) GROUP BY src""")
 def broken_links(spark, sf_dir):
     """Targets that are no page's path, by page."""
-    known = table(spark, sf_dir, "pages").select(F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^?#]*)", 1).alias("target")).distinct()
-    lost = _html_links(spark, sf_dir).join(known, "target", "left_anti").select(F.col("page_id").alias("src"), F.col("target").alias("dst"), F.lit(True).alias("broken"))
-    return graph.broken_by_source(lost)
+    linked = _linked_pages(spark, sf_dir)
+    known = linked.select(F.col("known").alias("id"), F.lit("").alias("body")).distinct()
+    return graph.broken_by_source(graph.index_edges(known.unionByName(linked.select("id", "body"))).where(F.startswith("src", F.lit("pages/"))))
+
+
+@query(rf"""WITH {_LINKS}, known AS (SELECT DISTINCT 'topics' || regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
+SELECT 'error' AS severity, 'broken-link' AS kind, src AS id, raw AS detail FROM edges WHERE dst <> '' AND dst NOT IN (SELECT path FROM known) AND raw NOT IN (SELECT path FROM known)""")
+def lint_broken_links(spark, sf_dir):
+    linked = _linked_pages(spark, sf_dir)
+    return lint.broken_links(linked.select(F.col("known").alias("id")), graph.raw_edges(linked))
 
 
-@query()
+@query(rf"""WITH {PAGES} SELECT id AS src, unnest(regexp_extract_all(body, '\[\[([^\[\]|]+)(?:\|[^\[\]]*)?\]\]', 1)) AS raw FROM (SELECT id, coalesce(body, '') || ' [[documents/1]]' AS body FROM pages)""")
 def text_links(spark, sf_dir):
-    """Wiki and markdown links of documents' texts, by page."""
-    return graph.raw_edges(pages(spark, sf_dir).select("id", "body"))
+    """Wiki links of documents' texts, a link added to each."""
+    rows = pages(spark, sf_dir).select("id", F.concat(F.coalesce("body", F.lit("")), F.lit(" [[documents/1]]")).alias("body"))
+    return graph.raw_edges(rows).select("src", "raw")
 
 
 @query(f"WITH {ORDER_LINKS} SELECT dst AS id, count(DISTINCT src) AS inbound FROM order_links WHERE src <> dst GROUP BY dst")
@@ -91,10 +110,7 @@ def supersede_cycles(spark, sf_dir):
 
 def _checkpointed(spark, run):
     """run() with a checkpoint folder: the session's, or one of its own where none is set."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    checkpoints(spark)
     return run()
 
 
@@ -105,37 +121,91 @@ def last_positions(spark, sf_dir):
     return graph.last_positions(moves)
 
 
-@query(f"""WITH {PAGES},
+def _vault(spark, sf_dir):
+    """Documents as pages of a vault on which every rule finds something."""
+    d = F.col("d")
+    rows = pages(spark, sf_dir).withColumn("d", F.substring_index("id", "/", -1).cast("long"))
+    kind = F.get(F.array(*map(F.lit, _TYPES)), F.pmod(d, F.lit(len(_TYPES))).cast("int"))
+    extra = F.when(d % 6 == 0, "\n| [[entities/b|B]] |").when(d % 8 == 1, " [a](entities/a.md) [b](topics/b.md#x) [c](https://e.org/a)").otherwise("")
+    pair = F.concat(F.lit("documents/"), F.when(d % 20 == 0, d + 1).otherwise(d - 1).cast("string"))
+    after = F.when(F.pmod(d, F.lit(20)) < 2, pair).when(d % 33 == 3, "documents/none").when(d % 11 == 0, F.col("superseded_by"))
+    return rows.select("id", kind.alias("type"), "title", F.concat(F.coalesce("body", F.lit("")), extra).alias("body"), "summary", F.when(d % 3 == 0, F.array().cast("array<string>")).otherwise(F.col("sources")).alias("sources"), after.alias("superseded_by"), F.when(d % 50 == 7, "soon").otherwise(F.col("valid_from")).alias("valid_from"), "valid_to")
+
+
+_TYPES = ["entity", "concept", "source", "topic", "odd"]
+_VAULT = rf"""{PAGES},
+numbered AS (SELECT *, split_part(id, '/', 2)::BIGINT AS d FROM pages),
+vault AS (
+  SELECT id, ({_TYPES!r})[d % 5 + 1] AS type, title, coalesce(body, '') || CASE WHEN d % 6 = 0 THEN chr(10) || '| [[entities/b|B]] |' WHEN d % 8 = 1 THEN ' [a](entities/a.md) [b](topics/b.md#x) [c](https://e.org/a)' ELSE '' END AS body, summary,
+         CASE WHEN d % 3 = 0 THEN [] ELSE [cited] END AS sources, CASE WHEN d % 20 < 2 THEN 'documents/' || CASE WHEN d % 20 = 0 THEN d + 1 ELSE d - 1 END WHEN d % 33 = 3 THEN 'documents/none' ELSE superseded_by END AS superseded_by,
+         CASE WHEN d % 50 = 7 THEN 'soon' ELSE valid_from END AS valid_from, valid_to FROM numbered),
 found AS (
-  SELECT 'error' AS severity, 'unregistered-type' AS kind, id, type AS detail FROM pages
-  UNION ALL SELECT 'warning', 'missing-title', id, '' FROM pages WHERE trim(coalesce(title, '')) = ''
-  UNION ALL SELECT 'warning', 'missing-summary', id, '' FROM pages WHERE trim(coalesce(summary, '')) = ''
-  UNION ALL SELECT 'warning', 'invalid-date', id, 'valid_from after valid_to' FROM pages WHERE valid_from > valid_to)
-SELECT * FROM found""")
+  SELECT 'error' AS severity, 'unregistered-type' AS kind, id, type AS detail FROM vault WHERE type = 'odd'
+  UNION ALL SELECT 'warning', 'missing-title', id, '' FROM vault WHERE trim(coalesce(title, '')) = ''
+  UNION ALL SELECT 'warning', 'missing-summary', id, '' FROM vault WHERE trim(coalesce(summary, '')) = ''
+  UNION ALL SELECT 'warning', 'missing-sources', id, '' FROM vault WHERE len(sources) = 0 AND type IN ('entity', 'concept')
+  UNION ALL SELECT 'warning', 'wikilink-pipe-in-table-cell', id, '' FROM vault WHERE len(list_filter(string_split(body, chr(10)), lambda x: starts_with(x, '|') AND regexp_matches(x, '\[\[[^\]]*\|[^\]]*\]\]'))) > 0
+  UNION ALL SELECT 'warning', 'non-canonical-wiki-link', id, n::VARCHAR FROM (SELECT id, len(list_filter(regexp_extract_all(body, '\[[^\[\]]*\]\(([^()\s]+)\)', 1), lambda x: regexp_matches(x, '^(entities|concepts|sources|topics)/.'))) AS n FROM vault) WHERE n > 0
+  UNION ALL SELECT 'warning', 'invalid-date', id, 'valid_from soon' FROM vault WHERE valid_from = 'soon'
+  UNION ALL SELECT 'warning', 'invalid-date', id, 'valid_from after valid_to' FROM vault WHERE valid_from > valid_to AND valid_from <> 'soon')"""
+
+
+@query(f"WITH {_VAULT} SELECT * FROM found")
 def lint_page_rules(spark, sf_dir):
-    """Rules that look at one page; language codes are no registered types, so every page has that finding."""
-    return lint.page_rules(pages(spark, sf_dir)).where("kind not in ('wikilink-pipe-in-table-cell', 'non-canonical-wiki-link')")
+    """Rules that look at one page."""
+    return lint.page_rules(_vault(spark, sf_dir))
 
 
-_REFERENCES = f"""{PAGES},
+_REFERENCES = f"""{_VAULT},
 refs AS (
-  SELECT 'error' AS severity, 'dangling-supersede' AS kind, id, superseded_by AS detail FROM pages WHERE superseded_by IS NOT NULL AND superseded_by NOT IN (SELECT id FROM pages)
-  UNION ALL SELECT 'warning', 'broken-source', id, cited FROM pages WHERE cited NOT IN (SELECT id FROM pages))"""
+  SELECT 'error' AS severity, 'dangling-supersede' AS kind, id, superseded_by AS detail FROM vault WHERE coalesce(superseded_by, '') <> '' AND superseded_by NOT IN (SELECT id FROM vault)
+  UNION ALL SELECT 'error', 'supersede-cycle', id, '2' FROM vault WHERE split_part(id, '/', 2)::BIGINT % 20 < 2 AND superseded_by IN (SELECT id FROM vault)
+  UNION ALL SELECT 'warning', 'broken-source', id, sources[1] FROM vault WHERE len(sources) > 0 AND sources[1] NOT IN (SELECT id FROM vault))"""
+
+
+def _references(spark, sf_dir):
+    return _checkpointed(spark, lambda: lint.reference_rules(_vault(spark, sf_dir).drop("body")))
 
 
 @query(f"WITH {_REFERENCES} SELECT * FROM refs")
 def lint_reference_rules(spark, sf_dir):
-    return _checkpointed(spark, lambda: lint.reference_rules(pages(spark, sf_dir).drop("body")))
+    return _references(spark, sf_dir)
 
 
-@query(f"WITH {_REFERENCES} SELECT severity, kind, count(*) AS n FROM refs GROUP BY ALL")
+@query(f"WITH {_REFERENCES} SELECT severity, kind, count(*) AS n FROM (SELECT * FROM found UNION ALL SELECT * FROM refs) GROUP BY ALL")
 def lint_kind_counts(spark, sf_dir):
-    return _checkpointed(spark, lambda: lint.kind_counts(lint.reference_rules(pages(spark, sf_dir).drop("body"))))
+    return lint.shown(lint.page_rules(_vault(spark, sf_dir)).unionByName(_references(spark, sf_dir)))
 
 
 @query(f"WITH {_REFERENCES} SELECT severity, kind, count(*) OVER (PARTITION BY severity, kind) AS n, id || ': ' || detail AS item FROM refs")
 def audit_report(spark, sf_dir):
-    return _checkpointed(spark, lambda: sinks.audit_groups(lint.reference_rules(pages(spark, sf_dir).drop("body"))))
+    return sinks.audit_groups(_references(spark, sf_dir))
+
+
+@query(f"""WITH {_VAULT} SELECT * FROM found WHERE kind = 'invalid-date' AND id IN (SELECT id FROM vault WHERE type = 'topic')""")
+def lint_of_written_pages(spark, sf_dir):
+    """One kind of finding, of some pages only."""
+    vault = _vault(spark, sf_dir)
+    return lint.of_paths(lint.shown(lint.page_rules(vault), True, "invalid-date"), vault.where("type = 'topic'"))
+
+
+_SHARED = rf"""WITH n AS (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '/' || p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS dir, p_type, p_partkey AS d,
+  trim(regexp_replace(lower(p_name), '\s+', ' ', 'g')) AS key FROM part),
+groups AS (SELECT p_type, key, count(*) AS n, min(id) AS first FROM n GROUP BY ALL HAVING count(*) > 1)"""
+
+
+@query(f"""{_SHARED}, pairs AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.p_type = b.p_type AND a.key = b.key AND a.id < b.id JOIN groups g ON g.p_type = a.p_type AND g.key = a.key WHERE g.n <= 10 OR a.id = g.first)
+SELECT 'warning' AS severity, 'duplicate-candidate' AS kind, a AS id, b || ' (same title)' AS detail FROM pairs UNION ALL SELECT 'warning', 'duplicate-candidate', b, a || ' (same title)' FROM pairs
+UNION ALL SELECT 'note', 'duplicate-detection-skipped', '', n || ' pages of type ' || p_type || ' share the title ' || key FROM groups WHERE n > 10
+UNION ALL SELECT 'note', 'hygiene-skipped', '', 'the index holds vectors of hash, not of model'""")
+def lint_duplicates_and_notes(spark, sf_dir):
+    """Duplicate titles under both pages, and the notes of a check whose index has another embedder's vectors."""
+    brand = F.regexp_replace(F.lower("p_brand"), r"[^a-z0-9]", "")
+    rows = table(spark, sf_dir, "part").select(F.concat_ws("/", brand, F.col("p_partkey").cast("string")).alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("title"))
+    titles, notes = names.title_pairs(rows)
+    none = spark.createDataFrame([], "id string, type string, embedding array<double>")
+    contents, large = names.content_pairs(none)
+    return lint.duplicate_candidates(names.ranked_pairs(titles, contents, none)).unionByName(lint.notes(notes, large, "hash", "model"))
 
 
 def _cited(spark, sf_dir):

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.operators import filters, names
+from folioq.operators import filters, names, refactor
 from folioq.operators.upkeep import access_counts
 from folioq.plans.register import registry
 from folioq.plans.tables import ACCESS, PAGES, TODAY, VALID_NOW, access_events, pages, table
@@ -19,8 +19,8 @@ def _hits(spark, sf_dir, text, prefix=""):
     return filters.run_query(pages(spark, sf_dir), access_counts(access_events(spark, sf_dir)), text, TODAY, prefix)
 
 
-def _shown(rows):
-    return rows.select("id", "type", "path", F.coalesce("title", F.lit("")).alias("title"), "updated_at", "reads", "search_hits", "validity", F.array_join("tags", ",").alias("tags"), F.coalesce("summary", F.lit("")).alias("summary"))
+def _shown(rows, *more):
+    return rows.select("id", "type", "path", F.coalesce("title", F.lit("")).alias("title"), "updated_at", "reads", "search_hits", "validity", F.array_join("tags", ",").alias("tags"), F.coalesce("summary", F.lit("")).alias("summary"), *more)
 
 
 _LABEL = f"""CASE WHEN coalesce(superseded_by, '') <> '' THEN 'superseded' WHEN valid_to < '{TODAY}' THEN 'expired' WHEN valid_from > '{TODAY}' THEN 'upcoming' ELSE 'current' END"""
@@ -58,6 +58,18 @@ def filter_page_offset(spark, sf_dir):
     return _shown(filters.paged(_hits(spark, sf_dir, "*", prefix="documents/1"), 20, 100))
 
 
+@query(_sql(VALID_NOW, "ORDER BY coalesce(updated_at, '') DESC, id LIMIT 100 OFFSET 50").replace("AS summary\n", "AS summary, count(*) OVER () AS total, CASE WHEN count(*) OVER () > 150 THEN 150 END AS next_offset\n"))
+def filter_page_with_total(spark, sf_dir):
+    """The second page of a list, with the list's length and where the next page begins."""
+    page = filters.page_with_total(_hits(spark, sf_dir, "*"), 50)
+    return _shown(page, "total", "next_offset")
+
+
+@query(_sql("TRUE", "ORDER BY coalesce(updated_at, '') DESC, id LIMIT 200").replace("AS summary\n", "AS summary, count(*) OVER () AS total\n"))
+def filter_first_with_total(spark, sf_dir):
+    return _shown(filters.first_with_total(_hits(spark, sf_dir, "valid:all")), "total")
+
+
 @query(_sql("TRUE", "ORDER BY coalesce(reads, 0) * 2 + coalesce(search_hits, 0) DESC, updated_at DESC, id LIMIT 100"))
 def salience_order(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, "valid:all AND sort:salience").limit(100))
@@ -109,10 +121,10 @@ def slug_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug_key(F.col("p_name")).alias("slug"))
 
 
-@query(f"""WITH k AS (SELECT substring(text, 1, 24) AS name FROM documents), s AS (SELECT DISTINCT {_SLUG % 'name'} AS key FROM k)
+@query(f"""WITH k AS (SELECT split_part(text, chr(10), 1) AS name FROM documents), s AS (SELECT DISTINCT {_SLUG % 'name'} AS key FROM k)
 SELECT key, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match FROM s""")
 def match_keys(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select(T.slug_key(F.substring("text", 1, 24)).alias("key")).distinct()
+    keys = table(spark, sf_dir, "documents").select(T.slug_key(F.substring_index("text", "\n", 1)).alias("key")).distinct()
     return keys.select("key", T.match_key(F.col("key")).alias("match"))
 
 
@@ -151,8 +163,9 @@ def _titled(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"), F.col("p_name").alias("title"))
 
 
-@query(f"""WITH {_TITLES} SELECT a.id AS a, b.id AS b FROM titled a JOIN titled b ON a.type = b.type AND a.key = b.key AND a.id < b.id JOIN sizes s ON s.type = a.type AND s.key = a.key WHERE s.n <= 10""")
+@query(f"""WITH {_TITLES} SELECT a.id AS a, b.id AS b FROM titled a JOIN titled b ON a.type = b.type AND a.key = b.key AND a.id < b.id JOIN sizes s ON s.type = a.type AND s.key = a.key WHERE s.n <= 10 OR a.id = (SELECT min(id) FROM titled t WHERE t.type = a.type AND t.key = a.key)""")
 def duplicate_titles(spark, sf_dir):
+    """All pairs of a title that few pages share, and each page with the first one where many do."""
     return names.title_pairs(_titled(spark, sf_dir))[0]
 
 
@@ -165,27 +178,70 @@ def _vectors(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("type"), "embedding")
 
 
+_IDS = ["entities/A.b-{d}", "entities/a..b{d}", "entities/{d}.", "topics/x/y{d}", "odd/y{d}", "concepts/ü{d}", "sources/a{d}.md", "entities/./{d}", "entities//{d}", "C:/x{d}", "entities/_{d}", "topics/a b{d}", "concepts\\\\{d}"]
+_ODD_ID = r"contains(id, '..') OR regexp_matches(id, '(^|/)\.(/|$)')"
+
+
+@query(rf"""WITH i AS (SELECT doc_id, replace(([{', '.join(chr(39) + x + chr(39) for x in _IDS)}])[doc_id % {len(_IDS)} + 1], '{{d}}', doc_id::VARCHAR) AS id FROM documents)
+SELECT doc_id, id, regexp_matches(id, '{refactor.ID_FORM}') AND NOT ({_ODD_ID}) AS valid, regexp_matches(id, '{refactor.NEW_ID_FORM}') AND NOT ({_ODD_ID}) AND NOT ends_with(id, '.md') AS valid_new FROM i""")
+def id_forms(spark, sf_dir):
+    """Ids of many forms, checked as ids of pages that exist and of new ones."""
+    forms = F.array(*map(F.lit, _IDS))
+    ids = F.replace(F.get(forms, F.pmod("doc_id", F.lit(len(_IDS))).cast("int")), F.lit("{d}"), F.col("doc_id").cast("string"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("id"))
+    return rows.select("doc_id", "id", refactor.valid_id(F.col("id")).alias("valid"), refactor.valid_new_id(F.col("id")).alias("valid_new"))
+
+
+@query(rf"""WITH n AS (SELECT (['entities', 'concepts', 'sources', 'topics'])[p_partkey % 4 + 1] AS dir, p_partkey, p_name, {_SLUG % 'p_name'} || '-' || p_partkey AS key FROM part),
+asked AS (SELECT key AS name FROM n WHERE p_partkey = 12),
+pages AS (SELECT dir || '/' || key AS id, dir, key, p_name AS title, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match FROM n)
+SELECT id, title, CASE WHEN key = name THEN 'exact' WHEN match = replace(replace(replace(name, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') THEN 'normalised' ELSE 'similar' END AS reason
+FROM pages, asked WHERE key = name OR match = replace(replace(replace(name, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') OR (least(length(key), length(name)) >= 3 AND levenshtein(key, name) <= CASE WHEN least(length(key), length(name)) < 8 THEN 1 ELSE 2 END)""")
+def name_lookup(spark, sf_dir):
+    """A bare name looked up in four directories."""
+    directory = F.get(F.array(*map(F.lit, T.PAGE_TYPES)), F.pmod("p_partkey", F.lit(4)).cast("int"))
+    key = F.concat_ws("-", T.slug_key(F.col("p_name")), F.col("p_partkey").cast("string"))
+    part = table(spark, sf_dir, "part").select("p_partkey", key.alias("key"), F.concat_ws("/", directory, key).alias("id"), F.col("p_name").alias("title"), F.array().cast("array<string>").alias("aliases"))
+    asked = part.where("p_partkey = 12").select("key").first()
+    return names.lookup(part, asked[0] if asked else "-")
+
+
 _CONTENT = """v AS (SELECT vec_id AS id, label AS type, embedding::DOUBLE[] AS e FROM embeddings),
-ok AS (SELECT type FROM v GROUP BY type HAVING count(*) <= 2000),
-content AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.type = b.type AND a.id < b.id SEMI JOIN ok ON ok.type = a.type)"""
+ok AS (SELECT type, count(*) AS n FROM v GROUP BY type),
+content AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e), 6) AS similarity FROM v a JOIN v b ON a.type = b.type AND a.id < b.id JOIN ok ON ok.type = a.type WHERE n <= CAP OR a.id % 50 = 0 OR b.id % 50 = 0)"""
+
+
+def _contents(spark, sf_dir, cap=names.CONTENT_CAP):
+    return names.content_pairs(_vectors(spark, sf_dir), 0.3, cap, F.pmod("id", F.lit(50)) == 0)
+
+
+@query(f"WITH {_CONTENT} SELECT * FROM content WHERE similarity >= 0.3".replace("CAP", "30"))
+def duplicate_contents_of_large_types(spark, sf_dir):
+    """Types above a cap of 30: every fiftieth embedding against all of its type."""
+    return _contents(spark, sf_dir, 30)[0]
+
+
+@query("SELECT label AS type, count(*) AS pages FROM embeddings GROUP BY label HAVING count(*) > 30")
+def duplicate_content_notes(spark, sf_dir):
+    return _contents(spark, sf_dir, 30)[1]
 
 
-@query(f"WITH {_CONTENT} SELECT * FROM content WHERE similarity >= 0.3")
+@query(f"WITH {_CONTENT} SELECT * FROM content WHERE similarity >= 0.3".replace("CAP", str(names.CONTENT_CAP)))
 def duplicate_contents(spark, sf_dir):
     """Embeddings of one label that are nearly equal."""
-    return names.content_pairs(_vectors(spark, sf_dir), threshold=0.3)[0]
+    return _contents(spark, sf_dir)[0]
 
 
 @query(f"""WITH {_CONTENT}, near AS (SELECT * FROM content WHERE similarity >= 0.3),
 titles AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e), 6) AS s FROM v a JOIN v b ON a.type = b.type AND b.id = a.id + 10),
 pairs AS (SELECT coalesce(n.a, t.a) AS a, coalesce(n.b, t.b) AS b, coalesce(similarity, s) AS similarity, t.a IS NOT NULL AS by_title FROM titles t FULL JOIN near n ON n.a = t.a AND n.b = t.b)
-SELECT a, b, similarity, by_title, CASE WHEN by_title AND (similarity IS NULL OR similarity < 0.7) THEN 'check-or-distinct' ELSE 'merge' END AS suggestion FROM pairs""")
+SELECT a, b, similarity, by_title, CASE WHEN by_title AND (similarity IS NULL OR similarity < 0.7) THEN 'check-or-distinct' ELSE 'merge' END AS suggestion FROM pairs""".replace("CAP", str(names.CONTENT_CAP)))
 def duplicate_pairs(spark, sf_dir):
     """Pairs by content and by name (here: the embedding ten ids on), merged and with a suggestion."""
     v = _vectors(spark, sf_dir)
     ahead = v.select((F.col("id") - 10).alias("a"), F.col("id").alias("b"), F.col("type"))
     titles = ahead.join(v.select(F.col("id").alias("a"), "type"), ["a", "type"]).select("a", "b")
-    return names.ranked_pairs(titles, names.content_pairs(v, threshold=0.3)[0], v)
+    return names.ranked_pairs(titles, _contents(spark, sf_dir)[0], v)
 
 
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents),
@@ -196,13 +252,15 @@ def chunk_windows(spark, sf_dir):
     return rows.select("doc_id", "c.chunk_idx", F.md5("c.chunk").alias("chunk_md5"))
 
 
-@query("""WITH h AS (SELECT doc_id, substring(text, 1, 200) || ' (' || lang || ') › ' || source AS head, nullif(trim(substring(text, 1, 400)), '') AS s FROM documents)
+@query("""WITH h AS (SELECT doc_id, split_part(text, chr(10), 1) || ' (' || lang || ') › ' || source AS head, nullif(trim(text), '') AS s FROM documents)
 SELECT doc_id, CASE WHEN length(head) <= 160 THEN head ELSE substring(head, 1, 159) || '…' END || coalesce(' — ' || CASE WHEN length(s) <= 280 THEN s ELSE substring(s, 1, 279) || '…' END, '') AS header FROM h""")
 def contextual_headers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.contextual_header(F.substring("text", 1, 200), F.col("lang"), F.array("source"), F.substring("text", 1, 400)).alias("header"))
+    return docs.select("doc_id", T.contextual_header(F.substring_index("text", "\n", 1), F.col("lang"), F.array("source"), F.col("text")).alias("header"))
 
 
-@query()
+@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[«»]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents),
+h AS (SELECT *, substring(t, 1, 80) AS head FROM f)
+SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(CASE WHEN substring(t, 81, 1) = ' ' THEN head ELSE coalesce(nullif(regexp_extract(head, '^(.*) [^ ]*$', 1), ''), head) END, ' ') || '…' END AS snippet FROM h""")
 def plain_snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.plain_snippet(F.col("text")).alias("snippet"))

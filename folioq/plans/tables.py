@@ -20,14 +20,14 @@ def _day(days):
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as pages: type from lang, tags from lang and source, dates and successors from the id."""
+    """documents as pages: type from lang, tags from lang and source, title the first and summary the last line, dates and successors from the id."""
     d = F.col("doc_id")
     name = lambda n: F.concat(F.lit("documents/"), n.cast("string"))
     return table(spark, sf_dir, "documents").select(
         name(d).alias("id"),
         F.col("lang").alias("type"),
         F.concat_ws("/", "source", d.cast("string")).alias("path"),
-        F.when(d % 13 != 0, F.substring("text", 1, 30)).alias("title"),
+        F.when(d % 13 != 0, F.substring_index("text", "\n", 1)).alias("title"),
         F.col("text").alias("body"),
         _day(d % 400).alias("updated_at"),
         _day(d % 400).alias("created"),
@@ -36,19 +36,19 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(d % 11 == 0, name(d + 1)).alias("superseded_by"),
         F.array("lang", "source").alias("tags"),
         F.array(name((d * 3) % 100_000)).alias("sources"),
-        F.when(d % 5 != 0, F.substring("text", 1, 10)).alias("summary"),
+        F.when(d % 5 != 0, F.substring_index("text", "\n", -1)).alias("summary"),
     )
 
 
 PAGES = """pages AS (
   SELECT 'documents/' || doc_id AS id, lang AS type, source || '/' || doc_id AS path,
-         CASE WHEN doc_id % 13 <> 0 THEN substring(text, 1, 30) END AS title, text AS body,
+         CASE WHEN doc_id % 13 <> 0 THEN split_part(text, chr(10), 1) END AS title, text AS body,
          strftime(DATE '2024-01-01' + (doc_id % 400)::INTEGER, '%Y-%m-%d') AS updated_at,
          CASE WHEN doc_id % 9 = 0 THEN strftime(DATE '2024-01-01' + (doc_id % 300)::INTEGER, '%Y-%m-%d') END AS valid_from,
          CASE WHEN doc_id % 7 = 0 THEN strftime(DATE '2024-01-01' + (doc_id % 500)::INTEGER, '%Y-%m-%d') END AS valid_to,
          CASE WHEN doc_id % 11 = 0 THEN 'documents/' || (doc_id + 1) END AS superseded_by,
          lang, source, 'documents/' || ((doc_id * 3) % 100000) AS cited,
-         CASE WHEN doc_id % 5 <> 0 THEN substring(text, 1, 10) END AS summary
+         CASE WHEN doc_id % 5 <> 0 THEN string_split(text, chr(10))[-1] END AS summary
   FROM documents)"""
 VALID_NOW = f"""(valid_to IS NULL OR valid_to >= '{TODAY}') AND (valid_from IS NULL OR valid_from <= '{TODAY}') AND coalesce(superseded_by, '') = ''"""
 TOKENS = rf"""list_filter(regexp_split_to_array(translate(lower(coalesce(%s, '')), '{ACCENTED}', '{PLAIN}'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"""
@@ -93,11 +93,11 @@ PART_EDGES = """part_edges AS (
 def work_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as outcomes of work: errors are done, views skipped, clicks deferred."""
     outcome = F.when(F.col("event_type") == "error", "done").when(F.col("event_type") == "view", "skipped").when(F.col("event_type") == "click", "deferred")
-    kind = F.element_at(F.array(F.lit("orphan"), F.lit("decay"), F.lit("merge")), (F.col("user_id") % 3 + 1).cast("int"))
+    kind = F.element_at(F.array(F.lit("orphan"), F.lit("decay-candidate"), F.lit("broken-source")), (F.col("user_id") % 3 + 1).cast("int"))
     return table(spark, sf_dir, "events").select(kind.alias("kind"), F.concat(F.lit("documents/"), F.col("user_id").cast("string")).alias("pages"), outcome.alias("outcome"), F.col("event_id").alias("seq")).where("outcome is not null")
 
 
 WORK_LOG = """work_log AS (
-  SELECT CASE user_id % 3 WHEN 0 THEN 'orphan' WHEN 1 THEN 'decay' ELSE 'merge' END AS kind, 'documents/' || user_id AS pages,
+  SELECT CASE user_id % 3 WHEN 0 THEN 'orphan' WHEN 1 THEN 'decay-candidate' ELSE 'broken-source' END AS kind, 'documents/' || user_id AS pages,
          CASE event_type WHEN 'error' THEN 'done' WHEN 'view' THEN 'skipped' ELSE 'deferred' END AS outcome, event_id AS seq
   FROM events WHERE event_type IN ('error', 'view', 'click'))"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioq.operators import chunks, refactor, upkeep, versions
@@ -30,22 +33,80 @@ def log_stats(spark, sf_dir):
     return upkeep.log_stats(work_log(spark, sf_dir))
 
 
+_INBOUND = "inbound AS (SELECT cited AS id, count(DISTINCT id) AS n FROM pages WHERE id <> cited GROUP BY cited)"
+_CANDIDATES = f"""{PAGES}, {ACCESS}, {_INBOUND},
+numbered AS (SELECT *, split_part(id, '/', 2)::BIGINT AS d FROM pages),
+copies AS (SELECT d, lead(d) OVER (PARTITION BY md5(body) ORDER BY d) AS next FROM numbered WHERE body IS NOT NULL),
+old AS (SELECT * FROM numbered WHERE epoch(CAST(updated_at AS DATE))::BIGINT < {NOW} - 7776000 AND id NOT IN (SELECT id FROM inbound)),
+candidates AS (
+  SELECT 'duplicate-candidate' AS kind, [d, next] AS ds, CASE WHEN d % 2 = 0 THEN 'check-or-distinct' END AS action, 'same text' AS reason, d AS seq FROM copies WHERE next IS NOT NULL
+  UNION ALL SELECT 'broken-link', [d], NULL, 'links to missing page(s): ' || superseded_by, d FROM numbered WHERE superseded_by IS NOT NULL AND superseded_by NOT IN (SELECT id FROM pages)
+  UNION ALL SELECT 'broken-source', [d], NULL, 'sources entry ' || chr(39) || cited || chr(39) || ' has no page', d FROM numbered WHERE cited NOT IN (SELECT id FROM pages) AND d % 3 = 0
+  UNION ALL SELECT 'summary-stale', [d], NULL, 'the body changed since the summary was written', d FROM numbered WHERE trim(coalesce(summary, '')) <> '' AND d % 4 = 0 AND sha256(body) <> sha256(summary)
+  UNION ALL SELECT 'missing-summary', [d], NULL, '1 pages link here, but it has no summary', d FROM numbered JOIN inbound USING (id) WHERE trim(coalesce(summary, '')) = ''
+  UNION ALL SELECT 'decay-candidate', [d], NULL, 'never read', d FROM old LEFT JOIN access ON page_id = id WHERE coalesce(reads, 0) = 0
+  UNION ALL SELECT 'orphan', [d], NULL, 'no other page links here', d FROM old)"""
+
+
 def _candidates(spark, sf_dir):
-    """Work on documents by their labels: bad ones are to be merged, toxic ones checked, the rest may decay."""
-    d = table(spark, sf_dir, "labels")
-    name = F.concat(F.lit("documents/"), F.col("doc_id").cast("string")).alias("page")
-    kinds = [("merge", F.col("quality") == 0), ("check-or-distinct", F.col("toxic") == 1), ("decay", F.lit(True))]
-    return d.select(F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in kinds]), lambda k: k.isNotNull())).alias("kind"), name, F.col("doc_id").alias("seq"))
-
-
-@query(f"""WITH {_SKIPS},
-c AS (SELECT 'documents/' || doc_id AS page, doc_id AS seq, unnest(list_filter([CASE WHEN quality = 0 THEN 'merge' END, CASE WHEN toxic = 1 THEN 'check-or-distinct' END, 'decay'], lambda k: k IS NOT NULL)) AS kind FROM labels),
-r AS (SELECT c.*, CASE kind WHEN 'merge' THEN 1 WHEN 'check-or-distinct' THEN 2 ELSE 3 END AS priority, CASE kind WHEN 'merge' THEN 1 WHEN 'check-or-distinct' THEN 2 ELSE 6 END AS kind_order FROM c),
-s AS (SELECT r.*, coalesce(k.skipped, 0) AS skipped FROM r LEFT JOIN skips k ON k.kind = r.kind AND k.pages = r.page),
-f AS (SELECT *, CASE WHEN priority = 3 AND skipped >= 3 THEN 1 ELSE 0 END AS late FROM s QUALIFY row_number() OVER (PARTITION BY page ORDER BY priority, kind_order, seq) = 1)
-SELECT (row_number() OVER (ORDER BY priority, late, kind_order, seq, page))::INTEGER AS place, priority, kind, page, skipped, greatest(0, count(*) OVER () - 50) AS omitted FROM f QUALIFY place <= 50""")
+    """Work of all seven kinds on documents: neighbouring copies, lost successors and sources, summaries, and pages without links."""
+    rows = pages(spark, sf_dir).withColumn("d", F.substring_index("id", "/", -1).cast("long"))
+    ids = rows.select("id")
+    inbound = rows.select(F.col("id").alias("src"), F.explode("sources").alias("id")).where("src <> id").distinct().groupBy("id").agg(F.count("*").alias("inbound"))
+    copies = rows.where("body is not null").select("d", "id", F.md5("body").alias("h")).withColumn("next", F.lead("id").over(Window.partitionBy("h").orderBy("d")))
+
+    def work(found, kind, reason, ids=F.array("id"), action=None):
+        return found.select(F.lit(kind).alias("kind"), ids.alias("pages"), F.lit(None).cast("string").alias("action") if action is None else action.alias("action"), reason.alias("reason"), F.col("d").alias("seq"))
+
+    lost = lambda c: rows.where(F.col(c).isNotNull()).join(ids.withColumnRenamed("id", c), c, "left_anti")
+    cited = rows.withColumn("cited", F.get("sources", F.lit(0)))
+    hashed = rows.select("id", "summary", F.sha2("body", 256).alias("body_hash"), F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_body_hash"))
+    summaries = upkeep.summary_work(hashed, inbound, hub_links=1).withColumnRenamed("page", "id").withColumn("d", F.substring_index("id", "/", -1).cast("long"))
+    old = rows.where(F.unix_timestamp(F.to_timestamp("updated_at")) < NOW - 90 * upkeep.DAY).join(inbound, "id", "left_anti")
+    unread = old.join(upkeep.access_counts(access_events(spark, sf_dir)).where("reads > 0").select(F.col("page_id").alias("id")), "id", "left_anti")
+    parts = [
+        work(copies.where("next is not null"), "duplicate-candidate", F.lit("same text"), F.array("id", "next"), F.when(F.col("d") % 2 == 0, upkeep.PAIR_CHECK)),
+        work(lost("superseded_by"), "broken-link", F.concat(F.lit("links to missing page(s): "), F.col("superseded_by"))),
+        work(cited.where("d % 3 = 0").join(ids.withColumnRenamed("id", "cited"), "cited", "left_anti"), "broken-source", F.concat(F.lit("sources entry '"), F.col("cited"), F.lit("' has no page"))),
+        work(summaries.where("kind = 'summary-stale' and d % 4 = 0"), "summary-stale", F.lit("the body changed since the summary was written")),
+        work(summaries.where("kind = 'missing-summary'"), "missing-summary", F.concat(F.col("inbound").cast("string"), F.lit(" pages link here, but it has no summary"))),
+        work(unread, "decay-candidate", F.lit("never read")),
+        work(old, "orphan", F.lit("no other page links here")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+_QUEUE = f"""WITH {_SKIPS}, {_CANDIDATES},
+named AS (SELECT *, list_transform(ds, lambda d: 'documents/' || d) AS pages_, array_to_string(list_transform(ds, lambda d: 'documents/' || d), ',') AS key FROM candidates),
+ranked AS (
+  SELECT c.kind, c.pages_, c.ds, c.seq, coalesce(skipped, 0) AS skipped, CASE c.kind WHEN 'duplicate-candidate' THEN 0 WHEN 'broken-link' THEN 1 WHEN 'broken-source' THEN 2 WHEN 'summary-stale' THEN 3 WHEN 'missing-summary' THEN 4 WHEN 'decay-candidate' THEN 5 ELSE 6 END AS kind_order,
+    coalesce(action, CASE c.kind WHEN 'duplicate-candidate' THEN 'merge' WHEN 'summary-stale' THEN 'update-summary' WHEN 'missing-summary' THEN 'write-summary' WHEN 'decay-candidate' THEN 'archive-or-supersede' WHEN 'orphan' THEN 'review-or-archive' ELSE 'fix-link' END) AS action,
+    reason || CASE WHEN coalesce(skipped, 0) >= 3 THEN ' (skipped ' || skipped || '× before — ' || CASE WHEN c.kind IN ('orphan', 'decay-candidate') THEN 'decide or mark keep' ELSE 'decide it' END || ')' ELSE '' END AS reason
+  FROM named c LEFT JOIN skips s ON s.kind = c.kind AND s.pages = c.key),
+chains AS (SELECT *, row_number() OVER (PARTITION BY md5(p.body) ORDER BY r.ds[1]) AS n FROM ranked r JOIN pages p ON p.id = r.pages_[1] WHERE len(ds) = 2),
+pairs AS (SELECT kind, pages_, ds, seq, skipped, kind_order, action, reason FROM chains WHERE n % 2 = 1),
+fixes AS (SELECT * FROM ranked WHERE action = 'fix-link' QUALIFY row_number() OVER (PARTITION BY pages_ ORDER BY kind_order, seq) = 1),
+covered AS (SELECT unnest(pages_) AS page FROM pairs UNION SELECT pages_[1] FROM fixes),
+others AS (SELECT * FROM ranked WHERE len(ds) = 1 AND action <> 'fix-link' AND pages_[1] NOT IN (SELECT page FROM covered) QUALIFY row_number() OVER (PARTITION BY pages_ ORDER BY kind_order, seq) = 1),
+items AS (SELECT * FROM pairs UNION ALL SELECT * FROM fixes UNION ALL SELECT * FROM others),
+placed AS (SELECT *, CASE WHEN kind_order < 3 THEN 1 WHEN kind_order < 5 THEN 2 ELSE 3 END AS priority, CASE WHEN kind_order >= 5 AND skipped >= 3 THEN 1 ELSE 0 END AS late FROM items)
+SELECT (row_number() OVER (ORDER BY priority, late, kind_order, seq, pages_))::INTEGER AS place, priority, kind, array_to_string(pages_, ',') AS pages, action, reason, skipped, greatest(0, count(*) OVER () - CAP) AS omitted FROM placed QUALIFY place <= CAP"""
+
+
+def _queue(spark, sf_dir, cap):
+    out = upkeep.work_queue(_candidates(spark, sf_dir), upkeep.skip_counts(work_log(spark, sf_dir)), cap)
+    return out.withColumn("pages", F.array_join("pages", ","))
+
+
+@query(_QUEUE.replace("CAP", "50"))
 def work_queue(spark, sf_dir):
-    return upkeep.work_queue(_candidates(spark, sf_dir), upkeep.skip_counts(work_log(spark, sf_dir)))
+    return _queue(spark, sf_dir, upkeep.QUEUE_CAP)
+
+
+@query(_QUEUE.replace("CAP", "10000000"))
+def work_queue_whole(spark, sf_dir):
+    """The queue with a cap above its length: items of every kind."""
+    return _queue(spark, sf_dir, 10_000_000)
 
 
 @query(f"WITH {ACCESS} SELECT page_id, reads, search_hits, last_read_at FROM access")
@@ -68,7 +129,7 @@ def decayed_pages(spark, sf_dir):
 
 
 @query(f"""WITH {PAGES}, inbound AS (SELECT cited AS id, count(DISTINCT id) AS n FROM pages WHERE id <> cited GROUP BY cited)
-SELECT CASE WHEN summary IS NOT NULL AND trim(summary) <> '' THEN 'refresh-summary' ELSE 'write-summary' END AS kind, p.id AS page FROM pages p LEFT JOIN inbound i USING (id)
+SELECT CASE WHEN summary IS NOT NULL AND trim(summary) <> '' THEN 'summary-stale' ELSE 'missing-summary' END AS kind, p.id AS page, coalesce(n, 0) AS inbound FROM pages p LEFT JOIN inbound i USING (id)
 WHERE (trim(coalesce(summary, '')) <> '' AND sha256(body) <> sha256(summary)) OR (trim(coalesce(summary, '')) = '' AND coalesce(n, 0) >= 5)""")
 def summary_work(spark, sf_dir):
     """A summary is up to date here if it is all of the body."""
@@ -85,17 +146,42 @@ def change_sessions(spark, sf_dir):
     return upkeep.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour")
 
 
-@query("""SELECT id, file_hash, state FROM (
-  SELECT coalesce(d.doc_id, o.doc_id) AS id, sha256(coalesce(d.text, o.text)) AS file_hash,
-         CASE WHEN o.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'gone' WHEN sha256(d.text) = o.old_hash THEN 'unchanged' ELSE 'changed' END AS state
-  FROM (SELECT * FROM documents WHERE doc_id % 10 <> 0) d
-  FULL JOIN (SELECT *, CASE WHEN doc_id % 4 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS old_hash FROM documents WHERE doc_id % 3 <> 0) o USING (doc_id)
-) WHERE state <> 'gone'""")
+_OLD_INDEX = "o AS (SELECT CASE WHEN doc_id % 5 = 0 THEN -doc_id - 1 ELSE doc_id END AS id, CASE WHEN doc_id % 4 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS old_hash FROM documents WHERE doc_id % 3 <> 0)"
+
+
+@query(f"""WITH {_OLD_INDEX} SELECT coalesce(d.doc_id, o.id) AS id, coalesce(sha256(d.text), old_hash) AS file_hash,
+CASE WHEN o.id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'gone' WHEN sha256(d.text) = old_hash THEN 'unchanged' ELSE 'changed' END AS state FROM documents d FULL JOIN o ON o.id = d.doc_id""")
 def hash_changes(spark, sf_dir):
-    """What is new, changed or unchanged against an index that lacks every third document and has old texts of every fourth."""
+    """What is new, changed, unchanged or gone against an index that lacks every third document, has old texts of every fourth and pages that no document is."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    index = docs.where("id % 3 <> 0").select("id", F.when(F.col("id") % 4 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("file_hash"))
-    return upkeep.changed(docs.where("id % 10 <> 0"), index).where("state <> 'gone'")
+    old_id = F.when(F.col("id") % 5 == 0, -F.col("id") - 1).otherwise(F.col("id"))
+    index = docs.where("id % 3 <> 0").select(old_id.alias("id"), F.when(F.col("id") % 4 == 0, F.sha2(F.concat("text", F.lit("!")), 256)).otherwise(F.sha2("text", 256)).alias("file_hash"))
+    return upkeep.changed(docs, index)
+
+
+@query("""WITH c AS (SELECT vec_id // 3 AS id, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT doc_id AS id, doc_id % 3 <> 0 AND doc_id % 4 <> 0 AND doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND coalesce(n, 0) > 0 AS unchanged FROM documents LEFT JOIN c ON c.id = doc_id""")
+def index_unchanged(spark, sf_dir):
+    """Pages that need no new index: hash, summary's hash, summary and chunks as before."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("file_hash"), F.lit("s").alias("summary"))
+    changed = lambda n, c, v: F.when(F.col("id") % n == 0, v).otherwise(F.col(c))
+    index = docs.where("id % 3 <> 0").select("id", changed(4, "file_hash", F.lit("old")).alias("file_hash"), changed(7, "file_hash", F.lit(None)).alias("summary_indexed_hash"), changed(5, "summary", F.lit(None)).alias("summary"))
+    return upkeep.unchanged(docs, index, table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 3).alias("page_id")))
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM embeddings) AS chunks")
+def index_counts(spark, sf_dir):
+    return upkeep.index_counts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings"))
+
+
+@query(f"""WITH {ACCESS}, now AS (SELECT max(epoch(ts))::BIGINT AS t FROM events) SELECT page_id, reads, search_hits, last_read_at FROM access, now
+WHERE split_part(page_id, '/', 2)::BIGINT % 2 = 0 OR epoch(date_trunc('second', coalesce(last_read_at, TIMESTAMP '1970-01-01'))) >= t - 2592000""")
+def access_without_gone(spark, sf_dir):
+    """Counters of pages that are here (even numbers) or were read in the last 30 days."""
+    counts = upkeep.access_counts(access_events(spark, sf_dir))
+    here = counts.select(F.col("page_id").alias("id")).where(F.substring_index("page_id", "/", -1).cast("long") % 2 == 0)
+    now = table(spark, sf_dir, "events").agg(F.max(F.unix_timestamp("ts"))).first()[0] or 0
+    return upkeep.without_gone(counts, here, now)
 
 
 @query("SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -109,11 +195,11 @@ def _versions(spark, sf_dir):
     """Turns of conversations as versions: a conversation is a commit's page."""
     t = table(spark, sf_dir, "conversations")
     sha = F.md5(F.concat_ws(":", "conv_id", "turn"))
-    return t.select(sha.alias("sha"), F.col("turn").alias("ts"), F.concat(F.lit("p"), F.pmod("conv_id", F.lit(50)).cast("string")).alias("path"), F.element_at(F.array(F.lit("A"), F.lit("M"), F.lit("D"), F.lit("R")), (F.pmod("turn", F.lit(4)) + 1).cast("int")).alias("status"), F.length("text").alias("added"), F.pmod("conv_id", F.lit(9)).alias("removed"))
+    return t.select(sha.alias("sha"), F.col("turn").alias("ts"), F.concat(F.lit("p"), F.pmod("conv_id", F.lit(50)).cast("string")).alias("path"), F.element_at(F.array(*map(F.lit, "AMDRC")), (F.pmod("turn", F.lit(5)) + 1).cast("int")).alias("status"), F.length("text").alias("added"), F.pmod("conv_id", F.lit(9)).alias("removed"))
 
 
-@query("""SELECT md5(conv_id || ':' || turn) AS sha, count(*) AS files_changed, count(*) FILTER (turn % 4 = 0) AS n_a, count(*) FILTER (turn % 4 = 1) AS n_m, count(*) FILTER (turn % 4 = 2) AS n_d,
-count(*) FILTER (turn % 4 = 3) AS n_r, sum(length(text))::BIGINT AS added, sum(conv_id % 9)::BIGINT AS removed FROM conversations GROUP BY conv_id, turn""")
+@query("""SELECT md5(conv_id || ':' || turn) AS sha, count(*) AS files_changed, count(*) FILTER (turn % 5 = 0) AS n_a, count(*) FILTER (turn % 5 = 1) AS n_m, count(*) FILTER (turn % 5 = 2) AS n_d,
+count(*) FILTER (turn % 5 = 3) AS n_r, count(*) FILTER (turn % 5 = 4) AS n_c, sum(length(text))::BIGINT AS added, sum(conv_id % 9)::BIGINT AS removed FROM conversations GROUP BY conv_id, turn""")
 def commit_changes(spark, sf_dir):
     return upkeep.commit_changes(_versions(spark, sf_dir))
 
@@ -143,7 +229,7 @@ def versions_as_of(spark, sf_dir):
     return versions.as_of(every, 3)
 
 
-@query("""SELECT CASE user_id % 3 WHEN 0 THEN 'orphan' WHEN 1 THEN 'decay' ELSE 'merge' END AS kind, 'documents/' || user_id AS pages,
+@query("""SELECT CASE user_id % 3 WHEN 0 THEN 'orphan' WHEN 1 THEN 'decay-candidate' ELSE 'broken-source' END AS kind, 'documents/' || user_id AS pages,
 CASE event_type WHEN 'error' THEN 'done' WHEN 'view' THEN 'skipped' ELSE 'deferred' END AS outcome, props AS note, event_id AS seq FROM events WHERE event_type IN ('error', 'view', 'click')""")
 def log_items(spark, sf_dir):
     """Outcomes written as lines of a log and read back."""

@@ -92,9 +92,26 @@ def tree(pages: DataFrame) -> DataFrame:
     return pages.select(F.substring_index("id", "/", 1).alias("directory"), "id").orderBy("directory", "id")
 
 
-def many(pages: DataFrame, ids: list[str]) -> DataFrame:
-    """The asked ids in order, found or not, with their pages and what superseded them."""
+def page(pages: DataFrame, page_id: str) -> DataFrame:
+    """One page, its title the id where it has none."""
+    return pages.where(F.col("id") == page_id).withColumn("title", F.coalesce("title", "id"))
+
+
+def many(pages: DataFrame, ids: list[str], links: bool = False) -> DataFrame:
+    """The asked ids in order, found or not, with their pages and what superseded them; links adds outbound and backlinks.
+
+    A page that is asked for twice stands twice, but counts as read once: see upkeep.counter_events.
+    """
+    from folioq.operators import graph
+
     asked = pages.sparkSession.createDataFrame(list(enumerate(ids)), "place int, asked string")
     met = F.broadcast(asked).join(pages, F.col("asked") == F.col("id"), "left")  # as long as the request
     notice = F.when(F.coalesce("superseded_by", F.lit("")) != "", F.concat(F.lit("superseded by "), F.col("superseded_by")))
-    return met.withColumns({"found": F.col("id").isNotNull(), "notice": notice}).orderBy("place")
+    met = met.withColumns({"found": F.col("id").isNotNull(), "notice": notice})
+    if links:
+        edges = graph.raw_edges(pages.select("id", "body"))
+        out = edges.join(F.broadcast(asked.select(F.col("asked").alias("src")).distinct()), "src").groupBy(F.col("src").alias("asked")).agg(F.sort_array(F.collect_set("raw")).alias("outbound"))
+        back = edges.join(F.broadcast(asked.select(F.col("asked").alias("raw")).distinct()), "raw").groupBy(F.col("raw").alias("asked")).agg(F.sort_array(F.collect_set("src")).alias("backlinks"))
+        none = F.array().cast("array<string>")
+        met = met.join(out, "asked", "left").join(back, "asked", "left").withColumns({c: F.coalesce(c, none) for c in ("outbound", "backlinks")})
+    return met.orderBy("place")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioq.operators.upkeep import changed
@@ -13,6 +13,31 @@ IDLE = "5 seconds"
 LATE = "1 hour"
 
 
+#: The folder of the vault's own files, and those of them that users edit.
+META, EDITED = "00_meta", ("AGENTS.md", "CLAUDE.md", "SKILL.md", "eval-queries.yaml")
+SYNC_EVERY, FIRST_AUDIT, AUDIT_EVERY = "120 seconds", "60 seconds", "24 hours"
+FORGET_AFTER = "30 days"
+
+
+def relevant_path(path: Column) -> Column:
+    """Whether a change of this path counts: nothing of .git, and of the vault's own files only those that users edit."""
+    meta = path.rlike(rf"(^|/){META}/")
+    return ~path.rlike(r"(^|/)\.git(/|$)") & (~meta | F.regexp_extract(path, r"([^/]*)$", 1).isin(*EDITED))
+
+
+def every(stream: DataFrame, run: Callable[[DataFrame, int], None], interval: str, checkpoint: str):
+    """Starts run on each batch, one batch an interval (SYNC_EVERY, AUDIT_EVERY)."""
+    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()
+
+
+def recent_usage(events: DataFrame, forget: str = FORGET_AFTER) -> DataFrame:
+    """usage by page and day, with state that is dropped once a day is older than forget; sums of days are a page's counters."""
+    read = F.col("kind") == "read"
+    days = events.where(F.col("kind").isin("read", "hit")).withWatermark("ts", forget).groupBy("page_id", F.window("ts", "1 day").alias("w"))
+    counted = days.agg(F.sum(read.cast("long")).alias("reads"), F.sum((~read).cast("long")).alias("search_hits"), F.max(F.when(read, F.col("ts"))).alias("last_read_at"))
+    return counted.select("page_id", F.col("w.start").alias("day"), "reads", "search_hits", "last_read_at")
+
+
 def usage(events: DataFrame) -> DataFrame:
     """Running counters of each page: (page_id, reads, search_hits, last_read_at), for output mode update or complete."""
     read = F.col("kind") == "read"
@@ -21,7 +46,7 @@ def usage(events: DataFrame) -> DataFrame:
 
 def bursts(changes: DataFrame, gap: str = IDLE, late: str = LATE) -> DataFrame:
     """changes: (root, path, ts). One row when a root has been idle for gap; events later than late are dropped."""
-    relevant = changes.where(~F.col("path").rlike(r"(^|/)\.git(/|$)"))
+    relevant = changes.where(relevant_path(F.col("path")))
     return relevant.withWatermark("ts", late).groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("changes"), F.approx_count_distinct("path").alias("paths")).select("root", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "changes", "paths")
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def test_lint(spark, tmp_path):
         {"id": "topics/u", "type": "topic", "valid_to": "soon", "body": "[[topics/t]]"},
     )
     found = {(r["kind"], r["id"]) for r in lint.report(pages, "2026-10-06", NOW).collect()}
-    assert {("missing-title", "entities/a"), ("broken-link", "entities/a"), ("missing-sources", "entities/a"), ("wikilink-pipe-in-table-cell", "entities/a"), ("duplicate-id", "entities/b"), ("missing-summary", "entities/b"), ("non-canonical-wiki-link", "entities/b"), ("unregistered-type", "entities/b"), ("supersede-cycle", "entities/a"), ("supersede-cycle", "entities/b"), ("dangling-supersede", "topics/t"), ("broken-source", "topics/t"), ("invalid-date", "topics/t"), ("invalid-date", "topics/u"), ("expired-but-linked", "topics/t"), ("orphan", "topics/u")} == found
+    assert {("missing-title", "entities/a"), ("broken-link", "entities/a"), ("missing-sources", "entities/a"), ("wikilink-pipe-in-table-cell", "entities/a"), ("duplicate-id", "entities/b"), ("missing-summary", "entities/b"), ("non-canonical-wiki-link", "entities/b"), ("unregistered-type", "entities/b"), ("supersede-cycle", "entities/a"), ("supersede-cycle", "entities/b"), ("dangling-supersede", "topics/t"), ("broken-source", "topics/t"), ("invalid-date", "topics/t"), ("invalid-date", "topics/u"), ("expired-but-linked", "topics/t"), ("orphan", "topics/u"), ("duplicate-candidate", "topics/t"), ("duplicate-candidate", "topics/u")} == found
 
 
 def test_names(spark):
@@ -75,11 +77,17 @@ def test_names(spark):
 def test_title_and_content_pairs(spark):
     pages = frame(spark, {"id": "a", "title": "X (Mutter)"}, {"id": "b", "title": "x"}, {"id": "c", "title": "X (Tochter)"}, {"id": "d", "title": "Notes"}, {"id": "e", "title": "notes"}, *({"id": f"m{i}", "title": "many"} for i in range(11)))
     pairs, notes = names.title_pairs(pages)
-    assert rows(pairs) == [("a", "b"), ("b", "c")] and rows(notes) == [("entity", "many", 11)]
+    assert rows(notes) == [("entity", "many", 11)]
+    # A title of too many pages for all pairs: each page with the first.
+    many = pairs.where("a like 'm%'")
+    assert sorted(r["b"] for r in many.collect()) == sorted(f"m{i}" for i in range(1, 11)) and {r["a"] for r in many.collect()} == {"m0"}
+    pairs = pairs.where("a not like 'm%'")
+    assert rows(pairs) == [("a", "b"), ("b", "c")]
     v = spark.createDataFrame([("a", "t", [1.0, 0.0]), ("b", "t", [0.8, 0.6]), ("c", "t", [0.99, 0.141]), ("d", "u", [1.0, 0.0])], "id string, type string, embedding array<double>")
     near, note = names.content_pairs(v)
     assert rows(near) == [("a", "c", 0.99)] and note.count() == 0
-    assert names.content_pairs(v, cap=2)[1].count() == 1
+    capped, note = names.content_pairs(v, cap=2, asked=F.col("id") == "c")
+    assert rows(note) == [("t", 3)] and rows(capped) == [("a", "c", 0.99)]
     got = names.ranked_pairs(pairs, near, v).collect()
     assert [tuple(r) for r in got] == [("a", "c", 0.99, False, "merge"), ("b", "c", 0.8766, True, "merge"), ("a", "b", 0.8, True, "merge")]
 
@@ -89,10 +97,42 @@ def test_queue(spark):
     log = spark.createDataFrame([(*x, i) for i, x in enumerate(log)], "kind string, pages string, outcome string, seq long")
     assert rows(upkeep.skip_counts(log)) == [("decay", "y", 2), ("orphan", "x", 1)]
     assert [tuple(r) for r in upkeep.log_stats(log).collect()] == [("orphan", 1, 3, 0, 4), ("decay", 0, 0, 2, 2), ("merge", 1, 0, 0, 1)]
-    work = spark.createDataFrame([("decay", "p", 1), ("fix-link", "p", 2), ("orphan", "q", 3), ("orphan", "r", 4)], "kind string, page string, seq long")
+    work = [("decay-candidate", ["p"], 1), ("broken-link", ["p"], 2), ("orphan", ["q"], 3), ("orphan", ["r"], 4), ("no-kind", ["z"], 0)]
+    work = spark.createDataFrame([(k, p, None, "why", s) for k, p, s in work], QUEUED)
     skips = spark.createDataFrame([("orphan", "q", 3)], "kind string, pages string, skipped long")
-    got = [(r["kind"], r["page"], r["omitted"]) for r in upkeep.work_queue(work, skips, cap=2).orderBy("place").collect()]
-    assert got == [("fix-link", "p", 1), ("orphan", "r", 1)]
+    got = [(r["kind"], r["pages"], r["omitted"]) for r in upkeep.work_queue(work, skips, cap=2).orderBy("place").collect()]
+    assert got == [("broken-link", ["p"], 1), ("orphan", ["r"], 1)]
+    assert upkeep.work_queue(work, skips).where("pages[0] = 'q'").first()["reason"] == "why (skipped 3× before — decide or mark keep)"
+    assert upkeep.work_queue(work.limit(0), skips).count() == 0
+
+
+QUEUED = "kind string, pages array<string>, action string, reason string, seq long"
+
+
+def test_queue_against_one_after_another(spark):
+    """Items taken in order of rank, each only if no taken item of another kind of work covers one of its pages."""
+    r = random.Random(6)
+    page = lambda: f"p{r.randint(0, 40):02d}"
+    work = []
+    for seq in range(150):
+        kind = r.choice([*list(upkeep.KINDS), "duplicate-candidate", "duplicate-candidate"])
+        ids = sorted({page(), page(), page()})[:2] if kind == "duplicate-candidate" else [page()]
+        if len(ids) == 1 and kind == "duplicate-candidate":
+            continue
+        work.append((kind, ids, r.choice([None, upkeep.PAIR_CHECK]) if len(ids) == 2 else None, "", seq))
+    covered, taken = {}, []
+    names_ = list(upkeep.KINDS)
+    for kind, ids, action, _, seq in sorted(work, key=lambda w: (upkeep.KINDS[w[0]][0], names_.index(w[0]), w[4])):
+        action = action or upkeep.KINDS[kind][1]
+        pair = lambda a: a in ("merge", upkeep.PAIR_CHECK)
+        free = lambda a, b: pair(a) and b == "fix-link" or a == "fix-link" and pair(b)
+        if all(free(a, action) for p in ids for a in covered.get(p, [])):
+            taken.append((kind, ids, seq))
+            for p in ids:
+                covered.setdefault(p, []).append(action)
+    skips = spark.createDataFrame([], "kind string, pages string, skipped long")
+    got = upkeep.work_queue(spark.createDataFrame(work, QUEUED), skips, cap=1000).orderBy("place").collect()
+    assert [(x["kind"], x["pages"]) for x in got] == [(k, p) for k, p, _ in taken]
 
 
 def test_refactor(spark):

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -21,10 +23,43 @@ def test_summary_weighs_more(spark):
     text = "pricing and delivery terms"
     rows = [("a", "t", text, ""), ("b", "t", text, "renewal"), ("c", "t", text + " renewal", "")]
     docs = spark.createDataFrame(rows, "id string, title string, body string, summary string")
-    got = fulltext.bm25(docs, {"title": 3.0, "body": 1.0, "summary": 5.0}, ["renewal"]).orderBy("score", ascending=False)
+    index = fulltext.build_index(docs, ["title", "body", "summary"])
+    got = fulltext.bm25(index, {"title": 3.0, "body": 1.0, "summary": 5.0}, ["renewal"]).orderBy("score", ascending=False)
     assert [r["id"] for r in got.collect()] == ["b", "c"]
 
 
+def test_bm25_against_plain_version(spark):
+    r = random.Random(2)
+    text = lambda n: " ".join(r.choice(["foo", "bar", "Été", "x_y", "z"]) for _ in range(n))
+    rows = [(i, text(r.randint(0, 4)), text(r.randint(0, 30)), None if i % 3 else text(3)) for i in range(60)] + [(60, None, None, None), (61, "", "!", "")]
+    weights = {"title": 3.0, "body": 1.0, "summary": 5.0}
+    index = fulltext.build_index(spark.createDataFrame(rows, "id long, title string, body string, summary string"), list(weights))
+
+    def words(t):
+        return re.split(r"[\W_]+", (t or "").lower().replace("é", "e"))
+
+    for terms, used in ((["foo", "ETE"], weights), (["foo-bar", "x_y", "nothing"], weights), (["bar-foo-bar"], {"body": 1.0})):
+        phrases = [[w for w in words(t) if w] for t in terms]
+        fields = {f: [[w for w in words(row[1 + i]) if w] for row in rows] for i, f in enumerate(weights)}
+        count = lambda ws, p: sum(ws[i : i + len(p)] == p for i in range(len(ws)))
+        n = [[{f: count(fields[f][d], p) for f in used} for p in phrases] for d in range(len(rows))]
+        length = [sum(len(fields[f][d]) for f in used) for d in range(len(rows))]
+        mean = sum(length) / len(rows)
+        wanted = {}
+        for d in range(len(rows)):
+            if any(any(x.values()) for x in n[d]):
+                score = 0.0
+                for k in range(len(phrases)):
+                    df = sum(any(n[e][k].values()) for e in range(len(rows)))
+                    tf = sum(w * n[d][k][f] for f, w in used.items())
+                    score += max(1e-6, math.log((len(rows) - df + 0.5) / (df + 0.5))) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length[d] / mean))
+                wanted[d] = pytest.approx(score, abs=2e-6)
+        assert {x["id"]: x["score"] for x in fulltext.bm25(index, used, terms).collect()} == wanted and wanted
+    assert fulltext.bm25(index, weights, ["!"]).count() == 0
+    none = fulltext.build_index(spark.createDataFrame([], "id long, title string"), ["title"])
+    assert fulltext.bm25(none, {"title": 1.0}, ["foo"]).count() == 0
+
+
 def test_query_terms():
     assert fulltext.query_terms("U.S. a.b foo-bar ??") == ["us", "ab", "foo-bar"]
 
