@@ -11,12 +11,16 @@ range of the (context) word:
   list. Successors are kept relative to their context, each list going on above the
   last one, so the whole level is one rising list; a bigram is found by successor
   search at its context's base. Beside it quantised log probabilities.
+- A context that occurs HOT_TOKENS times or more has its successors in files of its own,
+  split by their numbers so that each holds about that many occurrences at most, with
+  quantised logarithms of the discounted part. Every task knows from a word's count
+  whether it is such a context and where its successors are; there is no list of them.
 
 Counting is spread over all tasks: each sums its own words (pairs) first and sends one
 packed row to each hash range, where the sums meet and the level's file is written.
 Scoring tasks map the files and search them for the distinct pairs of a block of
 documents at once. Both levels grow with the corpus; nothing of them passes the driver
-but the number of words in each file.
+but the number of words in each of MOST_FILES ranges at most.
 
 Defined results: null and blank texts are one end token; a null id counts as empty
 text for the fold; repeated rows count and score as separate documents; without
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blobs import load, save
-from .common import scratch, table
+from .common import scratch, stored, table
 from .elias_fano import EliasFano
 
 FOLDS, HELD_FOLD = 7, 2
@@ -42,6 +46,8 @@ STEP = 1 / 3000  # of the quantised logarithms: 16 bits reach down to -21.8
 BLOCK_TOKENS = 1_000_000
 FLUSH_WORDS = 600_000
 FILE_BYTES = 12 << 20
+MOST_FILES = 4096
+HOT_TOKENS = 4_000_000
 #: Neither can be a word: words hold no white space.
 END, START = b"\n", b"\t"
 
@@ -58,11 +64,12 @@ def _file_of(hashes: np.ndarray, files: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(files) >> np.uint64(32)).astype(np.int64)
 
 
-def _packed(file: np.ndarray, keys: np.ndarray, counts: np.ndarray, files: int) -> pa.RecordBatch:
-    """One row for each file that has keys; keys and file rise together."""
-    cuts = np.searchsorted(file, np.arange(files + 1))
-    rows = [(f, keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for f, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["file", "keys", "counts"])
+def _packed(file: np.ndarray, part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each file and part that has keys; equal ones stand together."""
+    turns = np.flatnonzero((file[1:] != file[:-1]) | (part[1:] != part[:-1])) + 1
+    cuts = np.concatenate(([0], turns, [len(file)])) if len(file) else np.zeros(1, np.int64)
+    rows = [(int(file[a]), int(part[a]), keys[a:b].tobytes(), counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["file", "part", "keys", "counts"])
 
 
 def _summed(rows: pa.Table) -> tuple[int, np.ndarray, np.ndarray]:
@@ -79,7 +86,8 @@ def _word_counts(files: int):
         def emit():
             hashes = _hash(list(counts))
             order = np.argsort(hashes)
-            return _packed(_file_of(hashes[order], files), hashes[order], np.fromiter(counts.values(), np.int64, len(counts))[order], files)
+            file = _file_of(hashes[order], files)
+            return _packed(file, np.full(len(file), -1, np.int64), hashes[order], np.fromiter(counts.values(), np.int64, len(counts))[order])
 
         counts: dict[bytes, int] = {}
         get = counts.get
@@ -110,11 +118,31 @@ def _level_1(model: str):
 class Words:
     """Level 1: numbers of words and their counts; file sizes tell where each file's numbers begin."""
 
-    def __init__(self, model: str, sizes: list[int], tokens: int):
-        self.model, self.sizes, self.tokens = model, sizes, tokens
+    def __init__(self, model: str, sizes: list[int], tokens: int, slices: int, hot: int):
+        self.model, self.sizes, self.tokens, self.slices, self.hot = model, sizes, tokens, slices, hot
         self.starts = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
         self.opened: dict[int, tuple[EliasFano, np.ndarray]] = {}
 
+    def pair_file(self, context: np.ndarray) -> np.ndarray:
+        """The file of level 2 with a context's successors; words of a range are cut into slices. The start of a text is last."""
+        file = np.searchsorted(self.starts, context, side="right") - 1
+        sizes = np.array([*self.sizes, 1], np.int64)
+        return file * self.slices + (context - self.starts[file]) * self.slices // np.maximum(1, sizes[file])
+
+    def contexts(self, file: int) -> tuple[int, int]:
+        """The first context of a file of level 2 and how many it has."""
+        f, j = divmod(file, self.slices)
+        size = self.sizes[f] if f < len(self.sizes) else 1
+        first, after = -(-j * size // self.slices), -(-(j + 1) * size // self.slices)
+        return int(self.starts[min(f, len(self.sizes))]) + first, after - first
+
+    def parts(self, counts: np.ndarray) -> np.ndarray:
+        """In how many files a context's successors are split: 0 where they are not."""
+        return np.where(counts >= self.hot, -(-counts // self.hot), 0)
+
+    def part_of(self, child: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        return child * parts // max(1, int(self.starts[-1]))
+
     def open(self, file: int) -> tuple[EliasFano, np.ndarray]:
         if file not in self.opened:
             arrays = load(f"{self.model}/words-{file}")
@@ -160,6 +188,10 @@ class Block:
         own = self.numbers[self.tokens]
         context = np.concatenate(([start], own[:-1]))
         context[self.starts] = start
+        # How often the context occurs; the start of a text as often as its end, whose place in counts is 0.
+        known = self.counts[self.tokens]
+        self.context_counts = np.concatenate(([0], known[:-1]))
+        self.context_counts[self.starts] = self.counts[0]
         self.context, self.own = context, own
 
 
@@ -182,10 +214,13 @@ def _pair_counts(words_of: tuple):
         words = Words(*words_of)
         for held in _blocks(batches, 0):
             block = Block([t for b in held for t in b.column(0).to_pylist()], words)
-            pairs, counts = np.unique((block.context.astype(np.uint64) << np.uint64(32)) | block.own.astype(np.uint64), return_counts=True)
-            context = (pairs >> np.uint64(32)).astype(np.int64)
-            file = np.minimum(np.searchsorted(words.starts, context, side="right") - 1, len(words.sizes))
-            yield _packed(file, pairs, counts, len(words.sizes) + 1)
+            pairs, first, counts = np.unique((block.context.astype(np.uint64) << np.uint64(32)) | block.own.astype(np.uint64), return_index=True, return_counts=True)
+            context, parts = (pairs >> np.uint64(32)).astype(np.int64), words.parts(block.context_counts[first])
+            hot = parts > 0
+            file = np.where(hot, context, words.pair_file(context))
+            part = np.where(hot, words.part_of(block.own[first], parts), -1)
+            order = np.argsort(hot, kind="stable")  # pairs are in order of context and successor, so equal files and parts stand together
+            yield _packed(file[order], part[order], pairs[order], counts[order])
 
     return count
 
@@ -198,8 +233,9 @@ def _level_2(words_of: tuple, discount: float):
     def write(rows: pa.Table) -> pa.Table:
         words = Words(*words_of)
         file, pairs, counts = _summed(rows)
-        first_context = int(words.starts[min(file, len(words.sizes))])
-        n_contexts = words.sizes[file] if file < len(words.sizes) else 1
+        if (part := rows.column("part")[0].as_py()) >= 0:
+            return hot(words, file, part, pairs & np.uint64(0xFFFFFFFF), counts)
+        first_context, n_contexts = words.contexts(file)
         context, child = (pairs >> np.uint64(32)).astype(np.int64) - first_context, pairs & np.uint64(0xFFFFFFFF)
         total = np.bincount(context, counts, n_contexts)
         kinds = np.bincount(context, minlength=n_contexts)
@@ -217,7 +253,35 @@ def _level_2(words_of: tuple, discount: float):
         arrays = {f"pointers_{k}": v for k, v in EliasFano.encode((pointers + np.arange(n_contexts + 1)).astype(np.uint64), int(pointers[-1]) + n_contexts + 1).items()}
         arrays |= {f"children_{k}": v for k, v in EliasFano.encode(rising, int(base[-1]) + int(last[-1]) + 1).items()}
         save(f"{words.model}/pairs-{file}", arrays | {"logs": _codes(logs), "weights": _codes(np.log10(weight))})
-        return pa.table({"file": pa.array([file], pa.int64()), "pairs": pa.array([len(pairs)], pa.int64())})
+        return written(file, -1, len(pairs))
+
+    def written(file: int, part: int, pairs: int) -> pa.Table:
+        return pa.table({k: pa.array([v], pa.int64()) for k, v in (("file", file), ("part", part), ("pairs", pairs))})
+
+    def hot(words: Words, context: int, part: int, child: np.ndarray, counts: np.ndarray) -> pa.Table:
+        arrays = {f"children_{k}": v for k, v in EliasFano.encode(child, int(words.starts[-1])).items()}
+        arrays["logs"] = _codes(np.log10(np.maximum(counts - discount, 1e-30) / _total_of(words, context)))
+        save(f"{words.model}/hot-{context}-{part}", arrays)
+        return written(context, part, len(child))
+
+    return write
+
+
+def _total_of(words: Words, context: int) -> int:
+    """How often a context occurs in training."""
+    if context == words.starts[-1]:
+        return int(words.number([END])[1][0])
+    return int(_counts_of(words, np.array([context], np.int64))[0])
+
+
+def _kinds(model: str):
+    """For each context with files of its own, the number of its different successors."""
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                save(f"{model}/kinds-{row['file']}", {"kinds": np.array([row["kinds"]], np.int64)})
+            yield batch
 
     return write
 
@@ -236,22 +300,37 @@ def _counts_of(words: Words, numbers: np.ndarray) -> np.ndarray:
 class Pairs:
     """Level 2 of the trie, with the search of pairs."""
 
-    def __init__(self, words: Words, files: list[int]):
-        self.words, self.files, self.opened = words, set(files), {}
+    def __init__(self, words: Words, discount: float):
+        self.words, self.discount, self.opened = words, discount, {}
+
+    def open(self, name: str, make):
+        """A file's content by make, None where no pair has made it."""
+        if name not in self.opened:
+            try:
+                self.opened[name] = make(load(f"{self.words.model}/{name}"))
+            except FileNotFoundError:
+                self.opened[name] = None
+        return self.opened[name]
 
-    def logs(self, context: np.ndarray, own: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """log10 P(word | context) of pairs in order of context; -1 is an unknown context or word."""
+    def logs(self, context: np.ndarray, counts: np.ndarray, own: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """log10 P(word | context) of pairs in order of context, with the contexts' counts; -1 is an unknown context or word."""
         out = unigram.copy()
-        cuts = np.searchsorted(context, np.concatenate((self.words.starts, [self.words.starts[-1] + 1])))
-        for f in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            if f not in self.files:
+        parts = self.words.parts(counts)
+        for some, search in ((np.flatnonzero((context >= 0) & (parts == 0)), self._common), (np.flatnonzero((context >= 0) & (parts > 0)), self._hot)):
+            if len(some):
+                out[some] = search(context[some], parts[some], own[some], unigram[some])
+        return out
+
+    def _common(self, context: np.ndarray, parts: np.ndarray, own: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        out, files = unigram.copy(), self.words.pair_file(context)
+        cuts = np.concatenate(([0], np.flatnonzero(files[1:] != files[:-1]) + 1, [len(files)]))
+        kinds = lambda x: (EliasFano.of(x, "pointers_"), EliasFano.of(x, "children_"), x["logs"], x["weights"])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            f, part = int(files[a]), slice(a, b)
+            if (found := self.open(f"pairs-{f}", kinds)) is None:
                 continue
-            if f not in self.opened:
-                arrays = load(f"{self.words.model}/pairs-{f}")
-                self.opened[f] = EliasFano.of(arrays, "pointers_"), EliasFano.of(arrays, "children_"), arrays["logs"], arrays["weights"]
-            pointers, children, logs, weights = self.opened[f]
-            part = slice(cuts[f], cuts[f + 1])
-            here, which = np.unique(context[part] - self.words.starts[f], return_inverse=True)
+            pointers, children, logs, weights = found
+            here, which = np.unique(context[part] - self.words.contexts(f)[0], return_inverse=True)
             begin = pointers.access(here).astype(np.int64) - here
             end = pointers.access(here + 1).astype(np.int64) - here - 1
             base = np.zeros(len(here), np.uint64)
@@ -265,11 +344,29 @@ class Pairs:
             out[part] = value
         return out
 
-
-def _scores(words_of: tuple, files: list[int]):
+    def _hot(self, context: np.ndarray, parts: np.ndarray, own: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        found = np.zeros(len(context))
+        weight = np.ones(len(context))
+        part = np.where(own >= 0, self.words.part_of(own, parts), -1)
+        cuts = np.concatenate(([0], np.flatnonzero(context[1:] != context[:-1]) + 1, [len(context)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            c = int(context[a])
+            if f"total-{c}" not in self.opened:
+                self.opened[f"total-{c}"] = _total_of(self.words, c)
+            total = self.opened[f"total-{c}"]
+            weight[a:b] = self.discount * (self.open(f"kinds-{c}", lambda x: int(x["kinds"][0])) or 0) / total
+            for s in np.unique(part[a:b]).tolist():
+                if s >= 0 and (level := self.open(f"hot-{c}-{s}", lambda x: (EliasFano.of(x, "children_"), x["logs"]))) is not None:
+                    asked = a + np.flatnonzero(part[a:b] == s)
+                    at = level[0].find(own[asked].astype(np.uint64))
+                    found[asked[at >= 0]] = 10.0 ** (-level[1][at[at >= 0]].astype(np.float64) * STEP)
+        return np.log10(found + weight * 10.0**unigram)
+
+
+def _scores(words_of: tuple, discount: float):
     def score(batches):
         words = Words(*words_of)
-        pairs = Pairs(words, files)
+        pairs = Pairs(words, discount)
         n, v = words.tokens, int(words.starts[-1])
         for held in _blocks(batches, 1):
             block = Block([t for b in held for t in b.column(1).to_pylist()], words)
@@ -278,7 +375,7 @@ def _scores(words_of: tuple, files: list[int]):
             known = np.add.reduceat((block.counts > 0).astype(np.int64)[block.tokens], block.starts)
             key = ((block.context + 1).astype(np.uint64) << np.uint64(32)) | block.tokens.astype(np.uint64)
             keys, first, which = np.unique(key, return_index=True, return_inverse=True)
-            logs = pairs.logs(block.context[first], block.own[first], unigram[block.tokens[first]])
+            logs = pairs.logs(block.context[first], block.context_counts[first], block.own[first], unigram[block.tokens[first]])
             total = np.add.reduceat(logs[which], block.starts)
             ids, out = pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(2) for b in held])
             yield pa.RecordBatch.from_arrays([ids, out, pa.array(block.sizes), pa.array(known), pa.array(base), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -286,23 +383,25 @@ def _scores(words_of: tuple, files: list[int]):
     return score
 
 
-def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", discount: float = DISCOUNT, file_bytes: int = FILE_BYTES) -> DataFrame:
+def score(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "text", discount: float = DISCOUNT, file_bytes: int = FILE_BYTES, most_files: int = MOST_FILES, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs; train tells the training rows."""
     spark = docs.sparkSession
     model = scratch(spark, "trie")
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"), (~train).alias("held_out"))
     learned = rows.where(~F.col("held_out")).select("text")
-    files = max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) // file_bytes))
-    packed = "file long, keys binary, counts binary"
+    wanted = max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0) // file_bytes))
+    files = min(most_files, wanted)
+    packed = "file long, part long, keys binary, counts binary"
     level_1 = learned.mapInArrow(_word_counts(files), packed).groupBy("file").applyInArrow(_level_1(model), "file long, words long, tokens long")
     facts = {r["file"]: r for r in level_1.collect()}  # a row for each file
     sizes = [facts[f]["words"] if f in facts else 0 for f in range(files)]
     if sum(sizes) >= 1 << 32:
         raise ValueError("the trie numbers words in 32 bits")
-    words_of = (model, sizes, sum(r["tokens"] for r in facts.values()))
-    level_2 = learned.mapInArrow(_pair_counts(words_of), packed).groupBy("file").applyInArrow(_level_2(words_of, discount), "file long, pairs long")
-    written = [r["file"] for r in level_2.collect()]
-    out = rows.mapInArrow(_scores(words_of, written), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    words_of = (model, sizes, sum(r["tokens"] for r in facts.values()), -(-wanted // files), hot_tokens)
+    level_2 = learned.mapInArrow(_pair_counts(words_of), packed).groupBy("file", "part").applyInArrow(_level_2(words_of, discount), "file long, part long, pairs long")
+    hot = stored(level_2, "pairs").where("part >= 0").groupBy("file").agg(F.sum("pairs").alias("kinds"))
+    stored(hot.mapInArrow(_kinds(model), "file long, kinds long"), "kinds")
+    out = rows.mapInArrow(_scores(words_of, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.withColumn("train_tokens", F.lit(words_of[2]).cast("long"))
 
 

@@ -170,8 +170,8 @@ def test_language_model(docs, empty):
 
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7
     wanted = sorted(brute.language_model(pairs()), key=key)
-    for file_bytes in (12 << 20, 10_000):
-        out = lm_scoring.score(docs, fold != 2, file_bytes=file_bytes).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for options in ({}, {"file_bytes": 10_000}, {"file_bytes": 5000, "most_files": 3, "hot_tokens": 60}, {"hot_tokens": 20}):
+        out = lm_scoring.score(docs, fold != 2, **options).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
         got = sorted(map(tuple, out.collect()), key=key)
         assert [g[:5] for g in got] == [w[:5] for w in wanted]
         for g, w in zip(got, wanted, strict=True):
