@@ -109,6 +109,11 @@ def components(edges: DataFrame) -> DataFrame:
         roots = new
 
 
+def cluster_sizes(components: DataFrame) -> DataFrame:
+    """components: (id, component). Rows (component, pages), the largest first."""
+    return components.groupBy("component").agg(F.count("*").alias("pages")).orderBy(F.desc("pages"), "component")
+
+
 def returning_chains(successors: DataFrame) -> DataFrame:
     """successors: (id, next). Rows (id, length) of ids whose chain of successors comes back to them.
 

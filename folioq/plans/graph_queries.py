@@ -98,6 +98,69 @@ def components(spark, sf_dir):
     return _checkpointed(spark, lambda: graph.components(part_edges(spark, sf_dir)))
 
 
+@query(f"""WITH RECURSIVE {PART_EDGES}, ends AS (SELECT src AS a, dst AS b FROM part_edges UNION SELECT dst, src FROM part_edges),
+reach AS (SELECT a AS id, a AS other FROM ends UNION SELECT r.id, b.b FROM reach r JOIN ends b ON b.a = r.other)
+SELECT component, count(*) AS pages FROM (SELECT id, min(other) AS component FROM reach GROUP BY id) GROUP BY component""")
+def component_sizes(spark, sf_dir):
+    return graph.cluster_sizes(components(spark, sf_dir))
+
+
+@query(f"""WITH {PAGES}, twice AS (SELECT id FROM pages UNION ALL SELECT id FROM pages WHERE split_part(id, '/', 2)::BIGINT % 10 = 0)
+SELECT 'error' AS severity, 'duplicate-id' AS kind, id, count(*)::VARCHAR AS detail FROM twice GROUP BY id HAVING count(*) > 1""")
+def lint_duplicate_ids(spark, sf_dir):
+    """Pages of which every tenth stands twice."""
+    rows = pages(spark, sf_dir).select("id")
+    return lint.duplicate_ids(rows.unionByName(rows.where(F.substring_index("id", "/", -1).cast("long") % 10 == 0)))
+
+
+_BOOK = """book AS (
+  SELECT 'documents/' || doc_id AS id, '[[documents/' || (doc_id % 7) || '|see]] ' || coalesce(source, '') AS body, CASE WHEN doc_id % 11 = 0 THEN 'documents/' || (doc_id % 4) END AS superseded_by,
+         ['documents/' || (doc_id % 5), 'documents/4'] AS sources, [coalesce(lang, '')] AS tags FROM documents)"""
+
+
+def _book(spark, sf_dir):
+    """Pages that link to seven of them."""
+    d = F.col("doc_id")
+    name = lambda c: F.concat(F.lit("documents/"), c.cast("string"))
+    body = F.concat(F.lit("[["), name(d % 7), F.lit("|see]] "), F.coalesce("source", F.lit("")))
+    rows = table(spark, sf_dir, "documents").select(name(d).alias("id"), body.alias("body"), F.when(d % 11 == 0, name(d % 4)).alias("superseded_by"), F.array(name(d % 5), F.lit("documents/4")).alias("sources"), F.array(F.coalesce("lang", F.lit(""))).alias("tags"))
+    return rows.withColumns({"aliases": F.array().cast("array<string>"), "keep": F.lit(False)})
+
+
+def _told(rows):
+    return rows.select("id", "body", "superseded_by", F.array_join("sources", ",").alias("sources"), F.array_join("tags", ",").alias("tags"), F.array_join("aliases", ",").alias("aliases"))
+
+
+_DISTINCT = "array_to_string(list_transform(list_filter(range(1, len(s) + 1), lambda i: list_position(s, s[i]) = i), lambda i: s[i]), ',')"
+
+
+@query(f"""WITH {_BOOK}, moved AS (SELECT *, list_transform(sources, lambda x: CASE WHEN x = 'documents/3' THEN 'topics/new' ELSE x END) AS s FROM book)
+SELECT CASE WHEN id = 'documents/3' THEN 'topics/new' ELSE id END AS id, replace(body, '[[documents/3|', '[[topics/new|') AS body, CASE WHEN superseded_by = 'documents/3' THEN 'topics/new' ELSE superseded_by END AS superseded_by,
+       {_DISTINCT} AS sources, array_to_string(tags, ',') AS tags, '' AS aliases FROM moved""")
+def page_renamed(spark, sf_dir):
+    return _told(refactor.renamed(_book(spark, sf_dir), "documents/3", "topics/new"))
+
+
+@query(f"""WITH {_BOOK} SELECT id, replace(body, '[[documents/3|see]]', 'see') AS body, CASE WHEN superseded_by <> 'documents/3' THEN superseded_by END AS superseded_by,
+       array_to_string(list_filter(sources, lambda x: x <> 'documents/3'), ',') AS sources, array_to_string(tags, ',') AS tags, '' AS aliases FROM book WHERE id <> 'documents/3'""")
+def page_deleted(spark, sf_dir):
+    return _told(refactor.deleted(_book(spark, sf_dir), "documents/3", force=True))
+
+
+@query(f"""WITH {_BOOK}, given AS (SELECT body AS gb, sources AS gs, tags AS gt FROM book WHERE id = 'documents/3'),
+met AS (SELECT id, CASE WHEN id = 'documents/4' THEN body || chr(10) || chr(10) || gb ELSE body END AS body, superseded_by, CASE WHEN id = 'documents/4' THEN list_filter(list_concat(sources, gs), lambda x: x <> 'documents/4') ELSE list_transform(sources, lambda x: CASE WHEN x = 'documents/3' THEN 'documents/4' ELSE x END) END AS s,
+  CASE WHEN id = 'documents/4' AND tags <> gt THEN list_concat(tags, gt) ELSE tags END AS tags FROM book, given WHERE id <> 'documents/3')
+SELECT id, replace(body, '[[documents/3|', '[[documents/4|') AS body, CASE WHEN superseded_by = 'documents/3' THEN 'documents/4' ELSE superseded_by END AS superseded_by,
+       replace({_DISTINCT}, 'documents/3', 'documents/4') AS sources, array_to_string(tags, ',') AS tags, CASE WHEN id = 'documents/4' THEN 'documents/3' ELSE '' END AS aliases FROM met""")
+def pages_merged(spark, sf_dir):
+    return _told(refactor.merged(_book(spark, sf_dir), "documents/3", "documents/4"))
+
+
+@query(f"WITH {_BOOK} SELECT id FROM book WHERE id <> 'documents/3' AND (contains(body, '[[documents/3|') OR coalesce(superseded_by, '') = 'documents/3' OR list_contains(sources, 'documents/3'))")
+def page_references(spark, sf_dir):
+    return refactor.references(_book(spark, sf_dir), "documents/3")
+
+
 @query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM customer), step AS (SELECT c_custkey AS id, (c_custkey * 3) % n + 1 AS next FROM customer, n),
 walk AS (SELECT id, next AS node, 1 AS length FROM step UNION ALL SELECT w.id, s.next, w.length + 1 FROM walk w JOIN step s ON s.id = w.node WHERE w.node <> w.id AND w.length < (SELECT n FROM n))
 SELECT id, length::BIGINT AS length FROM walk WHERE node = id""")

@@ -38,6 +38,12 @@ def filter_and_or_not(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, "type:en AND (tag:src1 OR tag:src2) AND NOT title:THE"))
 
 
+@query(_sql(f"coalesce(title, '') > 'M' AND updated_at < '2024-09-01' AND id <> 'documents/5' AND {VALID_NOW}"))
+def filter_ranges(spark, sf_dir):
+    """Comparisons of title and dates; tags have no order, so a range of them holds for no page."""
+    return _shown(_hits(spark, sf_dir, "title:>M AND created:<2024-09-01 AND NOT tag:>a AND NOT id:documents/5"))
+
+
 @query(_sql(f"updated_at > '2024-06-01' AND {VALID_NOW}"))
 def filter_default_validity(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, "updated:>2024-06-01"))
@@ -121,6 +127,13 @@ def slug_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.slug_key(F.col("p_name")).alias("slug"))
 
 
+@query(f"SELECT p_partkey, {_SLUG % 'p_name'} AS key FROM part")
+def alias_keys(spark, sf_dir):
+    """Keys of names that carry a page type before them."""
+    named = F.concat(F.get(F.array(*map(F.lit, T.PAGE_TYPES)), F.pmod("p_partkey", F.lit(4)).cast("int")), F.lit("/"), F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.alias_key(named).alias("key"))
+
+
 @query(f"""WITH k AS (SELECT split_part(text, chr(10), 1) AS name FROM documents), s AS (SELECT DISTINCT {_SLUG % 'name'} AS key FROM k)
 SELECT key, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match FROM s""")
 def match_keys(spark, sf_dir):
