@@ -6,9 +6,10 @@ known words that are shorter than the shortest phrase fall away, which loses no
 occurrence. The rest is indexed (suffix order, wavelet ranks, sampled positions); all
 phrases are searched backward at once, occurrences located, and the spans merged.
 
-Phrases go to the tasks in blocks of at most block_bytes of benchmark text. A benchmark
-that fits one block takes one pass; a larger one takes a pass for each block, whose
-spans are merged by document.
+A benchmark of block_bytes at most goes to the tasks with the job. A larger one is written
+to the shared folder by Spark, in blocks of that size and with the hashes of its words in
+order; each shard is indexed once, over the words of all blocks, and searched for one block
+after another. Nothing of it passes the driver.
 
 Defined results: null and blank texts have no words and no hits; a null or blank item
 has no window; equal items under several ids all count; a null item id counts as an
@@ -18,19 +19,25 @@ empty string; repeated rows get equal results; no items: nothing is hit.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
 from itertools import repeat
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, table
+from .blobs import load, save
+from .common import row_key, scratch, table
 from .fm_index import FMIndex
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
 BLOCK_BYTES = 4 << 20
+MOST_KNOWN = 2_000_000
 #: Bytes of words are digits, a-z and all above ASCII; A-Z count as a-z.
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 SPANS = "array<struct<start: long, stop: long>>"
@@ -59,14 +66,83 @@ class Phrases:
             self.windows[row, window - len(line) :] = line
         self.shortest = int(self.lengths.min()) if lines else 0
 
+    def coded(self, found: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, found, repeat(1)), np.int32, len(found))
 
-def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    def blocks(self):
+        return [self]
+
+
+class StoredPhrases:
+    """Phrases in the shared folder. Words are numbered by the order of their hashes; the numbers of all blocks agree."""
+
+    def __init__(self, folder: str, blocks: list[int], ranges: list[int], shortest: int):
+        self.folder, self.numbers, self.shortest = folder, blocks, shortest
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(load(f"{folder}/words-{r}")["hashes"] for r in sorted(ranges))])
+        self.known: dict[bytes, int] = {}
+
+    def coded(self, found: list[bytes]) -> np.ndarray:
+        new = [w for w in set(found) if w not in self.known]
+        if new:
+            if len(self.known) > MOST_KNOWN:
+                self.known, new = {}, list(set(found))
+            self.known.update(zip(new, numbers(self.hashes, new).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
+
+    def blocks(self):
+        for b in self.numbers:
+            arrays = load(f"{self.folder}/block-{b}")
+            names = arrays["ids"].tobytes().decode().split("\0")
+            yield SimpleNamespace(windows=arrays["windows"].reshape(len(arrays["lengths"]), -1), lengths=arrays["lengths"], owner=arrays["owner"], ids=names)
+
+
+def numbers(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """The number of each word: 2 and up for those of the phrases, else 1."""
+    asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    at = np.minimum(np.searchsorted(hashes, asked), max(0, len(hashes) - 1))
+    return np.where(hashes[at] == asked, at + 2, 1) if len(hashes) else np.ones(len(words), np.int64)
+
+
+def stored_phrases(items: DataFrame, blocks: int, window: int) -> tuple:
+    """items: (id, text), written by Spark. What StoredPhrases takes."""
+    folder = scratch(items.sparkSession, "phrases")
+
+    def hashed(batches):
+        for batch in batches:
+            found = {w for t in batch.column(0).to_pylist() for w in split_words(t)}
+            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64))], names=["h"])
+
+    def write_words(rows: pa.Table) -> pa.Table:
+        hashes = np.sort(rows.column("h").to_numpy().view(np.uint64))
+        save(f"{folder}/words-{int(hashes[0] >> np.uint64(60))}", {"hashes": hashes})
+        return pa.table({"range": pa.array([int(hashes[0] >> np.uint64(60))], pa.int64())})
+
+    words = items.select("text").mapInArrow(hashed, "h long").distinct()
+    ranges = [r["range"] for r in words.groupBy(F.shiftrightunsigned("h", 60).alias("r")).applyInArrow(write_words, "range long").collect()]  # 16 at most
+
+    def write_block(rows: pa.Table) -> pa.Table:
+        block = Phrases(list(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True)), window)
+        hashes = StoredPhrases(folder, [], ranges, 0).hashes
+        renumbered = np.concatenate(([0, 1], numbers(hashes, list(block.vocabulary)))).astype(np.int64)
+        save(f"{folder}/block-{rows.column('b')[0].as_py()}", {"windows": renumbered[block.windows].ravel(), "lengths": block.lengths, "owner": block.owner, "ids": np.frombuffer("\0".join(block.ids).encode(), np.uint8)})
+        return pa.table({"b": rows.column("b")[:1], "shortest": pa.array([block.shortest], pa.int64())})
+
+    made = items.withColumn("b", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("long")).groupBy("b").applyInArrow(write_block, "b long, shortest long").where("shortest > 0").collect()  # a number for each block
+    return folder, sorted(r["b"] for r in made), ranges, min((r["shortest"] for r in made), default=0)
+
+
+@lru_cache(1)
+def opened(folder: str, blocks: tuple, ranges: tuple, shortest: int) -> StoredPhrases:
+    return StoredPhrases(folder, list(blocks), list(ranges), shortest)
+
+
+def search_shard(texts: list[str | None], phrases: Phrases | StoredPhrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
     """Of each text: number of words, merged spans of hit words, ids of items with an occurrence."""
     sizes, coded = [], []
     for text in texts:
         found = split_words(text)
         sizes.append(len(found))
-        coded.append(np.fromiter(map(phrases.vocabulary.get, found, repeat(1)), np.int32, len(found)))
+        coded.append(phrases.coded(found))
         coded.append(np.ones(1, np.int32))  # documents don't run into each other
     sizes = np.array(sizes, np.int64)
     spans: list[list[tuple[int, int]]] = [[] for _ in texts]
@@ -88,33 +164,35 @@ def search_shard(texts: list[str | None], phrases: Phrases) -> tuple[np.ndarray,
     inside[last[last < len(symbols)]] = True  # the word after a run parts it from the next
     place = np.flatnonzero(inside)
     index = FMIndex(np.concatenate((symbols[place], [1, 0])).astype(np.int64))
-    low, high = index.search(phrases.windows, phrases.lengths)
-    hits = np.flatnonzero(low < high)
-    counts = (high - low)[hits]
-    if not len(hits):
-        return sizes, spans, items
-    rows = np.repeat(low[hits], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    which = np.repeat(hits, counts)
-    at = place[index.locate(rows)]
-    document = np.searchsorted(starts, at, side="right") - 1
     cover = np.zeros(len(symbols) + 1, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + phrases.lengths[which], -1)
+    for block in phrases.blocks():
+        low, high = index.search(block.windows, block.lengths)
+        hits = np.flatnonzero(low < high)
+        counts = (high - low)[hits]
+        if not len(hits):
+            continue
+        rows = np.repeat(low[hits], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        which = np.repeat(hits, counts)
+        at = place[index.locate(rows)]
+        document = np.searchsorted(starts, at, side="right") - 1
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + block.lengths[which], -1)
+        for d, i in np.unique(np.stack((document, block.owner[which]), axis=1), axis=0).tolist():
+            items[d].append(block.ids[i])
     hit = np.concatenate(([0], (np.cumsum(cover[:-1]) > 0).astype(np.int8), [0]))
     turns = np.flatnonzero(np.diff(hit))
     for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
         d = int(np.searchsorted(starts, a, side="right")) - 1
         spans[d].append((a - int(starts[d]), b - int(starts[d])))
-    for d, i in np.unique(np.stack((document, phrases.owner[which]), axis=1), axis=0).tolist():
-        items[d].append(phrases.ids[i])
     return sizes, spans, [sorted(set(x)) for x in items]
 
 
-def _pass(rows: DataFrame, items: list[tuple[str, str | None]], window: int, shard_words: int) -> DataFrame:
+def _searched(rows: DataFrame, phrases_of: Callable[[], Phrases | StoredPhrases], shard_words: int) -> DataFrame:
     """rows: (doc_id, key, text). Rows (doc_id, key, n_words, spans, items)."""
-    phrases = Phrases(items, window)
 
     def searched(batches):
+        phrases = phrases_of()
+
         def emit(held):
             texts = [t for b in held for t in b.column(2).to_pylist()]
             sizes, spans, found = search_shard(texts, phrases)
@@ -144,19 +222,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text"))
     blocks = math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / block_bytes)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    block = F.pmod(F.xxhash64("id", "text"), F.lit(blocks))
-    passes = [_pass(rows, [tuple(r) for r in items.where(block == b).collect()], window, shard_words) for b in range(blocks)]
-    out = passes[0]
-    if blocks > 1:
-        every = passes[0]
-        for more in passes[1:]:
-            every = every.unionByName(more)
-        last = lambda s: F.element_at(s, -1)
-        add = lambda s, x: F.when((F.size(s) > 0) & (last(s)["stop"] >= x["start"]), F.concat(F.slice(s, 1, F.size(s) - 1), F.array(F.struct(last(s)["start"].alias("start"), F.greatest(last(s)["stop"], x["stop"]).alias("stop"))))).otherwise(F.concat(s, F.array(x)))
-        met = every.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        met = met.withColumn("spans", F.aggregate("spans", F.array().cast(SPANS), add))
-        ids = rows.select(F.col("doc_id").alias("d"), F.col("key").alias("k"))
-        out = ids.join(met, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("key"))).drop("d", "k")
+    if blocks == 1:
+        phrases = Phrases([tuple(r) for r in items.collect()], window)  # block_bytes at most
+        out = _searched(rows, lambda: phrases, shard_words)
+    else:
+        folder, numbers_, ranges, shortest = stored_phrases(items, blocks, window)
+        out = _searched(rows, lambda: opened(folder, tuple(numbers_), tuple(ranges), shortest), shard_words)
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]))
 
 
