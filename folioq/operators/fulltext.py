@@ -7,13 +7,15 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioq.functions.text import occurrences, plain_tokens, tokens
-from folioq.store import stored
+from folioq.store import scratch, stored
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 CANDIDATES = 50
+BUCKET_BYTES, MOST_BUCKETS, SALTS = 256 << 20, 4096, 16
 
 
 def query_terms(raw: str) -> list[str]:
@@ -24,31 +26,41 @@ def query_terms(raw: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Index:
-    """Postings (term, id, field, tf, places, lengths) in order of term and id, and a row of totals (n_docs, n_words: of each field)."""
+    """Postings (bucket, term, id, field, place, len_0, ...): a row for each word of a document, with the lengths of its fields; and a row of totals (n_docs, n_words_0, ...)."""
 
     postings: DataFrame
     totals: DataFrame
     fields: tuple[str, ...]
+    buckets: int
 
 
-def build_index(docs: DataFrame, fields: list[str], id_col: str = "id") -> Index:
-    """Tokenises each text once. A row for each term, document and field, with the document's lengths beside it.
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
-    Postings are range-partitioned by term and id: a query's few terms are found by the files'
-    least and greatest terms, and a term that most documents hold is spread over many files.
+
+def build_index(docs: DataFrame, fields: list[str], id_col: str = "id", buckets: int | None = None) -> Index:
+    """Tokenises each text once and deals its words by hash of the term into a folder for each bucket.
+
+    A query reads the folders of its terms, and in their files, which are in order of the term, the row groups that can hold
+    them. The words of a bucket are dealt over SALTS tasks by document, so a term that most documents hold burdens no task.
+    The number of buckets, unset, goes by the size of the texts.
     """
+    spark = docs.sparkSession
+    if buckets is None:
+        size = docs.agg(*[F.sum(F.octet_length(f)) for f in fields]).first()
+        buckets = min(MOST_BUCKETS, 1 + sum(x or 0 for x in size) // BUCKET_BYTES)
     names = [f"words_{i}" for i in range(len(fields))]
     counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
-    lengths = F.array(*[F.size(n) for n in names])
-    placed = F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))
-    rows = counted.select("id", lengths.alias("lengths"), F.explode(placed).alias("p")).select("id", "lengths", "p.*")
-    found = rows.groupBy("id", "field", "term").agg(F.first("lengths").alias("lengths"), F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("places"))
-    postings = stored(found.repartitionByRange("term", "id").sortWithinPartitions("term", "id"), "postings")
-    # Documents without any word have no postings: they count among the documents only.
-    each = postings.groupBy("id").agg(F.first("lengths").alias("lengths"))
-    sums = each.agg(*[F.coalesce(F.sum(F.get("lengths", F.lit(i))), F.lit(0).cast("long")).alias(f"n_words_{i}") for i in range(len(fields))])
+    lengths = [F.size(n).alias(f"len_{i}") for i, n in enumerate(names)]
+    rows = counted.select("id", *lengths, F.explode(F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))).alias("p")).select("id", *[f"len_{i}" for i in range(len(names))], "p.*")
+    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    path = scratch(spark, "postings")
+    rows.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    schema = T.StructType([f for f in rows.drop("salt", "bucket").schema.fields] + [T.StructField("bucket", T.IntegerType())])
+    postings = spark.read.schema(schema).parquet(path)
+    sums = postings.agg(*[F.count_if(F.col("field") == i).alias(f"n_words_{i}") for i in range(len(fields))])
     totals = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(sums))
-    return Index(postings, stored(totals, "totals"), tuple(fields))
+    return Index(postings, stored(totals, "totals"), tuple(fields), buckets)
 
 
 def bm25(index: Index, weights: dict[str, float], terms: list[str]) -> DataFrame:
@@ -61,18 +73,17 @@ def bm25(index: Index, weights: dict[str, float], terms: list[str]) -> DataFrame
         return index.postings.where("false").select("id", F.lit(0.0).alias("score"))
     fields = [index.fields.index(f) for f in weights]
     words = sorted({w for p in phrases for w in p})
-    met = index.postings.where(F.col("term").isin(words) & F.col("field").isin(fields))
-    length = sum((F.get("lengths", F.lit(i)) for i in fields), F.lit(0)).cast("double")
-    weight = F.coalesce(*[F.when(F.col("field") == i, F.lit(float(w))) for i, w in zip(fields, weights.values(), strict=True)])
+    met = index.postings.where(F.col("bucket").isin(*[_bucket(F.lit(w), index.buckets) for w in words]) & F.col("term").isin(words) & F.col("field").isin(fields))
+    length = sum((F.col(f"len_{i}") for i in fields), F.lit(0)).cast("double").alias("length")
+    weight = F.coalesce(*[F.when(F.col("field") == i, F.lit(float(w))) for i, w in zip(fields, weights.values(), strict=True)]).alias("w")
     if all(len(p) == 1 for p in phrases):
-        tf = [F.when(F.col("term") == p[0], F.col("tf")) for p in phrases]
-        rows = met.select("id", length.alias("length"), weight.alias("w"), *[t.alias(f"n_{k}") for k, t in enumerate(tf)])
+        rows = met.select("id", length, weight, *[F.when(F.col("term") == p[0], F.lit(1)).alias(f"n_{k}") for k, p in enumerate(phrases)])
     else:
         at = {w: f"at_{i}" for i, w in enumerate(words)}
-        one = [F.first(F.when(F.col("term") == w, F.col("places")), ignorenulls=True).alias(c) for w, c in at.items()]
-        sides = met.groupBy("id", "field").agg(F.first("lengths").alias("lengths"), *one)
-        tf = [F.nullif(F.size(reduce(F.array_intersect, [F.transform(F.coalesce(at[w], F.array().cast("array<int>")), _back(j)) for j, w in enumerate(p)])), F.lit(0)) for p in phrases]
-        rows = sides.select("id", length.alias("length"), weight.alias("w"), *[t.alias(f"n_{k}") for k, t in enumerate(tf)])
+        one = [F.collect_list(F.when(F.col("term") == w, F.col("place"))).alias(c) for w, c in at.items()]
+        sides = met.select("id", "field", length, "term", "place").groupBy("id", "field").agg(F.first("length").alias("length"), *one)
+        tf = [F.nullif(F.size(reduce(F.array_intersect, [F.transform(at[w], _back(j)) for j, w in enumerate(p)])), F.lit(0)) for p in phrases]
+        rows = sides.select("id", "length", weight, *[t.alias(f"n_{k}") for k, t in enumerate(tf)])
     sums = [f(k) for k in range(len(phrases)) for f in (lambda k: F.sum(F.col("w") * F.col(f"n_{k}")).alias(f"tf_{k}"), lambda k: F.sum(f"n_{k}").alias(f"n_{k}"))]
     rows = rows.groupBy("id").agg(F.first("length").alias("length"), *sums)
     counts = rows.agg(*[F.count_if(F.col(f"n_{k}") > 0).alias(f"df_{k}") for k in range(len(phrases))])
@@ -93,7 +104,7 @@ def _back(j: int):
 
 
 def _placed(words: str, field: int):
-    return F.transform(F.col(words), lambda w, at: F.struct(w.alias("term"), F.lit(field).alias("field"), at.alias("at")))
+    return F.transform(F.col(words), lambda w, at: F.struct(w.alias("term"), F.lit(field).alias("field"), at.alias("place")))
 
 
 def has_phrase(text: Column, phrase: str) -> Column:

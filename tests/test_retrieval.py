@@ -33,7 +33,7 @@ def test_bm25_against_plain_version(spark):
     text = lambda n: " ".join(r.choice(["foo", "bar", "Été", "x_y", "z"]) for _ in range(n))
     rows = [(i, text(r.randint(0, 4)), text(r.randint(0, 30)), None if i % 3 else text(3)) for i in range(60)] + [(60, None, None, None), (61, "", "!", "")]
     weights = {"title": 3.0, "body": 1.0, "summary": 5.0}
-    index = fulltext.build_index(spark.createDataFrame(rows, "id long, title string, body string, summary string"), list(weights))
+    index = fulltext.build_index(spark.createDataFrame(rows, "id long, title string, body string, summary string"), list(weights), buckets=3)
 
     def words(t):
         return re.split(r"[\W_]+", (t or "").lower().replace("é", "e"))
