@@ -26,7 +26,7 @@ from .common import n_words, row_key, stored, table, top_bits
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 MOST_BITS = 32
 
 
