@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, license_scan, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts
+from . import conversation_repair, decontaminate, html_extract, license_scan, lm_scoring, mixing, quality_rules, sharding, simhash, substring_dedup, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_repeated_passages": substring_dedup.op8_repeated_passages,
     "op9_licence_scan": license_scan.op9_licence_scan,
     "op10_quality_verdicts": quality_rules.op10_quality_verdicts,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "shards_of_64_kib": sharding.shards_of_64_kib,
     "quality_at_loose_risk": quality_rules.quality_at_loose_risk,
 }

@@ -11,7 +11,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         c.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     return c
 
@@ -19,8 +19,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, DIR).toPandas()
-    source = "pages" if name == "op4_main_text" else "documents"
-    assert len(got) == con.execute(f"select count(*) from {source}").fetchone()[0]
+    source = {"op4_main_text": "count(*) from pages", "op11_conversation_repair": "count(distinct conv_id) from conversations"}
+    assert len(got) == con.execute(f"select {source.get(name, 'count(*) from documents')}").fetchone()[0]
     if name in ORACLES:
         wanted = con.execute(ORACLES[name]).df()
         columns = sorted(got.columns)
