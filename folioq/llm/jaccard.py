@@ -11,9 +11,11 @@ links and none is passed over.
 In a bucket of many classes, pairs of the whole bucket are met only after some rounds
 that check a few classes of the bucket against the others: what is linked by then needs no
 further check, so a large group of near copies costs a few checks for each of its rows.
-Before windows are fetched, two bounds that hold for every pair of the threshold pass over
-others: the sizes of the sets, and the differing bits of their parities (of the windows by
-hash, modulo PARITY), of which there are no more than windows in one set only.
+What is left of a bucket is cut into pieces of about PIECE rows that meet two by two, each
+two in a task of their own. Before windows are fetched, two bounds that hold for every pair
+of the threshold pass over others: the sizes of the sets, and the differing bits of their
+parities (of the windows by hash, modulo PARITY), of which there are no more than windows in
+one set only.
 
 Defined results: null and blank texts have no windows and are one class; texts of fewer
 words than a window have their whole word sequence; repeated rows are one class; an
@@ -22,6 +24,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -39,6 +43,7 @@ BLOCK = 1 << 12
 PARITY = 256
 STARS = 3
 ROUNDS = 4
+PIECE = 1 << 11
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -74,44 +79,73 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _classes(batches):
-    for batch in batches:
-        found = [windows(t) for t in batch.column(2).to_pylist()]
-        same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-        lists = [pa.array(map(f, found), pa.list_(pa.int64())) for f in (bands, parity)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "bands", "parity"])
+def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]]):
+    def classes(batches):
+        for batch in batches:
+            found = [windows(t, shingle) for t in batch.column(2).to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
+            lists = [pa.array(map(f, found), pa.list_(pa.int64())) for f in (buckets, parity)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity"])
+
+    return classes
+
 
+def _sets(shingle: int):
+    def sets(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t, shingle).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["class", "windows"])
 
-def _sets(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 128):
-            part = batch.slice(at, 128)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["class", "windows"])
+    return sets
 
 
-def similar(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """pairs: (x, y) of classes; sets: (class, windows). Rows (a, b), a < b, of the different pairs with threshold at least."""
+def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pairs: (x, y) of classes; sets: (class, windows). Rows (a, b), a < b, of the different pairs of percent at least."""
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     x, y = (sets.select(F.col("class").alias(c), F.col("windows").alias(f"w{c}")) for c in "ab")
-    met = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")))
-    return met.where(F.col("both") >= F.lit(threshold) * (F.size("wa") + F.size("wb") - F.col("both"))).select("a", "b")
+    met = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")).cast("long"))
+    return met.where(100 * F.col("both") >= percent * (F.size("wa") + F.size("wb") - F.col("both"))).select("a", "b")
 
 
-def _possible(x, y, threshold: float) -> Column:
-    """Whether two sets can have the threshold; x and y give a column of each by name."""
-    total = F.lit((1 - threshold) / (1 + threshold) + 1e-9) * (x("size") + y("size"))
+def _possible(x, y, percent: int) -> Column:
+    """Whether two sets can have percent; x and y give a column of each by name."""
+    total = (100 - percent) * (x("size") + y("size"))  # of windows in one set only, times 100 + percent
     differ = sum((F.bit_count(F.get(x("parity"), F.lit(i)).bitwiseXOR(F.get(y("parity"), F.lit(i)))) for i in range(PARITY // 64)), F.lit(0))
-    return (F.abs(x("size") - y("size")) <= total) & (differ <= total)
-
-
-def links(texts: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """classes: (class, key, size, bands, parity). Rows (a, b) of classes of the threshold at least, whose components are those of all such candidates."""
-    held = classes.select("class", "size", "parity", "bands", F.explode("bands").alias("bucket"))
+    return ((100 + percent) * F.abs(x("size") - y("size")) <= total) & ((100 + percent) * differ <= total)
+
+
+def _met(left: DataFrame, percent: int, once: bool) -> DataFrame:
+    """left: (bucket, class, size, parity, root). Pairs (x, y) that a bucket holds, of different roots and possible; once: buckets is there, and a pair comes out of the first bucket of both only."""
+    pieces = left.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("pieces > 1")
+    left = left.join(pieces, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    own = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
+    a = left.withColumns({"i": own, "j": others}).alias("a")
+    b = left.withColumns({"j": own, "i": others}).alias("b")
+    together = F.lit(True)
+    for c in ("bucket", "i", "j"):
+        together = together & (F.col(f"a.{c}") == F.col(f"b.{c}"))
+    if once:
+        together = together & (F.get(F.array_intersect("a.buckets", "b.buckets"), F.lit(0)) == F.col("a.bucket"))
+    possible = _possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
+    pairs = a.join(b, together & (F.col("a.class") < F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & possible)
+    return pairs.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"))
+
+
+def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE, once: bool = True) -> DataFrame:
+    """classes: (class, key, size, buckets, parity). Rows (a, b) of classes of percent at least, whose components are those of all such pairs that share a bucket."""
+    kept = ["buckets"] if once else []
+    held = classes.select("class", F.explode("buckets").alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = stored(held.join(shared, "bucket").select("bucket", "class", "size", "parity", "bands", F.col("class").alias("root")), "buckets")
+    met = held.join(shared, "bucket")
+    if not once:  # longer lists: the rest of a class comes to the buckets that are shared
+        met = stored(met, "shared")
+    left = met.join(classes.select("class", "size", "parity", *kept), "class")
+    left = stored(left.select("bucket", "class", "size", "parity", *kept, F.col("class").alias("root")), "buckets")
     needed = classes.select("class", "key").join(left.select("class").distinct(), "class")
     one = needed.join(texts, "key").groupBy("class").agg(F.first("text").alias("text"))
-    sets = stored(one.mapInArrow(_sets, "class binary, windows array<long>"), "windows")
+    sets = stored(one.mapInArrow(_sets(shingle), "class binary, windows array<long>"), "windows")
     found = before = None
     for turn in range(ROUNDS + 1):
         # Buckets of one component are done; the others' pairs of two components, counted, tell whether another round pays.
@@ -123,28 +157,24 @@ def links(texts: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) ->
         orders = [F.min(F.struct(F.xxhash64("class", F.lit(STARS * turn + i)).alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for i in range(STARS)]
         stars = left.groupBy("bucket").agg(F.array(*orders).alias("stars"))
         met = left.join(stars, "bucket").select("class", "root", "size", "parity", F.explode("stars").alias("s"))
-        met = met.where((F.col("s.root") != F.col("root")) & _possible(lambda c: F.col(f"s.{c}"), F.col, threshold))
-        new = stored(similar(met.select(F.col("s.class").alias("x"), F.col("class").alias("y")), sets, threshold), "similar")
+        met = met.where((F.col("s.root") != F.col("root")) & _possible(lambda c: F.col(f"s.{c}"), F.col, percent))
+        new = stored(similar(met.select(F.col("s.class").alias("x"), F.col("class").alias("y")), sets, percent), "similar")
         found = new if found is None else found.unionByName(new)
         roots = components(found).select(F.col("node").alias("class"), "root")
         now = left.drop("root").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         mixed = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        left = stored(now.join(mixed, "bucket").select("bucket", "class", "size", "parity", "bands", "root"), "buckets")
+        left = stored(now.join(mixed, "bucket").select(*left.columns), "buckets")
     if not cost["n"]:
         return found if found is not None else left.select(F.col("class").alias("a"), F.col("root").alias("b"))
-    a, b = left.alias("a"), left.alias("b")
-    possible = _possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), threshold)
-    once = F.get(F.array_intersect("a.bands", "b.bands"), F.lit(0)) == F.col("a.bucket")  # in the first of the buckets that both are in
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & possible & once)
-    new = similar(pairs.select(F.col("a.class").alias("x"), F.col("b.class").alias("y")), sets, threshold)
+    new = similar(_met(left, percent, once), sets, percent)
     return new if found is None else found.unionByName(stored(new, "similar"))
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows (doc_id, key, root) for each row of docs; rows of one root are near-duplicates."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, buckets: Callable[[np.ndarray], list[int]] = bands, once: bool = True) -> DataFrame:
+    """Rows (doc_id, key, size, root) for each row of docs; rows of one root are near-duplicates, size is that of the set. once: the lists of buckets are short."""
     texts = docs.select(row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = stored(rows.mapInArrow(_classes, "doc_id long, key string, class binary, size long, bands array<long>, parity array<long>"), "classes")
-    classes = stored(rows.groupBy("class").agg(F.min(F.struct("key", "size", "bands", "parity")).alias("f")).select("class", "f.*"), "classes")
-    roots = components(links(texts, classes, threshold)).withColumnRenamed("node", "class")
-    return rows.join(roots, "class", "left").select("doc_id", "key", F.coalesce("root", "class").alias("root"))
+    rows = stored(rows.mapInArrow(_classes(shingle, buckets), "doc_id long, key string, class binary, size long, buckets array<long>, parity array<long>"), "classes")
+    classes = stored(rows.groupBy("class").agg(F.min(F.struct("key", "size", "buckets", "parity")).alias("f")).select("class", "f.*"), "classes")
+    roots = components(links(texts, classes, round(100 * threshold), shingle, once)).withColumnRenamed("node", "class")
+    return rows.join(roots, "class", "left").select("doc_id", "key", "size", F.coalesce("root", "class").alias("root"))
