@@ -1,15 +1,16 @@
 """Removal of repeated passages with sharded Aho-Corasick automata.
 
-Documents are dealt by the hash of their id into chunks of a few hundred. Four steps
+Documents are dealt by the hash of their id into chunks of a few hundred. Steps
 follow, each a shuffle on chunks or on hash ranges:
 
-1. Every chunk sends the hashes of its distinct windows, each with the id of the first
-   document that holds it, to hash ranges. A window costs the same bytes however many
-   chunks and ranges there are.
-2. A hash range finds windows that occur in several chunks (or twice in one) and tells
-   chunks that hold them which others they shall send them to.
-3. Those chunks join neighbouring windows into passages and send the words of each.
-4. Each chunk compiles an automaton of the passages it got, streams its documents
+1. Every chunk sends short hashes of its windows to hash ranges. A hash range tells the
+   chunks which of them occur in several chunks, or twice in one.
+2. Those chunks send long hashes of such windows, each with the id of the first document
+   that holds it. A short hash that different windows share costs bytes, and loses nothing.
+3. A hash range finds the windows that occur again and tells chunks that hold them which
+   others they shall send them to.
+4. Those chunks join neighbouring windows into passages and send the words of each.
+5. Each chunk compiles an automaton of the passages it got, streams its documents
    through it, confirms every occurrence word by word, and marks all but the first.
 
 A window that many chunks hold spreads as a tree: the chunk of the first occurrence
@@ -19,7 +20,8 @@ none gets it twice.
 
 The automaton's keys are blocks of words, spaced so that any window inside a passage
 holds a whole block; a match is then extended as far as the words agree. Only
-agreement of at least a window counts, so hash collisions remove nothing.
+agreement of at least a window counts, so hash collisions remove nothing. Windows count as
+the same by 64 bits of one hash among those whose short hash of another is shared.
 
 Defined results: null, blank and short texts lose nothing; a null id orders after all
 others; rows of one id order by text; fully equal rows are one document that stands
@@ -45,8 +47,8 @@ CHUNK_BYTES = 3 << 19
 CHUNK_ROWS = 400
 RANGE_WINDOWS = 3_000_000
 FAN = 16
-_PLANES = 5  # bytes of a hash that are sent; its leading bits are in the range's number
-_LOW = np.uint64((1 << 8 * _PLANES) - 1)
+HASH_BITS = 32
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _NO_ID = np.iinfo(np.int64).max
 
 
@@ -73,6 +75,17 @@ def _unplaned(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def _mixed(part, window: int, base: int, n: int) -> np.ndarray:
+    """Hashes of n windows; part gives the hashes of their words of one place."""
+    with np.errstate(over="ignore"):
+        total = np.zeros(n, np.uint64)
+        for j in range(window):
+            total = total * np.uint64(base) + part(j)
+        total ^= total >> np.uint64(32)
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        return total ^ (total >> np.uint64(32))
+
+
 class Chunk:
     """The documents of one chunk in order, fully equal rows once."""
 
@@ -89,75 +102,134 @@ class Chunk:
         self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
-    def windows(self, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, first word (in the chunk's run of words) and hash range of each window."""
+        self.ordered = None
+
+    def word_hashes(self) -> np.ndarray:
         known = _Hashes()
-        h = np.fromiter((known[w] for doc in self.words for w in doc), np.uint64, int(self.starts[-1]))
+        return np.fromiter((known[w] for doc in self.words for w in doc), np.uint64, int(self.starts[-1]))
+
+    def windows(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Short hash, first word (in the chunk's run of words) and hash range of each window."""
+        h = self.word_hashes()
         n = len(h) - self.window + 1
         if n <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        base = np.uint64(0x9E3779B97F4A7C15)
-        with np.errstate(over="ignore"):
-            total = np.zeros(n, np.uint64)
-            for j in range(self.window):
-                total = total * base + h[j : j + n]
-            total ^= total >> np.uint64(32)
-            total *= np.uint64(0xD6E8FEB86659FD93)
-            total ^= total >> np.uint64(32)
+        total = _mixed(lambda j: h[j : j + n], self.window, _BASES[0], n)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.flatnonzero(doc[:n] == doc[self.window - 1 :])
         hashes = total[first]
-        return hashes & _LOW, first, ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-    def entries(self, ranges: int):
-        """For each hash range: its number, distinct hashes in order, their first windows, and whether they occur again."""
-        hashes, first, which = self.windows(ranges)
-        order = np.lexsort((first, hashes, which))
-        hashes, first, which = hashes[order], first[order], which[order]
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1]))) if len(hashes) else np.zeros(0, bool)
-        at = np.flatnonzero(new)
-        again = np.diff(np.concatenate((at, [len(hashes)]))) > 1
-        cuts = np.searchsorted(which[at], np.arange(ranges + 1))
+        return hashes & np.uint64((1 << bits) - 1), first, ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+    def sorted_windows(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Windows by range and short hash: hashes, first words, where each different one begins (and the end), and where each range's begin among those."""
+        if self.ordered is None:
+            hashes, first, which = self.windows(ranges, bits)
+            order = np.lexsort((first, hashes, which))
+            hashes, first, which = hashes[order], first[order], which[order]
+            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1]))) if len(hashes) else np.zeros(0, bool)
+            at = np.flatnonzero(new)
+            self.ordered = hashes, first, np.append(at, len(hashes)), np.searchsorted(which[at], np.arange(ranges + 1))
+        return self.ordered
+
+    def entries(self, ranges: int, bits: int):
+        """For each hash range: its number, different short hashes in order, and whether they occur again."""
+        hashes, _, at, cuts = self.sorted_windows(ranges, bits)
+        again = np.diff(at) > 1
         for r in range(ranges):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
-                yield r, hashes[at[a:b]], first[at[a:b]], again[a:b]
+                yield r, hashes[at[a:b]], again[a:b]
+
+    def long_hashes(self, ranges: int, bits: int, asked: list[tuple[int, np.ndarray]]):
+        """asked: a range and entries of it. For each: the range, different long hashes of those windows in order, their first words, and whether they occur again."""
+        _, first, at, cuts = self.sorted_windows(ranges, bits)
+        h = self.word_hashes()
+        for r, entries in asked:
+            begin = at[cuts[r] + entries]
+            counts = at[cuts[r] + entries + 1] - begin
+            ends = np.cumsum(counts)
+            place = first[np.arange(ends[-1]) + np.repeat(begin - ends + counts, counts)]
+            hashes = _mixed(lambda j, place=place: h[place + j], self.window, _BASES[1], len(place))
+            order = np.lexsort((place, hashes))
+            hashes, place = hashes[order], place[order]
+            lead = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            yield r, hashes[lead], place[lead], np.diff(np.append(lead, len(hashes))) > 1
 
     def doc_of(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, word, side="right") - 1
 
 
-def _sent(ranges: int, window: int, least: int, id_bytes: int):
-    """least: the smallest id. Ids are sent as what they are above it, in id_bytes; a null id as the greatest such number, with the text's key beside it."""
-
+def _sent(ranges: int, window: int, bits: int):
     def send(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         _release()
-        chunk, out = Chunk(rows, window), defaultdict(list)
-        none = np.array([d[0] == _NO_ID for d in chunk.docs], bool)
-        ids = np.array([(1 << 8 * id_bytes) - 1 if n else d[0] - least for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
-        keys = np.array([int(d[1][:7], 16) if n else 0 for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
-        for r, hashes, first, again in chunk.entries(ranges):
-            doc = chunk.doc_of(first)
-            beside = _planes(keys[doc], 4) if none.any() else b""
-            for name, value in zip(("range", "g", "planes", "ids", "keys", "again"), (r, key[0].as_py(), _planes(hashes, _PLANES), _planes(ids[doc], id_bytes), beside, np.packbits(again).tobytes()), strict=True):
+        out: dict = {"range": [], "g": [], "planes": [], "again": []}
+        for r, hashes, again in Chunk(rows, window).entries(ranges, bits):
+            for name, value in zip(out, (r, key[0].as_py(), _planes(hashes, -(-bits // 8)), np.packbits(again).tobytes()), strict=True):
                 out[name].append(value)
-        types = {"range": pa.int64(), "g": pa.int64()} | dict.fromkeys(("planes", "ids", "keys", "again"), pa.binary())
+        types = {"range": pa.int64(), "g": pa.int64(), "planes": pa.binary(), "again": pa.binary()}
         return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
 
     return send
 
 
+def _gathered(sent: list[dict], planes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All hashes of the rows, whether they occur again in their chunk, and where each row's begin (and the end)."""
+    begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // planes for r in sent], dtype=np.int64)))
+    hashes, again = np.empty(begins[-1], np.uint64), np.empty(begins[-1], bool)
+    for row, a, b in zip(sent, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        hashes[a:b] = _unplaned(row["planes"], planes)
+        again[a:b] = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=b - a)
+    return hashes, again, begins
+
+
+def _shared(bits: int):
+    """Of one hash range: for each chunk, which of its short hashes occur again."""
+
+    def share(rows: pa.Table) -> pa.Table:
+        _release()
+        sent = rows.select(["g", "planes", "again"]).to_pylist()
+        hashes, again, begins = _gathered(sent, -(-bits // 8))
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
+        some = np.sort(order[same[1:] | same[:-1] | again[order]])
+        cuts = np.searchsorted(some, begins)
+        found = [(row["g"], (some[a:b] - begin).astype(np.uint32).tobytes()) for row, begin, a, b in zip(sent, begins[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b]
+        return pa.table({"g": pa.array([g for g, _ in found], pa.int64()), "range": pa.array([rows.column("range")[0].as_py()] * len(found), pa.int64()), "entries": pa.array([e for _, e in found], pa.binary())})
+
+    return share
+
+
+def _confirmed(ranges: int, window: int, bits: int, least: int, id_bytes: int):
+    """least: the smallest id. Ids are sent as what they are above it, in id_bytes; a null id as the greatest such number, with the text's key beside it."""
+
+    def confirm(key: tuple[pa.Scalar, ...], docs: pa.Table, asked: pa.Table) -> pa.Table:
+        _release()
+        out: dict = {"range": [], "g": [], "planes": [], "ids": [], "keys": [], "firsts": [], "again": []}
+        if docs.num_rows and asked.num_rows:
+            chunk = Chunk(docs, window)
+            none = np.array([d[0] == _NO_ID for d in chunk.docs], bool)
+            ids = np.array([(1 << 8 * id_bytes) - 1 if n else d[0] - least for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
+            keys = np.array([int(d[1][:7], 16) if n else 0 for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
+            wanted = [(r["range"], np.frombuffer(r["entries"], np.uint32).astype(np.int64)) for r in asked.to_pylist()]
+            for r, hashes, first, again in chunk.long_hashes(ranges, bits, wanted):
+                doc = chunk.doc_of(first)
+                beside = _planes(keys[doc], 4) if none.any() else b""
+                for name, value in zip(out, (r, key[0].as_py(), _planes(hashes, 8), _planes(ids[doc], id_bytes), beside, _planes(first.astype(np.uint64), 4), np.packbits(again).tobytes()), strict=True):
+                    out[name].append(value)
+        types = {"range": pa.int64(), "g": pa.int64()} | dict.fromkeys(("planes", "ids", "keys", "firsts", "again"), pa.binary())
+        return pa.table({k: pa.array(out[k], t) for k, t in types.items()})
+
+    return confirm
+
+
 def _met(id_bytes: int, fan: int):
-    """Of one hash range: for each chunk, which of its windows it shall send to which chunk."""
+    """Of one hash range: for each chunk, which of its windows, by their first words, it shall send to which chunk."""
 
     def meet(rows: pa.Table) -> pa.Table:
         _release()
-        sent = rows.select(["g", "planes", "ids", "keys", "again"]).to_pylist()
-        begins = np.concatenate(([0], np.cumsum([len(r["planes"]) // _PLANES for r in sent], dtype=np.int64)))
-        hashes, again = np.empty(begins[-1], np.uint64), np.empty(begins[-1], bool)
-        for row, a, b in zip(sent, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
-            hashes[a:b] = _unplaned(row["planes"], _PLANES)
-            again[a:b] = np.unpackbits(np.frombuffer(row["again"], np.uint8), count=b - a)
+        sent = rows.select(["g", "planes", "ids", "keys", "firsts", "again"]).to_pylist()
+        hashes, again, begins = _gathered(sent, 8)
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
@@ -165,19 +237,20 @@ def _met(id_bytes: int, fan: int):
         order, hashes = order[some], hashes[some]
         line = np.searchsorted(begins, order, side="right") - 1
         entry, again = order - begins[line], again[order]
-        ids, keys = np.zeros(len(order), np.uint64), np.zeros(len(order), np.uint64)
+        ids, keys, firsts = (np.zeros(len(order), np.uint64) for _ in range(3))
         by = np.argsort(line, kind="stable")
         cuts = np.searchsorted(line[by], np.arange(len(sent) + 1))
         for row, a, b in zip(sent, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if a < b:
                 part = by[a:b]
                 ids[part] = _unplaned(row["ids"], id_bytes)[entry[part]]
+                firsts[part] = _unplaned(row["firsts"], 4)[entry[part]]
                 if row["keys"]:
                     keys[part] = _unplaned(row["keys"], 4)[entry[part]]
         by = np.lexsort((keys, ids, hashes))
-        hashes, entry, again = hashes[by], entry[by], again[by]
+        hashes, firsts, again = hashes[by], firsts[by], again[by]
         chunk = np.array([r["g"] for r in sent], np.int64)[line[by]]
-        out_g, out_entries, out_to = [], [], []
+        out_g, out_firsts, out_to = [], [], []
         if len(hashes):
             at = np.arange(len(hashes))
             leads = np.concatenate(([True], hashes[1:] != hashes[:-1]))
@@ -185,29 +258,26 @@ def _met(id_bytes: int, fan: int):
             wanted = np.flatnonzero(~leads | again)
             place = (at - lead)[wanted]  # in the order of first occurrences; the chunk of the first serves itself, too
             server = lead[wanted] + np.maximum(0, (place - 1) // fan)
-            source, entries, to = chunk[server], entry[server], chunk[wanted]
+            source, first, to = chunk[server], firsts[server], chunk[wanted]
             by = np.argsort(source, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(source[by])) + 1):
                 if len(part):
                     out_g.append(int(source[part[0]]))
-                    out_entries.append(entries[part].astype(np.uint32).tobytes())
+                    out_firsts.append(first[part].astype(np.uint32).tobytes())
                     out_to.append(to[part].astype(np.int32).tobytes())
-        number = [rows.column("range")[0].as_py()] * len(out_g)
-        return pa.table({"g": pa.array(out_g, pa.int64()), "range": pa.array(number, pa.int64()), "entries": pa.array(out_entries, pa.binary()), "chunks": pa.array(out_to, pa.binary())})
+        return pa.table({"g": pa.array(out_g, pa.int64()), "firsts": pa.array(out_firsts, pa.binary()), "chunks": pa.array(out_to, pa.binary())})
 
     return meet
 
 
-def _told(ranges: int, window: int):
+def _told(window: int):
     def tell(docs: pa.Table, asked: pa.Table) -> pa.Table:
         _release()
         out: dict = {"g": [], "doc_id": [], "key": [], "start": [], "passage": []}
         if docs.num_rows and asked.num_rows:
             chunk = Chunk(docs, window)
-            by_range = {r: first for r, _, first, _ in chunk.entries(ranges)}
             words = [w for doc in chunk.words for w in doc]
-            first = np.concatenate([by_range[r["range"]][np.frombuffer(r["entries"], np.uint32)] for r in asked.to_pylist()])
-            to = np.concatenate([np.frombuffer(r["chunks"], np.int32) for r in asked.to_pylist()]).astype(np.int64)
+            first, to = (np.concatenate([np.frombuffer(x, kind) for x in asked.column(c).to_pylist()]).astype(np.int64) for c, kind in (("firsts", np.uint32), ("chunks", np.int32)))
             order = np.lexsort((first, to))
             first, to = first[order], to[order]
             doc = chunk.doc_of(first)
@@ -298,8 +368,8 @@ def _kept(window: int):
     return keep
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_windows: int = RANGE_WINDOWS, fan: int = FAN) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, spans, kept): kept is the text left, words joined by one space."""
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, range_windows: int = RANGE_WINDOWS, fan: int = FAN, hash_bits: int = HASH_BITS) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, spans, kept): kept is the text left, words joined by one space. hash_bits: of a short hash, 32 at most."""
     number = F.col(f"`{doc_id}`").cast("long")
     rows_n, size, least, most = docs.agg(F.count("*"), F.sum(F.octet_length(F.col(f"`{text}`"))), F.min(number), F.max(number)).first()
     chunks = max(1, -(-(size or 0) // chunk_bytes), -(-rows_n // CHUNK_ROWS))
@@ -310,9 +380,11 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Rows of one id lie in one chunk, so ids alone order the first occurrences of different chunks.
     dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
     rows = rows.select(F.pmod(dealt, F.lit(chunks)).cast("long").alias("g"), "doc_id", "key", "text")
-    sent = rows.groupBy("g").applyInArrow(_sent(ranges, window, least, id_bytes), "range long, g long, planes binary, ids binary, keys binary, again binary")
-    met = sent.groupBy("range").applyInArrow(_met(id_bytes, fan), "g long, range long, entries binary, chunks binary")
-    told = rows.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_told(ranges, window), "g long, doc_id long, key string, start long, passage binary")
+    sent = rows.groupBy("g").applyInArrow(_sent(ranges, window, hash_bits), "range long, g long, planes binary, again binary")
+    asked = sent.groupBy("range").applyInArrow(_shared(hash_bits), "g long, range long, entries binary")
+    long = rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_confirmed(ranges, window, hash_bits, least, id_bytes), "range long, g long, planes binary, ids binary, keys binary, firsts binary, again binary")
+    met = long.groupBy("range").applyInArrow(_met(id_bytes, fan), "g long, firsts binary, chunks binary")
+    told = rows.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_told(window), "g long, doc_id long, key string, start long, passage binary")
     return rows.groupBy("g").cogroup(told.groupBy("g")).applyInArrow(_kept(window), "doc_id long, n_words long, n_removed long, spans array<struct<start: long, stop: long>>, kept string")
 
 

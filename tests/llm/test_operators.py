@@ -133,6 +133,9 @@ def test_repeated_passages(docs, empty):
     for chunk_bytes, range_windows, fan in ((2 << 20, 4_000_000, 16), (6000, 2000, 16), (3000, 500, 1), (3000, 5000, 2)):
         out = remove_repeats(docs, chunk_bytes=chunk_bytes, range_windows=range_windows, fan=fan)
         same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)), wanted)
+    for hash_bits in (1, 6, 10):  # most short hashes are shared by different windows
+        out = remove_repeats(docs, chunk_bytes=6000, range_windows=2000, hash_bits=hash_bits)
+        same(out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)), wanted)
     assert remove_repeats(empty).count() == 0
 
 
@@ -146,18 +149,18 @@ def test_repeated_passages_send_the_same_bytes_to_any_number_of_ranges():
     rows = pa.table({"doc_id": range(400), "key": ["0" * 32] * 400, "text": texts})
     sizes = {}
     for ranges in (6, 300, 1667):
-        out = _sent(ranges, 20, 0, 2)((pa.scalar(7),), rows)
-        sizes[ranges] = sum(len(x) for c in ("planes", "ids", "keys", "again") for x in out.column(c).to_pylist())
+        out = _sent(ranges, 20, 32)((pa.scalar(7),), rows)
+        sizes[ranges] = sum(len(x) for c in ("planes", "again") for x in out.column(c).to_pylist())
     assert max(sizes.values()) < 1.02 * min(sizes.values())
 
 
 def test_repeated_passages_spread_from_chunk_to_chunk():
     import pyarrow as pa
 
-    from folioq.llm.substring_dedup import _PLANES, _met, _planes
+    from folioq.llm.substring_dedup import _met, _planes
 
     one = lambda v, n: _planes(np.array([v], np.uint64), n)
-    rows = pa.table({"range": [3] * 1000, "g": range(1000), "planes": [one(5, _PLANES)] * 1000, "ids": [one(i, 2) for i in range(1000)], "keys": [b""] * 1000, "again": [b"\x00"] * 1000})
+    rows = pa.table({"range": [3] * 1000, "g": range(1000), "planes": [one(5, 8)] * 1000, "ids": [one(i, 2) for i in range(1000)], "keys": [b""] * 1000, "firsts": [one(0, 4)] * 1000, "again": [b"\x00"] * 1000})
     out = _met(2, 16)(rows).to_pylist()
     served = [x for r in out for x in np.frombuffer(r["chunks"], np.int32).tolist()]
     assert sorted(served) == list(range(1, 1000))
