@@ -7,9 +7,10 @@ occurrence. The rest is indexed (suffix order, wavelet ranks, sampled positions)
 phrases are searched backward at once, occurrences located, and the spans merged.
 
 A benchmark of block_bytes at most goes to the tasks with the job. A larger one is written
-to the shared folder by Spark, in blocks of that size and with the hashes of its words in
-order; each shard is indexed once, over the words of all blocks, and searched for one block
-after another. Nothing of it passes the driver.
+to the shared folder by Spark, in blocks of that size and with its words in order of
+hash; each shard is indexed once, over the words of all blocks, and searched for one block
+after another. A word is found by its hash and then compared itself, so words that share a hash
+stay apart. Nothing of the benchmark passes the driver.
 
 Defined results: null and blank texts have no words and no hits; a null or blank item
 has no window; equal items under several ids all count; a null item id counts as an
@@ -78,7 +79,7 @@ class StoredPhrases:
 
     def __init__(self, folder: str, blocks: list[int], ranges: list[int], shortest: int):
         self.folder, self.numbers, self.shortest = folder, blocks, shortest
-        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(load(f"{folder}/words-{r}")["hashes"] for r in sorted(ranges))])
+        self.lexicon = Lexicon([load(f"{folder}/words-{r}") for r in sorted(ranges)])
         self.known: dict[bytes, int] = {}
 
     def coded(self, found: list[bytes]) -> np.ndarray:
@@ -86,7 +87,7 @@ class StoredPhrases:
         if new:
             if len(self.known) > MOST_KNOWN:
                 self.known, new = {}, list(set(found))
-            self.known.update(zip(new, numbers(self.hashes, new).tolist(), strict=True))
+            self.known.update(zip(new, self.lexicon.numbers(new).tolist(), strict=True))
         return np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
 
     def blocks(self):
@@ -96,34 +97,57 @@ class StoredPhrases:
             yield SimpleNamespace(windows=arrays["windows"].reshape(len(arrays["lengths"]), -1), lengths=arrays["lengths"], owner=arrays["owner"], ids=names)
 
 
-def numbers(hashes: np.ndarray, words: list[bytes]) -> np.ndarray:
-    """The number of each word: 2 and up for those of the phrases, else 1."""
-    asked = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    at = np.minimum(np.searchsorted(hashes, asked), max(0, len(hashes) - 1))
-    return np.where(hashes[at] == asked, at + 2, 1) if len(hashes) else np.ones(len(words), np.int64)
+def hashed(word: bytes, bits: int = 64) -> int:
+    return xxhash.xxh64_intdigest(word) >> (64 - bits)
 
 
-def stored_phrases(items: DataFrame, blocks: int, window: int) -> tuple:
+class Lexicon:
+    """The words of all phrases in order of hash and word, in parts by hash."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]]):
+        self.parts = parts
+        self.bits = int(parts[0]["bits"][0]) if parts else 64
+        self.hashes = np.concatenate([np.zeros(0, np.uint64), *(p["hashes"] for p in parts)])
+        self.begins = np.cumsum([0, *(len(p["hashes"]) for p in parts)])
+
+    def word(self, at: int) -> bytes:
+        part = int(np.searchsorted(self.begins, at, side="right")) - 1
+        ends, i = self.parts[part]["ends"], at - int(self.begins[part])
+        return self.parts[part]["letters"][ends[i - 1] if i else 0 : ends[i]].tobytes()
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word: 2 and up for those of the phrases, else 1."""
+        out = np.ones(len(words), np.int64)
+        if not len(self.hashes):
+            return out
+        asked = np.fromiter((hashed(w, self.bits) for w in words), np.uint64, len(words))
+        first, after = (np.searchsorted(self.hashes, asked, side=x) for x in ("left", "right"))
+        for i in np.flatnonzero(first < after).tolist():
+            out[i] = next((at + 2 for at in range(int(first[i]), int(after[i])) if self.word(at) == words[i]), 1)
+        return out
+
+
+def stored_phrases(items: DataFrame, blocks: int, window: int, hash_bits: int = 64) -> tuple:
     """items: (id, text), written by Spark. What StoredPhrases takes."""
     folder = scratch(items.sparkSession, "phrases")
 
-    def hashed(batches):
+    def split(batches):
         for batch in batches:
-            found = {w for t in batch.column(0).to_pylist() for w in split_words(t)}
-            yield pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)).view(np.int64))], names=["h"])
+            found = sorted({w for t in batch.column(0).to_pylist() for w in split_words(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([hashed(w, hash_bits) >> max(0, hash_bits - 4) for w in found], pa.int64()), pa.array(found, pa.binary())], names=["range", "word"])
 
     def write_words(rows: pa.Table) -> pa.Table:
-        hashes = np.sort(rows.column("h").to_numpy().view(np.uint64))
-        save(f"{folder}/words-{int(hashes[0] >> np.uint64(60))}", {"hashes": hashes})
-        return pa.table({"range": pa.array([int(hashes[0] >> np.uint64(60))], pa.int64())})
+        found = sorted((hashed(w, hash_bits), w) for w in rows.column("word").to_pylist())
+        arrays = {"hashes": np.array([h for h, _ in found], np.uint64), "ends": np.cumsum([len(w) for _, w in found]), "letters": np.frombuffer(b"".join(w for _, w in found), np.uint8), "bits": np.array([hash_bits])}
+        save(f"{folder}/words-{rows.column('range')[0].as_py()}", arrays)
+        return pa.table({"range": rows.column("range")[:1]})
 
-    words = items.select("text").mapInArrow(hashed, "h long").distinct()
-    ranges = [r["range"] for r in words.groupBy(F.shiftrightunsigned("h", 60).alias("r")).applyInArrow(write_words, "range long").collect()]  # 16 at most
+    words = items.select("text").mapInArrow(split, "range long, word binary").distinct()
+    ranges = [r["range"] for r in words.groupBy("range").applyInArrow(write_words, "range long").collect()]  # 16 at most
 
     def write_block(rows: pa.Table) -> pa.Table:
         block = Phrases(list(zip(rows.column("id").to_pylist(), rows.column("text").to_pylist(), strict=True)), window)
-        hashes = StoredPhrases(folder, [], ranges, 0).hashes
-        renumbered = np.concatenate(([0, 1], numbers(hashes, list(block.vocabulary)))).astype(np.int64)
+        renumbered = np.concatenate(([0, 1], StoredPhrases(folder, [], ranges, 0).lexicon.numbers(list(block.vocabulary)))).astype(np.int64)
         save(f"{folder}/block-{rows.column('b')[0].as_py()}", {"windows": renumbered[block.windows].ravel(), "lengths": block.lengths, "owner": block.owner, "ids": np.frombuffer("\0".join(block.ids).encode(), np.uint8)})
         return pa.table({"b": rows.column("b")[:1], "shortest": pa.array([block.shortest], pa.int64())})
 
@@ -217,7 +241,7 @@ def _searched(rows: DataFrame, phrases_of: Callable[[], Phrases | StoredPhrases]
     return rows.mapInArrow(searched, f"doc_id long, key string, n_words long, spans {SPANS}, items array<string>")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES, hash_bits: int = 64) -> DataFrame:
     """Rows (doc_id, key, n_words, n_hit, spans, items), one for each row of docs; spans are merged and in order."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("id"), F.col(f"`{item_text}`").alias("text"))
     blocks = math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 1) / block_bytes)
@@ -226,7 +250,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         phrases = Phrases([tuple(r) for r in items.collect()], window)  # block_bytes at most
         out = _searched(rows, lambda: phrases, shard_words)
     else:
-        folder, numbers_, ranges, shortest = stored_phrases(items, blocks, window)
+        folder, numbers_, ranges, shortest = stored_phrases(items, blocks, window, hash_bits)
         out = _searched(rows, lambda: opened(folder, tuple(numbers_), tuple(ranges), shortest), shard_words)
     return out.withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"]))
 

@@ -100,6 +100,7 @@ def test_decontamination(spark, docs, empty):
     same(digest(decontaminate(frame, bench)), wanted)
     same(digest(decontaminate(frame, bench, shard_words=50)), wanted)
     same(digest(decontaminate(frame, bench, block_bytes=40)), wanted)
+    same(digest(decontaminate(frame, bench, block_bytes=40, hash_bits=5)), wanted)  # words share hashes
     assert clean(docs, bench).columns == docs.columns
     assert clean(frame, bench).count() == sum(not w[-1] for w in wanted)
     assert decontaminate(empty, bench).count() == 0
