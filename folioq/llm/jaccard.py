@@ -79,12 +79,12 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]]):
+def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]], kind: pa.DataType):
     def classes(batches):
         for batch in batches:
             found = [windows(t, shingle) for t in batch.column(2).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-            lists = [pa.array(map(f, found), pa.list_(pa.int64())) for f in (buckets, parity)]
+            lists = [pa.array(map(f, found), pa.list_(k)) for f, k in ((buckets, kind), (parity, pa.int64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity"])
 
     return classes
@@ -133,19 +133,24 @@ def _met(left: DataFrame, percent: int, once: bool) -> DataFrame:
     return pairs.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"))
 
 
-def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE, once: bool = True) -> DataFrame:
-    """classes: (class, key, size, buckets, parity). Rows (a, b) of classes of percent at least, whose components are those of all such pairs that share a bucket."""
-    kept = ["buckets"] if once else []
-    held = classes.select("class", F.explode("buckets").alias("bucket"))
+def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE, spread: Callable[[Column], Column] | None = None) -> DataFrame:
+    """classes: (class, key, size, buckets, parity). Rows (a, b) of classes of percent at least, whose components are those of all such pairs that share a bucket.
+
+    spread: gives the buckets out of their stored form, for long lists of them.
+    """
+    once, kept = spread is None, ["buckets"] if spread is None else []
+    held = classes.select("class", F.explode("buckets" if once else spread(F.col("buckets"))).alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    met = held.join(shared, "bucket")
-    if not once:  # longer lists: the rest of a class comes to the buckets that are shared
-        met = stored(met, "shared")
-    left = met.join(classes.select("class", "size", "parity", *kept), "class")
+    left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity", *kept), "class")
     left = stored(left.select("bucket", "class", "size", "parity", *kept, F.col("class").alias("root")), "buckets")
+    # Two classes that can't have percent need no bucket.
+    one = F.struct("class", "size", "parity")
+    ends = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("x"), F.max(one).alias("y"))
+    apart = ends.where((F.col("n") == 2) & ~_possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select("bucket")
+    left = stored(left.join(apart, "bucket", "left_anti"), "buckets")
     needed = classes.select("class", "key").join(left.select("class").distinct(), "class")
     one = needed.join(texts, "key").groupBy("class").agg(F.first("text").alias("text"))
-    sets = stored(one.mapInArrow(_sets(shingle), "class binary, windows array<long>"), "windows")
+    sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>"), "windows")
     found = before = None
     for turn in range(ROUNDS + 1):
         # Buckets of one component are done; the others' pairs of two components, counted, tell whether another round pays.
@@ -170,11 +175,17 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     return new if found is None else found.unionByName(stored(new, "similar"))
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, buckets: Callable[[np.ndarray], list[int]] = bands, once: bool = True) -> DataFrame:
-    """Rows (doc_id, key, size, root) for each row of docs; rows of one root are near-duplicates, size is that of the set. once: the lists of buckets are short."""
+def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, buckets: Callable[[np.ndarray], list[int]] = bands, spread: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Rows (doc_id, key, size, root) for each row of docs; rows of one root are near-duplicates, size is that of the set.
+
+    buckets: what a set meets others in; with spread, 32-bit numbers that spread makes into buckets.
+    """
     texts = docs.select(row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    rows = stored(rows.mapInArrow(_classes(shingle, buckets), "doc_id long, key string, class binary, size long, buckets array<long>, parity array<long>"), "classes")
-    classes = stored(rows.groupBy("class").agg(F.min(F.struct("key", "size", "buckets", "parity")).alias("f")).select("class", "f.*"), "classes")
-    roots = components(links(texts, classes, round(100 * threshold), shingle, once)).withColumnRenamed("node", "class")
-    return rows.join(roots, "class", "left").select("doc_id", "key", "size", F.coalesce("root", "class").alias("root"))
+    kind, name = (pa.int32(), "int") if spread else (pa.int64(), "long")
+    rows = stored(rows.mapInArrow(_classes(shingle, buckets, kind), f"doc_id long, key string, class binary, size long, buckets array<{name}>, parity array<long>"), "classes")
+    classes = rows.groupBy(F.col("class").alias("same")).agg(F.min(F.struct("key", "size", "buckets", "parity")).alias("f"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "same", "f.*"), "classes")
+    roots = components(links(texts, classes, round(100 * threshold), shingle, spread)).withColumnRenamed("node", "class")
+    named = classes.select("class", "same").join(roots, "class", "left").select(F.col("same").alias("class"), F.coalesce("root", "class").alias("root"))
+    return rows.select("doc_id", "key", "size", "class").join(named, "class").select("doc_id", "key", "size", "root")

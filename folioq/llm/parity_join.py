@@ -5,11 +5,11 @@ place that a shingle can hash to, and a shingle flips its bit; sketches of two s
 in no more bits than there are shingles in one set only. Of two sets of a and b shingles
 with a similarity of t at least those are (1 - t) / (1 + t) * (a + b) at most.
 
-Sizes fall into bands, each up to 1 / t times its least size, so similar sets are of one
+Sizes fall into bands, each up to 1 / t^STEPS times its least size, so similar sets are of one
 band or of two that follow. A band has sketches of D + 1 words of 64 bits, D being the most
-bits that similar sets of the band (or of it and the band below) differ in. By the pigeonhole
-principle such sketches agree in a word: each set enters its words for its own band and
-for the next, and texts meet where a band's word of one number has one value. No
+bits that similar sets up to its greatest size differ in. By the pigeonhole principle such
+sketches agree in a word: each set enters its words for its own band, and for the next if a
+similar set can lie there, and texts meet where a band's word of one number has one value. No
 similar pair is passed over. Pairs that meet are compared by size and by a short sketch,
 and those left exactly, as in jaccard: equal sets are one class, a large group is linked
 through a few of its classes, and what stays apart meets in pieces.
@@ -25,7 +25,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .jaccard import grouped
@@ -33,6 +33,7 @@ from .common import table
 
 SHINGLE = 3
 THRESHOLD = 0.9
+STEPS = 3
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +42,9 @@ def band(size: int, percent: int) -> tuple[int, int, int]:
     """The number of the band that holds size, with its least and its largest size."""
     number, low = 0, 1
     while True:
-        high = 100 * low // percent
+        high = low
+        for _ in range(STEPS):
+            high = 100 * high // percent
         if size <= high:
             return number, low, high
         number, low = number + 1, high + 1
@@ -61,23 +64,29 @@ def sketch(hashes: np.ndarray, words: int) -> np.ndarray:
 
 
 def signatures(hashes: np.ndarray, percent: int) -> list[int]:
-    """The words of the set's sketches for its own band and the next, each hashed with its band and number."""
-    if not len(hashes):
+    """The set's band, the number of words of its sketch there, and those words, then for a set that has similar ones in the next band its words there; each word is hashed to 32 bits."""
+    n = len(hashes)
+    if not n:
         return []
-    number, _, high = band(len(hashes), percent)
-    found = []
-    for n, largest in ((number, high), (number + 1, 100 * (high + 1) // percent)):
-        words = sketch(hashes, most_apart(largest, percent) + 1)
-        h = (words ^ (np.arange(len(words), dtype=np.uint64) + np.uint64(n << 32))) * _MIX
-        h = ((h ^ (h >> np.uint64(32))) + words) * _MIX
-        found.append((h ^ (h >> np.uint64(29))) * _MIX)
-    return np.concatenate(found).view(np.int64).tolist()
+    number, _, high = band(n, percent)
+    sizes = [high] + [band(high + 1, percent)[2]] * (100 * n // percent > high)
+    found = [sketch(hashes, most_apart(x, percent) + 1) for x in sizes]
+    h = np.concatenate(found) * _MIX
+    h = ((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(32)).astype(np.uint32)
+    return [number, len(found[0]), *h.view(np.int32).tolist()]
+
+
+def buckets(b: Column) -> Column:
+    """A bucket for each word: of its band, its number and its value."""
+    band_, own = F.get(b, F.lit(0)), F.get(b, F.lit(1))
+    of = lambda band_: lambda v, i: F.xxhash64(band_, i, v)
+    return F.concat(F.transform(F.slice(b, 3, own), of(band_)), F.transform(F.slice(b, own + 3, F.size(b)), of(band_ + 1)))
 
 
 def joined(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, key, n_shingles, component_id) for each row of docs."""
     percent = round(100 * threshold)
-    rows = grouped(docs, doc_id, text, threshold, shingle, lambda hashes: signatures(hashes, percent), once=False)
+    rows = grouped(docs, doc_id, text, threshold, shingle, lambda hashes: signatures(hashes, percent), buckets)
     least = rows.where("size > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(least, "root", "left")
     return out.select("doc_id", "key", F.col("size").alias("n_shingles"), F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
