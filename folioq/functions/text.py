@@ -67,8 +67,9 @@ def umlaut_fold(key: Column) -> Column:
 
 
 def match_key(key: Column) -> Column:
-    """Long or compound keys match without regard to umlaut spelling."""
-    return F.when((F.length(key) >= 8) | F.contains(key, F.lit("-")), umlaut_fold(key)).otherwise(key)
+    """Keys that are long or compound once folded match without regard to umlaut spelling."""
+    folded = umlaut_fold(key)
+    return F.when((F.length(folded) >= 8) | F.contains(folded, F.lit("-")), folded).otherwise(key)
 
 
 def similar_keys(a: Column, b: Column) -> Column:
@@ -94,12 +95,21 @@ def page_ref(raw: Column) -> Column:
     return F.regexp_replace(F.trim(F.substring_index(bare, "|", 1)), r"\.md$", "")
 
 
+#: Runs of white space, of any script.
+WHITE = r"[\s\x0B\x85\p{Z}]+"
+
+
+def joined_space(text: Column) -> Column:
+    """White space joined and none at the ends; null is empty."""
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITE, " "))
+
+
 def plain_snippet(text: Column, most: int = 80) -> Column:
-    """Without markers, white space joined, cut at a word's end with an ellipsis."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[«»]", ""), r"\s+", " "))
-    head = F.substring(flat, 1, most)
-    cut = F.when(F.substring(flat, most + 1, 1) == " ", head).otherwise(F.coalesce(F.nullif(F.regexp_extract(head, r"^(.*) [^ ]*$", 1), F.lit("")), head))
-    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(cut), F.lit("…")))
+    """Without markers, white space joined, cut at a word's end with an ellipsis and no mark before it: most characters at most."""
+    flat = joined_space(F.regexp_replace(F.coalesce(text, F.lit("")), "[«»]", ""))
+    head = F.substring(flat, 1, most - 1)
+    cut = F.coalesce(F.nullif(F.regexp_extract(head, r"^(.+) [^ ]*$", 1), F.lit("")), head)
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(cut, F.lit(" ,;:.-…")), F.lit("…")))
 
 
 def safe_cell(value: Column) -> Column:
@@ -108,11 +118,14 @@ def safe_cell(value: Column) -> Column:
 
 
 def contextual_header(title: Column, kind: Column, headings: Column, summary: Column) -> Column:
-    """'title (type) › heading › heading', 160 characters at most, then ' — summary', 280 at most."""
+    """'title (type) › heading › heading', 160 characters at most; with ' — summary' behind it, 280 as a whole. White space is joined, empty parts are left out."""
     cut = lambda c, n: F.when(F.length(c) <= n, c).otherwise(F.concat(F.substring(c, 1, n - 1), F.lit("…")))
-    head = cut(F.concat_ws(" › ", F.concat(title, F.lit(" ("), kind, F.lit(")")), headings), 160)
-    short = F.nullif(F.trim(F.coalesce(summary, F.lit(""))), F.lit(""))
-    return F.concat_ws(" — ", head, cut(short, 280))
+    name, of = (F.nullif(joined_space(c), F.lit("")) for c in (title, kind))
+    head = F.concat_ws(" ", name, F.concat(F.lit("("), of, F.lit(")")))
+    parts = F.concat(F.array(head), F.transform(F.coalesce(headings, F.array().cast("array<string>")), joined_space))
+    line = cut(F.array_join(F.filter(parts, lambda p: p != ""), " › "), 160)
+    short = joined_space(summary)
+    return F.when(short == "", line).otherwise(cut(F.concat_ws(" — ", F.nullif(line, F.lit("")), short), 280))
 
 
 def word_windows(text: Column, size: int = 220, stride: int = 160) -> Column:

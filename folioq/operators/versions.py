@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioq.functions.text import slug_key
+from folioq.operators.refactor import valid_id
 
 
 def restored(versions: DataFrame, path: str, sha: str, new_sha: str, ts: int) -> DataFrame:
@@ -44,15 +45,34 @@ def plain_query(q: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(q), r"\s+", " "))
 
 
-def with_entry(entries: DataFrame, query: str, expected: list[str], note: str | None = None) -> DataFrame:
-    """entries: (id, query, expected, note). The set with a new query, unless it holds it already; ids are q-<slug>, numbered where taken."""
+def with_entry(entries: DataFrame, query: str, expected: list[str], note: str | None = None, pages: DataFrame | None = None, entry_id: str | None = None) -> DataFrame:
+    """entries: (id, query, expected, note). The set with a new query; ids are q-<slug>, numbered where taken, unless one is given.
+
+    A ValueError for an empty query, none expected, and a given id that is taken; with pages (id), too, for an expected id that is
+    malformed or no page's, and for a query that the set holds already. Without pages such a query leaves the set as it is.
+    """
     spark = entries.sparkSession
+    query, expected = query.strip(), list(dict.fromkeys(x.strip() for x in expected))
+    if not query:
+        raise ValueError("the query is empty")
+    if not expected:
+        raise ValueError("no page is expected")
+    if entry_id is not None and not entries.where(F.col("id") == entry_id).isEmpty():
+        raise ValueError(f"the set has an entry {entry_id!r} already")
     new = spark.createDataFrame([(query, expected, note)], "query string, expected array<string>, note string")
     fresh = new.join(entries.select(plain_query(F.col("query")).alias("q")), plain_query(F.col("query")) == F.col("q"), "left_anti")
+    if pages is not None:
+        wanted = new.select(F.explode("expected").alias("id"))
+        odd = wanted.where(~valid_id(F.col("id"))).union(wanted.join(pages.select("id"), "id", "left_anti")).limit(1).collect()
+        if odd:
+            raise ValueError(f"expected page {odd[0][0]!r} does not exist")
+        if fresh.isEmpty():
+            raise ValueError("the set has this query already")
     base = F.concat(F.lit("q-"), F.rtrim(F.substring(slug_key(F.col("query")), 1, 48)))
     named = fresh.withColumn("base", F.regexp_replace(base, "-+$", ""))
     taken = entries.select(F.regexp_extract("id", r"^(.*?)(?:-\d+)?$", 1).alias("base")).groupBy("base").agg(F.count("*").alias("n"))
-    numbered = named.join(taken, "base", "left").withColumn("id", F.when(F.col("n").isNull(), F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("n") + 1).cast("string"))))
+    given = F.when(F.col("n").isNull(), F.col("base")).otherwise(F.concat_ws("-", "base", (F.col("n") + 1).cast("string")))
+    numbered = named.join(taken, "base", "left").withColumn("id", given if entry_id is None else F.lit(entry_id))
     return entries.unionByName(numbered.select("id", "query", "expected", "note"))
 
 

@@ -134,10 +134,17 @@ def alias_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.alias_key(named).alias("key"))
 
 
-@query(f"""WITH k AS (SELECT split_part(text, chr(10), 1) AS name FROM documents), s AS (SELECT DISTINCT {_SLUG % 'name'} AS key FROM k)
-SELECT key, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match FROM s""")
+_FOLD = "replace(replace(replace(%s, 'ae', 'a'), 'oe', 'o'), 'ue', 'u')"
+_MATCH = f"CASE WHEN length({_FOLD % 'key'}) >= 8 OR contains(key, '-') THEN {_FOLD % 'key'} ELSE key END"
+
+
+@query(f"""WITH f AS (SELECT split_part(text, chr(10), 1) AS line FROM documents), k AS (SELECT line AS name FROM f UNION ALL SELECT unnest(string_split(line, ' ')) FROM f), s AS (SELECT DISTINCT {_SLUG % 'name'} AS key FROM k WHERE name IS NOT NULL)
+SELECT key, {_MATCH} AS match FROM s""")
 def match_keys(spark, sf_dir):
-    keys = table(spark, sf_dir, "documents").select(T.slug_key(F.substring_index("text", "\n", 1)).alias("key")).distinct()
+    """Keys of first lines and of their words."""
+    line = F.substring_index("text", "\n", 1)
+    found = F.explode(F.concat(F.array(line), F.split(line, " ")))
+    keys = table(spark, sf_dir, "documents").where("text is not null").select(found.alias("name")).select(T.slug_key(F.col("name")).alias("key")).distinct()
     return keys.select("key", T.match_key(F.col("key")).alias("match"))
 
 
@@ -162,7 +169,7 @@ def _parts_as_pages(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS dir, p_partkey, {_SLUG % 'p_name'} AS key FROM part),
-m AS (SELECT *, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match, dir || '/' || p_partkey AS id FROM n WHERE key <> '')
+m AS (SELECT *, {_MATCH} AS match, dir || '/' || p_partkey AS id FROM n WHERE key <> '')
 SELECT DISTINCT a.id AS a, b.id AS b FROM m a JOIN m b ON a.dir = b.dir AND a.match = b.match AND a.id < b.id""")
 def alias_collisions(spark, sf_dir):
     return names.collisions(_parts_as_pages(spark, sf_dir))
@@ -207,7 +214,7 @@ def id_forms(spark, sf_dir):
 
 @query(rf"""WITH n AS (SELECT (['entities', 'concepts', 'sources', 'topics'])[p_partkey % 4 + 1] AS dir, p_partkey, p_name, {_SLUG % 'p_name'} || '-' || p_partkey AS key FROM part),
 asked AS (SELECT key AS name FROM n WHERE p_partkey = 12),
-pages AS (SELECT dir || '/' || key AS id, dir, key, p_name AS title, CASE WHEN length(key) >= 8 OR contains(key, '-') THEN replace(replace(replace(key, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') ELSE key END AS match FROM n)
+pages AS (SELECT dir || '/' || key AS id, dir, key, p_name AS title, {_MATCH} AS match FROM n)
 SELECT id, title, CASE WHEN key = name THEN 'exact' WHEN match = replace(replace(replace(name, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') THEN 'normalised' ELSE 'similar' END AS reason
 FROM pages, asked WHERE key = name OR match = replace(replace(replace(name, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') OR (least(length(key), length(name)) >= 3 AND levenshtein(key, name) <= CASE WHEN least(length(key), length(name)) < 8 THEN 1 ELSE 2 END)""")
 def name_lookup(spark, sf_dir):
@@ -265,15 +272,49 @@ def chunk_windows(spark, sf_dir):
     return rows.select("doc_id", "c.chunk_idx", F.md5("c.chunk").alias("chunk_md5"))
 
 
-@query("""WITH h AS (SELECT doc_id, split_part(text, chr(10), 1) || ' (' || lang || ') › ' || source AS head, nullif(trim(text), '') AS s FROM documents)
-SELECT doc_id, CASE WHEN length(head) <= 160 THEN head ELSE substring(head, 1, 159) || '…' END || coalesce(' — ' || CASE WHEN length(s) <= 280 THEN s ELSE substring(s, 1, 279) || '…' END, '') AS header FROM h""")
+_WHITE = r"trim(regexp_replace(coalesce(%s, ''), '[\s\x0B\x{85}\p{Z}]+', ' ', 'g'), ' ')"
+
+
+@query(f"""WITH named AS (SELECT doc_id, {_WHITE % "CASE WHEN doc_id % 4 <> 1 THEN split_part(text, chr(10), 1) END"} AS t, {_WHITE % "CASE WHEN doc_id % 5 <> 2 THEN lang END"} AS k, {_WHITE % 'source'} AS h, {_WHITE % "CASE WHEN doc_id % 3 <> 0 THEN text END"} AS s FROM documents),
+lines AS (SELECT doc_id, s, array_to_string(list_filter([CASE WHEN t <> '' AND k <> '' THEN t || ' (' || k || ')' WHEN k <> '' THEN '(' || k || ')' ELSE t END, h], lambda x: x <> ''), ' › ') AS l FROM named),
+cut AS (SELECT doc_id, s, CASE WHEN length(l) <= 160 THEN l ELSE substring(l, 1, 159) || '…' END AS l FROM lines),
+full_ AS (SELECT doc_id, CASE WHEN s = '' THEN l WHEN l = '' THEN s ELSE l || ' — ' || s END AS l, s FROM cut)
+SELECT doc_id, CASE WHEN s = '' OR length(l) <= 280 THEN l ELSE substring(l, 1, 279) || '…' END AS header FROM full_""")
 def contextual_headers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.contextual_header(F.substring_index("text", "\n", 1), F.col("lang"), F.array("source"), F.col("text")).alias("header"))
+    """Headers with and without title, type and summary."""
+    docs, d = table(spark, sf_dir, "documents"), F.col("doc_id")
+    title, kind, summary = F.when(d % 4 != 1, F.substring_index("text", "\n", 1)), F.when(d % 5 != 2, F.col("lang")), F.when(d % 3 != 0, F.col("text"))
+    return docs.select("doc_id", T.contextual_header(title, kind, F.array("source"), summary).alias("header"))
 
 
-@query(r"""WITH f AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[«»]', '', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS t FROM documents),
-h AS (SELECT *, substring(t, 1, 80) AS head FROM f)
-SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(CASE WHEN substring(t, 81, 1) = ' ' THEN head ELSE coalesce(nullif(regexp_extract(head, '^(.*) [^ ]*$', 1), ''), head) END, ' ') || '…' END AS snippet FROM h""")
+@query(f"""WITH f AS (SELECT doc_id, {_WHITE % "replace(replace(text, '«', ''), '»', '')"} AS t FROM documents),
+h AS (SELECT *, substring(t, 1, 79) AS head FROM f)
+SELECT doc_id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(coalesce(nullif(regexp_extract(head, '^(.+) [^ ]*$', 1), ''), head), ' ,;:.-…') || '…' END AS snippet FROM h""")
 def plain_snippets(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.plain_snippet(F.col("text")).alias("snippet"))
+
+
+def _edited_names(spark, sf_dir):
+    """Names of parts in four directories, and wanted ids: each name with a letter gone, changed, added or doubled, or as it is, in another spelling."""
+    directory = F.get(F.array(*map(F.lit, T.PAGE_TYPES)), F.pmod("p_partkey", F.lit(4)).cast("int"))
+    key, d = T.slug_key(F.concat_ws("-", F.substring("p_name", 1, 12), F.col("p_partkey").cast("string"))), F.col("p_partkey")
+    pages = table(spark, sf_dir, "part").select(d, F.concat_ws("/", directory, key).alias("id"), F.array("p_name", F.concat(F.lit("Ü"), d.cast("string"))).alias("aliases"), key.alias("key"), directory.alias("directory"))
+    at = F.pmod(d, F.lit(7)) + 2
+    cut = lambda a, b: F.concat(F.substring(F.col("key"), F.lit(1), a), b)
+    rest = lambda a: F.substring(F.col("key"), a, F.length("key"))
+    new = F.when(d % 5 == 0, cut(at, rest(at + 2))).when(d % 5 == 1, cut(at, F.concat(F.lit("x"), rest(at + 2)))).when(d % 5 == 2, cut(at, F.concat(F.lit("qq"), rest(at + 1)))).when(d % 5 == 3, F.concat(F.lit("ue"), d.cast("string"))).otherwise(F.col("key"))
+    return pages.select("id", "aliases"), pages.select(F.concat_ws("/", "directory", new).alias("id")).distinct()
+
+
+@query(rf"""WITH n AS (SELECT (['entities', 'concepts', 'sources', 'topics'])[p_partkey % 4 + 1] AS dir, p_partkey AS d, p_name, {_SLUG % "(substring(p_name, 1, 12) || '-' || p_partkey)"} AS k FROM part),
+asked AS (SELECT DISTINCT dir, CASE d % 5 WHEN 0 THEN substring(k, 1, d % 7 + 2) || substring(k, d % 7 + 4) WHEN 1 THEN substring(k, 1, d % 7 + 2) || 'x' || substring(k, d % 7 + 4) WHEN 2 THEN substring(k, 1, d % 7 + 2) || 'qq' || substring(k, d % 7 + 3) WHEN 3 THEN 'ue' || d ELSE k END AS wanted FROM n),
+entries AS (SELECT dir, dir || '/' || k AS id, k AS key, FALSE AS is_alias FROM n UNION ALL SELECT dir, dir || '/' || k, {_SLUG % 'p_name'}, TRUE FROM n UNION ALL SELECT dir, dir || '/' || k, 'ue' || d, TRUE FROM n),
+e AS (SELECT *, {_MATCH} AS match, {_FOLD % 'key'} AS fold FROM entries WHERE key <> ''),
+a AS (SELECT dir, dir || '/' || key AS wanted, key, {_MATCH} AS match, {_FOLD % 'key'} AS fold FROM (SELECT dir, wanted AS key FROM asked)),
+met AS (SELECT a.wanted, e.id, CASE WHEN e.match = a.match AND e.is_alias THEN 0 WHEN e.match = a.match THEN 1
+  WHEN least(length(a.key), length(e.key)) >= 3 AND (a.fold = e.fold OR levenshtein(a.key, e.key) <= CASE WHEN least(length(a.key), length(e.key)) < 8 THEN 1 ELSE 2 END) THEN 2 END AS r
+  FROM a JOIN e ON a.dir = e.dir AND a.wanted <> e.id)
+SELECT wanted, id, (['alias', 'normalised', 'similar'])[min(r) + 1] AS reason FROM met WHERE r IS NOT NULL GROUP BY ALL""")
+def near_names(spark, sf_dir):
+    """A batch of wanted names against all pages and their aliases."""
+    return names.near_matches(*_edited_names(spark, sf_dir))

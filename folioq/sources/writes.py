@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioq.operators import lint
+from folioq.operators import lint, names
 from folioq.operators.refactor import valid_new_id
 
 RAW_FOLDER = "01_raw"
@@ -40,19 +40,27 @@ def problem(new: DataFrame, types: tuple[str, ...] = lint.TYPES) -> Column:
     return F.when(~valid_new_id(F.col("id")), F.lit("invalid id")).when(~F.coalesce(F.col("type").isin(*types), F.lit(False)), F.lit("unregistered type")).when(blank("title"), F.lit("missing title"))
 
 
-def with_pages(pages: DataFrame, new: DataFrame) -> DataFrame:
-    """pages with the new ones in place of those of the same id, all or none: one invalid or repeated page raises a ValueError."""
+def with_pages(pages: DataFrame, new: DataFrame, allow_duplicate: bool = False) -> DataFrame:
+    """pages with the new ones in place of those of the same id, all or none: one invalid or repeated page raises a ValueError.
+
+    So does, unless allow_duplicate, a page of a new id whose name another page has as an alias or but for its spelling.
+    """
     wrong = new.select("id", problem(new).alias("problem")).where("problem is not null")
     twice = new.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("given twice").alias("problem"))
     bad = wrong.unionByName(twice).orderBy("id").limit(10).collect()
+    if not bad and not allow_duplicate:
+        created = new.select("id").join(pages.select("id"), "id", "left_anti")
+        found = names.blocks_creation(names.near_matches(pages, created)).groupBy("wanted").agg(F.min(F.struct(F.col("reason"), F.col("id"))).alias("m"))
+        said = F.format_string("it probably is %s (%s)", "m.id", "m.reason")
+        bad = found.select(F.col("wanted").alias("id"), said.alias("problem")).orderBy("id").limit(10).collect()
     if bad:
         raise ValueError("; ".join(f"{r['id']}: {r['problem']}" for r in bad))
     return pages.join(new.select("id"), "id", "left_anti").select(*pages.columns).unionByName(new.select(*pages.columns))
 
 
-def written(pages: DataFrame, new: DataFrame, today: str, now: int) -> tuple[DataFrame, DataFrame]:
+def written(pages: DataFrame, new: DataFrame, today: str, now: int, allow_duplicate: bool = False) -> tuple[DataFrame, DataFrame]:
     """The pages after a batch is written, and the findings of one check of all, for the written pages only."""
-    after = with_pages(pages, new)
+    after = with_pages(pages, new, allow_duplicate)
     return after, lint.of_paths(lint.report(after, today, now), new)
 
 

@@ -1,3 +1,4 @@
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -72,6 +73,11 @@ def test_eval_set(spark):
     assert first.first()["id"] == "q-was-ist-nis2"
     assert versions.with_entry(first, " was IST nis2? ", ["x"]).count() == 1
     assert {r["id"] for r in versions.with_entry(first, "was ist nis2!", ["x"]).collect()} == {"q-was-ist-nis2", "q-was-ist-nis2-2"}
+    pages = none.sparkSession.createDataFrame([("topics/nis2",)], "id string")
+    for query, expected, given in (("  ", ["topics/nis2"], {}), ("q", [], {}), ("q", ["topics/none"], {"pages": pages}), ("q", ["odd id"], {"pages": pages}), ("was ist NIS2?", ["topics/nis2"], {"pages": pages}), ("q", ["topics/nis2"], {"entry_id": "q-was-ist-nis2"})):
+        with pytest.raises(ValueError):
+            versions.with_entry(first, query, expected, **given)
+    assert versions.with_entry(first, "q", ["topics/nis2"], pages=pages, entry_id="mine").where("id = 'mine'").count() == 1
 
 
 def test_log_items(spark):

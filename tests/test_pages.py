@@ -70,10 +70,30 @@ def test_names(spark):
     assert rows(names.find_matches(pages, "entities/michael")) == [("entities/michal", "similar")]
     assert names.blocks_creation(names.find_matches(pages, "entities/michael")).count() == 0
     assert rows(names.collisions(pages)) == [("entities/acme", "entities/mueller-gmbh")]
+    alias = frame(spark, {"id": "entities/m", "aliases": ["Mustermann GmbH"]}, {"id": "entities/mae-ae-oe"})
+    assert rows(names.find_matches(alias, "entities/mustermann-gmbx")) == [("entities/m", "similar")]
+    asked = spark.createDataFrame([(x,) for x in ("entities/mustermann-gmbx", "entities/muller-gmbh", "entities/michael", "topics/mueler-gmbh", "entities/-")], "id string")
+    found = {tuple(r) for r in names.near_matches(pages.unionByName(alias), asked).collect()}
+    assert found == {(a["id"], *r) for a in asked.collect() for r in rows(names.find_matches(pages.unionByName(alias), a["id"]))} and len(found) == 5
     apart = frame(spark, {"id": "entities/mueller-gmbh"}, {"id": "entities/acme", "aliases": ["Müller GmbH"], "distinct_from": ["entities/mueller-gmbh"]})
     assert names.collisions(apart).count() == 0
 
 
+def test_large_names_lose_no_page(spark):
+    """Pages that are distinct from the first one of a name still meet another."""
+    few = [{"id": f"entities/p{i}", "aliases": ["One Name"], "distinct_from": ["entities/p0", "entities/p1"] if i == 5 else None} for i in range(8)]
+    keyed = [{"id": f"entities/{x}", "distinct_from": ["entities/a_b"] if x == "a.b" else None} for x in ("a_b", "a.b", "a b", "a-b", "A-B", "a+b")]
+    pages = frame(spark, *few, *keyed)
+    full = {tuple(r) for r in names.collisions(pages).collect()}
+    star = {tuple(r) for r in names.collisions(pages, 4).collect()}
+    assert len(full) == 26 + 14 and star < full
+    assert {x for pair in full for x in pair} == {x for pair in star for x in pair} == {p["id"] for p in (*few, *keyed)}
+    assert ("entities/p2", "entities/p5") in star and ("entities/p0", "entities/p5") not in star
+    titled = frame(spark, *({"id": f"m{i}", "title": "many", "distinct_from": ["m0"] if i == 3 else None} for i in range(11)))
+    pairs = {tuple(r) for r in names.title_pairs(titled)[0].collect()}
+    assert ("m1", "m3") in pairs and ("m0", "m3") not in pairs and len(pairs) == 10
+
+
 def test_title_and_content_pairs(spark):
     pages = frame(spark, {"id": "a", "title": "X (Mutter)"}, {"id": "b", "title": "x"}, {"id": "c", "title": "X (Tochter)"}, {"id": "d", "title": "Notes"}, {"id": "e", "title": "notes"}, *({"id": f"m{i}", "title": "many"} for i in range(11)))
     pairs, notes = names.title_pairs(pages)

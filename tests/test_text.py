@@ -20,6 +20,7 @@ def test_slug_key(spark, raw):
 def test_match_key(spark):
     assert one(spark, lambda a: T.match_key(a), "mueller-gmbh") == "muller-gmbh"
     assert one(spark, lambda a: T.match_key(a), "koehler") == "koehler"
+    assert one(spark, lambda a: T.match_key(a), "koehlers") == "koehlers"  # seven characters once folded
 
 
 @pytest.mark.parametrize(("a", "b", "near"), [("michael", "michal", True), ("kohler", "koehler", True), ("ab", "ab", False), ("michael", "mikkel", False), ("mueller-gmbh", "muller-gmbx", False)])
@@ -38,6 +39,18 @@ def test_titles_and_refs(spark):
     assert one(spark, T.safe_cell, "=1+1") == "'=1+1"
     assert one(spark, T.plain_snippet, "«a»  b\n" + "word " * 40).endswith("…")
     assert one(spark, T.plain_snippet, None) == ""
+    assert one(spark, T.plain_snippet, "x" * 100) == "x" * 79 + "…"
+    assert one(spark, T.plain_snippet, "word " * 15 + "ab, cdefg hij") == "word " * 15 + "ab…"
+    assert one(spark, T.plain_snippet, "a" * 77 + ",\u00a0bcd") == "a" * 77 + "…"
+
+
+def test_contextual_header(spark):
+    header = lambda *v: one(spark, lambda t, k, h, s: T.contextual_header(t, k, F.array(h), s), *v)
+    assert header(None, "k", "h", None) == "(k) › h"
+    assert header(" a \n b", "", "h", "s  t") == "a b › h — s t"
+    assert header("t", "k", " ", "x" * 500) == "t (k) — " + "x" * 271 + "…"
+    assert header("t" * 300, "k", "h", None) == "t" * 159 + "…"
+    assert header(None, None, None, None) == ""
 
 
 def test_windows_cover_all_words(spark):
