@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioq.store import stored
+from folioq.operators import graph, lint, names
+from folioq.store import checkpoints, stored
 
 QUEUE_CAP = 50
 REPEATEDLY = 3
@@ -25,6 +27,16 @@ KINDS = {
     "orphan": (3, "review-or-archive"),
 }
 PAIR_CHECK = "check-or-distinct"
+#: What items of the queue say.
+SAYS = {
+    "broken-link": "links to missing page(s): %s",
+    "broken-source": "sources entry '%s' has no page",
+    "summary-stale": "the body changed since the summary was written",
+    "missing-summary": "%s pages link here, but it has no summary",
+    "decay-candidate": "never read on this machine, no page links here, unchanged for more than 90 days",
+    "orphan": "no other page links here and it is unchanged for more than 90 days",
+}
+IN_A_TASK = 1_000_000
 QUEUE_HOURS = 1
 
 
@@ -45,22 +57,46 @@ def most_skipped(counts: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("skipped"), "kind", "pages").limit(MOST_SKIPPED)
 
 
-def _chosen_pairs(pairs: DataFrame) -> DataFrame:
+def _in_order(rows: pa.Table) -> pa.Table:
+    """Those of some pairs that are taken one after another."""
+    rows = rows.sort_by([(c, "ascending") for c in ("seq", "a", "b")])
+    met, taken = set(), []
+    for a, b in zip(rows.column("a").to_pylist(), rows.column("b").to_pylist(), strict=True):
+        taken.append(a not in met and b not in met)
+        if taken[-1]:
+            met |= {a, b}
+    return rows.filter(pa.array(taken, pa.bool_()))
+
+
+def _chosen_pairs(pairs: DataFrame, in_a_task: int = IN_A_TASK) -> DataFrame:
     """pairs: (a, b, seq, ...). Those that are taken one after another in order of seq, a, b, each only if neither of its pages has been.
 
-    All pairs that are the first of both their pages are taken at once, pairs that meet them go, and so on: the same choice, in rounds.
+    Up to in_a_task pairs are settled in one task. Of more, those that hang together by pages are settled together, several
+    such components in a task; of a component that is itself larger, the first in_a_task pairs, which depend on no later one, are settled
+    first, pairs that meet a taken one go, and so on.
     """
-    left, taken = stored(pairs, "pairs"), None
+    pairs = stored(pairs, "pairs")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    n = pairs.count()
+    if n <= in_a_task:
+        return stored(pairs.groupBy(F.lit(0).alias("all")).applyInArrow(_in_order, schema), "taken")
+    checkpoints(pairs.sparkSession)
+    component = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "a")
+    pairs = stored(pairs.join(component, "a").select(*pairs.columns, "component"), "pairs")
+    sizes = pairs.groupBy("component").agg(F.count("*").alias("n"))
+    giant = sizes.where(F.col("n") > in_a_task).select("component")
+    part = F.pmod(F.xxhash64("component"), F.lit(-(-n // in_a_task) * 2))
+    small = pairs.join(giant, "component", "left_anti").withColumn("part", part)
+    settled = lambda rows: _in_order(rows.drop_columns(["component", "part"]))
+    taken = stored(small.groupBy("part").applyInArrow(settled, schema), "taken")
+    left = stored(pairs.join(giant, "component", "left_semi").drop("component"), "pairs")
     while not left.isEmpty():
-        order = F.struct("seq", "a", "b")
-        ends = left.select(F.explode(F.array("a", "b")).alias("page"), order.alias("o")).groupBy("page").agg(F.min("o").alias("o"))
-        first = lambda c: ends.select(F.col("page").alias(c), F.col("o").alias(f"o_{c}"))
-        met = left.join(first("a"), "a").join(first("b"), "b")
-        now = stored(met.where((F.col("o_a") == order) & (F.col("o_b") == order)).select(*pairs.columns), "taken")
-        taken = now if taken is None else taken.unionByName(now)
+        first = left.orderBy("seq", "a", "b").limit(in_a_task)
+        now = stored(first.groupBy(F.lit(0).alias("all")).applyInArrow(_in_order, schema), "taken")
+        taken = taken.unionByName(now)
         gone = now.select(F.explode(F.array("a", "b")).alias("page"))
-        left = stored(left.join(gone.withColumnRenamed("page", "a"), "a", "left_anti").join(gone.withColumnRenamed("page", "b"), "b", "left_anti").select(*pairs.columns), "pairs")
-    return left if taken is None else taken
+        left = stored(left.join(gone.withColumnRenamed("page", "a"), "a", "left_anti").join(gone.withColumnRenamed("page", "b"), "b", "left_anti").select(*now.columns), "pairs")
+    return taken
 
 
 def work_queue(candidates: DataFrame, skips: DataFrame, cap: int = QUEUE_CAP) -> DataFrame:
@@ -96,6 +132,43 @@ def work_queue(candidates: DataFrame, skips: DataFrame, cap: int = QUEUE_CAP) ->
     return placed.join(F.broadcast(total)).select("place", "priority", "kind", "pages", "action", "reason", "skipped", F.greatest(F.lit(0), F.col("total") - cap).alias("omitted"))
 
 
+def queue_item(rows: DataFrame, kind: str, detail: Column | None = None, seq: Column | None = None) -> DataFrame:
+    """rows: (id). Candidates of one kind for the queue, one for each row."""
+    reason = F.lit(SAYS[kind]) if detail is None else F.replace(F.lit(SAYS[kind]), F.lit("%s"), detail.cast("string"))
+    return rows.select(F.lit(kind).alias("kind"), F.array("id").alias("pages"), F.lit(None).cast("string").alias("action"), reason.alias("reason"), (F.lit(0) if seq is None else seq).cast("long").alias("seq"))
+
+
+def candidates(pages: DataFrame, access: DataFrame, now: int, pairs: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """What there is to do on the pages of a vault, for work_queue: candidates of all seven kinds.
+
+    pages: as vault.read_pages gives them; access: (page_id, reads); pairs: (a, b, similarity, by_title, suggestion) as names.ranked_pairs gives
+    them, unset: pages of one title; index: (id, summary_body_hash, body_hash) of the recorded summaries, unset: none are recorded, so nothing is said of summaries.
+    """
+    edges = graph.raw_edges(pages)
+    inbound = graph.inbound(edges)
+    if pairs is None:
+        titles, _ = names.title_pairs(pages)
+        none = pages.sparkSession.createDataFrame([], "id string, type string, embedding array<double>")
+        pairs = names.ranked_pairs(titles, names.content_pairs(none)[0], none)
+    why = F.concat_ws(", ", F.when(F.col("by_title"), F.lit("same title")), F.concat(F.lit("similarity "), F.format_number("similarity", 2)))
+    order = F.round((1 - F.coalesce("similarity", F.lit(-2.0))) * 1_000_000).cast("long")
+    parts = [pairs.select(F.lit("duplicate-candidate").alias("kind"), F.array("a", "b").alias("pages"), F.when(F.col("suggestion") == PAIR_CHECK, PAIR_CHECK).alias("action"), why.alias("reason"), order.alias("seq"))]
+    broken = graph.broken_by_source(graph.index_edges(pages)).withColumnRenamed("src", "id")
+    parts.append(queue_item(broken, "broken-link", F.col("targets")))
+    sources = pages.select("id", F.posexplode("sources").alias("at", "to")).join(pages.select(F.col("id").alias("to")), "to", "left_anti")
+    parts.append(queue_item(sources, "broken-source", F.col("to"), F.col("at")))
+    if index is not None:
+        work = summary_work(pages.select("id", "summary").join(index, "id"), inbound).withColumnRenamed("page", "id")
+        parts.append(queue_item(work.where("kind = 'summary-stale'"), "summary-stale"))
+        parts.append(queue_item(work.where("kind = 'missing-summary'"), "missing-summary", F.col("inbound")))
+    parts.append(queue_item(decayed(pages, access, inbound.select("id"), now), "decay-candidate"))
+    parts.append(queue_item(lint.orphans(pages, edges, now), "orphan"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def queue_is_fresh(generated_at: str, now: str, hours: int = QUEUE_HOURS) -> bool:
     """Whether a stored queue may still be shown; times as ISO text."""
     from datetime import datetime, timedelta

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioq.operators import chunks, refactor, upkeep, versions
@@ -36,43 +36,42 @@ def log_stats(spark, sf_dir):
 _INBOUND = "inbound AS (SELECT cited AS id, count(DISTINCT id) AS n FROM pages WHERE id <> cited GROUP BY cited)"
 _CANDIDATES = f"""{PAGES}, {ACCESS}, {_INBOUND},
 numbered AS (SELECT *, split_part(id, '/', 2)::BIGINT AS d FROM pages),
-copies AS (SELECT d, min(d) OVER (PARTITION BY md5(body)) AS first FROM numbered WHERE body IS NOT NULL),
+copies AS (SELECT d, lead(d) OVER (PARTITION BY md5(body) ORDER BY d) AS next FROM numbered WHERE body IS NOT NULL),
 old AS (SELECT * FROM numbered WHERE epoch(CAST(updated_at AS DATE))::BIGINT < {NOW} - 7776000 AND id NOT IN (SELECT id FROM inbound)),
 candidates AS (
-  SELECT 'duplicate-candidate' AS kind, [first, d] AS ds, CASE WHEN d % 2 = 0 THEN 'check-or-distinct' END AS action, 'same text' AS reason, d AS seq FROM copies WHERE first <> d
+  SELECT 'duplicate-candidate' AS kind, [d, next] AS ds, CASE WHEN d % 2 = 0 THEN 'check-or-distinct' END AS action, 'same text' AS reason, d AS seq FROM copies WHERE next IS NOT NULL
   UNION ALL SELECT 'broken-link', [d], NULL, 'links to missing page(s): ' || superseded_by, d FROM numbered WHERE superseded_by IS NOT NULL AND superseded_by NOT IN (SELECT id FROM pages)
-  UNION ALL SELECT 'broken-source', [d], NULL, 'sources entry ' || chr(39) || cited || chr(39) || ' has no page', d FROM numbered WHERE cited NOT IN (SELECT id FROM pages) AND d % 3 = 0
-  UNION ALL SELECT 'summary-stale', [d], NULL, 'the body changed since the summary was written', d FROM numbered WHERE trim(coalesce(summary, '')) <> '' AND d % 4 = 0 AND sha256(body) <> sha256(summary)
-  UNION ALL SELECT 'missing-summary', [d], NULL, '1 pages link here, but it has no summary', d FROM numbered JOIN inbound USING (id) WHERE trim(coalesce(summary, '')) = ''
-  UNION ALL SELECT 'decay-candidate', [d], NULL, 'never read', d FROM old LEFT JOIN access ON page_id = id WHERE coalesce(reads, 0) = 0
-  UNION ALL SELECT 'orphan', [d], NULL, 'no other page links here', d FROM old)"""
+  UNION ALL SELECT 'broken-source', [d], NULL, 'sources entry ' || chr(39) || cited || chr(39) || ' has no page', d FROM (SELECT d, CASE WHEN d % 3 = 0 THEN cited ELSE id END AS cited FROM numbered) WHERE cited NOT IN (SELECT id FROM pages)
+  UNION ALL SELECT 'summary-stale', [d], NULL, 'the body changed since the summary was written', d FROM numbered WHERE trim(coalesce(summary, '')) <> '' AND sha256(body) <> CASE WHEN d % 4 = 0 THEN sha256(summary) ELSE sha256(body) END
+  UNION ALL SELECT 'missing-summary', [d], NULL, n || ' pages link here, but it has no summary', d FROM numbered JOIN inbound USING (id) WHERE trim(coalesce(summary, '')) = ''
+  UNION ALL SELECT 'decay-candidate', [d], NULL, '{upkeep.SAYS["decay-candidate"]}', d FROM old LEFT JOIN access ON page_id = id WHERE coalesce(reads, 0) = 0
+  UNION ALL SELECT 'orphan', [d], NULL, '{upkeep.SAYS["orphan"]}', d FROM old)"""
 
 
 def _candidates(spark, sf_dir):
-    """Work of all seven kinds on documents: copies of a text with the first of them, lost successors and sources, summaries, and pages without links."""
+    """Work of all seven kinds on documents: neighbouring copies, lost successors and sources (every third page cites another, the rest themselves), summaries (every fourth is older than its body), and pages without links."""
     rows = pages(spark, sf_dir).withColumn("d", F.substring_index("id", "/", -1).cast("long"))
     ids = rows.select("id")
     inbound = rows.select(F.col("id").alias("src"), F.explode("sources").alias("id")).where("src <> id").distinct().groupBy("id").agg(F.count("*").alias("inbound"))
-    same = rows.where("body is not null").select("d", "id", F.md5("body").alias("h"))
-    copies = same.join(same.groupBy("h").agg(F.min(F.struct("d", "id")).alias("first")), "h").where("d <> first.d")
+    copies = rows.where("body is not null").select("d", "id", F.md5("body").alias("h")).withColumn("next", F.lead("id").over(Window.partitionBy("h").orderBy("d")))
 
-    def work(found, kind, reason, ids=F.array("id"), action=None):
-        return found.select(F.lit(kind).alias("kind"), ids.alias("pages"), F.lit(None).cast("string").alias("action") if action is None else action.alias("action"), reason.alias("reason"), F.col("d").alias("seq"))
-
-    lost = lambda c: rows.where(F.col(c).isNotNull()).join(ids.withColumnRenamed("id", c), c, "left_anti")
-    cited = rows.withColumn("cited", F.get("sources", F.lit(0)))
-    hashed = rows.select("id", "summary", F.sha2("body", 256).alias("body_hash"), F.sha2(F.coalesce("summary", F.lit("")), 256).alias("summary_body_hash"))
+    lost = lambda df, c: df.where(F.col(c).isNotNull()).join(ids.withColumnRenamed("id", c), c, "left_anti")
+    cited = rows.withColumn("cited", F.when(F.col("d") % 3 == 0, F.get("sources", F.lit(0))).otherwise(F.col("id")))
+    body = F.sha2("body", 256)
+    hashed = rows.select("id", "summary", body.alias("body_hash"), F.when(F.col("d") % 4 == 0, F.sha2(F.coalesce("summary", F.lit("")), 256)).otherwise(body).alias("summary_body_hash"))
     summaries = upkeep.summary_work(hashed, inbound, hub_links=1).withColumnRenamed("page", "id").withColumn("d", F.substring_index("id", "/", -1).cast("long"))
     old = rows.where(F.unix_timestamp(F.to_timestamp("updated_at")) < NOW - 90 * upkeep.DAY).join(inbound, "id", "left_anti")
     unread = old.join(upkeep.access_counts(access_events(spark, sf_dir)).where("reads > 0").select(F.col("page_id").alias("id")), "id", "left_anti")
+    pairs = copies.where("next is not null").select(F.lit("duplicate-candidate").alias("kind"), F.array("id", "next").alias("pages"), F.when(F.col("d") % 2 == 0, upkeep.PAIR_CHECK).alias("action"), F.lit("same text").alias("reason"), F.col("d").alias("seq"))
+    item = lambda df, kind, detail=None: upkeep.queue_item(df, kind, detail, F.col("d"))
     parts = [
-        work(copies, "duplicate-candidate", F.lit("same text"), F.array("first.id", "id"), F.when(F.col("d") % 2 == 0, upkeep.PAIR_CHECK)),
-        work(lost("superseded_by"), "broken-link", F.concat(F.lit("links to missing page(s): "), F.col("superseded_by"))),
-        work(cited.where("d % 3 = 0").join(ids.withColumnRenamed("id", "cited"), "cited", "left_anti"), "broken-source", F.concat(F.lit("sources entry '"), F.col("cited"), F.lit("' has no page"))),
-        work(summaries.where("kind = 'summary-stale' and d % 4 = 0"), "summary-stale", F.lit("the body changed since the summary was written")),
-        work(summaries.where("kind = 'missing-summary'"), "missing-summary", F.concat(F.col("inbound").cast("string"), F.lit(" pages link here, but it has no summary"))),
-        work(unread, "decay-candidate", F.lit("never read")),
-        work(old, "orphan", F.lit("no other page links here")),
+        pairs,
+        item(lost(rows, "superseded_by"), "broken-link", F.col("superseded_by")),
+        item(lost(cited, "cited"), "broken-source", F.col("cited")),
+        item(summaries.where("kind = 'summary-stale'"), "summary-stale"),
+        item(summaries.where("kind = 'missing-summary'"), "missing-summary", F.col("inbound")),
+        item(unread, "decay-candidate"),
+        item(old, "orphan"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -84,8 +83,8 @@ ranked AS (
     coalesce(action, CASE c.kind WHEN 'duplicate-candidate' THEN 'merge' WHEN 'summary-stale' THEN 'update-summary' WHEN 'missing-summary' THEN 'write-summary' WHEN 'decay-candidate' THEN 'archive-or-supersede' WHEN 'orphan' THEN 'review-or-archive' ELSE 'fix-link' END) AS action,
     reason || CASE WHEN coalesce(skipped, 0) >= 3 THEN ' (skipped ' || skipped || '× before — ' || CASE WHEN c.kind IN ('orphan', 'decay-candidate') THEN 'decide or mark keep' ELSE 'decide it' END || ')' ELSE '' END AS reason
   FROM named c LEFT JOIN skips s ON s.kind = c.kind AND s.pages = c.key),
-chains AS (SELECT *, row_number() OVER (PARTITION BY md5(p.body) ORDER BY r.seq) AS n FROM ranked r JOIN pages p ON p.id = r.pages_[1] WHERE len(ds) = 2),
-pairs AS (SELECT kind, pages_, ds, seq, skipped, kind_order, action, reason FROM chains WHERE n = 1),
+chains AS (SELECT *, row_number() OVER (PARTITION BY md5(p.body) ORDER BY r.ds[1]) AS n FROM ranked r JOIN pages p ON p.id = r.pages_[1] WHERE len(ds) = 2),
+pairs AS (SELECT kind, pages_, ds, seq, skipped, kind_order, action, reason FROM chains WHERE n % 2 = 1),
 fixes AS (SELECT * FROM ranked WHERE action = 'fix-link' QUALIFY row_number() OVER (PARTITION BY pages_ ORDER BY kind_order, seq) = 1),
 covered AS (SELECT unnest(pages_) AS page FROM pairs UNION SELECT pages_[1] FROM fixes),
 others AS (SELECT * FROM ranked WHERE len(ds) = 1 AND action <> 'fix-link' AND pages_[1] NOT IN (SELECT page FROM covered) QUALIFY row_number() OVER (PARTITION BY pages_ ORDER BY kind_order, seq) = 1),

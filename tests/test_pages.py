@@ -155,6 +155,39 @@ def test_queue_against_one_after_another(spark):
     assert [(x["kind"], x["pages"]) for x in got] == [(k, p) for k, p, _ in taken]
 
 
+def test_chosen_pairs_in_few_rounds(spark, monkeypatch):
+    """A chain whose pairs depend on each other one by one, and many small components."""
+    written = []
+    real = upkeep.stored
+    monkeypatch.setattr(upkeep, "stored", lambda df, name: written.append(name) or real(df, name))
+    chain = spark.range(10_000).select(F.format_string("p%05d", "id").alias("a"), F.format_string("p%05d", F.col("id") + 1).alias("b"), F.col("id").alias("seq"))
+    assert [x["seq"] for x in upkeep._chosen_pairs(chain).orderBy("seq").collect()] == list(range(0, 10_000, 2))
+    assert len(written) == 2
+    rest = spark.range(300).select(F.format_string("q%03d", F.col("id") - F.col("id") % 3).alias("a"), F.format_string("q%03dx", F.col("id")).alias("b"), (-F.col("id")).alias("seq"))
+    written.clear()
+    got = upkeep._chosen_pairs(chain.where("id < 400").unionByName(rest), 100)
+    assert sorted(x["seq"] for x in got.collect()) == sorted([*range(0, 400, 2), *(-i for i in range(2, 300, 3))])
+    assert len(written) <= 15
+
+
+def test_candidates_of_a_vault(spark):
+    old = {"file_mtime": 1, "keep": False}
+    pages = frame(
+        spark,
+        {"id": "entities/a", "title": "Same", "body": "[[entities/none]] [[entities/b]]", **old},
+        {"id": "entities/b", "title": "same", "sources": ["sources/gone"], "body": "", **old},
+        {"id": "topics/c", "title": "C", "body": "[[entities/a]]", "summary": "s", **old},
+    )
+    access = spark.createDataFrame([("entities/x", 1)], "page_id string, reads long")
+    index = spark.createDataFrame([("topics/c", "old", "new")], "id string, summary_body_hash string, body_hash string")
+    found = {(r["kind"], tuple(r["pages"]), r["reason"]) for r in upkeep.candidates(pages, access, NOW, index=index).collect()}
+    assert {(k, p) for k, p, _ in found} == {("duplicate-candidate", ("entities/a", "entities/b")), ("broken-link", ("entities/a",)), ("broken-source", ("entities/b",)), ("summary-stale", ("topics/c",)), ("decay-candidate", ("topics/c",)), ("orphan", ("topics/c",))}
+    assert ("broken-link", ("entities/a",), "links to missing page(s): entities/none") in found
+    skips = spark.createDataFrame([], "kind string, pages string, skipped long")
+    queue = upkeep.work_queue(upkeep.candidates(pages, access, NOW), skips).orderBy("place").collect()
+    assert [(r["kind"], r["action"]) for r in queue] == [("duplicate-candidate", "check-or-distinct"), ("broken-link", "fix-link"), ("broken-source", "fix-link"), ("decay-candidate", "archive-or-supersede")]
+
+
 def test_refactor(spark):
     pages = frame(spark, {"id": "entities/a", "body": "x [[entities/b|B]] [[entities/b]] [l](entities/b.md) [[entities/bb]]", "sources": ["entities/b"], "superseded_by": "entities/b"}, {"id": "entities/b", "body": "self", "tags": ["t"], "sources": []})
     new = {r["id"]: r for r in refactor.renamed(pages, "entities/b", "entities/new").collect()}
