@@ -44,6 +44,7 @@ PARITY = 256
 STARS = 3
 ROUNDS = 4
 PIECE = 1 << 11
+SMALL = 32
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -143,11 +144,14 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity", *kept), "class")
     left = stored(left.select("bucket", "class", "size", "parity", *kept, F.col("class").alias("root")), "buckets")
-    # Two classes that can't have percent need no bucket.
-    one = F.struct("class", "size", "parity")
-    ends = left.groupBy("bucket").agg(F.count("*").alias("n"), F.min(one).alias("x"), F.max(one).alias("y"))
-    apart = ends.where((F.col("n") == 2) & ~_possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)).select("bucket")
-    left = stored(left.join(apart, "bucket", "left_anti"), "buckets")
+    # In a bucket of few classes, those that can have percent with no other need no bucket.
+    sizes = left.groupBy("bucket").agg(F.count("*").alias("n"))
+    small = left.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
+    x, y = small.alias("x"), small.alias("y")
+    near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")) & _possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
+    near = near.select(F.col("x.bucket").alias("bucket"), F.explode(F.array("x.class", "y.class")).alias("class")).distinct()
+    large = left.join(sizes.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
+    left = stored(small.join(near, ["bucket", "class"], "left_semi").select(*left.columns).unionByName(large.select(*left.columns)), "buckets")
     needed = classes.select("class", "key").join(left.select("class").distinct(), "class")
     one = needed.join(texts, "key").groupBy("class").agg(F.first("text").alias("text"))
     sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>"), "windows")
