@@ -102,58 +102,55 @@ class Chunk:
         self.sizes = np.fromiter(map(len, self.words), np.int64, len(self.words))
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))
 
-        self.ordered = None
+        self.hashed = None
 
     def word_hashes(self) -> np.ndarray:
-        known = _Hashes()
-        return np.fromiter((known[w] for doc in self.words for w in doc), np.uint64, int(self.starts[-1]))
+        if self.hashed is None:
+            known = _Hashes()
+            self.hashed = np.fromiter((known[w] for doc in self.words for w in doc), np.uint64, int(self.starts[-1]))
+        return self.hashed
 
-    def windows(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Short hash, first word (in the chunk's run of words) and hash range of each window."""
+    def windows(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window: its hash range and, in the low bits, its short hash; and its first word (in the chunk's run of words)."""
         h = self.word_hashes()
         n = len(h) - self.window + 1
         if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         total = _mixed(lambda j: h[j : j + n], self.window, _BASES[0], n)
         doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
         first = np.flatnonzero(doc[:n] == doc[self.window - 1 :])
         hashes = total[first]
-        return hashes & np.uint64((1 << bits) - 1), first, ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-    def sorted_windows(self, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Windows by range and short hash: hashes, first words, where each different one begins (and the end), and where each range's begin among those."""
-        if self.ordered is None:
-            hashes, first, which = self.windows(ranges, bits)
-            order = np.lexsort((first, hashes, which))
-            hashes, first, which = hashes[order], first[order], which[order]
-            new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1]))) if len(hashes) else np.zeros(0, bool)
-            at = np.flatnonzero(new)
-            self.ordered = hashes, first, np.append(at, len(hashes)), np.searchsorted(which[at], np.arange(ranges + 1))
-        return self.ordered
+        which = (hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+        return which << np.uint64(bits) | hashes & np.uint64((1 << bits) - 1), first
 
     def entries(self, ranges: int, bits: int):
         """For each hash range: its number, different short hashes in order, and whether they occur again."""
-        hashes, _, at, cuts = self.sorted_windows(ranges, bits)
-        again = np.diff(at) > 1
+        keys = np.sort(self.windows(ranges, bits)[0])
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        again = np.diff(np.append(at, len(keys))) > 1
+        keys = keys[at]
+        cuts = np.searchsorted(keys, np.arange(ranges + 1, dtype=np.uint64) << np.uint64(bits))
         for r in range(ranges):
             a, b = cuts[r], cuts[r + 1]
             if a < b:
-                yield r, hashes[at[a:b]], again[a:b]
-
-    def long_hashes(self, ranges: int, bits: int, asked: list[tuple[int, np.ndarray]]):
-        """asked: a range and entries of it. For each: the range, different long hashes of those windows in order, their first words, and whether they occur again."""
-        _, first, at, cuts = self.sorted_windows(ranges, bits)
+                yield r, keys[a:b] & np.uint64((1 << bits) - 1), again[a:b]
+
+    def long_hashes(self, ranges: int, bits: int, asked: np.ndarray):
+        """asked: ranges with short hashes. For each range: its number, different long hashes of those windows in order, their first words, and whether they occur again."""
+        asked = np.sort(asked)
+        keys, place = self.windows(ranges, bits)
+        known = asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
+        which, place = (keys[known] >> np.uint64(bits)).astype(np.int64), place[known]
         h = self.word_hashes()
-        for r, entries in asked:
-            begin = at[cuts[r] + entries]
-            counts = at[cuts[r] + entries + 1] - begin
-            ends = np.cumsum(counts)
-            place = first[np.arange(ends[-1]) + np.repeat(begin - ends + counts, counts)]
-            hashes = _mixed(lambda j, place=place: h[place + j], self.window, _BASES[1], len(place))
-            order = np.lexsort((place, hashes))
-            hashes, place = hashes[order], place[order]
-            lead = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
-            yield r, hashes[lead], place[lead], np.diff(np.append(lead, len(hashes))) > 1
+        hashes = _mixed(lambda j: h[place + j], self.window, _BASES[1], len(place))
+        order = np.lexsort((place, hashes, which))
+        which, hashes, place = which[order], hashes[order], place[order]
+        lead = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (which[1:] != which[:-1])))) if len(which) else np.zeros(0, np.int64)
+        again = np.diff(np.append(lead, len(hashes))) > 1
+        which, hashes, place = which[lead], hashes[lead], place[lead]
+        cuts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1], [True]))) if len(which) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield int(which[a]), hashes[a:b], place[a:b], again[a:b]
 
     def doc_of(self, word: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, word, side="right") - 1
@@ -192,10 +189,13 @@ def _shared(bits: int):
         order = np.argsort(hashes, kind="stable")
         hashes = hashes[order]
         same = np.concatenate(([False], hashes[1:] == hashes[:-1], [False]))
-        some = np.sort(order[same[1:] | same[:-1] | again[order]])
-        cuts = np.searchsorted(some, begins)
-        found = [(row["g"], (some[a:b] - begin).astype(np.uint32).tobytes()) for row, begin, a, b in zip(sent, begins[:-1].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b]
-        return pa.table({"g": pa.array([g for g, _ in found], pa.int64()), "range": pa.array([rows.column("range")[0].as_py()] * len(found), pa.int64()), "entries": pa.array([e for _, e in found], pa.binary())})
+        some = same[1:] | same[:-1] | again[order]
+        order, hashes = order[some], hashes[some]
+        by = np.argsort(order)
+        order, hashes = order[by], hashes[by]
+        cuts = np.searchsorted(order, begins)
+        found = [(row["g"], _planes(hashes[a:b], -(-bits // 8))) for row, a, b in zip(sent, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if a < b]
+        return pa.table({"g": pa.array([g for g, _ in found], pa.int64()), "range": pa.array([rows.column("range")[0].as_py()] * len(found), pa.int64()), "hashes": pa.array([e for _, e in found], pa.binary())})
 
     return share
 
@@ -211,7 +211,7 @@ def _confirmed(ranges: int, window: int, bits: int, least: int, id_bytes: int):
             none = np.array([d[0] == _NO_ID for d in chunk.docs], bool)
             ids = np.array([(1 << 8 * id_bytes) - 1 if n else d[0] - least for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
             keys = np.array([int(d[1][:7], 16) if n else 0 for d, n in zip(chunk.docs, none.tolist(), strict=True)], np.uint64)
-            wanted = [(r["range"], np.frombuffer(r["entries"], np.uint32).astype(np.int64)) for r in asked.to_pylist()]
+            wanted = np.concatenate([np.uint64(r["range"] << bits) | _unplaned(r["hashes"], -(-bits // 8)) for r in asked.to_pylist()])
             for r, hashes, first, again in chunk.long_hashes(ranges, bits, wanted):
                 doc = chunk.doc_of(first)
                 beside = _planes(keys[doc], 4) if none.any() else b""
@@ -381,7 +381,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     dealt = F.when(F.col("doc_id").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("doc_id"))
     rows = rows.select(F.pmod(dealt, F.lit(chunks)).cast("long").alias("g"), "doc_id", "key", "text")
     sent = rows.groupBy("g").applyInArrow(_sent(ranges, window, hash_bits), "range long, g long, planes binary, again binary")
-    asked = sent.groupBy("range").applyInArrow(_shared(hash_bits), "g long, range long, entries binary")
+    asked = sent.groupBy("range").applyInArrow(_shared(hash_bits), "g long, range long, hashes binary")
     long = rows.groupBy("g").cogroup(asked.groupBy("g")).applyInArrow(_confirmed(ranges, window, hash_bits, least, id_bytes), "range long, g long, planes binary, ids binary, keys binary, firsts binary, again binary")
     met = long.groupBy("range").applyInArrow(_met(id_bytes, fan), "g long, firsts binary, chunks binary")
     told = rows.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(_told(window), "g long, doc_id long, key string, start long, passage binary")
