@@ -49,20 +49,34 @@ def build_index(docs: DataFrame, fields: list[str], id_col: str = "id", buckets:
     if buckets is None:
         size = docs.agg(*[F.sum(F.octet_length(f)) for f in fields]).first()
         buckets = min(MOST_BUCKETS, 1 + sum(x or 0 for x in size) // BUCKET_BYTES)
-    names = [f"words_{i}" for i in range(len(fields))]
-    counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
-    lengths = [F.size(n).alias(f"len_{i}") for i, n in enumerate(names)]
-    rows = counted.select("id", *lengths, F.explode(F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))).alias("p")).select("id", *[f"len_{i}" for i in range(len(names))], "p.*")
-    rows = rows.withColumn("bucket", _bucket(F.col("term"), buckets)).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     path = scratch(spark, "postings")
-    rows.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
-    schema = T.StructType([f for f in rows.drop("salt", "bucket").schema.fields] + [T.StructField("bucket", T.IntegerType())])
-    postings = spark.read.schema(schema).parquet(path)
+    postings = posting_rows(docs, fields, id_col, buckets)
+    write_postings(postings, path)
+    postings = spark.read.schema(posting_schema(postings)).parquet(path)
     sums = postings.agg(*[F.count_if(F.col("field") == i).alias(f"n_words_{i}") for i in range(len(fields))])
     totals = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(sums))
     return Index(postings, stored(totals, "totals"), tuple(fields), buckets)
 
 
+def posting_rows(docs: DataFrame, fields: list[str], id_col: str, buckets: int) -> DataFrame:
+    """A row for each word of docs: (id, len_0, ..., term, field, place, bucket)."""
+    names = [f"words_{i}" for i in range(len(fields))]
+    counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
+    lengths = [F.size(n).alias(f"len_{i}") for i, n in enumerate(names)]
+    rows = counted.select("id", *lengths, F.explode(F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))).alias("p")).select("id", *[f"len_{i}" for i in range(len(names))], "p.*")
+    return rows.withColumn("bucket", _bucket(F.col("term"), buckets))
+
+
+def write_postings(rows: DataFrame, path: str) -> None:
+    """A folder for each bucket, in order of term and document."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def posting_schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([f for f in rows.drop("bucket").schema.fields] + [T.StructField("bucket", T.IntegerType())])
+
+
 def bm25(index: Index, weights: dict[str, float], terms: list[str]) -> DataFrame:
     """Rows (id, score) of documents with any of the terms; a term of several words is a phrase.
 

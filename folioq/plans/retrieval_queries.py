@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from folioq.functions.text import tokens
 from folioq.functions.vectors import dot, hashed_embeddings, mean_vectors
-from folioq.operators import fulltext, fusion, metrics, search, similar
+from folioq.operators import fulltext, fusion, metrics, search, segments, similar
 from folioq.plans.register import registry
 from folioq.plans.tables import TOKENS, pages, table
+from folioq.store import scratch
 
 QUERIES, ORACLES, query = registry()
 TERMS = ["the", "tion", "with"]
@@ -34,7 +35,7 @@ totals AS (SELECT count(*) AS n_docs, avg(length) AS mean_length, {", ".join(f"c
 bm25 AS (SELECT doc_id, round(({score})::DOUBLE, 6) AS score FROM counted, totals WHERE {" + ".join(f"tf_{k}" for k in range(len(terms)))} > 0)"""
 
 
-_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+_INDEXES: dict[tuple, fulltext.Index] = {}
 
 
 def _numbered_pages(spark, sf_dir):
@@ -43,8 +44,10 @@ def _numbered_pages(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> fulltext.Index:
-    """The pages' index: built by the first query of a session that needs it, and read by all."""
-    key = spark.sparkContext.applicationId, sf_dir
+    """The pages' index: built by the first query of a session that needs it, and read by all while the table has the same files."""
+    docs = table(spark, sf_dir, "documents")
+    sign = docs.select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("n"), F.col("_metadata.file_modification_time").cast("string").alias("t")).distinct().agg(F.count("*"), F.sum(F.xxhash64("f", "n", "t").cast("decimal(38,0)"))).first()
+    key = spark.sparkContext.applicationId, sf_dir, *sign
     if key not in _INDEXES:
         _INDEXES[key] = fulltext.build_index(_numbered_pages(spark, sf_dir), list(search.WEIGHTS))
     return _INDEXES[key]
@@ -60,6 +63,28 @@ def bm25_documents(spark, sf_dir):
     return _bm25(spark, sf_dir).orderBy(F.desc("score"), "id").limit(CANDIDATES).withColumnRenamed("id", "doc_id")
 
 
+def _segmented(spark, sf_dir):
+    """Pages indexed in five batches, of which two become one segment: first all, every fourth with another text, and pages that are none; then the real texts by two, a repeated batch, and the deletions."""
+    rows = _numbered_pages(spark, sf_dir).withColumn("file_hash", F.sha2(F.coalesce("body", F.lit("")), 256))
+    other = F.concat(F.lit("the tion with "), F.col("body"))
+    old = rows.where("id % 4 = 0").withColumn("body", other).withColumn("file_hash", F.lit("old"))
+    more = rows.where("id % 3 = 0").withColumn("id", -F.col("id") - 1)
+    folder = scratch(spark, "segments")
+    segments.apply(folder, rows.where("id % 4 <> 0").unionByName(old).unionByName(more), None, 0, fan=3)
+    segments.apply(folder, rows.where("id % 8 <> 0"), None, 1, fan=3)
+    segments.apply(folder, rows.where("id % 8 = 0"), None, 2, fan=3)
+    segments.apply(folder, old, None, 2, fan=3)
+    segments.prune(folder, rows, 0, fan=3)
+    return segments.opened(spark, folder)
+
+
+@query(f"WITH {_bm25_sql({'text': 1.0}, TERMS)} SELECT * FROM bm25 ORDER BY score DESC, doc_id LIMIT 50")
+def bm25_of_segments(spark, sf_dir):
+    """The same ranking from an index that was kept up by batches of changed and deleted pages."""
+    found = fulltext.bm25(_segmented(spark, sf_dir).index, {"body": 1.0}, TERMS)
+    return found.orderBy(F.desc("score"), "id").limit(CANDIDATES).withColumnRenamed("id", "doc_id")
+
+
 FIELDED = ["of-the", "the", "tion"]
 
 
