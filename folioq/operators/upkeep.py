@@ -38,6 +38,7 @@ SAYS = {
 }
 IN_A_TASK = 1_000_000
 QUEUE_HOURS = 1
+FORGET_AFTER_DAYS = 30
 
 
 def skip_counts(log: DataFrame) -> DataFrame:
@@ -214,6 +215,16 @@ def access_counts(events: DataFrame) -> DataFrame:
     return events.where(F.col("kind").isin("read", "hit")).groupBy("page_id").agg(F.count_if(read).alias("reads"), F.count_if(~read).alias("search_hits"), F.max(F.when(read, F.col("ts"))).alias("last_read_at"))
 
 
+def remembered(events: DataFrame, now, days: int = FORGET_AFTER_DAYS) -> DataFrame:
+    """events: (page_id, kind read or hit, ts). Counters of the pages used in the days before now, each since it was last unused for as many days."""
+    read = F.col("kind") == "read"
+    runs = events.where(F.col("kind").isin("read", "hit")).groupBy("page_id", F.session_window("ts", f"{days} days").alias("w"))
+    runs = runs.agg(F.count_if(read).alias("reads"), F.count_if(~read).alias("search_hits"), F.max(F.when(read, F.col("ts"))).alias("last_read_at"))
+    # The end is compared after the last run is chosen: a condition on the window itself would go below the merging of its events.
+    last = runs.groupBy("page_id").agg(F.max_by(F.struct("reads", "search_hits", "last_read_at"), "w.end").alias("last"), F.max("w.end").alias("end"))
+    return last.where(F.col("end") > now).select("page_id", "last.*")
+
+
 def carried(access: DataFrame, old: str, new: str) -> DataFrame:
     """Counters of a renamed page added to those of its new name."""
     return access.withColumn("page_id", F.when(F.col("page_id") == old, new).otherwise(F.col("page_id"))).groupBy("page_id").agg(F.sum("reads").alias("reads"), F.sum("search_hits").alias("search_hits"), F.max("last_read_at").alias("last_read_at"))

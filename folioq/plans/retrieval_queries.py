@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from folioq.functions.text import tokens
 from folioq.functions.vectors import dot, hashed_embeddings, mean_vectors
-from folioq.operators import fulltext, fusion, metrics, search, segments, similar
+from folioq.operators import fulltext, fusion, metrics, search, segments, similar, vector_index
 from folioq.plans.register import registry
 from folioq.plans.tables import TOKENS, pages, table
 from folioq.store import scratch
@@ -292,6 +292,17 @@ def similar_by_page_vectors(spark, sf_dir):
     return similar.similar(vectors.where("page_id <> 0"), chunks, named, 0)
 
 
+@query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3),
+near AS (SELECT vec_id, vec_id // 2 AS page_id, round(-list_distance(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 200)
+SELECT page_id AS id, max(score) AS score FROM near GROUP BY page_id""")
+def dense_candidates_by_lists(spark, sf_dir):
+    """Pages of the nearest chunks, found in the lists of a vector index."""
+    rows = _chunks(spark, sf_dir)
+    asked = rows.where("chunk_id = 3").select(F.col("embedding").cast("array<double>")).first()
+    near, _ = vector_index.nearest(vector_index.build(rows, "chunk_id"), asked[0] if asked else [0.0], CHUNKS, "chunk_id")
+    return near.groupBy(F.col("page_id").alias("id")).agg(F.max("score").alias("score"))
+
+
 def _comparison_sql() -> str:
     low_high = "CASE WHEN max(score) OVER () = min(score) OVER () THEN 1 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END"
     rrf = lambda w, f="fts": f"SELECT id, coalesce({w}::DOUBLE / (60 + f.r), 0) + coalesce(1.0::DOUBLE / (60 + d.r), 0) AS score FROM {f} f FULL JOIN dense d USING (id)"

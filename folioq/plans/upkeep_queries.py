@@ -114,6 +114,17 @@ def access_counts(spark, sf_dir):
     return upkeep.access_counts(access_events(spark, sf_dir))
 
 
+@query("""WITH e AS (SELECT 'documents/' || user_id AS page_id, event_type, ts, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 2 DAY THEN 1 ELSE 0 END AS new FROM events WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY page_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS n FROM e),
+last AS (SELECT page_id, n, count(*) FILTER (event_type = 'view') AS reads, count(*) FILTER (event_type = 'click') AS search_hits, max(ts) FILTER (event_type = 'view') AS last_read_at, max(ts) AS used FROM runs GROUP BY page_id, n),
+newest AS (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n DESC) = 1)
+SELECT page_id, reads, search_hits, last_read_at FROM newest WHERE used + INTERVAL 2 DAY > (SELECT max(ts) FROM events)""")
+def access_remembered(spark, sf_dir):
+    """Counters of pages used in the last two days, each since it was last unused for two days."""
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return upkeep.remembered(access_events(spark, sf_dir), F.lit(now), 2)
+
+
 @query(f"""WITH {ACCESS} SELECT CASE WHEN page_id = 'documents/1' THEN 'documents/2' ELSE page_id END AS page_id, sum(reads)::BIGINT AS reads, sum(search_hits)::BIGINT AS search_hits, max(last_read_at) AS last_read_at FROM access GROUP BY 1""")
 def access_carried(spark, sf_dir):
     return upkeep.carried(upkeep.access_counts(access_events(spark, sf_dir)), "documents/1", "documents/2")
