@@ -294,13 +294,13 @@ def similar_by_page_vectors(spark, sf_dir):
 
 @query("""WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 3),
 near AS (SELECT vec_id, vec_id // 2 AS page_id, round(-list_distance(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q ORDER BY score DESC, vec_id LIMIT 200)
-SELECT page_id AS id, max(score) AS score FROM near GROUP BY page_id""")
+SELECT page_id AS id, max(score) + 0.0::DOUBLE AS score FROM near GROUP BY page_id""")
 def dense_candidates_by_lists(spark, sf_dir):
     """Pages of the nearest chunks, found in the lists of a vector index."""
     rows = _chunks(spark, sf_dir)
     asked = rows.where("chunk_id = 3").select(F.col("embedding").cast("array<double>")).first()
     near, _ = vector_index.nearest(vector_index.build(rows, "chunk_id"), asked[0] if asked else [0.0], CHUNKS, "chunk_id")
-    return near.groupBy(F.col("page_id").alias("id")).agg(F.max("score").alias("score"))
+    return near.groupBy(F.col("page_id").alias("id")).agg((F.max("score") + 0.0).alias("score"))
 
 
 def _comparison_sql() -> str:
