@@ -140,6 +140,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     spread: gives the buckets out of their stored form, for long lists of them.
     """
     once, kept = spread is None, ["buckets"] if spread is None else []
+    stars_of = STARS if once else 1  # where a class is in many buckets, they have different ones
     held = classes.select("class", F.explode("buckets" if once else spread(F.col("buckets"))).alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity", *kept), "class")
@@ -163,7 +164,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
         if not cost["n"] or cost["pairs"] <= 2 * cost["n"] or turn == ROUNDS or before is not None and cost["pairs"] > before / 2:
             break
         before = cost["pairs"]
-        orders = [F.min(F.struct(F.xxhash64("class", F.lit(STARS * turn + i)).alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for i in range(STARS)]
+        orders = [F.min(F.struct(F.xxhash64("class", F.lit(STARS * turn + i)).alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for i in range(stars_of)]
         stars = left.groupBy("bucket").agg(F.array(*orders).alias("stars"))
         met = left.join(stars, "bucket").select("class", "root", "size", "parity", F.explode("stars").alias("s"))
         met = met.where((F.col("s.root") != F.col("root")) & _possible(lambda c: F.col(f"s.{c}"), F.col, percent))
