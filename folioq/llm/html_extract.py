@@ -8,9 +8,10 @@ template. Second pass: pages meet their host's templates and keep the blocks of
 main content that lie in neither a template nor an element whose tag, role or class
 says that it is not the article.
 
-Inside article and main, a class, id or role counts only if it says nothing else: of
-"ad-slot" every part does, of "notice-period" one does not. An aside there that is a quote,
-a note or an example is text. A header that holds the page's h1 is text where no article
+A class, id or role counts only if it says nothing else: of "ad-slot" every part does, of
+"notice-period" one does not. Inside article and main only words of adverts and reader
+comments count, so a section on cookies or a list of related works stays. An aside there
+that is a quote, a note or an example is text, and so is a fieldset. A header that holds the page's h1 is text where no article
 or main element is. Such elements stand for the page only if they hold MAIN_SHARE of its
 text outside clutter at least: a teaser in an article element displaces no text.
 
@@ -60,11 +61,14 @@ MARKS = {
     "breadcrumb", "breadcrumbs", "pagination", "pager", "menu", "navbar", "nav", "navigation", "topbar", "masthead", "footer", "copyright", "login", "signup", "search", "skip", "toolbar",
     "contentinfo", "complementary", "dialog",
 }
+#: Those of them that count inside the article as well.
+MARKS_INSIDE = {"ad", "ads", "adv", "advert", "advertisement", "advertising", "adbox", "adsense", "sponsor", "sponsored", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond"}
 #: Words that add nothing to a mark beside them.
 PLAIN = {
     "area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "card", "center", "col", "column", "container", "content", "feed", "form", "frame", "group", "header",
     "holder", "icon", "icons", "image", "inline", "inner", "item", "items", "left", "letter", "link", "links", "list", "main", "media", "module", "news", "outer", "page", "panel", "post",
     "posts", "reader", "right", "row", "section", "site", "slot", "small", "story", "stories", "text", "thread", "title", "top", "unit", "up", "user", "view", "wrap", "wrapper",
+    "by", "it", "now", "on", "this", "to", "us", "with", "your",
 }
 #: Words of asides that are text of the article.
 QUOTES = {"quote", "pullquote", "pull", "callout", "example", "definition", "note", "tip", "highlight"}
@@ -85,8 +89,8 @@ def _tokens(attributes: str):
 def _marked(tag: str, attributes: str, in_main: bool = False) -> bool:
     if not attributes or attributes.isspace():
         return False
-    marks = COMMENTS if tag == "article" else MARKS
-    if any(w & marks and (not in_main or w <= marks | PLAIN) for w in _tokens(attributes)):
+    marks = COMMENTS if tag == "article" else MARKS_INSIDE if in_main else MARKS
+    if any(w & marks and w <= marks | PLAIN for w in _tokens(attributes)):
         return True
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
@@ -118,7 +122,7 @@ def _decide(blocks: list[tuple[str, Element]], every: list[Element]) -> None:
         for e in every:
             up = e.inside[-1]
             in_main = any(x.main for x in e.inside)
-            clutter = e.tag in CLUTTER and not (e.tag == "aside" and e.quote and in_main) or e.tag == "header" and not in_main and (with_main or not e.head)
+            clutter = e.tag in CLUTTER and not (in_main and (e.tag == "aside" and e.quote or e.tag == "fieldset" and not any(x.tag == "form" for x in e.inside))) or e.tag == "header" and not in_main and (with_main or not e.head)
             e.dropped = up.dropped or clutter or e.marked and not (e.head and 2 * e.size >= whole)
             e.main = with_main and not e.dropped and e.tag in ("article", "main")
         left = [(len(w), any(x.main for x in (*e.inside, e))) for w, e in blocks if not e.dropped]

@@ -4,8 +4,9 @@ The texts that are compared are a file's header (its leading block of comments),
 file as a whole, and notices: lines, and sentences over line ends, wherever they stand.
 Only those with a MARKERS word are; every template has one. Headers and licence files are
 compared with the full licence texts and with the usual notices, the others with notices.
-Document frequencies count all compared texts. Equal texts are scored once, so a notice
-that stands in many files costs a row there and no more.
+A line or sentence that denies a licence ("not licensed under") is no notice. Document
+frequencies are those of the templates, so what a file says doesn't hang on the other files.
+Equal texts are scored once, so a notice that stands in many files costs a row there and no more.
 
 Vectors are rows (text, word, weight): texts meet the templates' words in an equi-join and
 sums of products give the cosines. The templates' words are fixed in number by the
@@ -25,6 +26,7 @@ rows count each; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 from functools import cache
 from pathlib import Path
 
@@ -41,6 +43,10 @@ COMMENT = r"^[ \t]*(//|#|\*|--|;|%)|^[ \t\r\x0B\x0C]*$"
 COMMENT_BLOCKS = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'))
 #: Parts of words; a text without any of them is no notice.
 MARKERS = ("licen", "copyright", "redistribut", "permission", "rights reserved", "proprietary", "public domain", "warrant")
+#: A denial in a line or sentence, as its words joined by spaces (an apostrophe parts words).
+DENIED = r"\b(not|never|no longer|n t|isn t|aren t|wasn t)( \S+)? (licensed|released|distributed|published|available|covered)( \S+)? under\b"
+#: A header or licence file is a denial as a whole only if it is shorter.
+DENIAL_CHARS = 400
 FOLDER = Path(__file__).resolve().parent / "licence_texts"
 #: Usual notices by SPDX name.
 NOTICES = {
@@ -62,6 +68,11 @@ NOTICES = {
     "BSD-2-Clause": ["Licensed under the BSD 2-Clause License."],
     "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "BSD-4-Clause": ["Licensed under the original BSD License.", "All advertising materials mentioning features or use of this software must display the following acknowledgement"],
+    "0BSD": ["Licensed under the Zero-Clause BSD License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "Zlib": ["Licensed under the zlib License.", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0.", "Distributed under the Boost Software License, Version 1.0. See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt"],
+    "EPL-2.0": ["Licensed under the Eclipse Public License 2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "proprietary": ["All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 #: The notices of the GNU licences differ in these names and versions.
@@ -69,7 +80,11 @@ GNU = {
     "GPL-2.0": ("program", "General Public License", "2"), "GPL-3.0": ("program", "General Public License", "3"), "AGPL-3.0": ("program", "Affero General Public License", "3"),
     "LGPL-2.1": ("library", "Lesser General Public License", "2.1"), "LGPL-3.0": ("library", "Lesser General Public License", "3"),
 }
-SPDX_ONLY = ("BSD-4-Clause", "Zlib", "EPL-2.0", "BSL-1.0", "CC-BY-NC-SA-4.0", "Artistic-2.0")
+#: Fixed value: from section 13 of the GNU Affero General Public License.
+AFFERO = """Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it
+remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to
+the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software."""
+SPDX_ONLY = ("CC-BY-NC-SA-4.0", "Artistic-2.0")
 
 
 def notices() -> dict[str, list[str]]:
@@ -91,8 +106,9 @@ def notices() -> dict[str, list[str]]:
 def templates() -> tuple[tuple[str, bool, str], ...]:
     """(licence, whether it is a full text, text)."""
     full = {p.stem: p.read_text(encoding="utf-8") for p in sorted(FOLDER.glob("*.txt"))}
-    # The Affero licence is the general one but for its name and a section on use over a network.
-    full["AGPL-3.0"] = full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    # The Affero licence is the general one but for its name, its preamble and its section 13, which is on use over a network.
+    affero = full["GPL-3.0"].replace("GNU GENERAL", "GNU AFFERO GENERAL").replace("GNU General", "GNU Affero General")
+    full["AGPL-3.0"] = f"{affero}\n{AFFERO}"
     short = [(name, False, x) for name, texts in notices().items() for x in texts]
     return (*short, *((name, True, text) for name, text in full.items()))
 
@@ -137,7 +153,8 @@ def compared(text: Column, is_licence_file: Column) -> Column:
             F.array(F.struct(F.lit(True).alias("whole"), F.when(is_licence_file, t).otherwise(F.lit("")).alias("text"))),
         )
         some = F.filter(parts, lambda p: _has_marker(p["text"]))
-        return F.array_distinct(F.transform(some, lambda p: F.struct(p["whole"].alias("whole"), F.array_join(_words(p["text"]), " ").alias("words"))))
+        spelled = F.transform(some, lambda p: F.struct(p["whole"].alias("whole"), F.array_join(_words(p["text"]), " ").alias("words")))
+        return F.array_distinct(F.filter(spelled, lambda p: ~(F.rlike(p["words"], F.lit(DENIED)) & (~p["whole"] | (F.length(p["words"]) < DENIAL_CHARS)))))
 
     none = F.array().cast("array<struct<whole:boolean,words:string>>")
     return _bound(F.coalesce(text, F.lit("")), lambda t: F.when(_has_marker(t), found(t)).otherwise(none))
@@ -154,15 +171,15 @@ def own_licences(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """texts: (file, whole, words), file unique to a file. Rows (file, licence, cosine) of files with a text near a template."""
     spark = texts.sparkSession
     texts = texts.withColumn("text_id", F.md5("words"))
-    distinct = texts.groupBy("text_id").agg(F.first("words").alias("words"), F.count("*").alias("n"), F.max("whole").alias("any_whole"))
-    vectors = distinct.select("text_id", "n", "any_whole", F.explode(F.split("words", " ")).alias("word")).groupBy("text_id", "n", "any_whole", "word").agg(F.count("*").alias("tf"))
+    distinct = texts.groupBy("text_id").agg(F.first("words").alias("words"), F.max("whole").alias("any_whole"))
+    vectors = distinct.select("text_id", "any_whole", F.explode(F.split("words", " ")).alias("word")).groupBy("text_id", "any_whole", "word").agg(F.count("*").alias("tf"))
     vectors = stored(vectors, "vectors")
-    total = texts.count()
-    idf = stored(vectors.groupBy("word").agg((F.log((1 + F.lit(total)) / (1 + F.sum("n"))) + 1).alias("idf")), "idf")
-    weighed = vectors.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
     known = template_words(spark)
-    other = F.lit(total + 1.0)
-    t = known.join(F.broadcast(idf.join(F.broadcast(known.select("word").distinct()), "word")), "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.log(other) + 1))
+    # Of the templates' words, whose number is fixed by the templates.
+    idf = stored(known.groupBy("word").agg((F.log((1 + F.lit(len(templates()))) / (1 + F.count("*"))) + 1).alias("idf")), "idf")
+    none = F.lit(math.log(1 + len(templates())) + 1)
+    weighed = vectors.join(F.broadcast(idf), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", none))
+    t = known.join(F.broadcast(idf), "word").withColumn("w", F.col("n") * F.col("idf"))
     lengths = t.groupBy("nid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     # The templates' words: their number is fixed by the templates.
     t = stored(t.join(F.broadcast(lengths), "nid").select("nid", "licence", "full", "word", (F.col("w") / F.col("length")).alias("t")), "weights")
@@ -245,17 +262,18 @@ parts AS (
   UNION ALL SELECT doc_id, false, unnest(regexp_split_to_array(text, '{SENTENCE_END}')) FROM gated
   UNION ALL SELECT doc_id, true, part FROM headers
   UNION ALL SELECT doc_id, true, text FROM gated WHERE few),
-texts AS (SELECT DISTINCT doc_id, whole, array_to_string({_WORDS % "part"}, ' ') AS words FROM parts WHERE {_any("part")}),
+spelled AS (SELECT DISTINCT doc_id, whole, array_to_string({_WORDS % "part"}, ' ') AS words FROM parts WHERE {_any("part")}),
+texts AS (SELECT * FROM spelled WHERE NOT (regexp_matches(words, '{DENIED}') AND (NOT whole OR length(words) < {DENIAL_CHARS}))),
 vectors AS (SELECT words, word, count(*) AS tf FROM (SELECT words, unnest(string_split(words, ' ')) AS word FROM (SELECT DISTINCT words FROM texts)) GROUP BY ALL),
-total AS (SELECT count(*) AS total FROM texts),
-counts AS (SELECT words, count(*) AS n FROM texts GROUP BY words),
-idf AS (SELECT word, ln((1 + any_value(total)) / (1 + sum(n))) + 1 AS idf FROM vectors JOIN counts USING (words) CROSS JOIN total GROUP BY word),
-lengths AS (SELECT words, sqrt(sum((tf * idf) ** 2)) AS length FROM vectors JOIN idf USING (word) GROUP BY words),
-weighed AS (SELECT nid, licence, is_full, word, n * coalesce(idf, ln(total + 1) + 1) AS w FROM notices LEFT JOIN idf USING (word) CROSS JOIN total),
+total AS (SELECT count(*) AS total FROM template_texts),
+idf AS (SELECT word, ln((1 + any_value(total)) / (1 + count(*))) + 1 AS idf FROM notices CROSS JOIN total GROUP BY word),
+rated AS (SELECT words, word, tf, tf * coalesce(idf, ln(1 + total) + 1) AS w FROM vectors LEFT JOIN idf USING (word) CROSS JOIN total),
+lengths AS (SELECT words, sqrt(sum(w ** 2)) AS length FROM rated GROUP BY words),
+weighed AS (SELECT nid, licence, is_full, word, n * idf AS w FROM notices JOIN idf USING (word)),
 weights AS (SELECT nid, licence, is_full, word, w / sqrt(sum(w ** 2) OVER (PARTITION BY nid)) AS t FROM weighed),
 cosines AS (
-  SELECT v.words, w.nid, w.licence, w.is_full, round(sum(v.tf * i.idf * w.t) / any_value(l.length), 6) AS cosine
-  FROM vectors v JOIN idf i USING (word) JOIN weights w USING (word) JOIN lengths l ON l.words = v.words GROUP BY ALL),
+  SELECT v.words, w.nid, w.licence, w.is_full, round(sum(v.w * w.t) / any_value(l.length), 6) AS cosine
+  FROM rated v JOIN weights w USING (word) JOIN lengths l ON l.words = v.words GROUP BY ALL),
 own AS (
   SELECT doc_id, licence AS own, cosine FROM texts t JOIN cosines c ON c.words = t.words AND (t.whole OR NOT c.is_full) WHERE cosine >= {THRESHOLD}
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY whole DESC, cosine DESC, licence DESC) = 1),

@@ -342,6 +342,10 @@ def test_html(spark):
 
 KEPT = [
     ("<main><p>x</p><div class='notice-period'>one</div><aside class='pull-quote'>two</aside><section id='search-results-explained'>three</section><div class='ad-slot'>no</div><p>a <math><mi>y</mi></math> <label>z</label></p></main>", "x\n\none\n\ntwo\n\nthree\n\na y z"),
+    ("<article><p>x</p><section id='search'><h2>Search</h2><p>one</p></section><section id='cookies'><p>two</p></section><p class='menu'>three</p><fieldset><legend>Data</legend><p>four</p></fieldset><form><fieldset>no</fieldset></form></article>", "x\n\nSearch\n\none\n\ntwo\n\nthree\n\nData\n\nfour"),
+    ("<main><p>x</p><div class='story related-news'><p>one</p></div><div class='comments'><p>no</p></div></main>", "x\n\none"),
+    ("<body><h1>Fund</h1><p>x</p><div id='share-prices'><p>one</p></div><div class='share-buttons'>no</div></body>", "Fund\n\nx\n\none"),
+    ("<article>" + "<p>long</p>" * 20000 + "<div class='ad'>no</div></article>", "\n\n".join(["long"] * 20000)),
     ("<body><header><h1>Title</h1></header><p>text</p><footer>no</footer></body>", "Title\n\ntext"),
     ("<body><header><h1>Site</h1></header><article><h1>A</h1><p>text</p></article></body>", "A\n\ntext"),
     ("<body><div class='article-body'><p>The whole long text of the story that goes on</p></div><article>Teaser</article></body>", "The whole long text of the story that goes on\n\nTeaser"),
@@ -470,6 +474,8 @@ COMMENTED_MIT = "/*\nCopyright (c) 2021 Somebody\n\n{}\n*/\nvar x = 1;\n"
 
 
 def test_licences_of_real_texts(spark):
+    from pyspark.sql import functions as F
+
     from folioq.llm.license_scan import FOLDER, scan
 
     text = {p.stem: p.read_text() for p in FOLDER.glob("*.txt")}
@@ -485,11 +491,19 @@ def test_licences_of_real_texts(spark):
         ("g", "g.rs", "// SPDX-License-Identifier: Zlib\nfn main() {}", "Zlib"),
         ("h", "h.txt", "code of the license server and its copyright notices in general", None),
         ("i", "i.md", "# Tool\n\nA tool. Copyright 2020. Licensed under the\nApache License, Version 2.0. See the file for more.", "Apache-2.0"),
+        ("k", "k.md", "This project is not licensed under the MIT license.", None),
+        ("m", "m.md", "The code isn't released under the GNU General Public License, version 3.\nLicensed under the MIT License", "MIT"),
+        ("n", "n.txt", "Licensed under the Eclipse Public License 2.0", "EPL-2.0"),
+        ("o", "o.txt", "Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+        ("p", "p.txt", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD"),
         ("j", "j.c", "\n".join(["// x"] * 20000) + "\n// Licensed under the MIT License\n", "MIT"),
     ]
     frame = spark.createDataFrame([f[:3] for f in files], "file string, path string, text string")
     got = {r["file"]: r["own"] for r in scan(frame).collect()}
     assert {f[0]: got[f[0]] for f in files} == {f[0]: f[3] for f in files}
+    # What a file says doesn't hang on the other files.
+    alone = [scan(frame.where(F.col("file") == f)).first()["own"] for f in ("a", "d", "h", "k")]
+    assert alone == [got[f] for f in ("a", "d", "h", "k")]
 
 
 def test_pipeline(spark, tmp_path):
