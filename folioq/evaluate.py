@@ -1,6 +1,10 @@
 """Retrieval quality of an evaluation set: every mode, every fusion, what was missed, and what was skipped.
 
-    python -m folioq.evaluate VAULT SET     # SET: Parquet of (id, query, expected, vector)
+    python -m folioq.evaluate VAULT SET [CHUNKS [PAGE_VECTORS]]
+
+SET: Parquet of (id, query, expected, vector). CHUNKS: Parquet of (chunk_id, page_id, embedding), whose vectors are of the set's
+model; without them every chunk of the vault and every query gets a vector of hashed words. PAGE_VECTORS: Parquet of (page_id,
+embedding), or else the mean vectors of the chunks.
 """
 
 from __future__ import annotations
@@ -8,10 +12,13 @@ from __future__ import annotations
 import sys
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioq.operators import metrics, search
+from folioq.functions.text import tokens
+from folioq.functions.vectors import hashed_embeddings, mean_vectors
+from folioq.operators import chunks, metrics, search
+from folioq.store import stored
 
 
 def skipped(entries: DataFrame) -> DataFrame:
@@ -39,19 +46,44 @@ def evaluated(base, entries: DataFrame, limit: int = metrics.CUT) -> dict[str, D
     }
 
 
-def main(vault_folder: str, set_file: str) -> None:
+def hashed_chunks(pages: DataFrame, dim: int = 256) -> DataFrame:
+    """Chunks (chunk_id, page_id, embedding) of the pages with vectors of their hashed words, for a vault without a model."""
+    cut = chunks.section_chunks(pages).withColumn("chunk_id", F.concat_ws("#", "id", "chunk_idx"))
+    return with_hashed(cut.withColumnRenamed("id", "page_id"), "chunk_id", "chunk", dim).select("chunk_id", "page_id", "embedding")
+
+
+def with_hashed(rows: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
+    """rows with the hashed-word vector of a text as embedding, all zero without words."""
+    sparse = hashed_embeddings(rows.select(key, tokens(F.col(text)).alias("words")), key, "words", dim)
+    held = sparse.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("held"))  # dim entries at most
+    whole = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0.0)))
+    return rows.join(held.select(key, whole.alias("embedding")), key, "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0), dim)))
+
+
+def opened(spark: SparkSession, vault_folder: str, set_file: str, chunk_file: str | None = None, vector_file: str | None = None):
+    """The knowledge base of a vault and its evaluation set, both with vectors."""
     from folioq.knowledge_base import KnowledgeBase
-    from folioq.session import session
     from folioq.sources import vault
 
-    spark = session("local[*]")
-    pages = vault.read_pages(spark, vault_folder)
-    none = spark.createDataFrame([], "chunk_id string, page_id string, embedding array<double>")
-    base = KnowledgeBase(pages, spark.createDataFrame([], "page_id string, reads long, search_hits long, last_read_at timestamp"), none, none.select("page_id", "embedding"), lambda q: F.array().cast("array<double>"))
-    for name, rows in evaluated(base, spark.read.parquet(set_file)).items():
+    pages, entries = vault.read_pages(spark, vault_folder), spark.read.parquet(set_file)
+    if chunk_file:
+        rows = spark.read.parquet(chunk_file)
+    else:
+        rows = stored(hashed_chunks(pages), "chunks")
+        entries = with_hashed(entries.drop("vector"), "id", "query").withColumnRenamed("embedding", "vector")
+    means = spark.read.parquet(vector_file) if vector_file else mean_vectors(rows, "page_id", order="chunk_id")
+    access = spark.createDataFrame([], "page_id string, reads long, search_hits long, last_read_at timestamp")
+    return KnowledgeBase(pages, access, rows, means, lambda q: F.array().cast("array<double>")), entries
+
+
+def main(*files: str) -> None:
+    from folioq.session import session
+
+    base, entries = opened(session("local[*]"), *files)
+    for name, rows in evaluated(base, entries).items():
         print(name)
         rows.show(100, False)
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3])
+    main(*sys.argv[1:])

@@ -245,11 +245,11 @@ def audit_report(spark, sf_dir):
     return sinks.audit_groups(_references(spark, sf_dir))
 
 
-@query(f"""WITH {_VAULT} SELECT * FROM found WHERE kind = 'invalid-date' AND id IN (SELECT id FROM vault WHERE type = 'topic')""")
+@query(f"""WITH {_VAULT} SELECT * FROM found WHERE kind = 'invalid-date' AND id IN (SELECT id FROM vault WHERE type = 'source')""")
 def lint_of_written_pages(spark, sf_dir):
     """One kind of finding, of some pages only."""
     vault = _vault(spark, sf_dir)
-    return lint.of_paths(lint.shown(lint.page_rules(vault), True, "invalid-date"), vault.where("type = 'topic'"))
+    return lint.of_paths(lint.shown(lint.page_rules(vault), True, "invalid-date"), vault.where("type = 'source'"))
 
 
 _SHARED = rf"""WITH n AS (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') || '/' || p_partkey AS id, regexp_replace(lower(p_brand), '[^a-z0-9]', '', 'g') AS dir, p_type, p_partkey AS d,
@@ -284,13 +284,11 @@ def expired_but_linked(spark, sf_dir):
     return lint.expired_but_linked(pages(spark, sf_dir).drop("body"), _cited(spark, sf_dir), TODAY)
 
 
-@query(f"""WITH last AS (SELECT o_custkey, epoch(max(o_orderdate))::BIGINT AS t FROM orders WHERE o_orderstatus = 'P' GROUP BY 1)
-SELECT 'warning' AS severity, 'orphan' AS kind, 'customers/' || c_custkey AS id, '' AS detail
-FROM customer LEFT JOIN last ON o_custkey = c_custkey WHERE coalesce(t, 1) < {NOW} - 7776000 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')""")
+@query("""SELECT 'warning' AS severity, 'orphan' AS kind, 'customers/' || c_custkey AS id, '' AS detail FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def orphans(spark, sf_dir):
-    """Customers that no order in progress links to."""
+    """Customers that no order links to."""
     name = lambda c: F.concat(F.lit("customers/"), F.col(c).cast("string"))
-    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     edges = orders.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("src"), name("o_custkey").alias("raw"), name("o_custkey").alias("dst"))
     customers = table(spark, sf_dir, "customer").select(name("c_custkey").alias("id"), F.lit(1).cast("long").alias("file_mtime"), F.lit(False).alias("keep"))
     return lint.orphans(customers, edges, NOW)

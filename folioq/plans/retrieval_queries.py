@@ -314,7 +314,7 @@ def _comparison_sql() -> str:
     }
     ranked = " UNION ALL ".join(f"SELECT '{name}' AS fusion, id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM ({sql})" for name, sql in scored.items())
     return f"""{_SEARCH}, ranked AS ({ranked} UNION ALL SELECT 'dense-first', id, place FROM hybrid),
-expected AS (SELECT doc_id AS id FROM labels WHERE quality = 1 AND doc_id < 400),
+expected AS (SELECT doc_id AS id FROM labels WHERE quality = 1),
 names AS (SELECT DISTINCT fusion FROM ranked),
 judged AS (SELECT n.fusion, e.id, r.rank FROM names n CROSS JOIN expected e LEFT JOIN ranked r ON r.fusion = n.fusion AND r.id = e.id AND r.rank <= 10)
 SELECT fusion, round(count(rank) / count(*), 6) AS recall, round(coalesce(1 / min(rank), 0), 6) AS mrr,
@@ -323,8 +323,8 @@ SELECT fusion, round(count(rank) / count(*), 6) AS recall, round(coalesce(1 / mi
 
 @query(_comparison_sql())
 def fusion_comparison(spark, sf_dir):
-    """Metrics of the five fusions on the same candidates (of one question; good documents below 400 are expected)."""
-    expected = table(spark, sf_dir, "labels").where("quality = 1 and doc_id < 400").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"))
+    """Metrics of the five fusions on the same candidates (of one question; good documents are expected)."""
+    expected = table(spark, sf_dir, "labels").where("quality = 1").select(F.lit("q").alias("query"), F.col("doc_id").alias("id"))
     out = search.fusion_comparison([("q", *_candidates(spark, sf_dir))], expected)
     return out.select("fusion", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 

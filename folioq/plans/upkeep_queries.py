@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioq.operators import chunks, refactor, upkeep, versions
+from folioq.operators import chunks, line_diff, refactor, upkeep, versions
 from folioq.plans.register import registry
 from folioq.plans.tables import ACCESS, NOW, PAGES, WORK_LOG, access_events, pages, table, work_log
 
@@ -266,10 +266,23 @@ def section_chunks(spark, sf_dir):
     return chunks.section_chunks(table(spark, sf_dir, "documents").withColumn("body", body), "doc_id")
 
 
-@query("""WITH last AS (SELECT o_custkey AS id, max(o_orderkey) AS k FROM orders GROUP BY 1)
-SELECT c_custkey AS id, c_name AS path FROM customer WHERE c_custkey NOT IN (SELECT id FROM last)""")
+@query("""SELECT doc_id AS id, source AS path FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def integrity_missing(spark, sf_dir):
-    """Indexed rows (customers) without a file (an order)."""
-    index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("path"), "c_name")
-    lost = versions.not_on_disk(index, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path")))
-    return lost.join(index.select("id", "c_name"), "id").select("id", F.col("c_name").alias("path"))
+    """Indexed rows (documents) without a file (a label)."""
+    index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("path"), "source")
+    lost = versions.not_on_disk(index, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("path")))
+    return lost.join(index.select("id", "source"), "id").select("id", F.col("source").alias("path"))
+
+
+@query(r"""WITH v AS (SELECT conv_id || '/' || turn AS path, conv_id % 5 AS k, string_split(text, chr(10)) AS l, text FROM conversations WHERE text <> ''),
+c AS (SELECT *, len(l) AS n FROM v)
+SELECT path, CASE k WHEN 0 THEN NULL ELSE path END AS old_path, CASE k WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'M' END AS status,
+       (CASE k WHEN 0 THEN n WHEN 1 THEN 0 WHEN 2 THEN 2 ELSE 1 END)::BIGINT AS added, (CASE k WHEN 1 THEN n WHEN 0 THEN 0 WHEN 2 THEN 0 ELSE 1 END)::BIGINT AS removed FROM c WHERE k < 4""")
+def version_lines(spark, sf_dir):
+    """Added and removed lines of two versions of conversations' turns: some are new, some gone, some have two lines more at their ends, some another first line, some are as before."""
+    turns = table(spark, sf_dir, "conversations").where("text <> ''").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("path"), F.pmod("conv_id", F.lit(5)).alias("k"), "text")
+    name = F.concat(F.lit("«"), F.col("path"), F.lit("»"))
+    first = F.concat(name, F.when(F.instr("text", "\n") > 0, F.regexp_replace("text", r"^[^\n]*", "")).otherwise(""))
+    later = F.when(F.col("k") == 2, F.concat(name, F.lit("\n"), F.col("text"), F.lit("\n"), name)).when(F.col("k") == 3, first).otherwise(F.col("text"))
+    old, new = turns.where("k <> 0").select("path", F.when(F.col("k") == 1, F.regexp_replace("text", r"[^\n]+", name)).otherwise(F.col("text")).alias("text")), turns.where("k <> 1").select("path", later.alias("text"))
+    return line_diff.changes(old, new).select("path", "old_path", "status", "added", "removed")
