@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+KEYS_HELD = 4096
+
 
 def dot(a: Column, b: Column) -> Column:
     """Over the shorter length; the cosine for unit vectors."""
@@ -16,16 +20,58 @@ def dot(a: Column, b: Column) -> Column:
 def mean_vectors(vectors: DataFrame, by: str, vector: str = "embedding", order: str | None = None) -> DataFrame:
     """Rows (by, embedding): the unit vector of the element-wise sum; groups without length have none.
 
+    Tasks sum up whole vectors of a key first, so one vector of each task and key is shuffled.
     The first row of a group with a vector, by order, fixes its dimension (without order, or for ties, the smallest); others are passed over.
     """
     place = F.col(order) if order else F.lit(0)
     sized = vectors.select(by, vector, F.size(vector).alias("dim"), place.alias("place")).where("dim > 0")
     dims = sized.groupBy(by).agg(F.min(F.struct("place", "dim"))["dim"].alias("dim"))
-    parts = sized.join(dims, [by, "dim"]).select(by, F.posexplode(vector).alias("at", "x"))
-    sums = parts.groupBy(by, "at").agg(F.sum(F.col("x").cast("double")).alias("x"))
-    whole = sums.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.withColumn("length", length).where("length > 1e-7").select(by, F.transform("v", lambda x: x / F.col("length")).alias("embedding"))
+    rows = sized.join(dims, [by, "dim"]).select(by, F.col(vector).cast("array<double>").alias("embedding"))
+    kind = rows.schema[by].dataType.simpleString()
+    parts = rows.mapInArrow(_partly_summed, f"{by} {kind}, embedding array<double>")
+    return parts.repartition(by).sortWithinPartitions(by).mapInArrow(_summed, f"{by} {kind}, embedding array<double>")
+
+
+def _batch(like: pa.RecordBatch, sums: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in sums], like.schema.field(0).type), pa.array([v for _, v in sums], pa.list_(pa.float64()))], names=like.schema.names)
+
+
+def _rows(batch: pa.RecordBatch):
+    """Keys and vectors of a batch."""
+    lists = batch.column(1)
+    values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+    yield from zip(batch.column(0).to_pylist(), np.split(values, ends[:-1]) if len(ends) else [], strict=True)
+
+
+def _partly_summed(batches):
+    """A vector for each key that a task has at a time."""
+    held: dict = {}
+    for batch in batches:
+        for key, v in _rows(batch):
+            held[key] = held[key] + v if key in held else v
+        if len(held) > KEYS_HELD:
+            yield _batch(batch, list(held.items()))
+            held = {}
+        last = batch
+    if held:
+        yield _batch(last, list(held.items()))
+
+
+def _summed(batches):
+    """batches in order of their key. The unit vector of each key's sum."""
+    now, last = None, None
+    for batch in batches:
+        done = []
+        for key, v in _rows(batch):
+            if now is not None and now[0] == key:
+                now = key, now[1] + v
+            else:
+                done += [now] if now else []
+                now = key, v
+        last = batch
+        yield _batch(batch, [(k, v / n) for k, v in done if (n := np.sqrt(v @ v)) > 1e-7])
+    if now and (n := np.sqrt(now[1] @ now[1])) > 1e-7:
+        yield _batch(last, [(now[0], now[1] / n)])
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:

@@ -53,6 +53,30 @@ def test_modes_and_evaluation(spark, base):
     assert list(evaluate.evaluated(base, entries.where("id = 'q2'"))) == ["skipped"]
 
 
+def test_evaluation_of_files(spark, tmp_path):
+    """From a folder and a set file: with vectors of hashed words, and with given ones."""
+    pytest.importorskip("yaml")
+    for name, body in (("entities/pizza", "Pizza mit Käse"), ("topics/recht", "Vertrag und Recht"), ("topics/leer", "")):
+        path = tmp_path / "vault" / f"{name}.md"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(f"---\nid: {name}\ntype: topic\n---\n{body}\n")
+    for t in ("concepts", "sources"):
+        (tmp_path / "vault" / t).mkdir()
+    entries = spark.createDataFrame([("q1", "pizza käse", ["entities/pizza"]), ("q2", "recht", ["topics/recht"])], "id string, query string, expected array<string>")
+    entries.write.parquet(f"{tmp_path}/set")
+    base, named = evaluate.opened(spark, str(tmp_path / "vault"), f"{tmp_path}/set")
+    out = evaluate.evaluated(base, named)
+    assert {r["mode"]: r["mrr"] for r in out["modes"].collect()} == dict.fromkeys(search.MODES, 1.0)
+    spark.createDataFrame([("c1", "entities/pizza", [1.0, 0.0]), ("c2", "topics/recht", [0.0, 1.0])], "chunk_id string, page_id string, embedding array<double>").write.parquet(f"{tmp_path}/chunks")
+    named.drop("vector").withColumn("vector", F.when(F.col("id") == "q1", F.array(F.lit(0.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.0)))).write.parquet(f"{tmp_path}/given")
+    base, named = evaluate.opened(spark, str(tmp_path / "vault"), f"{tmp_path}/given", f"{tmp_path}/chunks")
+    assert {r["mode"]: r["mrr"] for r in base.evaluate(named)["modes"].collect()}["dense-only"] == 0.5
+    assert base.page_vectors.count() == 2
+    assert [tuple(r) for r in base.graph(types=["topic"])[0].select("id").orderBy("id").collect()] == [("entities/pizza",), ("topics/leer",), ("topics/recht",)]
+    log = spark.createDataFrame([], "kind string, pages string, outcome string, seq long")
+    assert base.queue(log, 0).count() == 0
+
+
 def test_similar(base):
     assert [(r["id"], r["type"]) for r in base.similar("entities/kunde-a").collect()] == [("entities/kunde-b", "entity"), ("topics/nlspec", "topic")]
     assert [r["id"] for r in base.similar("entities/kunde-b").collect()] == ["entities/kunde-a"]
