@@ -133,6 +133,52 @@ def substring_scores(docs: DataFrame, needle: str, title: str, body: str, id_col
     return docs.select(F.col(id_col).alias("id"), found.alias("score")).where("score > 0")
 
 
+GRAM = 3
+
+
+@dataclass(frozen=True)
+class GramIndex:
+    """Rows (bucket, gram, id): which documents hold which runs of GRAM lower-case characters in any of fields."""
+
+    grams: DataFrame
+    fields: tuple[str, ...]
+    buckets: int
+
+
+def _grams(text: Column) -> Column:
+    t = F.lower(F.coalesce(text, F.lit("")))
+    starts = F.sequence(F.lit(1), F.length(t) - GRAM + 1)
+    return F.when(F.length(t) < GRAM, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.array(t), lambda x: F.transform(starts, lambda i: F.substring(x, i, F.lit(GRAM))))[0]))
+
+
+def build_grams(docs: DataFrame, fields: list[str], id_col: str = "id", buckets: int = 64) -> GramIndex:
+    """Each document's different runs of characters once, dealt by their hash into folders, in order within each."""
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(f)) for f in fields])))
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
+    path = scratch(docs.sparkSession, "grams")
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    return GramIndex(docs.sparkSession.read.schema(rows.schema).parquet(path), tuple(fields), buckets)
+
+
+def substring_candidates(index: GramIndex, needle: str) -> DataFrame | None:
+    """Ids of documents that hold every run of characters of needle; None if it is too short to have one, so any document can hold it."""
+    found = sorted({needle.lower()[i : i + GRAM] for i in range(len(needle.lower()) - GRAM + 1)})
+    if not found:
+        return None
+    buckets = [_bucket(F.lit(g), index.buckets) for g in found]
+    met = index.grams.where(F.col("bucket").isin(*buckets) & F.col("gram").isin(found))
+    return met.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(found)).select("id")
+
+
+def substring_search(docs: DataFrame, index: GramIndex, needle: str, title: str, body: str, id_col: str = "id") -> DataFrame:
+    """As substring_scores, but counted only in documents that the index can't rule out."""
+    candidates = substring_candidates(index, needle)
+    if candidates is not None:
+        docs = docs.join(candidates.withColumnRenamed("id", id_col), id_col, "left_semi")
+    return substring_scores(docs, needle, title, body, id_col)
+
+
 def around(text: Column, needle: str, before: int = 40, after: int = 60) -> Column:
     """Text around the first occurrence, line ends as spaces."""
     at = F.locate(needle.lower(), F.lower(text))

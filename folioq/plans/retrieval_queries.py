@@ -106,6 +106,15 @@ def substring_search(spark, sf_dir):
     return fulltext.substring_scores(docs, "C1", "source", "text", "doc_id").withColumnRenamed("id", "doc_id")
 
 
+@query("""SELECT doc_id, (2 * ((length(source) - length(replace(lower(source), 'ation the', ''))) // 9) + (length(text) - length(replace(lower(text), 'ation the', ''))) // 9)::BIGINT AS score
+FROM documents WHERE contains(lower(source), 'ation the') OR contains(lower(text), 'ation the')""")
+def substring_search_by_grams(spark, sf_dir):
+    """The same search through an index of runs of three characters."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    index = fulltext.build_grams(docs, ["source", "text"], "doc_id")
+    return fulltext.substring_search(docs, index, "Ation the", "source", "text", "doc_id").withColumnRenamed("id", "doc_id")
+
+
 @query("""SELECT doc_id, translate(substring(text, greatest(1, strpos(lower(text), 'tion') - 40), strpos(lower(text), 'tion') - greatest(1, strpos(lower(text), 'tion') - 40) + 64), chr(10), ' ') AS snippet
 FROM documents WHERE contains(lower(text), 'tion')""")
 def substring_snippets(spark, sf_dir):
