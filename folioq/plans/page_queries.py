@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
-from folioq.operators import filters, names, refactor
+from folioq.operators import filters, names, refactor, similar_join
 from folioq.operators.upkeep import access_counts
 from folioq.plans.register import registry
 from folioq.plans.tables import ACCESS, PAGES, TODAY, VALID_NOW, access_events, pages, table
@@ -252,6 +252,12 @@ def duplicate_contents(spark, sf_dir):
     return _contents(spark, sf_dir)[0]
 
 
+@query(f"WITH {_CONTENT} SELECT * FROM content WHERE similarity >= 0.4".replace("CAP", "1000000000"))
+def similar_contents(spark, sf_dir):
+    """All pairs of embeddings of one label that are similar, whatever the number of its rows."""
+    return similar_join.similar_pairs(_vectors(spark, sf_dir), 0.4)
+
+
 @query(f"""WITH {_CONTENT}, near AS (SELECT * FROM content WHERE similarity >= 0.3),
 titles AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e), 6) AS s FROM v a JOIN v b ON a.type = b.type AND b.id = a.id + 10),
 pairs AS (SELECT coalesce(n.a, t.a) AS a, coalesce(n.b, t.b) AS b, coalesce(similarity, s) AS similarity, t.a IS NOT NULL AS by_title FROM titles t FULL JOIN near n ON n.a = t.a AND n.b = t.b)
