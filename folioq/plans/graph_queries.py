@@ -85,6 +85,13 @@ def graph_filtered(spark, sf_dir):
     return graph.filtered_graph(part, order_links(spark, sf_dir), types=brands)[1]
 
 
+@query(f"""WITH {PAGES}, nodes AS (SELECT id FROM pages WHERE (lang IN ('en', 'de') OR source = 'src1') AND updated_at >= '2024-03-01')
+SELECT DISTINCT id AS src, cited AS dst FROM pages WHERE id IN (SELECT id FROM nodes) AND cited IN (SELECT id FROM nodes)""")
+def graph_by_tags(spark, sf_dir):
+    """Citations among the pages that have any of three tags and were changed since a day."""
+    return graph.filtered_graph(pages(spark, sf_dir), _cited(spark, sf_dir), tags=["en", "de", "src1"], after="2024-03-01")[1]
+
+
 @query(f"""WITH {ORDER_LINKS}, ends AS (SELECT unnest([src, dst]) AS id FROM (SELECT DISTINCT src, dst FROM order_links)), d AS (SELECT id, count(*) AS degree FROM ends GROUP BY id)
 SELECT degree AS threshold FROM (SELECT degree, row_number() OVER (ORDER BY degree DESC, id) - 1 AS i, count(*) OVER () AS n FROM d) WHERE i = least(floor(0.15 * n), n - 1)""")
 def hub_threshold(spark, sf_dir):

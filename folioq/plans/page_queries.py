@@ -49,6 +49,12 @@ def filter_default_validity(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, "updated:>2024-06-01"))
 
 
+@query(f"""WITH {PAGES}, {ACCESS} SELECT id, coalesce(superseded_by, '') AS superseded_by, last_read_at, {_LABEL} AS validity FROM pages LEFT JOIN access ON page_id = id""")
+def filter_shown_columns(spark, sf_dir):
+    """What else is shown of each page: what superseded it, and when it was last read."""
+    return _hits(spark, sf_dir, "valid:all").select("id", F.coalesce("superseded_by", F.lit("")).alias("superseded_by"), "last_read_at", "validity")
+
+
 @query(_sql(f"(source = 'src3' OR type = 'de') AND NOT ({VALID_NOW})"))
 def filter_expired(spark, sf_dir):
     return _shown(_hits(spark, sf_dir, "(tag:src3 OR type:de) AND valid:expired"))
@@ -119,6 +125,12 @@ def table_sort(spark, sf_dir):
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("valid_to").desc_nulls_last(), "id")).cast("long"))
 
 
+@query(f"WITH {PAGES} SELECT id, valid_to, row_number() OVER (ORDER BY nullif(valid_to, '') ASC NULLS LAST, id) AS place FROM pages QUALIFY place <= 300")
+def table_sort_ascending(spark, sf_dir):
+    top = sinks.ordered_table(pages(spark, sf_dir).select("id", "valid_to"), "valid_to").limit(300)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("valid_to").asc_nulls_last(), "id")).cast("long"))
+
+
 _SLUG = r"regexp_replace(regexp_replace(replace(replace(replace(replace(lower(%s), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss'), '[^\p{L}\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
