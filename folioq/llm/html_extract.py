@@ -42,6 +42,7 @@ MIN_PAGES = 20
 MIN_SHARE = 0.3
 BROADCAST_ROWS = 50_000
 SALTS = 32
+PAGES_HELD = 64
 
 #: Elements by their part in a page.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "svg", "canvas", "object", "audio", "video", "select"}
@@ -224,6 +225,13 @@ def main_text(page: str | None, templates: set[int]) -> str:
     return "\n\n".join(kept)
 
 
+def _few(batches):
+    """batches in parts of a few pages: of a part's pages a task holds the text beside the column."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PAGES_HELD):
+            yield batch.slice(at, PAGES_HELD)
+
+
 def _seen(batches):
     counts: Counter = Counter()
 
@@ -233,18 +241,18 @@ def _seen(batches):
         counts.clear()
         return out
 
-    for batch in batches:
+    for batch in _few(batches):
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             counts[host, -1] += 1
             counts.update((host, k) for k in subtrees(parse(page)[1]))
-            if len(counts) > 200_000:
+            if len(counts) > 50_000:
                 yield emit()
     if counts:
         yield emit()
 
 
 def _extracted(batches):
-    for batch in batches:
+    for batch in _few(batches):
         texts = [main_text(page, set(keys or ())) for page, keys in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
