@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from folioq.functions.text import match_key, similar_keys, slug_key
 from folioq.operators import graph, lint, names, refactor, upkeep
 
 COLUMNS = "id string, type string, title string, body string, summary string, tags array<string>, aliases array<string>, sources array<string>, distinct_from array<string>, superseded_by string, valid_from string, valid_to string, updated_at string, keep boolean, file_mtime long"
@@ -214,3 +215,19 @@ def test_history_and_changes(spark):
     commits = spark.createDataFrame([("s1", 1), ("s2", 2), ("s3", 3)], "sha string, ts long")
     assert [r["sha"] for r in upkeep.page_history(deltas, commits, "p", 5).collect()] == ["s3", "s1"]
     assert upkeep.commit_changes(deltas).where("sha = 's3'").first()["n_d"] == 1
+
+
+def test_near_names_of_all_lengths(spark):
+    """Names around the lengths at which their meeting changes; and no side of a join goes to the driver, as each is far larger than its table."""
+    long = "abcdefghijklmnopqrstuvwxyz0123456789"
+    keys = [long[:n] for n in (3, 6, 7, 8, 9, 30, 31, 32, 33, 34, 36)]
+    pages = frame(spark, *({"id": f"entities/{k}", "aliases": ["One Name"]} for k in keys))
+    edits = [k[:2] + x + k[2 + cut :] for k in keys for x, cut in (("", 1), ("", 2), ("_", 1), ("77", 0), ("7", 2))] + [k[:1] + k[2:-1] for k in keys] + ["one-name", "one-nam"]
+    asked = spark.createDataFrame([(f"entities/{k}",) for k in dict.fromkeys(edits)], "id string")
+    found = names.near_matches(pages, asked)
+    key = F.substring_index("wanted", "/", -1)
+    every = names.name_entries(pages).crossJoin(asked.withColumnRenamed("id", "wanted")).where("id <> wanted")
+    every = every.withColumn("reason", names._reason(F.col("is_alias"), F.col("match") == match_key(slug_key(key)), similar_keys(F.col("key"), slug_key(key))))
+    wanted = {(r["wanted"], r["id"], names.REASONS[r["r"]]) for r in every.where("reason is not null").groupBy("wanted", "id").agg(F.min("reason").alias("r")).collect()}
+    assert {tuple(r) for r in found.collect()} == wanted and len(wanted) > 50
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
