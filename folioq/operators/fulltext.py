@@ -5,6 +5,8 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -134,41 +136,62 @@ def substring_scores(docs: DataFrame, needle: str, title: str, body: str, id_col
 
 
 GRAM = 3
+BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)
 class GramIndex:
-    """Rows (bucket, gram, id): which documents hold which runs of GRAM lower-case characters in any of fields."""
+    """Rows (bucket, gram, ids): which documents hold which runs of GRAM lower-case characters in any of fields; a run has a row for each block of documents."""
 
     grams: DataFrame
     fields: tuple[str, ...]
     buckets: int
 
 
-def _grams(text: Column) -> Column:
-    t = F.lower(F.coalesce(text, F.lit("")))
-    starts = F.sequence(F.lit(1), F.length(t) - GRAM + 1)
-    return F.when(F.length(t) < GRAM, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.array(t), lambda x: F.transform(starts, lambda i: F.substring(x, i, F.lit(GRAM))))[0]))
+def _gram_codes(text: str) -> np.ndarray:
+    """The runs of GRAM characters of a text as numbers, 21 bits a character."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _gram_rows(batches):
+    """batches: (id, fields ...). Rows (gram, ids) of blocks of documents that have BLOCK runs or a batch's end."""
+    for batch in batches:
+        codes, rows, n = [], [], 0
+        texts = zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True)
+        for row, fields in enumerate(texts):
+            found = np.unique(np.concatenate([_gram_codes(t) for t in fields]))
+            codes.append(found)
+            rows.append(np.full(len(found), row, np.int32))
+            n += len(found)
+            if n >= BLOCK or row == batch.num_rows - 1:
+                code, row_of = np.concatenate(codes), np.concatenate(rows)
+                order = np.argsort(code, kind="stable")
+                code, row_of = code[order], row_of[order]
+                starts = np.flatnonzero(np.diff(code, prepend=-1))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)).astype(np.int32)), batch.column(0).take(pa.array(row_of)))
+                yield pa.RecordBatch.from_arrays([pa.array(code[starts]), lists], names=["gram", "ids"])
+                codes, rows, n = [], [], 0
 
 
 def build_grams(docs: DataFrame, fields: list[str], id_col: str = "id", buckets: int = 64) -> GramIndex:
-    """Each document's different runs of characters once, dealt by their hash into folders, in order within each."""
-    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col(f)) for f in fields])))
-    rows = docs.select(F.col(id_col).alias("id"), F.explode(every).alias("gram")).withColumn("bucket", _bucket(F.col("gram"), buckets))
+    """Each document's different runs of characters once, by blocks of documents; dealt by their hash into folders, in order within each."""
+    texts = docs.select(F.col(id_col).alias("id"), *[F.lower(F.coalesce(F.col(f), F.lit(""))).alias(f"text_{i}") for i, f in enumerate(fields)])
+    rows = texts.mapInArrow(_gram_rows, f"gram long, ids array<{texts.schema['id'].dataType.simpleString()}>").withColumn("bucket", _bucket(F.col("gram"), buckets))
     path = scratch(docs.sparkSession, "grams")
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(F.get("ids", F.lit(0))), F.lit(SALTS)))
+    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").option("compression", "zstd").parquet(path)
     return GramIndex(docs.sparkSession.read.schema(rows.schema).parquet(path), tuple(fields), buckets)
 
 
 def substring_candidates(index: GramIndex, needle: str) -> DataFrame | None:
     """Ids of documents that hold every run of characters of needle; None if it is too short to have one, so any document can hold it."""
-    found = sorted({needle.lower()[i : i + GRAM] for i in range(len(needle.lower()) - GRAM + 1)})
+    found = sorted({int(c) for c in _gram_codes(needle.lower())})
     if not found:
         return None
     buckets = [_bucket(F.lit(g), index.buckets) for g in found]
     met = index.grams.where(F.col("bucket").isin(*buckets) & F.col("gram").isin(found))
-    return met.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(found)).select("id")
+    return met.select("gram", F.explode("ids").alias("id")).groupBy("id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(found)).select("id")
 
 
 def substring_search(docs: DataFrame, index: GramIndex, needle: str, title: str, body: str, id_col: str = "id") -> DataFrame:

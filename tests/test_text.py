@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioq.functions import text as T
+from folioq.operators import fulltext
 from folioq.functions.vectors import hashed_embeddings, mean_vectors
 
 
@@ -73,3 +74,14 @@ def test_hashed_vectors_have_unit_length(spark):
     rows = spark.createDataFrame([(1, ["alpha", "beta", "beta", "x"]), (2, [])], "id long, words array<string>")
     got = hashed_embeddings(rows, "id", "words").groupBy("id").agg(F.sum(F.col("x") * F.col("x")).alias("n")).collect()
     assert [(r["id"], round(r["n"], 9)) for r in got] == [(1, 1.0)]
+
+
+def test_grams_by_blocks(spark):
+    """A run of characters has a row for a block of documents, not for each; characters beyond 16 bits count once, and rows of one id as one document."""
+    texts = [("a", "t", "x" * 200_000 + "Needle"), ("b", None, "no nee dle"), ("c", "ÄNeEDLE", "\U0001f600needle\U0001f600\U0001f601"), ("d", "", None), ("d", "n", "needle needle")]
+    docs = spark.createDataFrame(texts, "id string, title string, body string").coalesce(1)
+    index = fulltext.build_grams(docs, ["title", "body"])
+    assert index.grams.count() == len({t.lower()[i : i + 3] for r in texts for t in r[1:] if t for i in range(len(t) - 2)})
+    for needle in ("NEEDLE", "\U0001f600\U0001f601", "e\U0001f600\U0001f601", "nee dle", "absent"):
+        wanted = sorted(tuple(r) for r in fulltext.substring_scores(docs, needle, "title", "body").collect())
+        assert sorted(tuple(r) for r in fulltext.substring_search(docs, index, needle, "title", "body").collect()) == wanted
