@@ -18,6 +18,7 @@ K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 CANDIDATES = 50
 BUCKET_BYTES, MOST_BUCKETS, SALTS = 256 << 20, 4096, 16
+BLOCK = 1 << 21
 
 
 def query_terms(raw: str) -> list[str]:
@@ -44,7 +45,7 @@ def build_index(docs: DataFrame, fields: list[str], id_col: str = "id", buckets:
     """Tokenises each text once and deals its words by hash of the term into a folder for each bucket.
 
     A query reads the folders of its terms, and in their files, which are in order of the term, the row groups that can hold
-    them. The words of a bucket are dealt over SALTS tasks by document, so a term that most documents hold burdens no task.
+    them. A word has a row for each block of BLOCK words or less, which a task makes; the rows of a bucket are dealt over SALTS tasks.
     The number of buckets, unset, goes by the size of the texts.
     """
     spark = docs.sparkSession
@@ -52,27 +53,66 @@ def build_index(docs: DataFrame, fields: list[str], id_col: str = "id", buckets:
         size = docs.agg(*[F.sum(F.octet_length(f)) for f in fields]).first()
         buckets = min(MOST_BUCKETS, 1 + sum(x or 0 for x in size) // BUCKET_BYTES)
     path = scratch(spark, "postings")
-    postings = posting_rows(docs, fields, id_col, buckets)
-    write_postings(postings, path)
-    postings = spark.read.schema(posting_schema(postings)).parquet(path)
-    sums = postings.agg(*[F.count_if(F.col("field") == i).alias(f"n_words_{i}") for i in range(len(fields))])
+    packed = posting_rows(docs, fields, id_col, buckets)
+    write_postings(packed, path)
+    packed = spark.read.schema(posting_schema(packed)).parquet(path)
+    sums = packed.agg(*[F.coalesce(F.sum(f"n_{i}"), F.lit(0)).alias(f"n_words_{i}") for i in range(len(fields))])
     totals = docs.agg(F.count("*").alias("n_docs")).join(F.broadcast(sums))
-    return Index(postings, stored(totals, "totals"), tuple(fields), buckets)
+    return Index(unpacked(packed), stored(totals, "totals"), tuple(fields), buckets)
+
+
+def _packed(batches):
+    """batches: (id, words of each field). Rows (term, n_0, ..., id, field, places, len_0, ...) for each word of a block of documents: how often it stands in each field, and lists with an item for each field of a document where it stands, with its places there."""
+    for batch in batches:
+        sizes = [c.value_lengths().to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+        ends = np.cumsum(sum(sizes))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, before + BLOCK, "right")) - at)
+            part, lengths = batch.slice(at, n), [s[at : at + n] for s in sizes]
+            at += n
+            words = pa.concat_arrays([c.flatten() for c in part.columns[1:]]).dictionary_encode()
+            row = np.concatenate([np.repeat(np.arange(n), x) for x in lengths])
+            field = np.concatenate([np.full(x.sum(), i, np.int8) for i, x in enumerate(lengths)])
+            place = np.concatenate([np.arange(x.sum()) - np.repeat(np.cumsum(x) - x, x) for x in lengths]).astype(np.int32)
+            code = words.indices.to_numpy().astype(np.int64)
+            order = np.argsort(code * n + row, kind="stable")
+            code, row, field, place = code[order], row[order], field[order], place[order]
+            new = np.diff(code, prepend=-1) != 0
+            firsts = np.flatnonzero(new | (np.diff(row, prepend=-1) != 0) | (np.diff(field, prepend=-1) != 0))  # of each word's places in a field
+            terms = np.flatnonzero(new[firsts])
+            ends_of = lambda x, total: pa.array(np.append(x, total).astype(np.int32))
+            held = row[firsts]
+            items = [part.column(0).take(pa.array(held)), pa.array(field[firsts]), pa.ListArray.from_arrays(ends_of(firsts, len(code)), pa.array(place)), *[pa.array(x[held].astype(np.int32)) for x in lengths]]
+            offsets = ends_of(terms, len(firsts))
+            each = np.append(firsts[terms], len(code))
+            counts = [pa.array(np.diff(np.append(0, np.cumsum(field == i))[each])) for i in range(len(lengths))]
+            names = ["term", *[f"n_{i}" for i in range(len(lengths))], "id", "field", "places", *[f"len_{i}" for i in range(len(lengths))]]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(code[firsts][terms])), *counts, *[pa.ListArray.from_arrays(offsets, x) for x in items]], names=names)
 
 
 def posting_rows(docs: DataFrame, fields: list[str], id_col: str, buckets: int) -> DataFrame:
-    """A row for each word of docs: (id, len_0, ..., term, field, place, bucket)."""
-    names = [f"words_{i}" for i in range(len(fields))]
-    counted = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(n) for f, n in zip(fields, names, strict=True)])
-    lengths = [F.size(n).alias(f"len_{i}") for i, n in enumerate(names)]
-    rows = counted.select("id", *lengths, F.explode(F.flatten(F.array(*[_placed(n, i) for i, n in enumerate(names)]))).alias("p")).select("id", *[f"len_{i}" for i in range(len(names))], "p.*")
+    """The words of docs by blocks of documents: rows (term, n_0, ..., id, field, places, len_0, ..., bucket); id, field, places and lengths are lists with an item for each field of a document."""
+    words = docs.select(F.col(id_col).alias("id"), *[tokens(F.col(f)).alias(f"words_{i}") for i, f in enumerate(fields)])
+    lengths = "".join(f", len_{i} array<int>" for i in range(len(fields)))
+    counts = "".join(f", n_{i} long" for i in range(len(fields)))
+    rows = words.mapInArrow(_packed, f"term string{counts}, id array<{words.schema['id'].dataType.simpleString()}>, field array<tinyint>, places array<array<int>>{lengths}")
     return rows.withColumn("bucket", _bucket(F.col("term"), buckets))
 
 
-def write_postings(rows: DataFrame, path: str) -> None:
-    """A folder for each bucket, in order of term and document."""
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+def unpacked(packed: DataFrame) -> DataFrame:
+    """A row for each place of posting_rows: (term, id, field, place, len_0, ..., bucket), and segment if they have it."""
+    lists = [f.name for f in packed.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    kept = [c for c in packed.columns if c in ("term", "bucket", "segment")]
+    rows = packed.select(*kept, F.explode(F.arrays_zip(*lists)).alias("p"))
+    return rows.select(*kept, *[f"p.{c}" for c in lists if c != "places"], F.explode("p.places").alias("place"))
+
+
+def write_postings(packed: DataFrame, path: str) -> None:
+    """A folder for each bucket, in order of the term."""
+    salted = packed.withColumn("salt", F.pmod(F.xxhash64(F.get("id", F.lit(0))), F.lit(SALTS)))
+    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
 def posting_schema(rows: DataFrame) -> T.StructType:
@@ -119,10 +159,6 @@ def _back(j: int):
     return lambda x: x - j
 
 
-def _placed(words: str, field: int):
-    return F.transform(F.col(words), lambda w, at: F.struct(w.alias("term"), F.lit(field).alias("field"), at.alias("place")))
-
-
 def has_phrase(text: Column, phrase: str) -> Column:
     """Whether the phrase's tokens stand side by side."""
     wanted = plain_tokens(phrase)
@@ -136,7 +172,6 @@ def substring_scores(docs: DataFrame, needle: str, title: str, body: str, id_col
 
 
 GRAM = 3
-BLOCK = 1 << 21
 
 
 @dataclass(frozen=True)

@@ -93,6 +93,7 @@ def opened(spark: SparkSession, folder: str) -> Opened:
 
     def live(part, key="id"):
         rows = _part(spark, folder, part, m.segments)
+        rows = fulltext.unpacked(rows) if part == "postings" else rows
         return rows.join(dead.withColumnRenamed("id", key), [key, "segment"], "left_anti").drop("segment")
 
     pages = live("pages")
@@ -152,9 +153,10 @@ def compacted(spark: SparkSession, folder: str, m: Manifest, fan: int = FAN) ->
         marks = _part(spark, folder, "marks", merged)
         dead = stored(_dead(marks), "dead")
         parts = {}
-        for part in PARTS:
+        for part in (p for p in PARTS if p != "postings"):
             rows, key = _part(spark, folder, part, merged), "src" if part == "edges" else "id"
             parts[part] = rows.join(dead.withColumnRenamed("id", key), [key, "segment"], "left_anti").drop("segment")
+        parts["postings"] = fulltext.posting_rows(parts["pages"], list(m.fields), "id", m.buckets)
         last = marks.groupBy("id").agg(F.max_by("gone", "segment").alias("gone"))
         parts["marks"] = last if len(merged) < len(m.segments) else last.where("not gone")  # nothing older is left that a mark could hide
         _write(folder, number, parts)

@@ -1,6 +1,7 @@
 """An index kept up by a stream of page files, against one built of all pages."""
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from folioq.operators import fulltext, graph, search, segments
@@ -88,3 +89,20 @@ def test_a_batch_that_fails_half_way(spark, tmp_path, monkeypatch):
     assert found() == set()
     with pytest.raises(ValueError):
         segments.opened(spark, f"file://{tmp_path}/none")
+
+
+def test_postings_by_blocks(spark, monkeypatch):
+    """A word has a row for a block of documents, and its places are those of the texts whatever the blocks."""
+    texts = [(i, "a b a" if i % 2 else None, f"b w{i} b " * (i + 1)) for i in range(30)]
+    docs = spark.createDataFrame(texts, "id long, title string, body string").coalesce(1)
+    packed = fulltext.posting_rows(docs, ["title", "body"], "id", 4)
+    assert packed.count() == 32
+    got = sorted((r["term"], r["id"], r["field"], r["place"], r["len_0"], r["len_1"]) for r in fulltext.unpacked(packed).collect())
+    words = [((t or "").split(), b.split()) for _, t, b in texts]
+    assert got == sorted((w, i, f, at, len(fields[0]), len(fields[1])) for i, fields in enumerate(words) for f, ws in enumerate(fields) for at, w in enumerate(ws))
+    index = fulltext.build_index(docs, ["title", "body"])
+    assert tuple(index.totals.first()) == (30, sum(len(t) for t, _ in words), sum(len(b) for _, b in words))
+    batch = pa.RecordBatch.from_pylist([{"id": i, "t": t, "b": b} for i, (t, b) in enumerate(words)], pa.schema([("id", pa.int64()), ("t", pa.list_(pa.string())), ("b", pa.list_(pa.string()))]))
+    monkeypatch.setattr(fulltext, "BLOCK", 40)
+    small = [(r["term"], i, f, at) for part in fulltext._packed([batch]) for r in part.to_pylist() for i, f, places in zip(r["id"], r["field"], r["places"], strict=True) for at in places]
+    assert sorted(small) == [x[:4] for x in got]
