@@ -42,3 +42,19 @@ def test_a_type_of_twenty_thousand(spark):
     frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(20_000), "type": "t", "embedding": v.tolist()}))
     wanted = sum(int(np.triu(np.round(v[at : at + 1000] @ v.T, 6) >= 0.92, at + 1).sum()) for at in range(0, 20_000, 1000))
     assert similar_pairs(frame, 0.92).count() == wanted > 20_000
+
+
+def test_low_thresholds(spark, monkeypatch):
+    """Where most vectors would be guests of most pivots, each is dealt once; batches stay small."""
+    from folioq.operators import similar_join
+
+    points = np.random.default_rng(5).normal(size=(400, 8))
+    points /= np.sqrt((points**2).sum(axis=1))[:, None]
+    frame = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(points)], "id long, type int, embedding array<double>")
+    dealt = {}
+    keep = similar_join.stored
+    monkeypatch.setattr(similar_join, "stored", lambda df, name: dealt.setdefault(name, keep(df, name)))
+    got = {(r["a"], r["b"]) for r in similar_pairs(frame, 0.4).collect()}
+    products = np.round(points @ points.T, 6)
+    assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if i % 2 == j % 2 and products[i, j] >= 0.4}
+    assert dealt["housed"].count() == 400
