@@ -82,8 +82,8 @@ def cosine(a: Column | str, b: Column | str) -> Column:
 
 def hashed_embeddings(rows: DataFrame, by: str, tokens: str, dim: int = 1024) -> DataFrame:
     """Sparse unit vectors by feature hashing, as rows (by, at, x): each token of two bytes or more adds +1 or -1 to one of dim places."""
-    each = rows.select(by, F.explode(tokens).alias("t")).where(F.octet_length("t") >= 2)
+    each = rows.select(by, tokens).repartition(by).select(by, F.explode(tokens).alias("t")).where(F.octet_length("t") >= 2)
     sign = F.when(F.xxhash64("t", F.lit(2)).bitwiseAND(1) == 1, 1).otherwise(-1)
     sums = each.groupBy(by, F.pmod(F.xxhash64("t", F.lit(1)), F.lit(dim)).cast("int").alias("at")).agg(F.sum(sign).alias("x")).where("x <> 0")
-    lengths = sums.groupBy(by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
-    return sums.join(lengths, by).select(by, "at", (F.col("x") / F.col("length")).alias("x"))
+    lists = sums.groupBy(by).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"), F.collect_list(F.struct("at", "x")).alias("p"))  # dim places at most
+    return lists.select(by, "length", F.explode("p").alias("p")).select(by, "p.at", (F.col("p.x") / F.col("length")).alias("x"))

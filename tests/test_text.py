@@ -85,3 +85,10 @@ def test_grams_by_blocks(spark):
     for needle in ("NEEDLE", "\U0001f600\U0001f601", "e\U0001f600\U0001f601", "nee dle", "absent"):
         wanted = sorted(tuple(r) for r in fulltext.substring_scores(docs, needle, "title", "body").collect())
         assert sorted(tuple(r) for r in fulltext.substring_search(docs, index, needle, "title", "body").collect()) == wanted
+
+
+def test_hashed_vectors_shuffle_texts_once(spark):
+    rows = spark.createDataFrame([(1, ["aa", "bb", "aa"]), (1, ["cc"]), (2, []), (3, ["x"])], "id long, words array<string>")
+    got = hashed_embeddings(rows, "id", "words")
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r["id"] for r in got.collect()} == {1} and abs(sum(r["x"] ** 2 for r in got.collect()) - 1) < 1e-9
