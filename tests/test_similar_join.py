@@ -1,6 +1,7 @@
 """Similar pairs by pivots against all pairs, of clusters, of equal vectors, and of a large type."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from folioq.operators.similar_join import similar_pairs
 
@@ -58,3 +59,18 @@ def test_low_thresholds(spark, monkeypatch):
     products = np.round(points @ points.T, 6)
     assert got == {(i, j) for i in range(400) for j in range(i + 1, 400) if i % 2 == j % 2 and products[i, j] >= 0.4}
     assert dealt["housed"].count() == 400
+
+
+def test_asked_rows_in_pieces(spark, monkeypatch):
+    """Asked rows of a large type against all of it, all pairs of a small one, once each, however they are cut."""
+    from folioq.operators import names
+
+    points = np.random.default_rng(6).normal(size=(120, 4))
+    points /= np.sqrt((points**2).sum(axis=1))[:, None]
+    kind = lambda i: "small" if i < 20 else "large"
+    frame = spark.createDataFrame([(i, kind(i), v.tolist()) for i, v in enumerate(points)] + [(120, "small", None)], "id long, type string, embedding array<double>")
+    monkeypatch.setattr(names, "PIECE", 9)
+    pairs, notes = names.content_pairs(frame, 0.5, 30, F.col("id") % 10 == 0)
+    products = np.round(points @ points.T, 6)
+    wanted = sorted((i, j) for i in range(120) for j in range(i + 1, 120) if kind(i) == kind(j) and products[i, j] >= 0.5 and (i < 20 or not i % 10 or not j % 10))
+    assert sorted((r["a"], r["b"]) for r in pairs.collect()) == wanted and [tuple(r) for r in notes.collect()] == [("large", 100)]
