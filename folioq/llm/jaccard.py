@@ -15,7 +15,8 @@ What is left of a bucket is cut into pieces of about PIECE rows that meet two by
 two in a task of their own. Before windows are fetched, two bounds that hold for every pair
 of the threshold pass over others: the sizes of the sets, and the differing bits of their
 parities (of the windows by hash, modulo PARITY), of which there are no more than windows in
-one set only.
+one set only. Those of long texts differ in too few of PARITY bits to tell, so the similarity join
+compares parities of about a bit for each window, once for each two classes.
 
 Defined results: null and blank texts have no windows and are one class; texts of fewer
 words than a window have their whole word sequence; repeated rows are one class; an
@@ -80,13 +81,20 @@ def parity(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]], kind: pa.DataType):
+def wide(hashes: np.ndarray) -> list[int]:
+    """As parity, of as many bits as the next power of two has from the number of windows on; its halves' XOR is that of half the bits."""
+    bits = max(PARITY, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]], kind: pa.DataType, more: tuple):
     def classes(batches):
         for batch in batches:
             found = [windows(t, shingle) for t in batch.column(2).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-            lists = [pa.array(map(f, found), pa.list_(k)) for f, k in ((buckets, kind), (parity, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity"])
+            lists = [pa.array(map(f, found), pa.list_(k)) for f, k in ((buckets, kind), (parity, pa.int64()), *((wide, pa.int64()) for _ in more))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity", *more])
 
     return classes
 
@@ -96,14 +104,27 @@ def _sets(shingle: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t, shingle).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64()))], names=["class", "windows"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([windows(t, shingle).view(np.int64) for t in part.column(1).to_pylist()], pa.list_(pa.int64())), *part.columns[2:]], names=["class", "windows", *part.schema.names[2:]])
 
     return sets
 
 
+def closer(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs: (a, b); classes: (class, size, wide). Those pairs that can have percent by their wide parities, folded to the bits of the shorter one."""
+    for c in "ab":
+        pairs = pairs.join(classes.select(F.col("class").alias(c), F.col("size").alias(f"s{c}"), F.col("wide").alias(f"w{c}")), c)
+    n, most = F.least(F.size("wa"), F.size("wb")), F.greatest(F.size("wa"), F.size("wb"))
+    apart = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    folded = lambda w: F.when(F.size(w) > n, apart(F.slice(w, F.lit(1), n), F.slice(w, n + 1, n))).otherwise(F.col(w))
+    differ = F.aggregate(apart(folded("wa"), folded("wb")), F.lit(0), lambda total, v: total + F.bit_count(v))
+    return pairs.where(F.when(most > 2 * n, True).otherwise((100 + percent) * differ <= (100 - percent) * (F.col("sa") + F.col("sb")))).select("a", "b")
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs: (x, y) of classes; sets: (class, windows). Rows (a, b), a < b, of the different pairs of percent at least."""
+    """pairs: (x, y) of classes; sets: (class, windows), with size and wide if they have it. Rows (a, b), a < b, of the different pairs of percent at least."""
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    if "wide" in sets.columns:
+        pairs = closer(pairs, sets, percent)
     x, y = (sets.select(F.col("class").alias(c), F.col("windows").alias(f"w{c}")) for c in "ab")
     met = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")).cast("long"))
     return met.where(100 * F.col("both") >= percent * (F.size("wa") + F.size("wb") - F.col("both"))).select("a", "b")
@@ -140,6 +161,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     spread: gives the buckets out of their stored form, for long lists of them.
     """
     once, kept = spread is None, ["buckets"] if spread is None else []
+    wider = [c for c in ("size", "wide") if "wide" in classes.columns]
     stars_of = STARS if once else 1  # where a class is in many buckets, they have different ones
     held = classes.select("class", F.explode("buckets" if once else spread(F.col("buckets"))).alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
@@ -150,12 +172,16 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     small = left.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
     x, y = small.alias("x"), small.alias("y")
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")) & _possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
-    near = near.select(F.col("x.bucket").alias("bucket"), F.explode(F.array("x.class", "y.class")).alias("class")).distinct()
+    near = near.select(F.col("x.bucket").alias("bucket"), F.col("x.class").alias("a"), F.col("y.class").alias("b"))
+    if wider:
+        near = stored(near, "near")
+        near = near.join(closer(near.select("a", "b").distinct(), classes, percent), ["a", "b"])
+    near = near.select("bucket", F.explode(F.array("a", "b")).alias("class")).distinct()
     large = left.join(sizes.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
     left = stored(small.join(near, ["bucket", "class"], "left_semi").select(*left.columns).unionByName(large.select(*left.columns)), "buckets")
-    needed = classes.select("class", "key").join(left.select("class").distinct(), "class")
-    one = needed.join(texts, "key").groupBy("class").agg(F.first("text").alias("text"))
-    sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>"), "windows")
+    needed = classes.select("class", "key", *wider).join(left.select("class").distinct(), "class")
+    one = needed.join(texts, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("class", "text", *wider)]).drop("key")  # a class has one key, a key one class
+    sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>" + (", size long, wide array<long>" if wider else "")), "windows")
     found = before = None
     for turn in range(ROUNDS + 1):
         # Buckets of one component are done; the others' pairs of two components, counted, tell whether another round pays.
@@ -188,8 +214,9 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     texts = docs.select(row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     kind, name = (pa.int32(), "int") if spread else (pa.int64(), "long")
-    rows = stored(rows.mapInArrow(_classes(shingle, buckets, kind), f"doc_id long, key string, class binary, size long, buckets array<{name}>, parity array<long>"), "classes")
-    classes = rows.groupBy(F.col("class").alias("same")).agg(F.min(F.struct("key", "size", "buckets", "parity")).alias("f"))
+    more = ("wide",) if spread else ()
+    rows = stored(rows.mapInArrow(_classes(shingle, buckets, kind, more), "".join((f"doc_id long, key string, class binary, size long, buckets array<{name}>, parity array<long>", *(f", {c} array<long>" for c in more)))), "classes")
+    classes = rows.groupBy(F.col("class").alias("same")).agg(F.min(F.struct("key", "size", "buckets", "parity", *more)).alias("f"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "same", "f.*"), "classes")
     roots = components(links(texts, classes, round(100 * threshold), shingle, spread)).withColumnRenamed("node", "class")
     named = classes.select("class", "same").join(roots, "class", "left").select(F.col("same").alias("class"), F.coalesce("root", "class").alias("root"))
