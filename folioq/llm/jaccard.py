@@ -10,9 +10,11 @@ links and none is passed over.
 
 In a bucket of many classes, pairs of the whole bucket are met only after some rounds
 that check a few classes of the bucket against the others: what is linked by then needs no
-further check, so a large group of near copies costs a few checks for each of its rows.
+further check, so a large group of near copies costs a few checks for each of its rows. First
+among those few is the class whose buckets hold the most rows: copies edited apart from each
+other have most in common with the text that they come from.
 What is left of a bucket is cut into pieces of about PIECE rows that meet two by two, each
-two in a task of their own. Before windows are fetched, two bounds that hold for every pair
+two in a task of their own, and comes out of one bucket that it shares (of many, one in each BEFORE at most). Before windows are fetched, two bounds that hold for every pair
 of the threshold pass over others: the sizes of the sets, and the differing bits of their
 parities (of the windows by hash, modulo PARITY), of which there are no more than windows in
 one set only. Those of long texts differ in too few of PARITY bits to tell, so the similarity join
@@ -30,7 +32,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import row_key, stored
@@ -46,6 +48,7 @@ STARS = 3
 ROUNDS = 4
 PIECE = 1 << 11
 SMALL = 32
+BEFORE = 20
 _RANDOM = np.random.default_rng(SEED)
 _XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
 _TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
@@ -137,8 +140,10 @@ def _possible(x, y, percent: int) -> Column:
     return ((100 + percent) * F.abs(x("size") - y("size")) <= total) & ((100 + percent) * differ <= total)
 
 
-def _met(left: DataFrame, percent: int, once: bool) -> DataFrame:
-    """left: (bucket, class, size, parity, root). Pairs (x, y) that a bucket holds, of different roots and possible; once: buckets is there, and a pair comes out of the first bucket of both only."""
+def _met(left: DataFrame, percent: int) -> DataFrame:
+    """left: (bucket, class, size, parity, root). Pairs (x, y) that a bucket holds, of different roots and possible; not where both have one of the BEFORE buckets before theirs in common, so the first that they share always gives them."""
+    earlier = Window.partitionBy("class").orderBy("bucket").rowsBetween(-BEFORE, -1)
+    left = left.withColumn("before", F.collect_list("bucket").over(earlier))
     pieces = left.groupBy("bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("pieces > 1")
     left = left.join(pieces, "bucket", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
     own = F.pmod(F.xxhash64("class"), F.col("pieces")).cast("int")
@@ -148,9 +153,7 @@ def _met(left: DataFrame, percent: int, once: bool) -> DataFrame:
     together = F.lit(True)
     for c in ("bucket", "i", "j"):
         together = together & (F.col(f"a.{c}") == F.col(f"b.{c}"))
-    if once:
-        together = together & (F.get(F.array_intersect("a.buckets", "b.buckets"), F.lit(0)) == F.col("a.bucket"))
-    possible = _possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent)
+    possible = _possible(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"), percent) & ~F.arrays_overlap("a.before", "b.before")
     pairs = a.join(b, together & (F.col("a.class") < F.col("b.class")) & (F.col("a.root") != F.col("b.root")) & possible)
     return pairs.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"))
 
@@ -160,13 +163,12 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
 
     spread: gives the buckets out of their stored form, for long lists of them.
     """
-    once, kept = spread is None, ["buckets"] if spread is None else []
     wider = [c for c in ("size", "wide") if "wide" in classes.columns]
-    stars_of = STARS if once else 1  # where a class is in many buckets, they have different ones
-    held = classes.select("class", F.explode("buckets" if once else spread(F.col("buckets"))).alias("bucket"))
+    stars_of = STARS if spread is None else 2  # where a class is in many buckets, they have different ones
+    held = classes.select("class", F.explode("buckets" if spread is None else spread(F.col("buckets"))).alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity", *kept), "class")
-    left = stored(left.select("bucket", "class", "size", "parity", *kept, F.col("class").alias("root")), "buckets")
+    left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity"), "class")
+    left = stored(left.select("bucket", "class", "size", "parity", F.col("class").alias("root")), "buckets")
     # In a bucket of few classes, those that can have percent with no other need no bucket.
     sizes = left.groupBy("bucket").agg(F.count("*").alias("n"))
     small = left.join(sizes.where(F.col("n") <= SMALL).select("bucket"), "bucket", "left_semi")
@@ -190,19 +192,25 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
         if not cost["n"] or cost["pairs"] <= 2 * cost["n"] or turn == ROUNDS or before is not None and cost["pairs"] > before / 2:
             break
         before = cost["pairs"]
-        orders = [F.min(F.struct(F.xxhash64("class", F.lit(STARS * turn + i)).alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for i in range(stars_of)]
-        stars = left.groupBy("bucket").agg(F.array(*orders).alias("stars"))
+        # The class whose buckets hold the most rows has most in common with others: it is a star of each of its buckets, one round of each.
+        if turn == 0:
+            rows = left.groupBy("bucket").agg(F.count("*").alias("n"))
+            centres = left.select("class", "bucket").join(rows, "bucket").groupBy("class").agg((-F.sum("n")).alias("h"))
+            left = stored(left.join(centres, "class").select("bucket", "class", "size", "parity", "root", "h"), "buckets")
+        orders = [F.col("h"), *(F.xxhash64("class", F.lit(STARS * turn + i)) for i in range(1, stars_of))]
+        stars = left.groupBy("bucket").agg(F.array(*[F.min(F.struct(h.alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for h in orders]).alias("stars"))
         met = left.join(stars, "bucket").select("class", "root", "size", "parity", F.explode("stars").alias("s"))
         met = met.where((F.col("s.root") != F.col("root")) & _possible(lambda c: F.col(f"s.{c}"), F.col, percent))
         new = stored(similar(met.select(F.col("s.class").alias("x"), F.col("class").alias("y")), sets, percent), "similar")
         found = new if found is None else found.unionByName(new)
         roots = components(found).select(F.col("node").alias("class"), "root")
         now = left.drop("root").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        mixed = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
-        left = stored(now.join(mixed, "bucket").select(*left.columns), "buckets")
+        mixed = now.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct("h", "class")).alias("star")).where("least <> most").select("bucket", "star")
+        now = now.join(mixed, "bucket").withColumn("h", F.when(F.col("class") == F.col("star.class"), 0).otherwise(F.col("h")))
+        left = stored(now.select(*left.columns), "buckets")
     if not cost["n"]:
         return found if found is not None else left.select(F.col("class").alias("a"), F.col("root").alias("b"))
-    new = similar(_met(left, percent, once), sets, percent)
+    new = similar(_met(left, percent), sets, percent)
     return new if found is None else found.unionByName(stored(new, "similar"))
 
 
