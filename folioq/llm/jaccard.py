@@ -1,10 +1,8 @@
-"""Near-duplicates by the similarity of their word windows: MinHash candidates, exact check.
+"""Near-duplicates by the similarity of their word windows: exact check of classes that share a bucket.
 
-Two texts are near-duplicates if the sets of their windows of five words have a Jaccard
-similarity of threshold at least. Texts of equal sets are one class. A class is hashed
-to BANDS values, each of ROWS minima over its windows; classes that share a value are
-candidates, so a pair of similarity s is missed with a chance of (1 - s^ROWS)^BANDS,
-0.00003 at 0.8 and less above. Every candidate pair is either checked exactly, by a join to
+Texts whose sets of windows are equal are one class. A class enters the buckets that a join gives it;
+classes that share a bucket are candidates. Joins (prefix_join, parity_join) give buckets so that similar sets
+always share one. Every candidate pair is either checked exactly, by a join to
 the windows of both, or lies in one component already, so no pair below the threshold
 links and none is passed over.
 
@@ -17,8 +15,8 @@ What is left of a bucket is cut into pieces of about PIECE rows that meet two by
 two in a task of their own, and comes out of one bucket that it shares (of many, one in each BEFORE at most). Before windows are fetched, two bounds that hold for every pair
 of the threshold pass over others: the sizes of the sets, and the differing bits of their
 parities (of the windows by hash, modulo PARITY), of which there are no more than windows in
-one set only. Those of long texts differ in too few of PARITY bits to tell, so the similarity join
-compares parities of about a bit for each window, once for each two classes.
+one set only. Those of long texts differ in too few of PARITY bits to tell, so
+parities of about a bit for each window are compared too, once for each two classes.
 
 Defined results: null and blank texts have no windows and are one class; texts of fewer
 words than a window have their whole word sequence; repeated rows are one class; an
@@ -38,23 +36,16 @@ from pyspark.sql import functions as F
 from .common import row_key, stored
 from .simhash import components
 
-SHINGLE = 5
-THRESHOLD = 0.8
-BANDS, ROWS = 20, 4
 SEED = 42
-BLOCK = 1 << 12
 PARITY = 256
-STARS = 3
+STARS = 2
 ROUNDS = 4
 PIECE = 1 << 11
 SMALL = 32
 BEFORE = 20
-_RANDOM = np.random.default_rng(SEED)
-_XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64)
-_TIMES = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) | np.uint64(1)
 
 
-def windows(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+def windows(text: str | None, shingle: int) -> np.ndarray:
     """Hashes of the different windows of words, in order of hash."""
     found = (text or "").encode().lower().split()
     if not found:
@@ -68,16 +59,6 @@ def windows(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts, lasts, strict=True)), np.uint64, n))
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """A value for each band; none without windows."""
-    if not len(hashes):
-        return []
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), BLOCK):
-        least = np.minimum(least, ((hashes[at : at + BLOCK] ^ _XOR) * _TIMES).min(axis=1))
-    return [xxhash.xxh64_intdigest(x.tobytes(), band) - (1 << 63) for band, x in enumerate(least.reshape(BANDS, ROWS))]
-
-
 def parity(hashes: np.ndarray) -> list[int]:
     """A bit for each remainder by PARITY: set if an odd number of windows has it."""
     odd = np.bincount((hashes % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
@@ -91,13 +72,13 @@ def wide(hashes: np.ndarray) -> list[int]:
     return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
 
 
-def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]], kind: pa.DataType, more: tuple):
+def _classes(shingle: int, buckets: Callable[[np.ndarray], list[int]]):
     def classes(batches):
         for batch in batches:
             found = [windows(t, shingle) for t in batch.column(2).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in found], pa.binary())
-            lists = [pa.array(map(f, found), pa.list_(k)) for f, k in ((buckets, kind), (parity, pa.int64()), *((wide, pa.int64()) for _ in more))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity", *more])
+            lists = [pa.array(map(f, found), pa.list_(k)) for f, k in ((buckets, pa.int32()), (parity, pa.int64()), (wide, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), same, pa.array(map(len, found), pa.int64()), *lists], names=["doc_id", "key", "class", "size", "buckets", "parity", "wide"])
 
     return classes
 
@@ -124,10 +105,9 @@ def closer(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """pairs: (x, y) of classes; sets: (class, windows), with size and wide if they have it. Rows (a, b), a < b, of the different pairs of percent at least."""
+    """pairs: (x, y) of classes; sets: (class, windows, size, wide). Rows (a, b), a < b, of the different pairs of percent at least."""
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if "wide" in sets.columns:
-        pairs = closer(pairs, sets, percent)
+    pairs = closer(pairs, sets, percent)
     x, y = (sets.select(F.col("class").alias(c), F.col("windows").alias(f"w{c}")) for c in "ab")
     met = pairs.join(x, "a").join(y, "b").withColumn("both", F.size(F.array_intersect("wa", "wb")).cast("long"))
     return met.where(100 * F.col("both") >= percent * (F.size("wa") + F.size("wb") - F.col("both"))).select("a", "b")
@@ -158,14 +138,12 @@ def _met(left: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("a.class").alias("x"), F.col("b.class").alias("y"))
 
 
-def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHINGLE, spread: Callable[[Column], Column] | None = None) -> DataFrame:
-    """classes: (class, key, size, buckets, parity). Rows (a, b) of classes of percent at least, whose components are those of all such pairs that share a bucket.
+def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int, spread: Callable[[Column], Column]) -> DataFrame:
+    """classes: (class, key, size, buckets, parity, wide). Rows (a, b) of classes of percent at least, whose components are those of all such pairs that share a bucket.
 
     spread: gives the buckets out of their stored form, for long lists of them.
     """
-    wider = [c for c in ("size", "wide") if "wide" in classes.columns]
-    stars_of = STARS if spread is None else 2  # where a class is in many buckets, they have different ones
-    held = classes.select("class", F.explode("buckets" if spread is None else spread(F.col("buckets"))).alias("bucket"))
+    held = classes.select("class", F.explode(spread(F.col("buckets"))).alias("bucket"))
     shared = held.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     left = stored(held.join(shared, "bucket"), "shared").join(classes.select("class", "size", "parity"), "class")
     left = stored(left.select("bucket", "class", "size", "parity", F.col("class").alias("root")), "buckets")
@@ -175,15 +153,14 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     x, y = small.alias("x"), small.alias("y")
     near = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.class") < F.col("y.class")) & _possible(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent))
     near = near.select(F.col("x.bucket").alias("bucket"), F.col("x.class").alias("a"), F.col("y.class").alias("b"))
-    if wider:
-        near = stored(near, "near")
-        near = near.join(closer(near.select("a", "b").distinct(), classes, percent), ["a", "b"])
+    near = stored(near, "near")
+    near = near.join(closer(near.select("a", "b").distinct(), classes, percent), ["a", "b"])
     near = near.select("bucket", F.explode(F.array("a", "b")).alias("class")).distinct()
     large = left.join(sizes.where(F.col("n") > SMALL).select("bucket"), "bucket", "left_semi")
     left = stored(small.join(near, ["bucket", "class"], "left_semi").select(*left.columns).unionByName(large.select(*left.columns)), "buckets")
-    needed = classes.select("class", "key", *wider).join(left.select("class").distinct(), "class")
-    one = needed.join(texts, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("class", "text", *wider)]).drop("key")  # a class has one key, a key one class
-    sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>" + (", size long, wide array<long>" if wider else "")), "windows")
+    needed = classes.select("class", "key", "size", "wide").join(left.select("class").distinct(), "class")
+    one = needed.join(texts, "key").groupBy("key").agg(*[F.first(c).alias(c) for c in ("class", "text", "size", "wide")]).drop("key")  # a class has one key, a key one class
+    sets = stored(one.mapInArrow(_sets(shingle), "class long, windows array<long>, size long, wide array<long>"), "windows")
     found = before = None
     for turn in range(ROUNDS + 1):
         # Buckets of one component are done; the others' pairs of two components, counted, tell whether another round pays.
@@ -197,7 +174,7 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
             rows = left.groupBy("bucket").agg(F.count("*").alias("n"))
             centres = left.select("class", "bucket").join(rows, "bucket").groupBy("class").agg((-F.sum("n")).alias("h"))
             left = stored(left.join(centres, "class").select("bucket", "class", "size", "parity", "root", "h"), "buckets")
-        orders = [F.col("h"), *(F.xxhash64("class", F.lit(STARS * turn + i)) for i in range(1, stars_of))]
+        orders = [F.col("h"), *(F.xxhash64("class", F.lit(3 * turn + i)) for i in range(1, STARS))]
         stars = left.groupBy("bucket").agg(F.array(*[F.min(F.struct(h.alias("h"), F.col("class"), F.col("root"), F.col("size"), F.col("parity"))) for h in orders]).alias("stars"))
         met = left.join(stars, "bucket").select("class", "root", "size", "parity", F.explode("stars").alias("s"))
         met = met.where((F.col("s.root") != F.col("root")) & _possible(lambda c: F.col(f"s.{c}"), F.col, percent))
@@ -214,17 +191,15 @@ def links(texts: DataFrame, classes: DataFrame, percent: int, shingle: int = SHI
     return new if found is None else found.unionByName(stored(new, "similar"))
 
 
-def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, buckets: Callable[[np.ndarray], list[int]] = bands, spread: Callable[[Column], Column] | None = None) -> DataFrame:
+def grouped(docs: DataFrame, doc_id: str, text: str, threshold: float, shingle: int, buckets: Callable[[np.ndarray], list[int]], spread: Callable[[Column], Column]) -> DataFrame:
     """Rows (doc_id, key, size, root) for each row of docs; rows of one root are near-duplicates, size is that of the set.
 
-    buckets: what a set meets others in; with spread, 32-bit numbers that spread makes into buckets.
+    buckets: 32-bit numbers of a set, which spread makes into what it meets others in.
     """
     texts = docs.select(row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("key"), F.col(f"`{text}`").alias("text"))
-    kind, name = (pa.int32(), "int") if spread else (pa.int64(), "long")
-    more = ("wide",) if spread else ()
-    rows = stored(rows.mapInArrow(_classes(shingle, buckets, kind, more), "".join((f"doc_id long, key string, class binary, size long, buckets array<{name}>, parity array<long>", *(f", {c} array<long>" for c in more)))), "classes")
-    classes = rows.groupBy(F.col("class").alias("same")).agg(F.min(F.struct("key", "size", "buckets", "parity", *more)).alias("f"))
+    rows = stored(rows.mapInArrow(_classes(shingle, buckets), "doc_id long, key string, class binary, size long, buckets array<int>, parity array<long>, wide array<long>"), "classes")
+    classes = rows.groupBy(F.col("class").alias("same")).agg(F.min(F.struct("key", "size", "buckets", "parity", "wide")).alias("f"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("class"), "same", "f.*"), "classes")
     roots = components(links(texts, classes, round(100 * threshold), shingle, spread)).withColumnRenamed("node", "class")
     named = classes.select("class", "same").join(roots, "class", "left").select(F.col("same").alias("class"), F.coalesce("root", "class").alias("root"))

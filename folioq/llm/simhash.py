@@ -139,10 +139,11 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_dis
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find=grouped, **options) -> DataFrame:
     """docs with one row of each component that find gives: that of the smallest id, then of the smallest key."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("key")))
-    kept = find(docs, doc_id, text, **options).groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.key").alias("kept_key"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{doc_id}`").cast("long").alias("kept_id"), row_key(F.lit(None), F.col(f"`{text}`")).alias("kept_key"))
-    same = rows.alias("r").join(kept.alias("k"), F.col("r.kept_key").eqNullSafe(F.col("k.kept_key")) & F.col("r.kept_id").eqNullSafe(F.col("k.kept_id")))
-    return same.select("r.*").dropDuplicates(["kept_id", "kept_key"]).select("doc.*")
+    named = lambda i, key: F.concat(F.coalesce(i.cast("string"), F.lit("")), F.lit(":"), key).alias("kept")
+    kept = find(docs, doc_id, text, **options).groupBy("root").agg(first.alias("first")).select(named(F.col("first.doc_id"), F.col("first.key")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), named(F.col(f"`{doc_id}`").cast("long"), row_key(F.lit(None), F.col(f"`{text}`"))))
+    # The join deals rows by the column that repeated ones are dropped by, so texts are shuffled once.
+    return rows.join(kept.hint("merge"), "kept").dropDuplicates(["kept"]).select("doc.*")
 
 
 def op3_near_duplicates(spark, sf_dir):
