@@ -109,10 +109,12 @@ def unpacked(packed: DataFrame) -> DataFrame:
     return rows.select(*kept, *[f"p.{c}" for c in lists if c != "places"], F.explode("p.places").alias("place"))
 
 
-def write_postings(packed: DataFrame, path: str) -> None:
-    """A folder for each bucket, in order of the term."""
-    salted = packed.withColumn("salt", F.pmod(F.xxhash64(F.get("id", F.lit(0))), F.lit(SALTS)))
-    salted.repartition("bucket", "salt").drop("salt").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
+def write_postings(packed: DataFrame, path: str, most_tasks: int = 0) -> None:
+    """A folder for each bucket, in order of the term. The rows of a bucket are dealt over SALTS tasks; where most_tasks make packed at most,
+    each writes its own rows as they are and postings aren't shuffled."""
+    if not most_tasks or packed.rdd.getNumPartitions() > most_tasks:
+        packed = packed.withColumn("salt", F.pmod(F.xxhash64(F.get("id", F.lit(0))), F.lit(SALTS))).repartition("bucket", "salt").drop("salt")
+    packed.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").option("compression", "zstd").parquet(path)
 
 
 def posting_schema(rows: DataFrame) -> T.StructType:

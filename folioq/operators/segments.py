@@ -4,7 +4,8 @@ A batch writes a segment: its new and changed pages with their postings, links a
 a mark for each of its ids, gone for a deleted page. A row of an older segment counts no
 more once a later segment has a mark for its page. A batch becomes visible at once, by a
 manifest of one file that names the segments that count; a batch that is repeated, or
-fails half-way and is tried again, leaves the same index. FAN segments of one level that
+fails half-way and is tried again, leaves the same index. Pages are written first and the other
+parts made from them as they are written. FAN segments of one level that
 follow each other become one of the next level, so a row is rewritten once for each level, and a
 query reads few segments. There is one writer at a time; readers need not wait for it.
 
@@ -29,7 +30,8 @@ from folioq.store import stored
 
 FAN = 8
 BUCKETS = 64
-PARTS = ("pages", "marks", "postings", "edges", "chunks")
+#: Files of a segment's postings up to which tasks write what they make, without a shuffle.
+MOST_FILES = fulltext.MOST_BUCKETS * fulltext.SALTS
 _MANIFEST = "segments array<long>, levels array<int>, done map<string, long>, fields array<string>, buckets int, number long"
 
 
@@ -103,13 +105,14 @@ def opened(spark: SparkSession, folder: str) -> Opened:
     return Opened(index, pages.drop(*[f"len_{i}" for i in range(len(m.fields))]), live("edges", "src"), live("chunks"), m)
 
 
-def _write(folder: str, number: int, parts: dict[str, DataFrame]) -> None:
-    for part, rows in parts.items():
-        path = f"{folder}/{part}/segment={number}"
-        if part == "postings":
-            fulltext.write_postings(rows, path)
-        else:
-            rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def _put(rows: DataFrame, folder: str, part: str, number: int, buckets: int = BUCKETS) -> DataFrame:
+    """A segment's part, written and read again."""
+    path = f"{folder}/{part}/segment={number}"
+    if part == "postings":
+        fulltext.write_postings(rows, path, MOST_FILES // buckets)
+    else:
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def apply(folder: str, pages: DataFrame, gone: DataFrame | None, batch: int, source: str = "pages", fields: tuple[str, ...] = tuple(WEIGHTS), buckets: int = BUCKETS, fan: int = FAN) -> Manifest:
@@ -121,26 +124,30 @@ def apply(folder: str, pages: DataFrame, gone: DataFrame | None, batch: int, sou
     m = newest(spark, folder) or Manifest(-1, (), (), {}, fields, buckets)
     if m.done.get(source, -1) >= batch:
         return m
-    pages = stored(pages, "batch")
+    number = m.number + 1
+    new = replace(m, number=number, done=m.done | {source: batch})
+    lengths = [F.size(fulltext.tokens(F.col(f))).alias(f"len_{i}") for i, f in enumerate(m.fields)]
     known = None
     if m.segments:
+        pages = stored(pages, "batch")
         marks, held = _part(spark, folder, "marks", m.segments), _part(spark, folder, "pages", m.segments)
         asked = pages.select("id") if gone is None else pages.select("id").unionByName(gone.select("id"))
         asked = stored(asked.distinct(), "asked")
         known = held.select("id", "segment", "file_hash").join(asked, "id", "left_semi").join(_dead(marks.join(asked, "id", "left_semi")), ["id", "segment"], "left_anti")
         known = stored(known.select("id", F.col("file_hash").alias("old_hash")), "known")
-        pages = pages.join(known, "id", "left").where(~F.col("file_hash").eqNullSafe(F.col("old_hash"))).drop("old_hash")
-    marks = pages.select("id", F.lit(False).alias("gone"))
+        # Ids and hashes meet the known ones, and texts the ids that are left out, which seldom need a shuffle of texts.
+        same = pages.select("id", "file_hash").join(known, "id").where(F.col("file_hash").eqNullSafe(F.col("old_hash"))).select("id")
+        changed = stored(pages.select("id").join(same, "id", "left_anti"), "changed")
+        pages = pages.join(changed, "id", "left_semi")
+    held = _put(pages.select("*", *lengths), folder, "pages", number)
+    marks = held.select("id", F.lit(False).alias("gone"))
     if gone is not None and known is not None:
         left = gone.select("id").distinct().join(known, "id", "left_semi").join(marks, "id", "left_anti")
         marks = marks.unionByName(left.select("id", F.lit(True).alias("gone")))
-    number = m.number + 1
-    marks = stored(marks, "marks")
-    new = replace(m, number=number, done=m.done | {source: batch})
+    marks = _put(marks, folder, "marks", number)
     if not marks.isEmpty():
-        lengths = [F.size(fulltext.tokens(F.col(f))).alias(f"len_{i}") for i, f in enumerate(m.fields)]
-        cut = chunks.section_chunks(pages)
-        _write(folder, number, {"pages": pages.select("*", *lengths), "marks": marks, "postings": fulltext.posting_rows(pages, list(m.fields), "id", m.buckets), "edges": graph.raw_edges(pages), "chunks": cut})
+        for part, rows in {"postings": fulltext.posting_rows(held, list(m.fields), "id", m.buckets), "edges": graph.raw_edges(held), "chunks": chunks.section_chunks(held)}.items():
+            _put(rows, folder, part, number, m.buckets)
         new = replace(new, segments=(*m.segments, number), levels=(*m.levels, 0))
     _show(spark, folder, new)
     return compacted(spark, folder, new, fan)
@@ -152,14 +159,13 @@ def compacted(spark: SparkSession, folder: str, m: Manifest, fan: int = FAN) ->
         merged, number = m.segments[-fan:], m.number + 1
         marks = _part(spark, folder, "marks", merged)
         dead = stored(_dead(marks), "dead")
-        parts = {}
-        for part in (p for p in PARTS if p != "postings"):
+        for part in ("pages", "edges", "chunks"):
             rows, key = _part(spark, folder, part, merged), "src" if part == "edges" else "id"
-            parts[part] = rows.join(dead.withColumnRenamed("id", key), [key, "segment"], "left_anti").drop("segment")
-        parts["postings"] = fulltext.posting_rows(parts["pages"], list(m.fields), "id", m.buckets)
+            _put(rows.join(dead.withColumnRenamed("id", key), [key, "segment"], "left_anti").drop("segment"), folder, part, number)
+        held = _part(spark, folder, "pages", (number,)).drop("segment")
+        _put(fulltext.posting_rows(held, list(m.fields), "id", m.buckets), folder, "postings", number, m.buckets)
         last = marks.groupBy("id").agg(F.max_by("gone", "segment").alias("gone"))
-        parts["marks"] = last if len(merged) < len(m.segments) else last.where("not gone")  # nothing older is left that a mark could hide
-        _write(folder, number, parts)
+        _put(last if len(merged) < len(m.segments) else last.where("not gone"), folder, "marks", number)  # nothing older is left that a mark could hide
         m = replace(m, number=number, segments=(*m.segments[:-fan], number), levels=(*m.levels[:-fan], m.levels[-1] + 1))
         _show(spark, folder, m)
     return m

@@ -1,5 +1,7 @@
 """An index kept up by a stream of page files, against one built of all pages."""
 
+import os
+
 import pytest
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -106,3 +108,28 @@ def test_postings_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(fulltext, "BLOCK", 40)
     small = [(r["term"], i, f, at) for part in fulltext._packed([batch]) for r in part.to_pylist() for i, f, places in zip(r["id"], r["field"], r["places"], strict=True) for at in places]
     assert sorted(small) == [x[:4] for x in got]
+
+
+def test_postings_are_not_shuffled(spark, tmp_path):
+    """A first batch's texts are stored once, its postings are written by the tasks that make them, and a task that makes too many files has them dealt."""
+    from folioq.store import shared_folder
+
+    pages = spark.range(0, 4000, 1, 6).select("id", F.lit("h").alias("file_hash"), F.concat(F.lit("t"), "id").alias("title"), F.concat_ws(" ", F.lit("all share these words"), F.sha2(F.col("id").cast("string"), 256)).alias("body"), F.lit("").alias("summary"))
+    folder, found = f"file://{tmp_path}/index", []
+    batches = lambda: {p for p in os.listdir(shared_folder(spark).removeprefix("file://")) if p.startswith("batch-")}
+    before, dealt = batches(), type(pages).repartition
+
+    def repartition(self, *a):
+        found.append(a)
+        return dealt(self, *a)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(type(pages), "repartition", repartition)
+        segments.apply(folder, pages, None, 0)
+        assert not found and batches() == before
+        patch.setattr(segments, "MOST_FILES", 0)
+        segments.apply(folder, pages.withColumns({"id": F.col("id") + 2000, "file_hash": F.lit("new")}), None, 1)
+        assert found
+    now = segments.opened(spark, folder)
+    assert sorted(r["id"] for r in now.pages.select("id").collect()) == list(range(6000))
+    assert now.index.postings.where("term = 'share'").count() == 6000
